@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.language_id import language_id
 from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.token_counts import token_counts
+from tidemark.llm.toxicity import toxicity
 from tidemark.session import table
 
 
@@ -15,15 +17,25 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole document."""
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole document."""
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every whole document."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every whole document."""
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_token_counts": op4_token_counts, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op1_language_id": op1_language_id, "op4_token_counts": op4_token_counts, "op6_toxicity": op6_toxicity, "op9_quality_rules": op9_quality_rules}
 ORACLES: dict[str, str] = {}
