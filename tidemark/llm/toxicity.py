@@ -1,7 +1,7 @@
 """Operator 6: toxicity by a factorization machine over hashed terms.
 
-Terms: words in lower case without ASCII punctuation at their ends, hashed by crc32; a text is the set of its
-terms. The machine scores b + sum of w_i + sum over pairs of <v_i, v_j>, so a pair of terms can tell more than
+Terms: words in lower case without ASCII punctuation at their ends, their first 5 to 8 bytes (stems), and stems
+that several words of the text share, all hashed by crc32; a text is the set of its terms. The machine scores b + sum of w_i + sum over pairs of <v_i, v_j>, so a pair of terms can tell more than
 both alone. It learns from a bounded sample of labelled documents (`most`, in hash order); over that sample Spark
 counts each term with and without the label, and terms whose association passes a chi-square limit (at most
 `features`, the strongest) enter the machine.
@@ -13,6 +13,7 @@ labelled twice is two examples; every row of docs gives a row; extra columns are
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +27,24 @@ from tidemark.session import cut
 _ENDS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
 
+#: Bytes of a word's start that count as its stem.
+STEMS = (5, 6, 7, 8)
+
+
 def terms(text: str | None) -> list[int]:
-    """Hashes of the distinct terms of a text."""
+    """Hashes of the distinct terms of a text: words, stems, and stems of three or more of its distinct words."""
     if not text:
         return []
     found = {w.strip(_ENDS) for w in set(text.lower().encode().split())}
     found.discard(b"")
-    return list(set(map(zlib.crc32, found)))
+    hashes = set(map(zlib.crc32, found))
+    for n in STEMS:
+        for stem, forms in Counter([w[:n] for w in found if len(w) > n]).items():
+            h = zlib.crc32(stem, n)
+            hashes.add(h)
+            if forms > 2:
+                hashes.add(h ^ 0x5BD1E995)
+    return list(hashes)
 
 
 class FactorizationMachine:
