@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.language_id import language_id
+from tidemark.llm.packing import best_fit_packing
 from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.toxicity import toxicity
@@ -22,6 +23,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of all documents in sequences of at most 1024 tokens."""
+    return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole document."""
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
@@ -37,5 +43,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op4_token_counts": op4_token_counts, "op6_toxicity": op6_toxicity, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op1_language_id": op1_language_id, "op3_best_fit_packing": op3_best_fit_packing, "op4_token_counts": op4_token_counts, "op6_toxicity": op6_toxicity, "op9_quality_rules": op9_quality_rules}
 ORACLES: dict[str, str] = {}
