@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import queries_text
+from tidemark.llm import queries_join, queries_text
 
-QUERIES = {**queries_text.QUERIES}
-ORACLES = {**queries_text.ORACLES}
+QUERIES = {**queries_text.QUERIES, **queries_join.QUERIES}
+ORACLES = {**queries_text.ORACLES, **queries_join.ORACLES}
