@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.decontamination import decontamination
 from tidemark.llm.ngram_join import ngram_components
 from tidemark.session import table
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, or nearly so."""
+    return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents by links of similarity 0.9 over 3-word shingles."""
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_ngram_join": op8_ngram_join}
+QUERIES = {"op5_decontamination": op5_decontamination, "op8_ngram_join": op8_ngram_join}
 ORACLES: dict[str, str] = {}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.language_id import language_id
 from tidemark.llm.packing import best_fit_packing
+from tidemark.llm.perplexity import perplexity_filter
 from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.toxicity import toxicity
@@ -38,10 +39,15 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_perplexity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document against a model of those labelled as of good quality."""
+    return perplexity_filter(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every whole document."""
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op3_best_fit_packing": op3_best_fit_packing, "op4_token_counts": op4_token_counts, "op6_toxicity": op6_toxicity, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op1_language_id": op1_language_id, "op3_best_fit_packing": op3_best_fit_packing, "op4_token_counts": op4_token_counts, "op6_toxicity": op6_toxicity, "op7_perplexity_filter": op7_perplexity_filter, "op9_quality_rules": op9_quality_rules}
 ORACLES: dict[str, str] = {}
