@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.language_id import language_id
+from tidemark.llm.lm_scoring import lm_scoring
 from tidemark.llm.packing import best_fit_packing
 from tidemark.llm.perplexity import perplexity_filter
 from tidemark.llm.quality_rules import quality_rules
@@ -24,6 +25,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every whole document."""
+    return lm_scoring(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pieces of all documents in sequences of at most 1024 tokens."""
     return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
@@ -49,5 +55,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_language_id": op1_language_id, "op3_best_fit_packing": op3_best_fit_packing, "op4_token_counts": op4_token_counts, "op6_toxicity": op6_toxicity, "op7_perplexity_filter": op7_perplexity_filter, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op1_language_id": op1_language_id, "op2_lm_scoring": op2_lm_scoring, "op3_best_fit_packing": op3_best_fit_packing, "op4_token_counts": op4_token_counts, "op6_toxicity": op6_toxicity, "op7_perplexity_filter": op7_perplexity_filter, "op9_quality_rules": op9_quality_rules}
 ORACLES: dict[str, str] = {}
