@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.decontamination import decontamination
+from tidemark.llm.license_scan import license_scan
 from tidemark.llm.ngram_join import ngram_components
 from tidemark.session import table
 
@@ -19,5 +21,20 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_decontamination": op5_decontamination, "op8_ngram_join": op8_ngram_join}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents, as files source/thousands/hundreds/doc_id of a tree."""
+    level = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), level(1000), level(100), F.col("doc_id").cast("string"))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")
+    return license_scan(files).withColumnRenamed("file_id", "doc_id")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through all stages of corpus_pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {"op5_decontamination": op5_decontamination, "op8_ngram_join": op8_ngram_join, "op10_license_scan": op10_license_scan, "pipeline": pipeline}
 ORACLES: dict[str, str] = {}
