@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from tidemark.plans.catalog import ORACLES, QUERIES
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+for _section in ("sources", "rules", "joins", "aggregates", "statistics", "features", "flow", "labels", "ranking", "scalars", "streams", "flagship"):
+    importlib.import_module(f"tidemark.plans.q_{_section}")
+
+__all__ = ["ORACLES", "QUERIES"]
