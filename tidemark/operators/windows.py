@@ -11,16 +11,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("symbol").orderBy("ts")
+def order():
+    """A symbol's rows by time."""
+    return Window.partitionBy("symbol").orderBy("ts")
 
 
 def over(n: int, ahead: int = 0):
     """The last n bars up to `ahead` bars from now (negative: before now)."""
-    return ORDER.rowsBetween(ahead - n + 1, ahead)
+    return order().rowsBetween(ahead - n + 1, ahead)
 
 
 def lag(c: str, n: int = 1) -> Column:
-    return F.lag(c, n).over(ORDER)
+    return F.lag(c, n).over(order())
 
 
 def true_range() -> Column:
@@ -41,7 +43,7 @@ def ema(df: DataFrame, c: str, alpha: float, out: str, block: int = 256) -> Data
     on. Long series spread over many tasks by (symbol, block).
     """
     q = 1.0 - alpha
-    rows = df.withColumn("_n", F.row_number().over(ORDER) - 1).withColumn("_b", F.floor(F.col("_n") / block)).withColumn("_k", F.col("_n") % block)
+    rows = df.withColumn("_n", F.row_number().over(order()) - 1).withColumn("_b", F.floor(F.col("_n") / block)).withColumn("_k", F.col("_n") % block)
     inside = Window.partitionBy("symbol", "_b").orderBy("_n")
     weight = F.when(F.col("_n") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
     rows = rows.withColumn("_s", F.sum(F.col(c) * weight * F.pow(F.lit(q), -F.col("_k"))).over(inside.rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(q), F.col("_k")))
@@ -116,7 +118,7 @@ def bollinger(df: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:
 
 def trend_r2(df: DataFrame, n: int = 20, out: str = "trend_r2") -> DataFrame:
     """Share of the variance of n closes that a line over time explains."""
-    return df.withColumn("_i", F.row_number().over(ORDER).cast("double")).withColumn(out, F.regr_r2("close", "_i").over(over(n))).drop("_i")
+    return df.withColumn("_i", F.row_number().over(order()).cast("double")).withColumn(out, F.regr_r2("close", "_i").over(over(n))).drop("_i")
 
 
 def rolling_rank(df: DataFrame, c: str, n: int, out: str) -> DataFrame:
@@ -133,7 +135,7 @@ def zscore(df: DataFrame, c: str, n: int, out: str) -> DataFrame:
 
 def expanding_quantile(df: DataFrame, c: str, q: float, least: int = 50, out: str = "threshold") -> DataFrame:
     """Interpolated quantile of all values before now, from `least` of them on."""
-    before = ORDER.rowsBetween(Window.unboundedPreceding, -1)
+    before = order().rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn(out, F.when(F.count(c).over(before) >= least, F.percentile(c, F.lit(q)).over(before)))
 
 
@@ -172,7 +174,7 @@ def pullback_depth(df: DataFrame, n: int = 240) -> DataFrame:
 
 def bars_since_extreme(df: DataFrame, n: int = 50) -> DataFrame:
     """Bars since the latest highest high and lowest low of n bars, as a share of n."""
-    df = df.withColumn("_i", F.row_number().over(ORDER))
+    df = df.withColumn("_i", F.row_number().over(order()))
     top, low = F.max_by("_i", F.struct("high", "_i")).over(over(n)), F.min_by("_i", F.struct("low", -F.col("_i"))).over(over(n))
     return df.withColumn("since_high", (F.col("_i") - top) / n).withColumn("since_low", (F.col("_i") - low) / n).drop("_i")
 
@@ -193,7 +195,7 @@ def vwap_position(df: DataFrame, n: int = 48) -> DataFrame:
 
 def crossed(now: Column, name: str = "cross") -> Column:
     """True where `now` holds and did not on the bar before."""
-    return now & ~F.coalesce(F.lag(now).over(ORDER), F.lit(False))
+    return now & ~F.coalesce(F.lag(now).over(order()), F.lit(False))
 
 
 def volatility(df: DataFrame, short: int = 10, long: int = 50) -> DataFrame:
@@ -230,8 +232,8 @@ def hurst(df: DataFrame, c: str = "close", taus: tuple[int, ...] = (1, 2, 4, 8),
 def hysteresis(df: DataFrame, c: str, on: float, off: float, out: str = "state") -> DataFrame:
     """1 from where c reaches `on` until it falls below `off`, with the number and length of each such run."""
     event = F.when(F.col(c) >= on, 1).when(F.col(c) < off, 0)
-    df = df.withColumn("_e", event).withColumn(out, F.coalesce(F.last("_e", ignorenulls=True).over(ORDER.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    df = df.withColumn("_c", F.when(F.col(out) != F.coalesce(lag(out), F.lit(-1)), 1).otherwise(0)).withColumn("segment", F.sum("_c").over(ORDER.rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.withColumn("_e", event).withColumn(out, F.coalesce(F.last("_e", ignorenulls=True).over(order().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    df = df.withColumn("_c", F.when(F.col(out) != F.coalesce(lag(out), F.lit(-1)), 1).otherwise(0)).withColumn("segment", F.sum("_c").over(order().rowsBetween(Window.unboundedPreceding, 0)))
     return df.withColumn("segment_length", F.count("*").over(Window.partitionBy("symbol", "segment"))).drop("_e", "_c")
 
 
@@ -243,7 +245,7 @@ def drift_series(df: DataFrame, flag: Column, n: int = 60, least: int = 30, out:
 
 def drawdown(df: DataFrame, c: str = "close", out: str = "drawdown") -> DataFrame:
     """Share lost since the highest value so far."""
-    peak = F.max(c).over(ORDER.rowsBetween(Window.unboundedPreceding, 0))
+    peak = F.max(c).over(order().rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn(out, (F.col(c) - peak) / peak)
 
 
@@ -260,9 +262,9 @@ def cross_sectional_rank(df: DataFrame, c: str, out: str = "cs_rank") -> DataFra
 
 def swing_levels(df: DataFrame, k: int = 3) -> DataFrame:
     """Last confirmed swing high and low (extremes of k bars on both sides, known k bars later), distance in ATR, strength as touches within half an ATR over 50 bars."""
-    df = atr(df, 14, "_atr").withColumn("_mh", F.max("high").over(ORDER.rowsBetween(-k, k))).withColumn("_ml", F.min("low").over(ORDER.rowsBetween(-k, k)))
+    df = atr(df, 14, "_atr").withColumn("_mh", F.max("high").over(order().rowsBetween(-k, k))).withColumn("_ml", F.min("low").over(order().rowsBetween(-k, k)))
     df = df.withColumn("_sh", F.when(F.col("high") == F.col("_mh"), F.col("high"))).withColumn("_sl", F.when(F.col("low") == F.col("_ml"), F.col("low")))
-    so_far = ORDER.rowsBetween(Window.unboundedPreceding, -k)
+    so_far = order().rowsBetween(Window.unboundedPreceding, -k)
     df = df.withColumn("swing_high", F.last("_sh", ignorenulls=True).over(so_far)).withColumn("swing_low", F.last("_sl", ignorenulls=True).over(so_far))
     df = df.withColumn("dist_to_swing_high_atr", (F.col("swing_high") - F.col("close")) / F.nullif("_atr", F.lit(0.0)))
     touches = F.aggregate(F.collect_list("high").over(over(50)), F.lit(0), lambda t, x: t + F.when(F.abs(x - F.col("swing_high")) <= 0.5 * F.col("_atr"), 1).otherwise(0))
@@ -272,7 +274,7 @@ def swing_levels(df: DataFrame, k: int = 3) -> DataFrame:
 def compression_duration(df: DataFrame, n: int = 60, below: float = 0.2) -> DataFrame:
     """Bars in a row in which the rolling rank of the band width stays below a limit."""
     df = rolling_rank(bollinger(df), "bb_width", n, "_rank").withColumn("_c", F.when(F.col("_rank") < below, 1).otherwise(0))
-    df = df.withColumn("_g", F.sum(1 - F.col("_c")).over(ORDER.rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.withColumn("_g", F.sum(1 - F.col("_c")).over(order().rowsBetween(Window.unboundedPreceding, 0)))
     return df.withColumn("compression_duration", F.sum("_c").over(Window.partitionBy("symbol", "_g").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))).drop("_rank", "_c", "_g", "bb_mid", "bb_lower", "bb_upper", "bb_width")
 
 
@@ -294,7 +296,7 @@ def spectrum(df: DataFrame, n: int = 64) -> DataFrame:
 def haar_energy(df: DataFrame, n: int = 100, level: int = 4, every: int = 5) -> DataFrame:
     """Energy shares of low, middle and high bands of a Haar packet of the last n closes' moves, on every fifth bar, then held."""
     use = n // (1 << level) * (1 << level)
-    df = df.withColumn("_i", F.row_number().over(ORDER)).withColumn("_d", F.coalesce(F.col("close") - lag("close"), F.lit(0.0))).withColumn("_x", F.collect_list("_d").over(over(use)))
+    df = df.withColumn("_i", F.row_number().over(order())).withColumn("_d", F.coalesce(F.col("close") - lag("close"), F.lit(0.0))).withColumn("_x", F.collect_list("_d").over(over(use)))
     bands = [F.when((F.size("_x") == use) & (F.col("_i") % every == 0), F.col("_x"))]
     root = 1 / math.sqrt(2)
     pairs = lambda x, sign: F.transform(F.sequence(F.lit(1), (F.size(x) / 2).cast("int")), lambda k: (F.element_at(x, (2 * k - 1).cast("int")) + sign * F.element_at(x, (2 * k).cast("int"))) * root)
@@ -311,7 +313,7 @@ def haar_energy(df: DataFrame, n: int = 100, level: int = 4, every: int = 5) ->
     part = lambda a, z: F.aggregate(F.slice("_e", a + 1, z - a), F.lit(0.0), lambda t, v: t + v)
     count = 1 << level
     total = F.nullif(part(0, count), F.lit(0.0))
-    last = ORDER.rowsBetween(Window.unboundedPreceding, 0)
+    last = order().rowsBetween(Window.unboundedPreceding, 0)
     for name, a, z in (("low", 0, count // 4), ("mid", count // 4, count // 2), ("high", count // 2, count)):
         df = df.withColumn(f"wpt_{name}", F.last(part(a, z) / total, ignorenulls=True).over(last))
     return df.drop("_i", "_d", "_x", "_e", *names)
