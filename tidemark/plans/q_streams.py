@@ -1 +1,90 @@
-"""Queries."""
+"""Streaming jobs (T rows of the inventory), each run to its end over the event files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.plans.catalog import query
+from tidemark.plans.q_features import rounded
+from tidemark.plans.views import BARS, TICKS, ticks
+from tidemark.sources import store as S
+from tidemark.streaming import jobs as T
+
+_CLOSED = "closed AS (SELECT * FROM bars WHERE ts + INTERVAL 2 HOUR <= (SELECT max(ts) FROM ticks) - INTERVAL 2 MINUTE)"
+
+
+def _bars(spark, sf_dir):
+    return T.run_to_table(T.tumbling_bars(T.tick_stream(spark, sf_dir)), "bars")
+
+
+@query("T01_tick_stream", f"WITH {TICKS} SELECT symbol, ts, tick_id, price, qty FROM ticks")
+def tick_stream(spark, sf_dir):
+    return T.run_to_table(T.tick_stream(spark, sf_dir), "ticks")
+
+
+@query("T02_tumbling_bars", f"WITH {BARS}, {_CLOSED} SELECT symbol, ts, open, high, low, close, volume, n FROM closed")
+def tumbling(spark, sf_dir):
+    return _bars(spark, sf_dir)
+
+
+@query("T03_sliding_stats", f"""WITH {TICKS}, s AS (SELECT symbol, price, qty, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') - to_hours(CAST(unnest(range(24)) AS INTEGER)) AS start FROM ticks)
+  SELECT symbol, start, count(*) AS n, sum(qty) AS volume, max(price) AS high FROM s GROUP BY 1, 2 HAVING start + INTERVAL 24 HOUR <= (SELECT max(ts) FROM ticks) - INTERVAL 2 MINUTE""")
+def sliding(spark, sf_dir):
+    return T.run_to_table(T.sliding_stats(T.tick_stream(spark, sf_dir)), "sliding")
+
+
+@query("T04_regime_sessions", f"""WITH {TICKS}, e AS (SELECT *, CASE WHEN price >= 60 THEN 1 WHEN price < 20 THEN 0 END AS ev FROM ticks),
+  s AS (SELECT *, coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, tick_id ROWS UNBOUNDED PRECEDING), 0) AS st FROM e),
+  g AS (SELECT *, sum(CASE WHEN st <> p THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts, tick_id ROWS UNBOUNDED PRECEDING) AS seg FROM (SELECT *, coalesce(lag(st) OVER (PARTITION BY symbol ORDER BY ts, tick_id), 0) AS p FROM s)),
+  a AS (SELECT symbol, seg, any_value(st) AS st, min(ts) AS ts, count(*) AS n FROM g GROUP BY 1, 2), n AS (SELECT *, lead(ts) OVER (PARTITION BY symbol ORDER BY seg) AS ended FROM a)
+  SELECT symbol, epoch_us(ts) AS start_us, epoch_us(ended) AS end_us, CAST(n AS INTEGER) AS n FROM n WHERE st = 1 AND ended IS NOT NULL""")
+def sessions(spark, sf_dir):
+    return T.run_to_table(T.with_state(T.tick_stream(spark, sf_dir), T.Sessions(60.0, 20.0), "symbol string, start_us long, end_us long, n int"), "sessions")
+
+
+@query("T05_incremental_features", f"""WITH RECURSIVE {TICKS}, r AS (SELECT symbol, tick_id, price, row_number() OVER (PARTITION BY symbol ORDER BY ts, tick_id) AS k FROM ticks),
+  e AS (SELECT symbol, k, tick_id, price AS y FROM r WHERE k = 1 UNION ALL SELECT r.symbol, r.k, r.tick_id, 0.1 * r.price + 0.9 * e.y FROM e JOIN r ON r.symbol = e.symbol AND r.k = e.k + 1) SELECT symbol, tick_id, round(y, 6) AS ema FROM e""")
+def incremental(spark, sf_dir):
+    got = T.run_to_table(T.with_state(T.tick_stream(spark, sf_dir), T.RunningAverage(0.1), "symbol string, tick_id long, ema double"), "averages")
+    return got.withColumn("ema", F.round("ema", 6))
+
+
+@query("T06_late_and_gap", f"""WITH {BARS}, {_CLOSED}, d AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 2 HOUR)) AS ts FROM closed GROUP BY 1),
+  j AS (SELECT d.symbol, d.ts, c.close, coalesce(c.volume, 0) AS volume FROM d LEFT JOIN closed c ON d.symbol = c.symbol AND d.ts = c.ts)
+  SELECT symbol, ts, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS close, volume FROM j""")
+def late_and_gap(spark, sf_dir):
+    return T.backfill(_bars(spark, sf_dir))
+
+
+@query("T07_dedup", f"WITH {TICKS} SELECT symbol, count(*) AS n FROM ticks GROUP BY 1")
+def dedup(spark, sf_dir):
+    twice = T.tick_stream(spark, sf_dir).union(T.tick_stream(spark, sf_dir))
+    return T.run_to_table(T.deduplicated(twice), "once").groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+@query("T08_bus_sink", f"WITH {BARS}, {_CLOSED} SELECT symbol, '120T' AS timeframe, arg_max(close, ts) AS close, max(ts) AS ts, epoch(TIMESTAMP '2024-02-01') - epoch(max(ts)) AS age_s FROM closed GROUP BY 1")
+def bus_sink(spark, sf_dir):
+    rows = T.run_batches(T.tumbling_bars(T.tick_stream(spark, sf_dir)).withColumn("timeframe", F.lit("120T")).withColumn("write_ts", F.col("ts")), "bus")
+    return S.bus_latest(S.bus_keep(rows, 100), rows.select("symbol", "timeframe").distinct(), "2024-02-01")
+
+
+@query("T09_stream_static", f"WITH {TICKS}, q AS (SELECT symbol, quantile_cont(price, 0.9) AS edge FROM ticks GROUP BY 1) SELECT t.symbol, tick_id, price > edge AS is_high FROM ticks t JOIN q ON t.symbol = q.symbol")
+def stream_static(spark, sf_dir):
+    edges = ticks(spark, sf_dir).groupBy("symbol").agg(F.percentile("price", F.lit(0.9)).alias("edge"))
+    joined = T.tick_stream(spark, sf_dir).join(F.broadcast(edges), "symbol")
+    return T.run_to_table(joined.select("symbol", "tick_id", (F.col("price") > F.col("edge")).alias("is_high")), "highs")
+
+
+@query("T10_scheduled_monitor", f"WITH {TICKS} SELECT symbol, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n, round(avg(price), 6) AS mean FROM ticks WHERE ts >= (SELECT max(ts) FROM ticks) - INTERVAL 7 DAY GROUP BY 1, 2")
+def monitor(spark, sf_dir):
+    rows = T.run_to_table(T.tick_stream(spark, sf_dir), "monitor")
+    late = S.export_window(rows, 7).groupBy("symbol", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.avg("price").alias("mean"))
+    return rounded(late, "mean", keys=("symbol", "day", "n"))
+
+
+@query("T11_live_staleness", f"WITH {BARS}, {_CLOSED} SELECT symbol, epoch(TIMESTAMP '2024-02-01') - epoch(max(ts)) AS age_s FROM closed GROUP BY 1")
+def live_staleness(spark, sf_dir):
+    last = _bars(spark, sf_dir).groupBy("symbol").agg(F.max("ts").alias("last"))
+    return last.select("symbol", (F.lit("2024-02-01").cast("timestamp").cast("double") - F.col("last").cast("double")).alias("age_s"))
+
+
