@@ -102,7 +102,7 @@ def trend_rank(df: DataFrame, h: int = 50, n: int = 200, least: int = 50) -> Dat
 
 def breakout_label(df: DataFrame, h: int = 10, jump: float = 0.1, cap: float = 3.0) -> DataFrame:
     """Outcome in R, at most `cap`, of bars whose ATR rose by more than `jump` on the bar before."""
-    signal = F.col("atr") / F.lag("atr").over(order()) - 1 > jump
+    signal = F.col("atr") / F.nullif(F.lag("atr").over(order()), F.lit(0.0)) - 1 > jump
     side = F.when(F.col("close") >= F.col("open"), 1).otherwise(-1)
     return df.withColumn("signal", F.coalesce(signal, F.lit(False)).cast("int")).withColumn("breakout_rr", F.when(F.col("signal") == 1, F.least(F.lit(cap), side * signed_rr(h))))
 

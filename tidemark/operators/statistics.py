@@ -19,6 +19,11 @@ def lift(good: Column, bad: Column) -> Column:
     return F.when(bad > 0, good / F.nullif(bad, F.lit(0.0)) - 1).when(good > 0, float("inf")).otherwise(0.0)
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation of two columns without nulls; null where either does not vary."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def average_rank(value: str, *by: str) -> Column:
     """Rank with ties sharing the mean of their places."""
     ties = Window.partitionBy(*by, value)
@@ -29,7 +34,7 @@ def rank_ic(df: DataFrame, feature: str, target: str, *by: str) -> DataFrame:
     """Spearman correlation of feature and target and the number of pairs, per group `by` (one of them at least, to spread)."""
     rows = df.where(F.col(feature).isNotNull() & F.col(target).isNotNull())
     ranked = rows.withColumn("_f", average_rank(feature, *by)).withColumn("_t", average_rank(target, *by))
-    return ranked.groupBy(*by).agg(F.corr("_f", "_t").alias("ic"), F.count("*").alias("n"))
+    return ranked.groupBy(*by).agg(correlation("_f", "_t").alias("ic"), F.count("*").alias("n"))
 
 
 def ic_decay(df: DataFrame, features: list[str], horizons: list[int], target: str) -> DataFrame:
@@ -132,5 +137,5 @@ def ks_distance(df: DataFrame, feature: str, label: str) -> DataFrame:
 
 def eval_metrics(df: DataFrame, pred: str, target: str) -> DataFrame:
     """Accuracy of the signs, correlation, mean absolute error and rank IC per symbol."""
-    plain = df.groupBy("symbol").agg(F.avg((F.signum(pred) == F.signum(target)).cast("double")).alias("accuracy"), F.corr(pred, target).alias("pearson"), F.avg(F.abs(F.col(pred) - F.col(target))).alias("mae"))
+    plain = df.groupBy("symbol").agg(F.avg((F.signum(pred) == F.signum(target)).cast("double")).alias("accuracy"), correlation(pred, target).alias("pearson"), F.avg(F.abs(F.col(pred) - F.col(target))).alias("mae"))
     return plain.join(rank_ic(df, pred, target, "symbol").drop("n"), "symbol")

@@ -202,7 +202,10 @@ def volatility(df: DataFrame, short: int = 10, long: int = 50) -> DataFrame:
     """Short over long realised volatility, persistence of absolute returns, leverage asymmetry."""
     df = df.withColumn("_r", F.log(F.col("close") / lag("close"))).withColumn("_a", F.abs("_r")).withColumn("_b", lag("_a")).withColumn("_p", lag("_r"))
     df = df.withColumn("volatility_regime", F.stddev_pop("_r").over(over(short)) / F.nullif(F.stddev_pop("_r").over(over(long)), F.lit(0.0)))
-    return df.withColumn("vol_persistence", F.corr("_a", "_b").over(over(long))).withColumn("vol_leverage_asymmetry", F.corr("_p", "_a").over(over(long))).drop("_r", "_a", "_b", "_p")
+    whole = F.col("_b").isNotNull()
+    df = df.withColumn("_x", F.when(whole, F.col("_a")))
+    together = lambda a, b: F.covar_pop(a, b).over(over(long)) / F.nullif(F.stddev_pop(a).over(over(long)) * F.stddev_pop(b).over(over(long)), F.lit(0.0))
+    return df.withColumn("vol_persistence", together("_x", "_b")).withColumn("vol_leverage_asymmetry", together("_p", "_x")).drop("_r", "_a", "_b", "_p", "_x")
 
 
 def tail_risk(df: DataFrame, n: int = 100, k: int = 10) -> DataFrame:

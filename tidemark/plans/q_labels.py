@@ -65,7 +65,7 @@ _SIGN = " + ".join(f"sign({'lead(close, %d) OVER w' % (i + 1)} - {'close' if i =
 label("L10_compression_label", lambda b: b.withColumn("label", L.compression_label("box_pos", 3, 0.2)), {"label": f"CASE WHEN coalesce(lag(box_pos) OVER w < 0.2, false) AND abs({_SIGN}) = 3 THEN sign({_SIGN}) ELSE 0 END"})
 _TREND = [f"t AS (SELECT *, lead(close, 50) OVER w / close - 1 AS fw FROM f WINDOW w AS (PARTITION BY symbol ORDER BY ts))", "l AS (SELECT *, list_filter(list(fw) OVER (PARTITION BY symbol ORDER BY ts ROWS 199 PRECEDING), lambda x: x IS NOT NULL) AS l FROM t)"]  # noqa: F541
 label("L11_trend_rank_label", L.trend_rank, {"trend_rank": "CASE WHEN fw IS NOT NULL AND len(l) >= 50 THEN len(list_filter(l, lambda x: x <= fw)) / len(l) END"}, _TREND, "l")
-_SIGNAL = "coalesce(atr / lag(atr) OVER w - 1 > 0.1, false)"
+_SIGNAL = "coalesce(atr / nullif(lag(atr) OVER w, 0) - 1 > 0.1, false)"
 label("L12_breakout_label", L.breakout_label, {"signal": f"CASE WHEN {_SIGNAL} THEN 1 ELSE 0 END", "breakout_rr": f"CASE WHEN {_SIGNAL} AND lead(close, 10) OVER w IS NOT NULL THEN least(3, CASE WHEN close >= open THEN 1 ELSE -1 END * {_RR(10)}) WHEN {_SIGNAL} THEN 3 END"})
 label("L13_dual_win", lambda b: b.withColumn("long_win", L.dual_win(3, 0.5)[0]).withColumn("short_win", L.dual_win(3, 0.5)[1]), {"long_win": f"CASE WHEN {_RR(3)} > 0.5 THEN 1 WHEN {_RR(3)} IS NOT NULL THEN 0 END", "short_win": f"CASE WHEN {_RR(3)} < -0.5 THEN 1 WHEN {_RR(3)} IS NOT NULL THEN 0 END"})
 

@@ -34,7 +34,7 @@ def lift(spark, sf_dir):
 _AVG = "rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2.0"
 
 
-@query("A05_rank_ic", f"WITH {LABELED}, r AS (SELECT lang, {_AVG.format(by='lang', x='feature')} AS a, {_AVG.format(by='lang', x='label')} AS b FROM labeled) SELECT lang, {_r('corr(a, b)', 'ic')}, count(*) AS n FROM r GROUP BY lang")
+@query("A05_rank_ic", f"WITH {LABELED}, r AS (SELECT lang, {_AVG.format(by='lang', x='feature')} AS a, {_AVG.format(by='lang', x='label')} AS b FROM labeled) SELECT lang, {_r('(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0))', 'ic')}, count(*) AS n FROM r GROUP BY lang")
 def rank_ic(spark, sf_dir):
     return S.rank_ic(labeled(spark, sf_dir), "feature", "label", "lang").withColumn("ic", F.round("ic", 6))
 
@@ -43,7 +43,7 @@ _FEATS, _HORIZONS = ["position", "roc", "box_pos"], [1, 3, 6]
 _DECAY = f"""{ROWS}, a AS (SELECT position, roc, box_pos, {', '.join(f'lead(ret, {h}) OVER w AS t{h}' for h in _HORIZONS)} FROM (SELECT *, close / lag(close) OVER w AS ret FROM f WINDOW w AS (PARTITION BY symbol ORDER BY ts)) WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
   l AS ({' UNION ALL '.join(f"SELECT '{x}' AS feature, {h} AS horizon, {x} AS v, t{h} AS t FROM a" for x in _FEATS for h in _HORIZONS)}),
   k AS (SELECT feature, horizon, {_AVG.format(by='feature, horizon', x='v')} AS a, {_AVG.format(by='feature, horizon', x='t')} AS b FROM l WHERE v IS NOT NULL AND t IS NOT NULL),
-  ic AS (SELECT feature, horizon, corr(a, b) AS ic, count(*) AS n FROM k GROUP BY 1, 2)"""
+  ic AS (SELECT feature, horizon, (covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0)) AS ic, count(*) AS n FROM k GROUP BY 1, 2)"""
 
 
 def _decay(spark, sf_dir):
@@ -132,7 +132,7 @@ def psi(spark, sf_dir):
     return S.psi(df.where("doc_id % 2 = 0"), df.where("doc_id % 2 = 1"), "feature").withColumn("psi", F.round("psi", 6))
 
 
-_IC2 = f"r AS (SELECT lang, doc_id % 2 AS odd, {_AVG.format(by='lang, doc_id % 2', x='feature')} AS a, {_AVG.format(by='lang, doc_id % 2', x='label')} AS b FROM labeled), i AS (SELECT lang, odd, corr(a, b) AS ic FROM r GROUP BY 1, 2)"
+_IC2 = f"r AS (SELECT lang, doc_id % 2 AS odd, {_AVG.format(by='lang, doc_id % 2', x='feature')} AS a, {_AVG.format(by='lang, doc_id % 2', x='label')} AS b FROM labeled), i AS (SELECT lang, odd, (covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0)) AS ic FROM r GROUP BY 1, 2)"
 
 
 @query("A16_ic_drift", f"WITH {LABELED}, {_IC2} SELECT c.lang, {_r('c.ic', 'ic')}, {_r('b.ic', 'baseline')}, coalesce(sign(c.ic) <> sign(b.ic) OR abs(c.ic) < 0.5 * abs(b.ic), false) AS drifted FROM i c LEFT JOIN i b ON c.lang = b.lang AND b.odd = 1 WHERE c.odd = 0")
@@ -164,7 +164,7 @@ def regime_shares(spark, sf_dir):
 
 @query("A36_eval_metrics", f"""WITH RECURSIVE {ROWS}, ev AS (SELECT symbol, roc AS p, lead(roc, 5) OVER w AS t FROM f WINDOW w AS (PARTITION BY symbol ORDER BY ts)), k AS (SELECT * FROM ev WHERE p IS NOT NULL AND t IS NOT NULL),
   r AS (SELECT *, {_AVG.format(by='symbol', x='p')} AS a, {_AVG.format(by='symbol', x='t')} AS b FROM k)
-  SELECT symbol, {_r('avg(CASE WHEN sign(p) = sign(t) THEN 1.0 ELSE 0.0 END)', 'accuracy')}, {_r('corr(p, t)', 'pearson')}, {_r('avg(abs(p - t))', 'mae')}, {_r('corr(a, b)', 'ic')} FROM r GROUP BY symbol""")
+  SELECT symbol, {_r('avg(CASE WHEN sign(p) = sign(t) THEN 1.0 ELSE 0.0 END)', 'accuracy')}, {_r('(covar_pop(p, t) / nullif(stddev_pop(p) * stddev_pop(t), 0))', 'pearson')}, {_r('avg(abs(p - t))', 'mae')}, {_r('(covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0))', 'ic')} FROM r GROUP BY symbol""")
 def eval_metrics(spark, sf_dir):
     e = rows(spark, sf_dir).withColumn("ahead", F.lead("roc", 5).over(W.order())).where("roc is not null and ahead is not null")
     return rounded(S.eval_metrics(e, "roc", "ahead"), "accuracy", "pearson", "mae", "ic", keys=("symbol",))
