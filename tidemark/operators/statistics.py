@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 
 def two_prop_z(p1: Column, n1: Column, p2: Column, n2: Column, least: int = 5) -> Column:
     """Absolute z of two proportions with pooled variance; 0 for few rows or no variance."""
@@ -24,16 +26,30 @@ def correlation(a: str, b: str) -> Column:
     return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
 
 
-def average_rank(value: str, *by: str) -> Column:
-    """Rank with ties sharing the mean of their places."""
-    ties = Window.partitionBy(*by, value)
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(ties) - 1) / 2
+def bucketed(df: DataFrame, value: str, by: list[str], out: str, buckets: int = 64) -> DataFrame:
+    """df with the number of a value's bucket in its group; buckets follow the order of values and hold about as many rows.
+
+    Ranks and running sums then need no window over a whole group: one within each bucket, and a prefix over the few
+    buckets of a group. Equal values share a bucket.
+    """
+    edges = df.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), 10_000)).alias("_edges"))
+    joined = df.join(edges, by) if by else df.join(F.broadcast(edges))
+    return joined.withColumn(out, F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+
+
+def with_average_rank(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
+    """Rank of a value in its group, ties sharing the mean of their places."""
+    rows = bucketed(df, value, by, "_b")
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*by, "_b").agg(F.count("*").alias("_n")).withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    rank = F.rank().over(Window.partitionBy(*by, "_b").orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, "_b", value)) - 1) / 2
+    return rows.withColumn("_r", rank).join(offsets, [*by, "_b"]).withColumn(out, F.col("_r") + F.col("_o")).drop("_r", "_o", "_b")
 
 
 def rank_ic(df: DataFrame, feature: str, target: str, *by: str) -> DataFrame:
-    """Spearman correlation of feature and target and the number of pairs, per group `by` (one of them at least, to spread)."""
-    rows = df.where(F.col(feature).isNotNull() & F.col(target).isNotNull())
-    ranked = rows.withColumn("_f", average_rank(feature, *by)).withColumn("_t", average_rank(target, *by))
+    """Spearman correlation of feature and target and the number of pairs, per group `by`."""
+    rows = cut(df.where(F.col(feature).isNotNull() & F.col(target).isNotNull()).select(*by, feature, target))
+    ranked = with_average_rank(cut(with_average_rank(rows, feature, list(by), "_f")), target, list(by), "_t")
     return ranked.groupBy(*by).agg(correlation("_f", "_t").alias("ic"), F.count("*").alias("n"))
 
 
@@ -128,11 +144,15 @@ def shares(df: DataFrame, column: str) -> DataFrame:
 
 def ks_distance(df: DataFrame, feature: str, label: str) -> DataFrame:
     """Largest distance of the distribution functions of rows with label 1 and 0."""
-    counts = df.groupBy(feature).agg(F.sum(F.col(label)).alias("_g"), F.sum(1 - F.col(label)).alias("_b"))
-    total = counts.agg(F.sum("_g").alias("_tg"), F.sum("_b").alias("_tb"))
-    w = Window.orderBy(feature).rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.withColumn("_cg", F.sum("_g").over(w)).withColumn("_cb", F.sum("_b").over(w)).join(F.broadcast(total))
-    return run.agg(F.max(F.abs(F.col("_cg") / F.col("_tg") - F.col("_cb") / F.col("_tb"))).alias("ks"))
+    counts = df.where(F.col(feature).isNotNull()).groupBy(feature).agg(F.sum(F.col(label)).alias("_g"), F.sum(1 - F.col(label)).alias("_b"))
+    rows = cut(bucketed(cut(counts), feature, [], "_k"))
+    sums = rows.groupBy("_k").agg(F.sum("_g").alias("_sg"), F.sum("_b").alias("_sb"))
+    before = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_k", F.coalesce(F.sum("_sg").over(before), F.lit(0)).alias("_og"), F.coalesce(F.sum("_sb").over(before), F.lit(0)).alias("_ob"))
+    inside = Window.partitionBy("_k").orderBy(feature).rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.withColumn("_cg", F.sum("_g").over(inside)).withColumn("_cb", F.sum("_b").over(inside)).join(F.broadcast(offsets), "_k")
+    run = run.join(F.broadcast(sums.agg(F.sum("_sg").alias("_tg"), F.sum("_sb").alias("_tb"))))
+    return run.agg(F.max(F.abs((F.col("_cg") + F.col("_og")) / F.col("_tg") - (F.col("_cb") + F.col("_ob")) / F.col("_tb"))).alias("ks"))
 
 
 def eval_metrics(df: DataFrame, pred: str, target: str) -> DataFrame:
