@@ -9,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import cut, sized_broadcast
+
 #: Bytes of text that a Python worker handles at once; a longer text is a batch of its own.
 BATCH_BYTES = 4 << 20
 
@@ -42,6 +44,16 @@ def byte_batches(batches: Iterable[pa.RecordBatch], text: str = "text", most: in
             yield batch.slice(start)
 
 
+#: Most ids that are sent to all workers to pick rows of documents; past it the texts are shuffled.
+MOST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not among ids (column doc_id, null matches null)."""
+    gone = sized_broadcast(cut(ids.select(F.col("doc_id").alias("_gone")).distinct()), MOST_IDS)
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+
+
 def bounded_sample(keys: DataFrame, most: int, *by: str) -> DataFrame:
     """At most `most` rows of a narrow frame, in the order of a hash of the columns `by`: the same rows on every run."""
     order = F.xxhash64(F.lit("sample"), *by)

@@ -6,13 +6,20 @@ last. Two sets of similarity t or more share an n-gram among the first |x| - cei
 prefixes find all candidates. For a candidate pair the order is cut into fragments; the overlap of the two sets is
 counted in each fragment apart and summed per pair, and the pair links if the sum is enough.
 
+Frequent n-grams are told by their counts in the prefixes by hash alone, and, for documents that mostly hold such
+n-grams, by their counts over these documents' whole sets. The order is one and the same for all documents whatever
+the counts, so no link depends on them.
+
 Groups may hold a third of all rows, so pairs within a group are not all made. First every document of a group
-(n-gram and size class) is held against the smallest one only. Links make components. Then, in groups that still
+(n-gram and size class) is held against one only, that in which the n-gram comes earliest in the order. Links make components. Then, in groups that still
 have several components, the documents outside the group's largest component are held against those of other
 components. Any two linked documents share a group, so afterwards they are in one component.
 
-Two lossless filters precede the exact count: sizes, and parity bitmaps (each n-gram flips one of BITS bits, so
-bitmaps differ in no more bits than the sets differ in n-grams).
+Three lossless filters precede the exact count: sizes; places (the n-gram that is a pair's first common one leaves
+room for an overlap of no more than what follows it in either set); and parity bitmaps (each n-gram flips one bit, so bitmaps differ
+in no more bits than the sets differ in n-grams; a bitmap has about a bit for each n-gram, a power of two in all, and
+the longer one of a pair is folded). Groups go by as many bits of a hash as keep chance meetings rare; such a meeting
+adds a candidate, which the filters reject.
 
 Defined cases: null text or text without words has the empty set and links with nothing; rows that share a doc_id
 are one node; a null doc_id has a null component; every row gives a row; extra columns are not read.
@@ -28,14 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_batches, lower_words
+from tidemark.llm.common import MOST_IDS, byte_batches, lower_words, without
 from tidemark.llm.components import components
 from tidemark.session import cut, sized_broadcast
 
+#: Least 64-bit lanes of a parity bitmap.
 LANES = 8
-BITS = 64 * LANES
 FRAGMENTS = 8
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 _memo: dict[bytes, int] = {}
 
 
@@ -85,10 +92,20 @@ def _marks(s: np.ndarray) -> tuple[int, int]:
 
 
 def _parity(s: np.ndarray) -> np.ndarray:
-    bits = np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1
+    lanes = LANES
+    while 64 * lanes < len(s):
+        lanes *= 2
+    bits = np.bincount((s & np.uint64(64 * lanes - 1)).astype(np.int64), minlength=64 * lanes).astype(np.uint8) & 1
     return np.packbits(bits).view(np.int64)
 
 
+def _apart(a: str, b: str):
+    """Column: the bits in which two bitmaps differ, the longer one folded once (sizes that pass differ less than that)."""
+    short = F.least(F.size(a), F.size(b))
+    same = lambda c: F.when(F.size(c) == short, F.col(c)).otherwise(F.zip_with(F.slice(c, 1, short), F.slice(c, short + 1, short), lambda x, y: x.bitwiseXOR(y)))
+    return F.aggregate(F.zip_with(same(a), same(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+
+
 def _describe(n: int, percent: int):
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_batches(batches):
@@ -97,7 +114,7 @@ def _describe(n: int, percent: int):
                 s = ngram_set(text, n)
                 a, b = _marks(s) if len(s) else (0, 0)
                 size.append(len(s)), one.append(a), two.append(b), parity.append(_parity(s))
-                first.append(_signed(s[: 2 * prefix_size(len(s), percent) + 8]) if len(s) else np.zeros(0, np.int64))
+                first.append(_signed(s[: prefix_size(len(s), percent) * 5 // 4 + 4]) if len(s) else np.zeros(0, np.int64))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(parity, longs), pa.array(first, longs)],
@@ -150,9 +167,9 @@ def _fragments(n: int):
             for i, mark, text in zip(ids, marks, batch.column("text").to_pylist()):
                 s = ngram_set(text, n)
                 if len(s) and _marks(s)[0] == mark:
-                    rows += [(i, k, _signed(part)) for k, part in enumerate(np.split(s, np.searchsorted(s, edges))) if len(part)]
-            at, k, grams = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(k, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], names=["id", "fragment", "grams"])
+                    rows += [(i, mark, k, _signed(part)) for k, part in enumerate(np.split(s, np.searchsorted(s, edges))) if len(part)]
+            at, mark, k, grams = zip(*rows) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(mark, pa.int64()), pa.array(k, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], names=["id", "one", "fragment", "grams"])
 
     return fragments
 
@@ -160,26 +177,31 @@ def _fragments(n: int):
 class _Join:
     """What the two rounds of candidates share."""
 
-    def __init__(self, texts: DataFrame, sets: DataFrame, n: int, percent: int):
-        self.texts, self.sets, self.n, self.percent = texts, sets, n, percent
+    def __init__(self, texts: DataFrame, sets: DataFrame, n: int, percent: int, repeats: bool):
+        self.texts, self.sets, self.n, self.percent, self.repeats = texts, sets, n, percent, repeats
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs a, b (distinct) that link."""
         info = self.sets.select("id", "n", "one", "parity")
         t = self.percent
-        left, right = (info.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}")) for c in "ab")
-        apart = sum((F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(LANES)), F.lit(0))
-        fit = (100 * F.least("na", "nb") >= t * F.greatest("na", "nb")) & (apart * (100 + t) <= (F.col("na") + F.col("nb")) * (100 - t))
-        near = cut(pairs.join(left, "a").join(right, "b").where(fit).select("a", "b", "na", "nb"))
-        need = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
-        need = need.join(info.select(F.col("id").alias("doc_id"), "one"), "doc_id")
+        left, right = (info.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}"), F.col("one").alias(f"k{c}")) for c in "ab")
+        like = 100 * F.least("na", "nb") >= t * F.greatest("na", "nb")
+        close = _apart("pa", "pb") * (100 + t) <= (F.col("na") + F.col("nb")) * (100 - t)
+        near = cut(pairs.join(left, "a").join(right, "b").where(like).where(close).select("a", "b", "na", "nb", "ka", "kb"))
+        need = cut(near.select(F.col("a").alias("doc_id"), F.col("ka").alias("one")).unionByName(near.select(F.col("b").alias("doc_id"), F.col("kb").alias("one"))).distinct())
         chosen = self.texts.join(sized_broadcast(need), "doc_id").select("doc_id", "one", "text")
-        parts = chosen.mapInArrow(_fragments(self.n), "id long, fragment int, grams array<long>").dropDuplicates(["id", "fragment"])
-        ofb = near.join(parts.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("gb")), "b")
-        both = ofb.join(parts.select(F.col("id").alias("a"), "fragment", F.col("grams").alias("ga")), ["a", "fragment"])
-        partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("shared"))
-        total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
-        return cut(total.where(100 * F.col("shared") >= t * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b"))
+        parts = chosen.mapInArrow(_fragments(self.n), "id long, one long, fragment int, grams array<long>")
+        parts = cut(parts.dropDuplicates(["id", "one", "fragment"]) if self.repeats else parts)
+        ofb = near.join(parts.select(F.col("id").alias("b"), F.col("one").alias("kb"), "fragment", F.col("grams").alias("gb")), ["b", "kb"])
+        both = ofb.join(parts.select(F.col("id").alias("a"), F.col("one").alias("ka"), "fragment", F.col("grams").alias("ga")), ["a", "ka", "fragment"])
+        partial = both.select("a", "b", "ka", "kb", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("shared"))
+        total = partial.groupBy("a", "b", "ka", "kb", "na", "nb").agg(F.sum("shared").alias("shared"))
+        return cut(total.where(100 * F.col("shared") >= t * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b").distinct())
+
+
+def _often(grams: DataFrame, most: int) -> set[int]:
+    """n-grams (column h) of more than `most` rows; the caller keeps their number bounded by its choice of `most`."""
+    return {r.h for r in grams.groupBy("h").count().where(F.col("count") > most).select("h").collect()}
 
 
 def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int = 64) -> DataFrame:
@@ -194,38 +216,50 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, frequent: i
     classes = cut(filled.groupBy("n", "one", "two").agg(F.min("doc_id").alias("id")))
     members = cut(filled.select("doc_id", "n", "one", "two").join(classes, ["n", "one", "two"]).select("doc_id", "id").distinct())
     same = members.alias("x").join(members.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z"), "doc_id").select("a", F.col("id").alias("b")).where("a <> b")
-    sets = filled.join(classes.withColumnRenamed("id", "doc_id"), ["doc_id", "n", "one", "two"], "left_semi").dropDuplicates(["doc_id", "one"]).withColumnRenamed("doc_id", "id")
-    sets = cut(sets.select("id", "n", "one", "parity", "first"))
-    join = _Join(texts, sets, n, percent)
-
-    early = sets.select(F.explode("first").alias("h"))
-    most = max(frequent, early.count() >> 20)
-    heavy = docs.sparkSession.sparkContext.broadcast({r.h for r in early.groupBy("h").count().where(F.col("count") > most).collect()})
+    repeats = bool(base.groupBy("doc_id").count().where("count > 1").limit(1).count())
+    copies = filled.select("doc_id", "n", "one", "two").join(classes.withColumnRenamed("id", "doc_id"), ["doc_id", "n", "one", "two"], "left_anti").select("doc_id", "one").distinct()
+    sets = filled.join(sized_broadcast(copies), ["doc_id", "one"], "left_anti").select(F.col("doc_id").alias("id"), "n", "one", "parity", "first")
+    sets = cut(sets.dropDuplicates(["id", "one"])) if repeats else sets
+    join = _Join(texts, sets, n, percent, repeats)
+
+    context = docs.sparkSession.sparkContext
+    grams = sets.agg(F.sum(F.size("first"))).first()[0] or 0
+    bits = min(64, max(32, grams.bit_length() + 16))
+    heavy = context.broadcast(_often(sets.select(F.explode("first").alias("h")), max(frequent, grams >> 20)))
     shape = "id long, n long, one long, prefix array<long>"
-    prefixed = sets.select("id", "n", "one", "first").mapInArrow(_prefixes(percent, heavy), shape)
+    first = sets.select("id", "n", "one", "first")
+    prefixed = first.mapInArrow(_prefixes(percent, heavy), shape)
     if heavy.value:
-        prefixed = cut(prefixed)
-        more = prefixed.where(F.col("prefix").isNull()).select(F.col("id").alias("doc_id"), "one")
-        found = texts.join(sized_broadcast(more), "doc_id").select("doc_id", "text").mapInArrow(_ordered(n, percent, heavy), shape)
+        dense = cut(prefixed.where(F.col("prefix").isNull()).select(F.col("id").alias("doc_id"), "one"))
+        whole = texts.join(sized_broadcast(dense, MOST_IDS), "doc_id").select("doc_id", "one", "text").mapInArrow(_fragments(n), "id long, one long, fragment int, grams array<long>")
+        inside = cut(whole.select(F.explode("grams").alias("h")).groupBy("h").count().where(F.col("count") > frequent))
+        most = max(frequent, (inside.agg(F.sum("count")).first()[0] or 0) >> 20)
+        heavy = context.broadcast(heavy.value | {r.h for r in inside.where(F.col("count") > most).select("h").collect()})
+        prefixed = cut(first.mapInArrow(_prefixes(percent, heavy), shape))
+        more = cut(prefixed.where(F.col("prefix").isNull()).select(F.col("id").alias("doc_id"), "one"))
+        found = texts.join(sized_broadcast(more.select("doc_id").distinct(), MOST_IDS), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_ordered(n, percent, heavy), shape)
         found = found.join(more.withColumnRenamed("doc_id", "id"), ["id", "one"], "left_semi").dropDuplicates(["id", "one"])
         prefixed = prefixed.where(F.col("prefix").isNotNull()).unionByName(found.select("id", "n", "one", "prefix"))
     step = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
-    posted = prefixed.select("id", "n", step.alias("step"), F.explode("prefix").alias("h"))
+    posted = prefixed.select("id", "n", step.alias("step"), F.posexplode("prefix").alias("at", "h")).withColumn("h", F.shiftrightunsigned("h", 64 - bits))
     shared = posted.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     posted = cut(posted.join(shared, "h"))
 
-    first = posted.groupBy("h", "step").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
-    stars = cut(posted.join(first, ["h", "step"]).where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    room = lambda nx, px, ny, py: (100 + percent) * F.least(F.col(nx) - F.col(px), F.col(ny) - F.col(py)) >= percent * (F.col(nx) + F.col(ny))
+    lead = posted.groupBy("h", "step").agg(F.min(F.struct("at", "id", "n")).alias("l"), F.count("*").alias("c")).where("c > 1")
+    lead = lead.select("h", "step", F.col("l.id").alias("z"), F.col("l.at").alias("pz"), F.col("l.n").alias("nz"))
+    stars = posted.join(lead, ["h", "step"]).where((F.col("id") != F.col("z")) & room("n", "at", "nz", "pz"))
+    stars = cut(stars.select(F.least("id", "z").alias("a"), F.greatest("id", "z").alias("b")).distinct())
     links = join.verified(stars).unionByName(same)
     known = components(links)
 
-    placed = cut(posted.join(known, "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("of")))
+    placed = cut(posted.join(known, "id", "left").select("h", "id", "n", "at", F.coalesce("component", "id").alias("of")))
     sizes = placed.groupBy("h", "of").agg(F.count("*").alias("c"))
     main = sizes.groupBy("h").agg(F.max_by("of", F.struct("c", "of")).alias("main"), F.count("*").alias("k")).where("k > 1").select("h", "main")
     open_ = cut(placed.join(main, "h"))
-    outer = open_.where("of <> main").select("h", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("of").alias("ox"))
-    inner = open_.select("h", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("of").alias("oy"), "main")
-    ahead = (F.col("ox") != F.col("oy")) & ((F.col("oy") == F.col("main")) | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    outer = open_.where("of <> main").select("h", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("px"), F.col("of").alias("ox"))
+    inner = open_.select("h", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("py"), F.col("of").alias("oy"), "main")
+    ahead = (F.col("ox") != F.col("oy")) & ((F.col("oy") == F.col("main")) | (F.col("x") < F.col("y"))) & room("nx", "px", "ny", "py")
     rest = outer.join(inner, "h").where(ahead).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     rest = cut(rest.join(stars, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
@@ -237,6 +271,9 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, frequent: i
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """Of each component the rows with its smallest doc_id stay, one row of each doc_id; a null doc_id stays."""
-    stay = ngram_components(docs, **how).where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"] == stay["_stay"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = without(docs, ngram_components(docs, **how).where("doc_id <> component_id"))
+    repeated = cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not repeated.limit(1).count():
+        return kept
+    ids = sized_broadcast(repeated, MOST_IDS)
+    return without(kept, repeated).unionByName(kept.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
