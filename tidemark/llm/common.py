@@ -15,6 +15,22 @@ from tidemark.session import cut, sized_broadcast
 BATCH_BYTES = 4 << 20
 
 
+_memories: list[dict] = []
+
+
+def memory() -> dict:
+    """A dictionary in which a worker remembers what it has computed for words, until another operator claims the room."""
+    _memories.append({})
+    return _memories[-1]
+
+
+def claim(mine: dict) -> None:
+    """A worker outlives its stage: forgets what other operators have remembered in it."""
+    for other in _memories:
+        if other is not mine:
+            other.clear()
+
+
 def fold(column: str = "doc_id", folds: int = 5):
     """crc32 of the id as text, modulo the number of folds."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(folds))

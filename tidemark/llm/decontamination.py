@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_batches
+from tidemark.llm.common import byte_batches, claim, memory, without
 
 RADIUS = 7
 BLOCKS = 4
@@ -35,8 +35,8 @@ CHUNK = 16_384
 #: Longest window in words.
 LONGEST = 8_192
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-MEMO_WORDS = 500_000
-_memo: dict[bytes, int] = {}
+MEMO_WORDS = 250_000
+_memo: dict[bytes, int] = memory()
 
 
 def plain_words(text: str | None) -> list[bytes]:
@@ -202,6 +202,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, least
         sent = docs.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in rows], words))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            claim(_memo)
             for batch in byte_batches(batches):
                 hits = sent.value.matches(batch.column("text").to_pylist(), least)
                 doc, item, start, n, value = zip(*hits) if hits else ((),) * 5
@@ -220,5 +221,4 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, least
 
 def keep_unseen(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of docs that hold no benchmark item."""
-    bad = decontamination(docs, benchmark, **how).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    return without(docs, decontamination(docs, benchmark, **how))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import MOST_IDS, byte_batches, lower_words, without
+from tidemark.llm.common import MOST_IDS, byte_batches, claim, lower_words, memory, without
 from tidemark.llm.components import components
 from tidemark.session import cut, sized_broadcast
 
@@ -43,7 +43,7 @@ from tidemark.session import cut, sized_broadcast
 LANES = 8
 FRAGMENTS = 8
 MEMO_WORDS = 250_000
-_memo: dict[bytes, int] = {}
+_memo: dict[bytes, int] = memory()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -108,6 +108,7 @@ def _apart(a: str, b: str):
 
 def _describe(n: int, percent: int):
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(_memo)
         for batch in byte_batches(batches):
             size, one, two, parity, first = [], [], [], [], []
             for text in batch.column("text").to_pylist():
@@ -143,6 +144,7 @@ def _ordered(n: int, percent: int, heavy):
     """Prefixes in the global order from whole texts."""
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(_memo)
         late = np.array(sorted(heavy.value), np.int64)
         for batch in byte_batches(batches):
             ids, sizes, marks, out = batch.column("doc_id"), [], [], []
@@ -160,6 +162,7 @@ def _fragments(n: int):
     """The fragments of every set: its n-grams within each range of the order."""
 
     def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(_memo)
         edges = np.array([(1 << 64) // FRAGMENTS * k for k in range(1, FRAGMENTS)], np.uint64)
         for batch in byte_batches(batches):
             ids, marks = batch.column("doc_id").to_pylist(), batch.column("one").to_pylist()

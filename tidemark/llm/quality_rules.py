@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_batches
+from tidemark.llm.common import byte_batches, claim, without
 from tidemark.session import cut, sized_broadcast
 
 STATS = ["f_length", "f_word", "f_symbols", "f_lines", "f_repeats", "f_upper"]
@@ -76,6 +76,7 @@ def text_counts(text: str | None) -> tuple[int, ...]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters"]
+    claim({})
     for batch in byte_batches(batches):
         rows = [text_counts(t) for t in batch.column("text").to_pylist()]
         columns = list(zip(*rows)) if rows else [()] * len(names)
@@ -200,5 +201,4 @@ def quality_rules(docs: DataFrame, inner: float = 0.75, steps: int = 3, beyond:
 
 def keep_clean(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that quality_rules() keeps; a doc_id with several rows goes with all of them if one is rejected."""
-    bad = quality_rules(docs, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    return without(docs, quality_rules(docs, **how).where(~F.col("kept")))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_batches
+from tidemark.llm.common import byte_batches, claim, memory
 
 #: Distinct words whose counts a worker remembers.
 MEMO_WORDS = 400_000
@@ -36,7 +36,7 @@ class WordCounter:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.memo: dict[bytes, int] = {}
+        self.memo: dict[bytes, int] = memory()
 
     def learn(self, fresh: list[bytes]) -> None:
         start = held = 0
@@ -68,6 +68,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, doc_id
         if tokenizer_path not in _counters:
             _counters[tokenizer_path] = WordCounter(tokenizer_path)
         counter = _counters[tokenizer_path]
+        claim(counter.memo)
         for batch in byte_batches(batches):
             texts = [t.encode() if t else b"" for t in batch.column("text").to_pylist()]
             tokens = counter.counts(texts)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, byte_batches, fold
+from tidemark.llm.common import bounded_sample, byte_batches, claim, fold, without
 from tidemark.session import cut
 
 _ENDS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -139,6 +139,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: in
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, fold("doc_id", folds) != held, label, **how))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim({})
         for batch in byte_batches(batches):
             score = sent.value.score([terms(t) for t in batch.column("text").to_pylist()]) if sent.value else np.zeros(len(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
@@ -150,5 +151,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: in
 
 def keep_civil(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of docs that are not predicted toxic; a doc_id with several rows goes with all of them if one is."""
-    bad = toxicity(docs, labels, **how).where("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    return without(docs, toxicity(docs, labels, **how).where("predicted = 1"))
