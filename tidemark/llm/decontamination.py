@@ -83,27 +83,28 @@ class Band:
         self.item = np.array([i for _, i, _ in marks], np.int64)
         self.shift = np.array([s for _, _, s in marks], np.int64)
         flips = np.array([0, *(1 << b for b in range(16))], np.uint64)
-        self.first, self.list = [], []
+        self.first, self.list, self.there = [], [], []
         for block in range(BLOCKS):
             value = ((self.marks >> np.uint64(16 * block)) & np.uint64(0xFFFF))[:, None] ^ flips
             order = np.argsort(value.ravel(), kind="stable")
             self.list.append((np.arange(value.size) // len(flips))[order])
-            self.first.append(np.searchsorted(value.ravel()[order], np.arange((1 << 16) + 1, dtype=np.uint64)))
+            first = np.searchsorted(value.ravel()[order], np.arange((1 << 16) + 1, dtype=np.uint64))
+            self.first.append(first)
+            self.there.append(np.diff(first) > 0)
 
     def search(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Window numbers, fingerprint numbers and distances of all pairs within the radius."""
         out_w, out_m = [], []
+        blocks = windows.astype("<u8").view("<u2").reshape(-1, BLOCKS)
         for block in range(BLOCKS):
-            value = ((windows >> np.uint64(16 * block)) & np.uint64(0xFFFF)).astype(np.int64)
-            first = self.first[block]
-            many = first[value + 1] - first[value]
-            hit = np.flatnonzero(many)
+            hit = np.flatnonzero(self.there[block].take(blocks[:, block]))
             if not len(hit):
                 continue
-            n = many[hit]
+            value, first = blocks[hit, block].astype(np.int64), self.first[block]
+            n = first[value + 1] - first[value]
             at = np.repeat(hit, n)
             inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            mark = self.list[block][np.repeat(first[value[hit]], n) + inside]
+            mark = self.list[block][np.repeat(first[value], n) + inside]
             near = np.bitwise_count(windows[at] ^ self.marks[mark]) <= RADIUS
             out_w.append(at[near]), out_m.append(mark[near])
         if not out_w:
