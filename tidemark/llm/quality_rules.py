@@ -175,7 +175,7 @@ def _statistics(counts: DataFrame, prior: float = 200.0) -> DataFrame:
     )
 
 
-def quality_rules(docs: DataFrame, inner: float = 0.75, steps: int = 3, beyond: float = 1 - 1e-6, least: int = 100) -> DataFrame:
+def quality_rules(docs: DataFrame, inner: float = 0.75, steps: int = 3, beyond: float = 0.999, least: int = 100) -> DataFrame:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
 
     inner: share of rows that an estimate rests on; steps: concentration steps; beyond: the quantile of chi-square
