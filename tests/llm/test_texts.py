@@ -220,3 +220,17 @@ def test_license_scan_and_inheritance(spark):
     } or got - {(8, "MIT", "own", "q/w.py")} == got
     assert license_scan.license_scan(df).count() == len(files)
     assert license_scan.license_scan(df.limit(0)).count() == 0
+
+
+def test_license_notices_inside_other_words(spark):
+    mit = "Released under the MIT License."
+    apache = "# Licensed under the Apache License,\n#   Version 2.0 (the \"License\"); you may not\n# use this file except in compliance\n# with the License."
+    files = [
+        (1, "a/x.py", "word " * 100 + mit + " word" * 100), (2, "b/x.py", "see here now " + mit), (3, "c/x.py", "MIT License, see LICENSE for details"),
+        (4, "d/x.py", "import os\n" + apache + "\nx = 1"), (5, "e/x.py", "SPDX-License-Identifier: ISC"), (6, "f/x.py", "a licensed driver came with all of us"),
+        (7, "g/x.py", " ".join(f"w{i}" for i in range(500)) + " this is free and unencumbered software released into\nthe public domain " + " ".join(f"v{i}" for i in range(500))),
+        *((100 + i, "r/x.py", "see the notes on this, for details of all, with the word in here") for i in range(300)),
+    ]
+    got = {r.file_id: (r.license, r.how) for r in license_scan.license_scan(spark.createDataFrame(files, "file_id long, path string, text string")).collect()}
+    assert [got[i] for i in range(1, 8)] == [("MIT", "own"), ("MIT", "own"), ("MIT", "own"), ("Apache-2.0", "own"), (None, "none"), (None, "none"), ("Unlicense", "own")]
+    assert {got[100 + i] for i in range(300)} == {(None, "none")}

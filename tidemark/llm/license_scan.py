@@ -1,10 +1,12 @@
 """Operator 10: license scans by sparse TF-IDF cosine, with inheritance from the nearest ancestor directory.
 
-Every passage of a file that names a licence cue (a line of up to WIDE words, or the words around a cue in a longer
-one) becomes a sparse vector of term counts times inverse document frequencies; the frequencies of the templates'
-terms are counted over all files. A passage takes the template of the highest cosine if that reaches `least`; a file
-takes the best of its passages, the earliest of equal ones. A licence file is one whose name says so, or one of
-which licence passages are at least `share` of the words. Files without a licence of their own inherit that of the
+Every run of as many words as a template has is compared with it as a sparse vector of term counts times inverse
+document frequencies, which are counted over all words of all files; lines and cue words play no part. Only runs that
+can reach `least` are looked at: a template's rarest terms (its keys) are those without which the rest of its vector is
+shorter than `least`, so a run without a key cannot reach it, nor can one whose terms of the template are too few
+(Cauchy-Schwarz). A run that lacks every term that only its licence's templates have (the name, the version) does not
+count, if the template has such terms. A file takes the template of the highest cosine, the earliest of equal ones. A
+licence file is one whose name says so, or one of which such runs are at least `share` of the words. Files without a licence of their own inherit that of the
 licence file in the nearest directory above them: each path is joined with the licence files of its ancestors'
 paths, and the deepest wins (of several in one directory the one of the highest similarity, then the smallest path).
 
@@ -24,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import byte_batches
-from tidemark.session import cut
+from tidemark.session import cut, sized_broadcast
 
-WIDE = 40
-_CUE = re.compile(r"licen[cs]|copyright|public domain|spdx", re.IGNORECASE)
+#: Terms that a task counts before it hands them on.
+MOST_TERMS = 300_000
 _TERM = re.compile(r"[a-z0-9.+-]*[a-z0-9+]", re.IGNORECASE)
+_PARTS = pa.list_(pa.struct([("k", pa.int32()), ("at", pa.int64()), ("terms", pa.list_(pa.string()))]))
 _NAMED = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)[^/]*$"
 
 #: A usual header or opening of each licence.
@@ -54,61 +57,85 @@ def terms(text: str) -> list[str]:
     return _TERM.findall(text.lower())
 
 
-def passages(text: str | None) -> list[tuple[int, list[str]]]:
-    """Where each passage with a cue begins (in characters), and its terms."""
-    out = []
-    if not text or _CUE.search(text) is None:
-        return out
-    start = 0
-    for line in text.split("\n"):
-        if _CUE.search(line):
-            found = list(_TERM.finditer(line.lower()))
-            if len(found) <= WIDE:
-                out.append((start, [m.group() for m in found]))
-            else:
-                last = -1
-                for cue in _CUE.finditer(line):
-                    i = sum(m.start() < cue.start() for m in found)
-                    if i > last:
-                        part = found[max(0, i - WIDE // 4) : i + WIDE // 4]
-                        out += [(start + part[0].start(), [m.group() for m in part])] if part else []
-                        last = i + WIDE // 4
-        start += len(line) + 1
-    return out
-
-
 class Templates:
-    """Unit vectors of the templates under inverse document frequencies."""
+    """Unit vectors of the templates under inverse document frequencies, their lengths, keys and telling terms."""
 
-    def __init__(self, templates: dict[str, list[str]], files: int, held: dict[str, int]):
+    def __init__(self, templates: dict[str, list[str]], files: int, held: dict[str, int], least: float):
         own = Counter(t for texts in templates.values() for x in texts for t in set(terms(x)))
-        n = files + sum(map(len, templates.values()))
-        self.rarity = {t: math.log((1 + n) / (1 + own[t] + held.get(t, 0))) + 1 for t in own}
-        self.unknown = math.log(1 + n) + 1
-        self.vectors = [(name, self.unit(terms(x))) for name, texts in sorted(templates.items()) for x in texts]
-
-    def unit(self, found: list[str]) -> dict[str, float]:
-        v = {t: k * self.rarity.get(t, self.unknown) for t, k in Counter(found).items()}
-        size = math.sqrt(sum(x * x for x in v.values())) or 1.0
-        return {t: x / size for t, x in v.items()}
-
-    def nearest(self, found: list[str]) -> tuple[str, float]:
-        v = self.unit(found)
-        return max(((name, sum(x * v.get(t, 0.0) for t, x in u.items())) for name, u in self.vectors), key=lambda r: r[1])
-
-
-def term_frequencies(files: DataFrame, vocabulary: set[str]) -> tuple[int, dict[str, int]]:
-    """The number of files, and of those that hold each template term in a passage."""
+        self.n, self.least = files + sum(map(len, templates.values())), least
+        self.rarity = {t: self.weight(own[t] + held.get(t, 0)) for t in own}
+        licences = Counter(t for texts in templates.values() for t in {t for x in texts for t in terms(x)})
+        self.all = [(name, *self.vector(terms(x), licences)) for name, texts in sorted(templates.items()) for x in texts if terms(x)]
+        self.by_key: dict[str, list[int]] = {}
+        for i, (_, unit, _, _) in enumerate(self.all):
+            rest = sum(x * x for x in unit.values())
+            for t in sorted(unit, key=lambda t: (-unit[t], t)):
+                if rest < least * least - 1e-9:
+                    break
+                self.by_key.setdefault(t, []).append(i)
+                rest -= unit[t] ** 2
+
+    def weight(self, held: int) -> float:
+        return math.log((1 + self.n) / (1 + held)) + 1
+
+    def vector(self, found: list[str], licences: dict[str, int]) -> tuple[dict[str, float], int, set[str]]:
+        v = {t: k * self.rarity[t] for t, k in Counter(found).items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}, len(found), {t for t in v if licences[t] == 1}
+
+    def regions(self, found: list[str]) -> list[tuple[int, int, int]]:
+        """(template, first word, end) of the parts of a text in which a run of the template's length can reach `least`."""
+        if not found or self.by_key.keys().isdisjoint(found):
+            return []
+        out: dict[int, list[list[int]]] = {}
+        for at in [i for i, t in enumerate(found) if t in self.by_key]:
+            for k in self.by_key[found[at]]:
+                _, unit, length, telling = self.all[k]
+                a, b = max(0, at - length + 1), min(len(found), at + length)
+                near = set(found[a:b])
+                if sum(unit[t] ** 2 for t in near if t in unit) < self.least**2 - 1e-9 or (telling and telling.isdisjoint(near)):
+                    continue
+                mine = out.setdefault(k, [])
+                if mine and a <= mine[-1][1]:
+                    mine[-1][1] = b
+                else:
+                    mine.append([a, b])
+        return sorted((k, a, b) for k, parts in out.items() for a, b in parts)
+
+    def runs(self, k: int, found: list[str], held: dict[str, int]) -> Iterator[tuple[int, int, float]]:
+        """(first word, end, cosine) of the runs of template k in a region; held: files that hold each word outside the templates."""
+        _, unit, length, telling = self.all[k]
+        weight = [self.rarity[t] if t in self.rarity else self.weight(held.get(t, 0)) for t in found]
+        count: Counter[str] = Counter()
+        for end in range(1, len(found) + 1):
+            count[found[end - 1]] += 1
+            if end > length:
+                count[found[end - 1 - length]] -= 1
+            start = max(0, end - length)
+            if end < min(length, len(found)) or (telling and not any(count[t] for t in telling)):
+                continue
+            dot = sum(x * count[t] * self.rarity[t] for t, x in unit.items())
+            size = math.sqrt(sum(count[t] * w * w for t, w in zip(found[start:end], weight[start:end])))
+            yield start, end, dot / size
+
+
+def term_frequencies(files: DataFrame) -> DataFrame:
+    """term, n: the files that hold each term, over all terms of all files."""
+
+    def rows(held: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["term", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
         for batch in byte_batches(batches):
             for text in batch.column("text").to_pylist():
-                held.update(vocabulary.intersection(t for _, found in passages(text) for t in found))
-        yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["term", "n"])
+                held.update(set(terms(text or "")))
+                if len(held) > MOST_TERMS:
+                    yield rows(held)
+                    held = Counter()
+        yield rows(held)
 
-    rows = files.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    return files.count(), {r.term: r.n for r in rows}
+    return files.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def ancestors(path):
@@ -121,26 +148,45 @@ def license_scan(files: DataFrame, templates: dict[str, list[str]] | None = None
     """file_id, path, license, similarity, how (own, inherited or none), found_in for every row of files (file_id, path, text)."""
     templates = templates or TEMPLATES
     narrow = files.select("file_id", F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
-    vocabulary = {t for texts in templates.values() for x in texts for t in terms(x)}
-    sent = files.sparkSession.sparkContext.broadcast(Templates(templates, *term_frequencies(narrow, vocabulary)))
+    vocabulary = sorted({t for texts in templates.values() for x in texts for t in terms(x)})
+    counts = cut(term_frequencies(narrow))
+    asked = files.sparkSession.createDataFrame([(t,) for t in vocabulary], "term string")
+    known = {r.term: r.n for r in counts.join(F.broadcast(asked), "term").collect()}
+    sent = files.sparkSession.sparkContext.broadcast(Templates(templates, narrow.count(), known, least))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_batches(batches):
-            rows = []
+            parts, sizes = [], []
             for text in batch.column("text").to_pylist():
-                best, held = (None, None), 0
-                for _, found in passages(text):
-                    name, value = sent.value.nearest(found)
-                    if value >= least:
-                        held += len(found)
-                        if best[1] is None or value > best[1] + 1e-12:
-                            best = (name, value)
-                rows.append((*best, held >= share * max(1, len(text.split())) if held else False))
-            name, value, main = zip(*rows)
-            yield pa.RecordBatch.from_arrays([batch.column("file_id"), batch.column("path"), pa.array(name, pa.string()), pa.array(value, pa.float64()), pa.array(main, pa.bool_())], names=["file_id", "path", "license", "similarity", "main"])
+                found = terms(text or "")
+                parts.append([{"k": k, "at": a, "terms": found[a:b]} for k, a, b in sent.value.regions(found)])
+                sizes.append(len(found))
+            yield pa.RecordBatch.from_arrays([batch.column("file_id"), batch.column("path"), pa.array(sizes, pa.int64()), pa.array(parts, _PARTS)], names=["file_id", "path", "size", "parts"])
 
     kind = narrow.schema["file_id"].dataType.simpleString()
-    scanned = cut(narrow.mapInArrow(scan, f"file_id {kind}, path string, license string, similarity double, main boolean").withColumn("_row", F.monotonically_increasing_id()))
+    found = narrow.mapInArrow(find, f"file_id {kind}, path string, size long, parts array<struct<k: int, at: long, terms: array<string>>>")
+    found = cut(found.withColumn("_row", F.monotonically_increasing_id()))
+    others = found.where(F.size("parts") > 0).select("_row", F.explode(F.array_distinct(F.flatten(F.col("parts.terms")))).alias("term")).join(F.broadcast(asked), "term", "left_anti")
+    rare = sized_broadcast(cut(counts.join(others.select("term").distinct(), "term")))
+    held = others.join(rare, "term").groupBy("_row").agg(F.collect_list(F.struct("term", "n")).alias("held"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for size, parts, held in zip(*(batch.column(c).to_pylist() for c in ("size", "parts", "held"))):
+                frequency = {h["term"]: h["n"] for h in held or []}
+                runs = [(p["at"] + a, sent.value.all[p["k"]][0], p["at"] + b, value) for p in parts for a, b, value in sent.value.runs(p["k"], p["terms"], frequency) if value >= least]
+                best, covered = (None, None), set()
+                for a, name, b, value in sorted(runs):
+                    covered.update(range(a, b))
+                    if best[1] is None or value > best[1] + 1e-12:
+                        best = (name, value)
+                rows.append((*best, bool(runs) and len(covered) >= share * size))
+            name, value, main = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(name, pa.string()), pa.array(value, pa.float64()), pa.array(main, pa.bool_())], names=["_row", "license", "similarity", "main"])
+
+    judged = found.where(F.size("parts") > 0).join(held, "_row", "left").select("_row", "size", "parts", "held").mapInArrow(judge, "_row long, license string, similarity double, main boolean")
+    scanned = cut(found.select("file_id", "path", "_row").join(judged, "_row", "left"))
     holders = scanned.where(F.col("license").isNotNull() & F.col("path").isNotNull() & (F.col("main") | F.col("path").rlike(_NAMED)))
     directory = F.regexp_replace("path", "/?[^/]*$", "")
     top = holders.withColumn("dir", directory)
