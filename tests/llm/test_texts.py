@@ -62,6 +62,19 @@ def test_quality_rules_reject_junk_and_keep_clean(docs, labels):
     assert quality_rules.keep_clean(docs).columns == docs.columns
 
 
+def test_quality_rules_find_marks_that_others_lack(spark):
+    rng = np.random.default_rng(3)
+    stock = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(400)]
+    texts = [" ".join(rng.choice(stock, rng.integers(150, 400))) for _ in range(320)]
+    marked = [t[: len(t) // 2] + " " + "# " * (3 * len(t) // 100) + t[len(t) // 2 :] for t in texts[:10]]  # 3 % of the characters, in one place
+    capitals = [t[: len(t) // 5].upper() + t[len(t) // 5 :] for t in texts[10:20]]
+    rows = [(i, t, "en", f"s{i % 2}") for i, t in enumerate([" ".join(t.split()) for t in marked] + capitals + texts[20:])]
+    judged = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(judged[i].base_failed for i in range(320))
+    assert not any(judged[i].kept for i in range(20))
+    assert sum(judged[i].kept for i in range(20, 320)) >= 0.97 * 300
+
+
 def test_chi_square_quantiles():
     assert quality_rules.chi_square_quantile(6, 0.95) == pytest.approx(12.5916, abs=1e-3)
     assert quality_rules.chi_square_quantile(2, 0.5) == pytest.approx(2 * math.log(2), abs=1e-6)

@@ -2,13 +2,15 @@
 
 Every document gets counts from its whole text (base rules) and a vector of transformed statistics. For each
 language and source the minimum-covariance-determinant estimate of centre and scatter is found by concentration
-steps: all vectors get their Mahalanobis distances, the nearest `inner` share of them gives the next estimate.
-A document whose distance lies beyond `beyond` is rejected.
+steps: all vectors get their Mahalanobis distances, the nearest `inner` share of them gives the next estimate, until
+no determinant falls any more. There are two starts, median and MAD of each group, and mean and covariance; each group
+takes the one that ends at the lower determinant. A document whose distance lies beyond `beyond` is rejected.
 
 Defined cases: text null or without words has n_words 0 and fails the base rules; a null lang or source is a group
 of its own; groups of fewer than `least` rows take the estimate of all documents; repeated rows give a row each;
-extra columns are not read; an empty table gives an empty result. The spread of each statistic has a floor
-(FLOORS), so that groups in which most documents agree don't reject small differences.
+extra columns are not read; an empty table gives an empty result. No spread is taken to be under the sampling noise of
+its statistic, as counts of the documents' sizes have it (NOISE, its mean over all documents): where most documents
+have none of something, as repeated lines, one in a short text is no sign.
 """
 
 from __future__ import annotations
@@ -27,12 +29,14 @@ from tidemark.llm.common import byte_batches, claim, without
 from tidemark.session import cut, sized_broadcast
 
 STATS = ["f_length", "f_word", "f_symbols", "f_lines", "f_repeats", "f_upper"]
-#: Least standard deviation of each statistic.
-FLOORS = [1.5, 0.3, 0.06, 0.2, 0.2, 0.12]
+#: Sampling variance of each statistic, by column of a document: Poisson for counts, 1/4n for roots of shares.
+NOISE = ["v_length", "v_word", "v_symbols", "v_lines", "v_repeats", "v_upper"]
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _UPPER = re.compile(rb"[A-Z]")
 _LETTER = re.compile(rb"[A-Za-z]")
 WINDOW = 8
+#: A log determinant that falls by less is at rest.
+STILL = 0.01
 
 
 def repeated_words(ws: list[bytes], size: int = WINDOW) -> int:
@@ -112,12 +116,11 @@ def chi_square_quantile(p: int, q: float) -> float:
     return high
 
 
-def _shape(scale: float):
-    """From sums over the inner rows of a group to its centre and inverse scatter."""
+def _shape(scale: float, floors: list[float]):
+    """From sums over the inner rows of a group to its centre, inverse scatter and log determinant; floors: least variances."""
 
     def shaped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = len(STATS)
-        floors = np.square(FLOORS)
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
@@ -128,23 +131,46 @@ def _shape(scale: float):
                 wide = np.maximum(spread, np.sqrt(floors))
                 rho = np.clip(scatter / np.outer(spread, spread), -0.95, 0.95)
                 np.fill_diagonal(rho, 1.0)
-                inverse = np.linalg.inv(0.9 * rho * np.outer(wide, wide) + 0.1 * np.diag(wide**2))
-                out.append((row.lang, row.source, n, mean.tolist(), inverse.ravel().tolist()))
-            yield pd.DataFrame(out, columns=["lang", "source", "n", "centre", "inverse"])
+                full = 0.9 * rho * np.outer(wide, wide) + 0.1 * np.diag(wide**2)
+                out.append((row.lang, row.source, n, mean.tolist(), np.linalg.inv(full).ravel().tolist(), float(np.linalg.slogdet(full)[1])))
+            yield pd.DataFrame(out, columns=["lang", "source", "n", "centre", "inverse", "det"])
 
     return shaped
 
 
-def _estimate(rows: DataFrame, keys: list[str], scale: float) -> DataFrame:
-    p = range(len(STATS))
-    sums = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.array(*(F.sum(F.col(s)) for s in STATS)).alias("sums"),
-        F.array(*(F.sum(F.col(STATS[i]) * F.col(STATS[j])) for i in p for j in p)).alias("products"),
-    )
-    for k in ("lang", "source"):
-        sums = sums if k in keys else sums.withColumn(k, F.lit(None).cast("string"))
-    return sums.select("lang", "source", "n", "sums", "products").where("n > 0").mapInPandas(_shape(scale), "lang string, source string, n long, centre array<double>, inverse array<double>")
+_KEYS = ["lang", "source"]
+_PAIRS = [(i, j) for i in range(len(STATS)) for j in range(len(STATS))]
+
+
+def _no_keys(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit(None).cast("string"))
+
+
+def _sums(rows: DataFrame) -> DataFrame:
+    """lang, source, n, sums, products of every group."""
+    return cut(rows.groupBy(*_KEYS).agg(F.count("*").alias("n"), F.array(*(F.sum(s) for s in STATS)).alias("sums"), F.array(*(F.sum(F.col(STATS[i]) * F.col(STATS[j])) for i, j in _PAIRS)).alias("products")))
+
+
+def _together(sums: DataFrame) -> DataFrame:
+    """The sums of all groups in one row."""
+    every = lambda c, k: F.array(*(F.sum(F.col(c)[i]) for i in range(k))).alias(c)
+    return _no_keys(sums.agg(F.sum("n").alias("n"), every("sums", len(STATS)), every("products", len(_PAIRS))))
+
+
+def _medians(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """As _sums(), of vectors whose mean is the median and whose scatter is diagonal, by the median absolute deviation."""
+    rows = rows if keys else _no_keys(rows)
+    middle = lambda parts: F.array(*(F.percentile_approx(c, 0.5) for c in parts))
+    m = sized_broadcast(cut(rows.groupBy(*_KEYS).agg(middle(map(F.col, STATS)).alias("m")))).alias("m")
+    near = rows.alias("r").join(m, F.col("r.lang").eqNullSafe(F.col("m.lang")) & F.col("r.source").eqNullSafe(F.col("m.source"))).select("r.*", "m.m")
+    d = near.groupBy(*_KEYS).agg(F.count("*").alias("n"), F.first("m").alias("m"), middle(F.abs(F.col(s) - F.col("m")[i]) for i, s in enumerate(STATS)).alias("d"))
+    n, m = F.col("n"), F.col("m")
+    products = [n * (m[i] * m[j] + (F.pow(1.4826 * F.col("d")[i], F.lit(2.0)) if i == j else F.lit(0.0))) for i, j in _PAIRS]
+    return cut(d.select(*_KEYS, "n", F.array(*(n * m[i] for i in range(len(STATS)))).alias("sums"), F.array(*products).alias("products")))
+
+
+def _estimate(sums: DataFrame, scale: float, floors: list[float]) -> DataFrame:
+    return sums.where("n > 0").select(*_KEYS, "n", "sums", "products").mapInPandas(_shape(scale, floors), "lang string, source string, n long, centre array<double>, inverse array<double>, det double")
 
 
 def _distances(rows: DataFrame, estimate: DataFrame, pooled: Row | None) -> DataFrame:
@@ -164,6 +190,7 @@ def _statistics(counts: DataFrame, prior: float = 200.0) -> DataFrame:
     c = counts.alias("c").join(sized_broadcast(middle).alias("m"), F.col("c.lang").eqNullSafe(F.col("m.lang")) & F.col("c.source").eqNullSafe(F.col("m.source")), "left").select("c.*", F.coalesce("m.m", F.lit(0.0)).alias("m"))
     n, m = F.col("n_words"), F.col("m")
     share = lambda part, whole, extra: F.sqrt(F.col(part) / (F.col(whole) + F.lit(extra)))
+    noise = lambda whole, extra: 0.25 / (F.col(whole) + F.lit(extra))
     return c.select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.log1p(n).alias("f_length"),
@@ -172,26 +199,44 @@ def _statistics(counts: DataFrame, prior: float = 200.0) -> DataFrame:
         share("n_dup_lines", "n_lines", 5.0).alias("f_lines"),
         share("n_repeat_words", "n_words", 50.0).alias("f_repeats"),
         share("n_upper", "n_letters", 100.0).alias("f_upper"),
+        (1 / (1 + n)).alias("v_length"), (m / (n + F.lit(prior))).alias("v_word"), noise("word_chars", 100.0).alias("v_symbols"), noise("n_lines", 5.0).alias("v_lines"),
+        (WINDOW * noise("n_words", 50.0)).alias("v_repeats"), noise("n_letters", 100.0).alias("v_upper"),
     )
 
 
-def quality_rules(docs: DataFrame, inner: float = 0.75, steps: int = 3, beyond: float = 0.999, least: int = 100) -> DataFrame:
+def _concentrate(fit: DataFrame, groups: DataFrame, pooled: Row | None, floors: list[float], inner: float, steps: int, least: int) -> tuple[DataFrame, Row | None]:
+    """Concentration steps until no group's determinant falls, `steps` at most."""
+    p = len(STATS)
+    consistent = inner / chi_square(p + 2, chi_square_quantile(p, inner))
+    same = F.col("a.lang").eqNullSafe(F.col("b.lang")) & F.col("a.source").eqNullSafe(F.col("b.source"))
+    for step in range(steps):
+        near = _distances(fit, groups, pooled)
+        edge = sized_broadcast(cut(near.groupBy(*_KEYS).agg(F.percentile_approx("d2", inner).alias("edge"))))
+        sums = _sums(near.alias("a").join(edge.alias("b"), same).where("d2 <= edge").select("a.*"))
+        last, before = groups, pooled
+        groups, pooled = cut(_estimate(sums, consistent, floors).where(F.col("n") >= least * inner)), _estimate(_together(sums), consistent, floors).first()
+        if step:  # a start's determinant is none of an inner share
+            fall = last.alias("a").join(groups.alias("b"), same).agg(F.max(F.col("a.det") - F.col("b.det"))).first()[0]
+            if max(fall or 0.0, before.det - pooled.det if before and pooled else 0.0) < STILL:
+                break
+    return groups, pooled
+
+
+def quality_rules(docs: DataFrame, inner: float = 0.75, steps: int = 12, beyond: float = 0.999, least: int = 100) -> DataFrame:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
 
-    inner: share of rows that an estimate rests on; steps: concentration steps; beyond: the quantile of chi-square
+    inner: share of rows that an estimate rests on; steps: most concentration steps; beyond: the quantile of chi-square
     past which a document is rejected; least: rows below which a group takes the estimate of all.
     """
     rows = cut(_statistics(cut(document_counts(docs))))
     p = len(STATS)
-    consistent = inner / chi_square(p + 2, chi_square_quantile(p, inner))
     fit = rows.where(~F.col("base_failed"))
-    groups, pooled = _estimate(fit, ["lang", "source"], 1.0).where(F.col("n") >= least), _estimate(fit, [], 1.0).first()
-    for _ in range(steps):
-        groups = cut(groups)
-        near = _distances(fit, groups, pooled)
-        edge = near.groupBy("lang", "source").agg(F.percentile_approx("d2", inner).alias("edge"))
-        held = near.alias("a").join(sized_broadcast(edge).alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang")) & F.col("a.source").eqNullSafe(F.col("b.source"))).where("d2 <= edge").select("a.*")
-        groups, pooled = _estimate(held, ["lang", "source"], consistent).where(F.col("n") >= least * inner), _estimate(held, [], consistent).first()
+    floors = [v or 1e-6 for v in fit.agg(*(F.avg(v) for v in NOISE)).first()]
+    sums = _sums(fit)
+    starts = [(_medians(fit, _KEYS), _medians(fit, [])), (sums, _together(sums))]
+    ends = [_concentrate(fit, cut(_estimate(g, 1.0, floors).where(F.col("n") >= least)), _estimate(e, 1.0, floors).first(), floors, inner, steps, least) for g, e in starts]
+    pooled = min((e for _, e in ends if e), key=lambda e: e.det, default=None)
+    groups = ends[0][0].unionByName(ends[1][0]).groupBy(*_KEYS).agg(F.min_by(F.struct("centre", "inverse"), "det").alias("e")).select(*_KEYS, "e.*")
     far = F.coalesce(F.col("d2") > chi_square_quantile(p, beyond), F.lit(False))
     return _distances(rows, cut(groups), pooled).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
