@@ -61,13 +61,24 @@ def byte_batches(batches: Iterable[pa.RecordBatch], text: str = "text", most: in
 
 
 #: Most ids that are sent to all workers to pick rows of documents; past it the texts are shuffled.
-MOST_IDS = 2_000_000
+MOST_IDS = 200_000
+
+
+def row_id(docs: DataFrame):
+    """doc_id, or for a row without one a negative hash of its text."""
+    own = -1 - F.shiftrightunsigned(F.xxhash64(F.lit("row"), F.col("text").cast("string")), 2)
+    return F.coalesce(F.col("doc_id").cast("long"), own)
+
+
+def judged_rows(docs: DataFrame) -> DataFrame:
+    """docs under row_id(), so that a row without doc_id is judged by its own text."""
+    return docs.withColumn("doc_id", row_id(docs))
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not among ids (column doc_id, null matches null)."""
+    """The rows of docs whose row_id() is not among ids (column doc_id)."""
     gone = sized_broadcast(cut(ids.select(F.col("doc_id").alias("_gone")).distinct()), MOST_IDS)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    return docs.join(gone, row_id(docs) == gone["_gone"], "left_anti")
 
 
 def bounded_sample(keys: DataFrame, most: int, *by: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_batches, claim, memory, without
+from tidemark.llm.common import byte_batches, claim, judged_rows, memory, without
 
 RADIUS = 7
 BLOCKS = 4
@@ -222,4 +222,4 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, least
 
 def keep_unseen(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of docs that hold no benchmark item."""
-    return without(docs, decontamination(docs, benchmark, **how))
+    return without(docs, decontamination(judged_rows(docs), benchmark, **how))

@@ -1,16 +1,21 @@
 """Operator 9: quality rules by robust multivariate outliers.
 
 Every document gets counts from its whole text (base rules) and a vector of transformed statistics. For each
-language and source the minimum-covariance-determinant estimate of centre and scatter is found by concentration
-steps: all vectors get their Mahalanobis distances, the nearest `inner` share of them gives the next estimate, until
-no determinant falls any more. There are two starts, median and MAD of each group, and mean and covariance; each group
-takes the one that ends at the lower determinant. A document whose distance lies beyond `beyond` is rejected.
+language and source, and for all documents together, the minimum-covariance-determinant estimate of centre and scatter
+is found by concentration steps: all vectors get their Mahalanobis distances, the nearest `inner` share of them gives
+the next estimate, until no determinant falls any more. There are two starts, median and MAD, and mean and covariance;
+each group takes the one that ends at the lower determinant. A document whose distance lies beyond `beyond` is rejected.
+
+A step is one aggregation for all groups and both starts: moments are summed by classes of distance (BINS to an
+octave), and a running sum over a group's classes, which are few whatever its rows, tells which are the nearest. So
+the share is `inner` and the rest of one class. Groups are told by a 64-bit hash of language and source.
 
 Defined cases: text null or without words has n_words 0 and fails the base rules; a null lang or source is a group
-of its own; groups of fewer than `least` rows take the estimate of all documents; repeated rows give a row each;
-extra columns are not read; an empty table gives an empty result. No spread is taken to be under the sampling noise of
-its statistic, as counts of the documents' sizes have it (NOISE, its mean over all documents): where most documents
-have none of something, as repeated lines, one in a short text is no sign.
+of its own; groups of fewer than `least` rows that pass the base rules take the estimate of all documents; without any
+such row every row fails the base rules; equal distances share a class; repeated rows give a row each; a long text is
+counted whole, alone in its batch; extra columns are not read; an empty table gives an empty result. No spread is taken
+to be under the sampling noise of its statistic, as counts of the documents' sizes have it (NOISE, its mean over all
+documents): where most documents have none of something, as repeated lines, one in a short text is no sign.
 """
 
 from __future__ import annotations
@@ -22,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_batches, claim, without
+from tidemark.llm.common import byte_batches, claim, judged_rows, without
 from tidemark.session import cut, sized_broadcast
 
 STATS = ["f_length", "f_word", "f_symbols", "f_lines", "f_repeats", "f_upper"]
@@ -37,6 +42,10 @@ _LETTER = re.compile(rb"[A-Za-z]")
 WINDOW = 8
 #: A log determinant that falls by less is at rest.
 STILL = 0.01
+#: Classes of squared distances to an octave.
+BINS = 32
+#: The key of all documents together.
+ALL = 0
 
 
 def repeated_words(ws: list[bytes], size: int = WINDOW) -> int:
@@ -116,72 +125,79 @@ def chi_square_quantile(p: int, q: float) -> float:
     return high
 
 
-def _shape(scale: float, floors: list[float]):
-    """From sums over the inner rows of a group to its centre, inverse scatter and log determinant; floors: least variances."""
+def shape(n: int, rows: int, sums: np.ndarray, products: np.ndarray, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Centre, inverse scatter and log determinant from sums over the `n` inner ones of `rows` rows; floors: least variances."""
+    p = len(sums)
+    inner = n / rows
+    scale = inner / chi_square(p + 2, chi_square_quantile(p, inner)) if inner < 1 else 1.0  # consistent for normal vectors
+    mean = sums / n
+    scatter = (products / n - np.outer(mean, mean)) * scale
+    spread = np.sqrt(np.maximum(np.diag(scatter), 1e-12))
+    wide = np.maximum(spread, np.sqrt(floors))
+    rho = np.clip(scatter / np.outer(spread, spread), -0.95, 0.95)
+    np.fill_diagonal(rho, 1.0)
+    full = 0.9 * rho * np.outer(wide, wide) + 0.1 * np.diag(wide**2)
+    return mean, np.linalg.inv(full), float(np.linalg.slogdet(full)[1])
+
+
+_PAIRS = [(i, j) for i in range(len(STATS)) for j in range(i, len(STATS))]
+_ESTIMATE = "g long, start int, n long, centre array<double>, inverse array<double>, det double"
+
 
+def _shapes(floors: list[float]):
     def shaped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = len(STATS)
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
-                n, sums, products = row.n, np.asarray(row.sums, float), np.asarray(row.products, float).reshape(p, p)
-                mean = sums / n
-                scatter = (products / n - np.outer(mean, mean)) * scale
-                spread = np.sqrt(np.maximum(np.diag(scatter), 1e-12))
-                wide = np.maximum(spread, np.sqrt(floors))
-                rho = np.clip(scatter / np.outer(spread, spread), -0.95, 0.95)
-                np.fill_diagonal(rho, 1.0)
-                full = 0.9 * rho * np.outer(wide, wide) + 0.1 * np.diag(wide**2)
-                out.append((row.lang, row.source, n, mean.tolist(), np.linalg.inv(full).ravel().tolist(), float(np.linalg.slogdet(full)[1])))
-            yield pd.DataFrame(out, columns=["lang", "source", "n", "centre", "inverse", "det"])
+                products = np.zeros((len(STATS), len(STATS)))
+                for (i, j), x in zip(_PAIRS, row.products):
+                    products[i, j] = products[j, i] = x
+                mean, inverse, det = shape(row.inside, row.n, np.asarray(row.sums, float), products, np.array(floors))
+                out.append((row.g, row.start, row.n, mean.tolist(), inverse.ravel().tolist(), det))
+            yield pd.DataFrame(out, columns=["g", "start", "n", "centre", "inverse", "det"])
 
     return shaped
 
 
-_KEYS = ["lang", "source"]
-_PAIRS = [(i, j) for i in range(len(STATS)) for j in range(len(STATS))]
+def _estimates(sums: DataFrame, floors: list[float]) -> DataFrame:
+    """From g, start, n, inside (rows summed), sums, products to estimates; few rows, so few tasks."""
+    return cut(sums.select("g", "start", "n", "inside", "sums", "products").coalesce(8).mapInPandas(_shapes(floors), _ESTIMATE))
 
 
-def _no_keys(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit(None).cast("string"))
+def _moments(n: str = "n") -> list:
+    return [F.count("*").alias(n), *(F.sum(s).alias(f"s{i}") for i, s in enumerate(STATS)), *(F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"p{i}_{j}") for i, j in _PAIRS)]
 
 
-def _sums(rows: DataFrame) -> DataFrame:
-    """lang, source, n, sums, products of every group."""
-    return cut(rows.groupBy(*_KEYS).agg(F.count("*").alias("n"), F.array(*(F.sum(s) for s in STATS)).alias("sums"), F.array(*(F.sum(F.col(STATS[i]) * F.col(STATS[j])) for i, j in _PAIRS)).alias("products")))
+def _arrays() -> list:
+    return [F.array(*(F.col(f"s{i}") for i in range(len(STATS)))).alias("sums"), F.array(*(F.col(f"p{i}_{j}") for i, j in _PAIRS)).alias("products")]
 
 
-def _together(sums: DataFrame) -> DataFrame:
-    """The sums of all groups in one row."""
-    every = lambda c, k: F.array(*(F.sum(F.col(c)[i]) for i in range(k))).alias(c)
-    return _no_keys(sums.agg(F.sum("n").alias("n"), every("sums", len(STATS)), every("products", len(_PAIRS))))
+def _d2(centre: str, inverse: str):
+    """Column: the squared distance of a row's vector to an estimate."""
+    gap = [F.col(s) - F.col(centre)[i] for i, s in enumerate(STATS)]
+    return sum(((1 if i == j else 2) * gap[i] * gap[j] * F.col(inverse)[i * len(STATS) + j] for i, j in _PAIRS), F.lit(0.0))
 
 
-def _medians(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """As _sums(), of vectors whose mean is the median and whose scatter is diagonal, by the median absolute deviation."""
-    rows = rows if keys else _no_keys(rows)
+def _medians(both: DataFrame, least: int) -> DataFrame:
+    """Start 1: a mean that is the median and a diagonal scatter by the median absolute deviation."""
     middle = lambda parts: F.array(*(F.percentile_approx(c, 0.5) for c in parts))
-    m = sized_broadcast(cut(rows.groupBy(*_KEYS).agg(middle(map(F.col, STATS)).alias("m")))).alias("m")
-    near = rows.alias("r").join(m, F.col("r.lang").eqNullSafe(F.col("m.lang")) & F.col("r.source").eqNullSafe(F.col("m.source"))).select("r.*", "m.m")
-    d = near.groupBy(*_KEYS).agg(F.count("*").alias("n"), F.first("m").alias("m"), middle(F.abs(F.col(s) - F.col("m")[i]) for i, s in enumerate(STATS)).alias("d"))
+    m = sized_broadcast(cut(both.groupBy("g").agg(middle(map(F.col, STATS)).alias("m"), F.count("*").alias("n")).where((F.col("n") >= least) | (F.col("g") == ALL)).drop("n")))
+    d = both.join(m, "g").groupBy("g").agg(F.count("*").alias("n"), F.first("m").alias("m"), middle(F.abs(F.col(s) - F.col("m")[i]) for i, s in enumerate(STATS)).alias("d"))
     n, m = F.col("n"), F.col("m")
     products = [n * (m[i] * m[j] + (F.pow(1.4826 * F.col("d")[i], F.lit(2.0)) if i == j else F.lit(0.0))) for i, j in _PAIRS]
-    return cut(d.select(*_KEYS, "n", F.array(*(n * m[i] for i in range(len(STATS)))).alias("sums"), F.array(*products).alias("products")))
+    return d.select("g", F.lit(1).alias("start"), "n", F.col("n").alias("inside"), F.array(*(n * m[i] for i in range(len(STATS)))).alias("sums"), F.array(*products).alias("products"))
 
 
-def _estimate(sums: DataFrame, scale: float, floors: list[float]) -> DataFrame:
-    return sums.where("n > 0").select(*_KEYS, "n", "sums", "products").mapInPandas(_shape(scale, floors), "lang string, source string, n long, centre array<double>, inverse array<double>, det double")
-
-
-def _distances(rows: DataFrame, estimate: DataFrame, pooled: Row | None) -> DataFrame:
-    """rows with d2, their squared distance to their group's estimate (or to all documents', for a small group)."""
-    e = sized_broadcast(estimate).alias("e")
-    r = rows.alias("r").join(e, F.col("r.lang").eqNullSafe(F.col("e.lang")) & F.col("r.source").eqNullSafe(F.col("e.source")), "left")
-    every = lambda c: F.array(*map(F.lit, pooled[c])) if pooled else F.lit(None).cast("array<double>")
-    r = r.select("r.*", F.coalesce("e.centre", every("centre")).alias("_c"), F.coalesce("e.inverse", every("inverse")).alias("_i"))
-    p = range(len(STATS))
-    gap = [F.col(STATS[i]) - F.col("_c")[i] for i in p]
-    return r.withColumn("d2", sum((gap[i] * gap[j] * F.col("_i")[i * len(STATS) + j] for i in p for j in p), F.lit(0.0))).drop("_c", "_i")
+def _step(both: DataFrame, estimates: DataFrame, floors: list[float], inner: float) -> DataFrame:
+    """The estimates of the nearest `inner` share of each group's rows under each start."""
+    near = both.join(sized_broadcast(estimates.select("g", "start", "centre", "inverse")), "g")
+    bins = near.withColumn("bin", F.floor(F.log2(_d2("centre", "inverse") + 1e-9) * BINS).cast("int")).groupBy("g", "start", "bin").agg(*_moments("k"))
+    group = Window.partitionBy("g", "start")
+    before = F.coalesce(F.sum("k").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nearest = bins.withColumn("n", F.sum("k").over(group)).withColumn("before", before).where(F.col("before") < inner * F.col("n"))
+    parts = [c for c in bins.columns if c not in ("g", "start", "bin", "k")]
+    sums = nearest.groupBy("g", "start").agg(F.first("n").alias("n"), F.sum("k").alias("inside"), *(F.sum(c).alias(c) for c in parts))
+    return _estimates(sums.select("g", "start", "n", "inside", *_arrays()), floors)
 
 
 def _statistics(counts: DataFrame, prior: float = 200.0) -> DataFrame:
@@ -192,7 +208,7 @@ def _statistics(counts: DataFrame, prior: float = 200.0) -> DataFrame:
     share = lambda part, whole, extra: F.sqrt(F.col(part) / (F.col(whole) + F.lit(extra)))
     noise = lambda whole, extra: 0.25 / (F.col(whole) + F.lit(extra))
     return c.select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "doc_id", F.xxhash64(F.col("lang").isNull(), "lang", F.col("source").isNull(), "source").alias("g"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.log1p(n).alias("f_length"),
         ((F.col("word_chars") - m * n) / (n + F.lit(prior)) * 1.0).alias("f_word"),
         share("n_symbols", "word_chars", 100.0).alias("f_symbols"),
@@ -204,24 +220,6 @@ def _statistics(counts: DataFrame, prior: float = 200.0) -> DataFrame:
     )
 
 
-def _concentrate(fit: DataFrame, groups: DataFrame, pooled: Row | None, floors: list[float], inner: float, steps: int, least: int) -> tuple[DataFrame, Row | None]:
-    """Concentration steps until no group's determinant falls, `steps` at most."""
-    p = len(STATS)
-    consistent = inner / chi_square(p + 2, chi_square_quantile(p, inner))
-    same = F.col("a.lang").eqNullSafe(F.col("b.lang")) & F.col("a.source").eqNullSafe(F.col("b.source"))
-    for step in range(steps):
-        near = _distances(fit, groups, pooled)
-        edge = sized_broadcast(cut(near.groupBy(*_KEYS).agg(F.percentile_approx("d2", inner).alias("edge"))))
-        sums = _sums(near.alias("a").join(edge.alias("b"), same).where("d2 <= edge").select("a.*"))
-        last, before = groups, pooled
-        groups, pooled = cut(_estimate(sums, consistent, floors).where(F.col("n") >= least * inner)), _estimate(_together(sums), consistent, floors).first()
-        if step:  # a start's determinant is none of an inner share
-            fall = last.alias("a").join(groups.alias("b"), same).agg(F.max(F.col("a.det") - F.col("b.det"))).first()[0]
-            if max(fall or 0.0, before.det - pooled.det if before and pooled else 0.0) < STILL:
-                break
-    return groups, pooled
-
-
 def quality_rules(docs: DataFrame, inner: float = 0.75, steps: int = 12, beyond: float = 0.999, least: int = 100) -> DataFrame:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
 
@@ -229,21 +227,27 @@ def quality_rules(docs: DataFrame, inner: float = 0.75, steps: int = 12, beyond:
     past which a document is rejected; least: rows below which a group takes the estimate of all.
     """
     rows = cut(_statistics(cut(document_counts(docs))))
-    p = len(STATS)
     fit = rows.where(~F.col("base_failed"))
     floors = [v or 1e-6 for v in fit.agg(*(F.avg(v) for v in NOISE)).first()]
-    sums = _sums(fit)
-    starts = [(_medians(fit, _KEYS), _medians(fit, [])), (sums, _together(sums))]
-    ends = [_concentrate(fit, cut(_estimate(g, 1.0, floors).where(F.col("n") >= least)), _estimate(e, 1.0, floors).first(), floors, inner, steps, least) for g, e in starts]
-    pooled = min((e for _, e in ends if e), key=lambda e: e.det, default=None)
-    groups = ends[0][0].unionByName(ends[1][0]).groupBy(*_KEYS).agg(F.min_by(F.struct("centre", "inverse"), "det").alias("e")).select(*_KEYS, "e.*")
-    far = F.coalesce(F.col("d2") > chi_square_quantile(p, beyond), F.lit(False))
-    return _distances(rows, cut(groups), pooled).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~far).alias("kept"), F.col("d2").alias("distance"),
-    )
+    both = fit.select(*STATS, F.explode(F.array("g", F.lit(ALL).cast("long"))).alias("g"))
+    plain = both.groupBy("g").agg(*_moments()).where((F.col("n") >= least) | (F.col("g") == ALL))
+    plain = plain.select("g", F.lit(0).alias("start"), "n", F.col("n").alias("inside"), *_arrays())
+    estimates = _estimates(plain.unionByName(_medians(both, least)), floors)
+    for step in range(steps):
+        last, estimates = estimates, _step(both, estimates, floors, inner)
+        if step:  # a start's determinant is none of an inner share
+            fall = last.alias("a").join(estimates.alias("b"), ["g", "start"]).agg(F.max(F.col("a.det") - F.col("b.det"))).first()[0]
+            if (fall or 0.0) < STILL:
+                break
+    best = cut(estimates.groupBy("g").agg(F.min_by(F.struct("centre", "inverse"), F.struct("det", "start")).alias("e")).select("g", "e.*").coalesce(8))
+    every = best.where(F.col("g") == ALL).first()
+    pooled = lambda c: F.array(*map(F.lit, every[c])) if every else F.lit(None).cast("array<double>")
+    judged = rows.join(sized_broadcast(best), "g", "left").withColumn("centre", F.coalesce("centre", pooled("centre"))).withColumn("inverse", F.coalesce("inverse", pooled("inverse")))
+    judged = judged.withColumn("distance", _d2("centre", "inverse"))
+    far = F.coalesce(F.col("distance") > chi_square_quantile(len(STATS), beyond), F.lit(False))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "distance")
 
 
 def keep_clean(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that quality_rules() keeps; a doc_id with several rows goes with all of them if one is rejected."""
-    return without(docs, quality_rules(docs, **how).where(~F.col("kept")))
+    return without(docs, quality_rules(judged_rows(docs), **how).where(~F.col("kept")))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, byte_batches, claim, fold, without
+from tidemark.llm.common import bounded_sample, byte_batches, claim, fold, judged_rows, without
 from tidemark.session import cut
 
 _ENDS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -151,4 +151,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: in
 
 def keep_civil(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of docs that are not predicted toxic; a doc_id with several rows goes with all of them if one is."""
-    return without(docs, toxicity(docs, labels, **how).where("predicted = 1"))
+    return without(docs, toxicity(judged_rows(docs), labels, **how).where("predicted = 1"))
