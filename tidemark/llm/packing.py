@@ -3,14 +3,15 @@
 Documents are encoded, ended by one id and cut into pieces of at most `capacity` tokens. The number of pieces of
 each length (at most `capacity` numbers, whatever the corpus) is all that the driver sees. The linear program
 (least number of sequences, each filled by a configuration of lengths, that cover the histogram) is solved by
-multiplicative weights: the weight of a length falls as it is covered, and the configuration worth most at these
-weights is found by a knapsack dynamic program. Rounding keeps whole copies of the configurations that are worth
-their sequence at the last weights; what is left is filled from the largest length down, the rest of each
-sequence by the same dynamic program. The outcome, for each length, is a short list of runs of places; pieces are
-numbered within their length by Spark, and the number gives sequence and offset by arithmetic.
-
-Defined cases: null or empty text is one piece of the end id alone; every row is packed, repeated rows too; extra
-columns are not read; an empty table gives an empty result.
+multiplicative weights: the weight of a length falls as it is covered, and the configurations worth most at these
+weights are found by a knapsack dynamic program. Rounding keeps whole copies, and the program is solved again for the
+pieces that rounding leaves, at every size of the input; the last few pieces are filled by the same dynamic program,
+largest first. The outcome, for each length, is a short list of runs of places; pieces are numbered within their
+length by Spark, and the number gives sequence and offset by arithmetic.
+
+Defined cases: null or empty text is one piece of the end id alone; every row is packed, repeated rows too; a long text
+is encoded whole, alone in its batch; pieces of one length are interchangeable, and ties among them go by doc_id, piece
+and ids; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import os
 import re
 import zlib
 from array import array
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -38,7 +39,7 @@ MEMO_CHUNKS = 300_000
 #: Fixed value: how byte-level encodings of this kind part texts into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Power of a length that is its first weight: over 1, few long pieces are worth more than many short ones, which stay for later.
-LARGE_FIRST = 1.1
+LARGE_FIRST = 1.2
 _BOUNDARY = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?!\S)|\s\n")
 
@@ -156,27 +157,77 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end: int
     return narrow.mapInArrow(split, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
-def knapsack(value: np.ndarray, room: int) -> list[int]:
-    """Lengths (with repeats) of at most `room` in all that are worth most; value[l] <= 0 bars length l."""
-    offered = np.flatnonzero(value[: room + 1] > 0)
+def price(worth: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack dynamic program: what the best filling of each room is worth, and a length that it takes (0: it leaves one place)."""
+    best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    offered = np.flatnonzero(worth[: capacity + 1] > 0)
     if not len(offered):
-        return []
-    worth, best, choice = value[offered], np.zeros(room + 1), np.zeros(room + 1, np.int64)
-    for c in range(int(offered[0]), room + 1):
-        k = np.searchsorted(offered, c, "right")
-        got = worth[:k] + best[c - offered[:k]]
-        j = int(got.argmax())
-        best[c], choice[c] = (got[j], offered[j]) if got[j] > best[c - 1] else (best[c - 1], 0)
-    out, c = [], room
-    while c > 0:
-        if choice[c]:
-            out.append(int(choice[c]))
-        c -= int(choice[c]) or 1
+        return best, choice
+    value, fitting = worth[offered], np.searchsorted(offered, np.arange(capacity + 1), "right")
+    for room in range(int(offered[0]), capacity + 1):
+        k = fitting[room]
+        got = value[:k] + best[room - offered[:k]]
+        j = got.argmax()
+        best[room], choice[room] = (got[j], offered[j]) if got[j] > best[room - 1] + 1e-12 else (best[room - 1], 0)
+    return best, choice
+
+
+def filling(choice: np.ndarray, room: int) -> list[int]:
+    """The lengths that fill a room best."""
+    out = []
+    while room > 0:
+        if choice[room]:
+            out.append(int(choice[room]))
+        room -= int(choice[room]) or 1
     return out
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = 150, rate: float = 0.5) -> list[tuple[dict[int, int], int]]:
-    """Configurations (length -> copies) and how often each is used; together they hold the histogram exactly."""
+def program(demand: np.ndarray, capacity: int, rounds: int = 120, step: float = 0.34, rate: float = 2e-3, slack: float = 2e-3) -> tuple[dict[tuple, float], float]:
+    """Fractional use of configurations that covers `demand` (pieces of each length), and a lower bound of the sequences.
+
+    A length's weight starts at a power of its size and falls as its cover rises over the mean: multiplicative weights. At these
+    weights the knapsack program prices the best configuration with each length; those within `slack` of the best of
+    all are used, so that no cover rises by more than about `step` in a round or over 1. Rounds end when every
+    length is covered or no configuration is used any more.
+    """
+    sizes, there = (np.arange(capacity + 1) / capacity) ** LARGE_FIRST, demand > 0
+    cover, used, bound = np.zeros(capacity + 1), defaultdict(float), 0.0
+    for k in range(rounds):
+        open_ = there & (cover < 1 - 1e-9)
+        if not open_.any():
+            break
+        weight = np.where(there, sizes * np.exp(-rate * np.clip((cover - cover[there].mean()) / step, -40, 40)), 0.0)
+        if k % 20 == 0:  # weights under which no configuration is worth more than 1 are a dual solution
+            bound = max(bound, float((demand * weight).sum() / price(weight, capacity)[0][capacity]))
+        worth = np.where(open_, weight, 0.0)
+        best, choice = price(worth, capacity)
+        free, want = np.minimum(1.5 * step, 1 - cover) * demand, np.minimum(step, 1 - cover) * demand
+        moved = False
+        for length in np.flatnonzero(open_)[::-1].tolist():
+            if want[length] <= 1e-9 or worth[length] + best[capacity - length] < (1 - slack) * best[capacity]:
+                continue
+            config = Counter([length, *filling(choice, capacity - length)])
+            amount = min(want[length] / config[length], *(free[a] / n for a, n in config.items()))
+            if amount > 1e-9:
+                moved = True
+                used[tuple(sorted(config.items(), reverse=True))] += amount
+                for a, n in config.items():
+                    free[a] -= amount * n
+                    want[a] -= amount * n
+                    cover[a] += amount * n / demand[a]
+        if not moved:
+            break
+    return used, bound
+
+
+def solve(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """Configurations (length -> copies) and how often each is used, and how many of these sequences the program gave.
+
+    Together the configurations hold the histogram exactly. A solution of the program is rounded by carrying
+    fractions from configuration to configuration, largest lengths first, as far as pieces are left; the program
+    is solved anew for what rounding leaves, as long as that places pieces. Whatever remains, fewer pieces than
+    lengths as a rule, is filled from the largest length down, the rest of each sequence by the knapsack program.
+    """
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
@@ -189,44 +240,37 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 150, rate: flo
 
     if left[capacity]:
         use({capacity: 1}, int(left[capacity]))
-    sizes = np.arange(capacity + 1)
-    weight = np.where(left > 0, (sizes / capacity) ** LARGE_FIRST, 0.0)
-    used: dict[tuple, float] = defaultdict(float)
-    cover = np.zeros(capacity + 1)
-    for _ in range(rounds if left.sum() > 2000 else 0):
-        picks, copies = np.unique(knapsack(weight, capacity), return_counts=True)
-        step = float((left[picks] / copies).min())
-        used[tuple(zip(picks.tolist(), copies.tolist()))] += step
-        gain = step * copies / left[picks]
-        cover[picks] += gain
-        weight[picks] *= np.exp(-rate * gain * 0.02)
-        weight /= (weight[picks] * copies).sum()
-    most = max(1.0, cover.max())
-    for config, amount in sorted(used.items(), key=lambda x: -x[1]):
-        lengths, copies = map(list, zip(*config))
-        times = min(int(amount / most), int(min(left[a] // k for a, k in config)))
-        if times > 0 and (weight[lengths] * copies).sum() >= 0.998 and np.dot(lengths, copies) >= capacity - 1:
-            use(dict(config), times)
-    while True:
-        open_ = np.flatnonzero(left)
-        if not len(open_):
-            return plan
-        large = int(open_[-1])
-        config, room = {large: 1}, capacity - large
+    while left.any():
+        before, carry = int(left.sum()), 0.0
+        used, _ = program(left.copy(), capacity)
+        for config, amount in sorted(used.items(), key=lambda x: (-x[0][0][0], -x[1], x[0])):
+            carry += amount
+            times = min(int(carry + 1e-6), *(int(left[a]) // n for a, n in config))
+            if times > 0:
+                carry -= times
+                use(dict(config), times)
+        if before == int(left.sum()):
+            break
+    placed = sum(times for _, times in plan)
+    sizes = (np.arange(capacity + 1) / capacity) ** LARGE_FIRST
+    while left.any():
+        large = int(np.flatnonzero(left)[-1])
+        config, room = Counter([large]), capacity - large
         left[large] -= 1
-        value = np.where(left > 0, (sizes / capacity) ** LARGE_FIRST, 0.0)
-        for length in sorted(knapsack(value, room), reverse=True):
-            if left[length] > config.get(length, 0) - (length == large):
-                config[length] = config.get(length, 0) + 1
+        _, choice = price(np.where(left > 0, sizes, 0.0), room)
+        for length in sorted(filling(choice, room), reverse=True):
+            if left[length] > config[length] - (length == large):
+                config[length] += 1
                 room -= length
         while True:
-            fits = [a for a in np.flatnonzero(left[: room + 1]).tolist() if left[a] > config.get(a, 0) - (a == large)]
+            fits = [a for a in np.flatnonzero(left[: room + 1]).tolist() if left[a] > config[a] - (a == large)]
             if not fits:
                 break
-            config[fits[-1]] = config.get(fits[-1], 0) + 1
+            config[fits[-1]] += 1
             room -= fits[-1]
         left[large] += 1
-        use(config, max(1, int(min(left[a] // k for a, k in config.items()))))
+        use(dict(config), max(1, int(min(left[a] // n for a, n in config.items()))))
+    return plan, placed
 
 
 def places(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
@@ -247,7 +291,7 @@ def places(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
 def pack(cut_pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """The pieces with sequence_id and offset; cut_pieces should be cheap to read twice or more."""
     histogram = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    runs = cut_pieces.sparkSession.sparkContext.broadcast(places(solve(histogram, capacity)))
+    runs = cut_pieces.sparkSession.sparkContext.broadcast(places(solve(histogram, capacity)[0]))
     shares = max(16, sum(histogram.values()) // 20_000)
     dealt = cut_pieces.withColumn("_share", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shares)))
     before = Window.partitionBy("length").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
