@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from tidemark.session import cut, sized_broadcast
 
 #: Bytes of text that a Python worker handles at once; a longer text is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
+#: Rows that are sent to a Python worker at once, at most.
+BATCH_ROWS = 512
 
 
 _memories: list[dict] = []
@@ -31,6 +33,14 @@ def claim(mine: dict) -> None:
             other.clear()
 
 
+def small_batches(rows: DataFrame) -> None:
+    """From now on the session sends whole texts to Python workers by BATCH_ROWS at most; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = rows.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+
+
 def fold(column: str = "doc_id", folds: int = 5):
     """crc32 of the id as text, modulo the number of folds."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(folds))

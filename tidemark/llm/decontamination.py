@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_batches, claim, judged_rows, memory, without
+from tidemark.llm.common import byte_batches, claim, judged_rows, memory, small_batches, without
 
 RADIUS = 7
 BLOCKS = 4
@@ -193,6 +193,7 @@ class Items:
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, least: float = 0.8, slice_items: int = 20_000) -> DataFrame:
     """doc_id, item_id, start, n_words, similarity: every document and item with a window of that similarity."""
+    small_batches(docs)
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     bench = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     slices = max(1, -(-bench.count() // slice_items))

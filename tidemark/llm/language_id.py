@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, byte_batches, fold
+from tidemark.llm.common import bounded_sample, byte_batches, fold, small_batches
 
 SEGMENT = 2048
 MAX_FEATURES = 16_384
@@ -158,6 +158,7 @@ def training_rows(docs: DataFrame, allowed, per_lang: int, most: int) -> DataFra
 
 def language_id(docs: DataFrame, folds: int = 5, held: int = 0, per_lang: int = 500, most: int = 8_000, landmarks: int = 256) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row; learned from documents outside fold `held`."""
+    small_batches(docs)
     rows = training_rows(docs.select("doc_id", "text", "lang"), fold("doc_id", folds) != held, per_lang, most).toPandas().sort_values(["doc_id", "text"])
     sent = docs.sparkSession.sparkContext.broadcast(fit(rows["text"].tolist(), rows["lang"].tolist(), landmarks))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_batches
+from tidemark.llm.common import byte_batches, small_batches
 from tidemark.session import cut, sized_broadcast
 
 #: Terms that a task counts before it hands them on.
@@ -146,6 +146,7 @@ def ancestors(path):
 
 def license_scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least: float = 0.6, share: float = 0.2) -> DataFrame:
     """file_id, path, license, similarity, how (own, inherited or none), found_in for every row of files (file_id, path, text)."""
+    small_batches(files)
     templates = templates or TEMPLATES
     narrow = files.select("file_id", F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     vocabulary = sorted({t for texts in templates.values() for x in texts for t in terms(x)})

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import MOST_IDS, byte_batches, claim, lower_words, memory, without
+from tidemark.llm.common import MOST_IDS, byte_batches, claim, lower_words, memory, small_batches, without
 from tidemark.llm.components import components
 from tidemark.session import cut, sized_broadcast
 
@@ -280,6 +280,7 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, frequent: i
     n: words of an n-gram; percent: least similarity in hundredths; frequent: n-grams in more prefixes than this
     come last in the order (raised with the corpus so that there are at most 2^20 of them).
     """
+    small_batches(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = cut(texts.mapInArrow(_describe(n, percent), "doc_id long, n long, one long, two long, parity array<long>, first array<long>"))
     filled = base.where((F.col("n") > 0) & F.col("doc_id").isNotNull())

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_batches, claim, memory
+from tidemark.llm.common import byte_batches, claim, memory, small_batches
 from tidemark.session import cut, sized_broadcast
 
 #: Distinct chunks whose ids a worker remembers.
@@ -129,6 +129,7 @@ def spans(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end: int = 2, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of every piece."""
+    small_batches(docs)
     last = np.array([end], "<u4").tobytes()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

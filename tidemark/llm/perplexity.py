@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import MOST_IDS, byte_batches
+from tidemark.llm.common import MOST_IDS, byte_batches, small_batches
 from tidemark.session import cut, sized_broadcast
 
 SYMBOLS = 41
@@ -97,6 +97,7 @@ def kneser_ney(table: np.ndarray) -> np.ndarray:
 
 def perplexity_filter(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, prior: float = 300.0) -> DataFrame:
     """doc_id, n_chars, perplexity, threshold, keep for every row of docs; trusted: the doc_ids of trusted documents."""
+    small_batches(docs)
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     ids = cut(trusted.select("doc_id").where("doc_id is not null").distinct())
     summed = counts(narrow.join(sized_broadcast(ids, MOST_IDS), "doc_id", "left_semi").where("text is not null")).toPandas()

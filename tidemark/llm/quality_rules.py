@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_batches, claim, judged_rows, without
+from tidemark.llm.common import byte_batches, claim, judged_rows, small_batches, without
 from tidemark.session import cut, sized_broadcast
 
 STATS = ["f_length", "f_word", "f_symbols", "f_lines", "f_repeats", "f_upper"]
@@ -99,6 +99,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def document_counts(docs: DataFrame) -> DataFrame:
     """The counts of every row, with its id, lang and source."""
+    small_batches(docs)
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
     longs = ", ".join(f"{c} long" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters"))

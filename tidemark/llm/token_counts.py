@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_batches, claim, memory
+from tidemark.llm.common import byte_batches, claim, memory, small_batches
 
 #: Distinct words whose counts a worker remembers.
 MEMO_WORDS = 400_000
@@ -63,6 +63,7 @@ _counters: dict[str, WordCounter] = {}
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs."""
+    small_batches(docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _counters:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, byte_batches, claim, fold, judged_rows, without
+from tidemark.llm.common import bounded_sample, byte_batches, claim, fold, judged_rows, small_batches, without
 from tidemark.session import cut
 
 _ENDS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -136,6 +136,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed, label: str = "toxic", mos
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0, **how) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs; labels of fold `held` are not learned."""
+    small_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, fold("doc_id", folds) != held, label, **how))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
