@@ -70,6 +70,21 @@ def byte_batches(batches: Iterable[pa.RecordBatch], text: str = "text", most: in
             yield batch.slice(start)
 
 
+def gathered(batches: Iterable[pa.RecordBatch], most: int, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Record batches put together until their texts reach `most` bytes; larger ones are cut first."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in byte_batches(batches, text, most):
+        more = pc.sum(pc.binary_length(batch.column(text))).as_py() or 0
+        if held and size + more > most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += more
+    if held:
+        yield pa.concat_batches(held)
+
+
 #: Most ids that are sent to all workers to pick rows of documents; past it the texts are shuffled.
 MOST_IDS = 200_000
 
