@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,3 +99,12 @@ def variant_grid(variants: DataFrame, segments: DataFrame) -> DataFrame:
 def against_baseline(current: DataFrame, baseline: DataFrame, keys: list[str], value: str) -> DataFrame:
     """A statistic with its stored baseline and their difference; a missing baseline stays null."""
     return current.join(baseline.withColumnRenamed(value, "baseline"), keys, "left").withColumn("change", F.col(value) - F.col("baseline"))
+
+
+def join_same(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """left and right on equal keys, null being equal to null; without keys, left with right's one row."""
+    if not by:
+        return left.join(F.broadcast(right))
+    other = right.select(*(F.col(c).alias(f"_same_{c}") if c in by else F.col(c) for c in right.columns))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_same_{c}")) for c in by))
+    return left.join(other, same, how).drop(*(f"_same_{c}" for c in by))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.windows import order, over
 
-RR_COLUMNS = ("forward_rr", "rr", "realized_rr", "signed_rr")
+#: Where a realised or forward R is looked for, in this order.
+RR_COLUMNS = ("bpc_impulse_return_atr", "forward_rr", "rr", "return_atr")
 
 
 def ahead(h: int):
@@ -52,12 +53,12 @@ def success_without_extreme(extreme: float = -0.8) -> Column:
 
 
 def is_good(df: DataFrame, threshold: float = -0.8, rr_column: str | None = None) -> DataFrame:
-    """1 where the first RR column reaches the threshold, 0 elsewhere and for null; an existing label is kept."""
-    if "is_good" in df.columns:
-        return df
+    """1 where the first RR column reaches the threshold, 0 elsewhere and for null; an existing label is kept. Without an RR column it is an error."""
     found = [c for c in ([rr_column] if rr_column else RR_COLUMNS) if c in df.columns]
     if not found:
         raise ValueError(f"none of {rr_column or RR_COLUMNS} is a column")
+    if "is_good" in df.columns:
+        return df
     return df.withColumn("is_good", F.coalesce((F.col(found[0]) >= threshold).cast("int"), F.lit(0)))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import join_same
+
 
 def equity(df: DataFrame, value: str, by: list[str], order: list[str]) -> DataFrame:
     """Running sum, its highest value so far (0 at the start) and the distance below it."""
@@ -28,7 +30,7 @@ def tail_contribution(df: DataFrame, by: list[str], ties: list[str], share: floa
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("pnl_r"), *ties))
     marked = winners.withColumn("_top", place <= F.greatest(F.lit(1), F.ceil(count * share)))
     got = marked.groupBy(*by).agg((F.sum(F.when(F.col("_top"), F.col("pnl_r"))) / F.sum("pnl_r")).alias("tail_share"), F.count(F.when(F.col("_top"), 1)).alias("n_top"), F.count("*").alias("n_winners"))
-    every = df.select(*by).distinct().join(got, by, "left")
+    every = join_same(df.select(*by).distinct(), got, by, "left")
     return every.select(*by, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("tail_share", "n_top", "n_winners")))
 
 
@@ -36,7 +38,7 @@ def asset_stats(df: DataFrame, by: list[str], order: list[str], value: str = "pn
     """Mean, largest drawdown, stability 1 / (1 + std / |mean|), and fragility: the standard deviation of the regimes' means."""
     base = equity(df, value, by, order).groupBy(*by).agg(F.avg(value).alias("mu"), F.min("drawdown").alias("max_dd"), (1 / (1 + F.stddev_samp(value) / F.nullif(F.abs(F.avg(value)), F.lit(0.0)))).alias("stability"))
     means = df.groupBy(*by, regime).agg(F.avg(value).alias("_m")).groupBy(*by).agg(F.stddev_samp("_m").alias("fragility"))
-    return base.join(means, by)
+    return join_same(base, means, by)
 
 
 def cost_stress(df: DataFrame, levels: list[float], by: list[str], order: list[str]) -> DataFrame:
@@ -50,7 +52,7 @@ def halt_day(df: DataFrame, by: list[str], order: list[str], limit: float) -> Da
     marked = equity(df, "pnl_r", by, order)
     first = marked.where(F.col("drawdown") <= -limit).groupBy(*by).agg(F.min("exit_time").alias("halt"))
     kept = F.col("halt").isNull() | (F.col("exit_time") <= F.col("halt"))
-    return marked.join(first, by, "left").groupBy(*by).agg(F.max("halt").alias("halt"), F.count(F.when(kept, 1)).alias("kept"), F.count(F.when(~kept, 1)).alias("rejected"))
+    return join_same(marked, first, by, "left").groupBy(*by).agg(F.max("halt").alias("halt"), F.count(F.when(kept, 1)).alias("kept"), F.count(F.when(~kept, 1)).alias("rejected"))
 
 
 def entropy(df: DataFrame, column: str) -> DataFrame:

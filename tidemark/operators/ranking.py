@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.statistics import exact_quantiles
+
 
 def top_quantile(df: DataFrame, score: str, q: float) -> DataFrame:
-    """Rows at or over the 1 - q quantile of a score; the threshold is one row, so nothing is sorted."""
-    edge = df.agg(F.percentile(score, F.lit(1 - q)).alias("_edge"))
-    return df.join(F.broadcast(edge)).where(F.col(score) >= F.col("_edge")).drop("_edge")
+    """Rows at or over the 1 - q quantile of a score."""
+    return df.where(F.col(score) >= F.lit(exact_quantiles(df, score, [1 - q])[0]))
 
 
 def top_features(ic: DataFrame, n: int, always: list[str]) -> DataFrame:

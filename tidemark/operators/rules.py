@@ -199,10 +199,23 @@ def near_sr(distance: Column, close: Column, atr: Column, most: float) -> Column
     return holds(distance * close / F.nullif(atr, F.lit(0.0)) <= most)
 
 
-def symbol_filter(wanted: str) -> Column:
-    """Rows of the listed symbols; an empty list, * or ALL take every row."""
-    names = [s.strip().upper() for s in (wanted or "").split(",") if s.strip()]
-    return F.lit(True) if not names or any(n in ("*", "ALL", "__ALL__") for n in names) else F.upper(F.trim("symbol")).isin(names)
+CHOP = {"raw": "semantic_chop", "ts_quantile": "semantic_chop_ts_q"}
+
+
+def chop_column(mode: str) -> str:
+    """The column that a chop signal reads: the raw one, or its quantile in time."""
+    if mode not in CHOP:
+        raise ValueError(f"chop signal {mode}: not one of {', '.join(CHOP)}")
+    return CHOP[mode]
+
+
+def symbol_filter(wanted: str | list[str] = "", exclude: list[str] | None = None) -> Column:
+    """Rows of the listed symbols but the excluded ones; an empty list, * or ALL take every row."""
+    clean = lambda names: [s.strip().upper() for s in names if s.strip()]
+    names, gone = clean(wanted.split(",") if isinstance(wanted, str) else wanted), clean(exclude or [])
+    symbol = F.upper(F.trim("symbol"))
+    chosen = F.lit(True) if not names or any(n in ("*", "ALL", "__ALL__") for n in names) else symbol.isin(names)
+    return chosen & ~symbol.isin(gone) if gone else chosen
 
 
 def router3(df: DataFrame, cfg: dict) -> Column:

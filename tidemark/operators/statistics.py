@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import join_same
 from tidemark.session import cut
 
 
@@ -21,6 +25,48 @@ def lift(good: Column, bad: Column) -> Column:
     return F.when(bad > 0, good / F.nullif(bad, F.lit(0.0)) - 1).when(good > 0, float("inf")).otherwise(0.0)
 
 
+def exact_quantiles(df: DataFrame, value: str, qs: list[float], most: int = 100_000) -> list[float | None]:
+    """Quantiles with linear interpolation, exact at any size; nulls apart, None without rows.
+
+    An approximate percentile brackets each wanted place, rows below the bracket are counted, and of the rows inside
+    the distinct values with their counts are read; brackets with more than `most` of them are bracketed again.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"))
+    n = rows.count()
+    if not n:
+        return [None] * len(qs)
+    places = [q * (n - 1) for q in qs]
+    ranks = sorted({k for p in places for k in (math.floor(p), math.ceil(p))})
+    at = _at_ranks(rows, n, ranks, most)
+    return [at[math.floor(p)] if p == math.floor(p) else (math.ceil(p) - p) * at[math.floor(p)] + (p - math.floor(p)) * at[math.ceil(p)] for p in places]
+
+
+def _at_ranks(rows: DataFrame, n: int, ranks: list[int], most: int) -> dict[int, float]:
+    """The values (column x) at ranks from 0 in ascending order."""
+    margin = 3 / 10_000 + 1 / n
+    asked = [min(1.0, max(0.0, r / n + side * margin)) for r in ranks for side in (-1, 1)]
+    edges = rows.agg(F.percentile_approx("x", F.array(*map(F.lit, asked)), 10_000).alias("e")).first()["e"]
+    spans = [(edges[2 * i], edges[2 * i + 1]) for i in range(len(ranks))]
+    inside = [F.col("x").between(a, z) for a, z in spans]
+    count = lambda c: F.sum(c.cast("long"))
+    told = rows.agg(*(count(F.col("x") < a) for a, _ in spans), *(count(c) for c in inside)).first()
+    below, held = told[: len(ranks)], told[len(ranks) :]
+    distinct = rows.where(reduce(lambda a, b: a | b, inside)).groupBy("x").agg(F.count("*").alias("k"))
+    read = distinct.limit(most + 1).collect()
+    if len(read) > most:
+        return {r: _at_ranks(rows.where(c), h, [r - b], most)[r - b] for r, c, b, h in zip(ranks, inside, below, held)}
+    read.sort(key=lambda r: r.x)
+    out = {}
+    for r, (a, z), before in zip(ranks, spans, below):
+        for x, k in read:
+            if a <= x <= z:
+                before += k
+                if before > r:
+                    out[r] = x
+                    break
+    return out
+
+
 def correlation(a: str, b: str) -> Column:
     """Pearson correlation of two columns without nulls; null where either does not vary."""
     return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
@@ -33,7 +79,7 @@ def bucketed(df: DataFrame, value: str, by: list[str], out: str, buckets: int =
     buckets of a group. Equal values share a bucket.
     """
     edges = df.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), 10_000)).alias("_edges"))
-    joined = df.join(edges, by) if by else df.join(F.broadcast(edges))
+    joined = join_same(df, edges, by)
     return joined.withColumn(out, F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
 
 
@@ -43,7 +89,7 @@ def with_average_rank(df: DataFrame, value: str, by: list[str], out: str) -> Dat
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy(*by, "_b").agg(F.count("*").alias("_n")).withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     rank = F.rank().over(Window.partitionBy(*by, "_b").orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, "_b", value)) - 1) / 2
-    return rows.withColumn("_r", rank).join(offsets, [*by, "_b"]).withColumn(out, F.col("_r") + F.col("_o")).drop("_r", "_o", "_b")
+    return join_same(rows.withColumn("_r", rank), offsets, [*by, "_b"]).withColumn(out, F.col("_r") + F.col("_o")).drop("_r", "_o", "_b")
 
 
 def rank_ic(df: DataFrame, feature: str, target: str, *by: str) -> DataFrame:
@@ -112,8 +158,7 @@ def threshold_means(df: DataFrame, feature: str, value: str, grid: list[float],
 
 def tau_scan(df: DataFrame, score: str, value: str, qs: list[float]) -> DataFrame:
     """For each quantile of the score: the threshold, rows beyond it and their mean value."""
-    edges = df.agg(F.percentile(score, F.array(*map(F.lit, qs))).alias("_q")).select(F.posexplode("_q").alias("_i", "threshold"))
-    edges = edges.withColumn("q", F.array(*map(F.lit, qs))[F.col("_i")])
+    edges = df.sparkSession.createDataFrame(list(zip(qs, exact_quantiles(df, score, qs))), "q double, threshold double")
     return df.select(score, value).join(F.broadcast(edges), F.col(score) >= F.col("threshold")).groupBy("q", "threshold").agg(F.count("*").alias("trades"), F.avg(value).alias("mean_r"))
 
 
@@ -125,11 +170,11 @@ def plateau_update(new: Column, last: Column) -> Column:
 
 def psi(current: DataFrame, reference: DataFrame, feature: str, bins: int = 10, floor: float = 1e-6) -> DataFrame:
     """Population stability index over the reference's quantile bins."""
-    edges = reference.agg(F.percentile(feature, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("edges"))
-    bin_ = lambda e: F.aggregate(e, F.lit(0), lambda t, x: t + F.when(F.col(feature) > x, 1).otherwise(0))
+    edges = exact_quantiles(reference, feature, [i / bins for i in range(1, bins)])
+    bin_ = sum((F.when(F.col(feature) > e, 1).otherwise(0) for e in edges if e is not None), F.lit(0))
 
     def shares(df: DataFrame, name: str) -> DataFrame:
-        counted = df.where(F.col(feature).isNotNull()).join(F.broadcast(edges)).groupBy(bin_(F.col("edges")).alias("bin")).agg(F.count("*").alias("_n"))
+        counted = df.where(F.col(feature).isNotNull()).groupBy(bin_.alias("bin")).agg(F.count("*").alias("_n"))
         return counted.join(F.broadcast(counted.agg(F.sum("_n").alias("_t")))).select("bin", (F.col("_n") / F.col("_t")).alias(name))
 
     both = shares(current, "a").join(shares(reference, "e"), "bin", "full")
@@ -158,4 +203,4 @@ def ks_distance(df: DataFrame, feature: str, label: str) -> DataFrame:
 def eval_metrics(df: DataFrame, pred: str, target: str) -> DataFrame:
     """Accuracy of the signs, correlation, mean absolute error and rank IC per symbol."""
     plain = df.groupBy("symbol").agg(F.avg((F.signum(pred) == F.signum(target)).cast("double")).alias("accuracy"), correlation(pred, target).alias("pearson"), F.avg(F.abs(F.col(pred) - F.col(target))).alias("mae"))
-    return plain.join(rank_ic(df, pred, target, "symbol").drop("n"), "symbol")
+    return join_same(plain, rank_ic(df, pred, target, "symbol").drop("n"), ["symbol"])

@@ -36,24 +36,28 @@ def atr(df: DataFrame, n: int = 14, out: str = "atr") -> DataFrame:
 
 
 def ema(df: DataFrame, c: str, alpha: float, out: str, block: int = 256) -> DataFrame:
-    """Exponential average, seeded with the first value: y = alpha x + (1 - alpha) y before.
+    """Exponential average, seeded with the first value: y = alpha x + (1 - alpha) y before; a null x leaves y as it is.
 
     A linear recursion is a block-wise affine scan: within blocks of `block` bars the sum of x q^-k scaled by q^k
     (all weights positive, so nothing cancels), then one short fold over the blocks of a symbol for what they carry
     on. Long series spread over many tasks by (symbol, block).
     """
     q = 1.0 - alpha
-    rows = df.withColumn("_n", F.row_number().over(order()) - 1).withColumn("_b", F.floor(F.col("_n") / block)).withColumn("_k", F.col("_n") % block)
-    inside = Window.partitionBy("symbol", "_b").orderBy("_n")
+    so_far = order().rowsBetween(Window.unboundedPreceding, 0)
+    if q <= 0:
+        return df.withColumn(out, F.last(F.col(c).cast("double"), ignorenulls=True).over(so_far))
+    block = max(1, min(block, int(200 / -math.log10(q)))) if q < 1 else block  # weights stay within doubles
+    rows = df.withColumn("_n", F.count(c).over(so_far) - 1).withColumn("_b", F.floor(F.col("_n") / block)).withColumn("_k", F.col("_n") % block)
+    inside = Window.partitionBy("symbol", "_b").orderBy("ts")
     weight = F.when(F.col("_n") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
     rows = rows.withColumn("_s", F.sum(F.col(c) * weight * F.pow(F.lit(q), -F.col("_k"))).over(inside.rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(q), F.col("_k")))
-    ends = rows.groupBy("symbol", "_b").agg(F.max_by("_s", "_n").alias("e"), (F.max("_k") + 1).alias("len"))
+    ends = rows.where("_n >= 0").groupBy("symbol", "_b").agg(F.max_by("_s", "_n").alias("e"), (F.max("_k") + 1).alias("len"))
     chain = ends.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("_b", "e", "len"))).alias("blocks"))
     step = lambda acc, x: F.array_append(acc, x["e"] + F.pow(F.lit(q), x["len"]) * F.coalesce(F.element_at(acc, -1), F.lit(0.0)))
     carried = chain.select("symbol", F.aggregate("blocks", F.array().cast("array<double>"), lambda acc, x: F.when(F.size(acc) == 0, F.array(x["e"])).otherwise(step(acc, x))).alias("y"))
     carried = carried.select("symbol", F.posexplode("y").alias("_p", "_carry")).select("symbol", (F.col("_p") + 1).cast("long").alias("_b"), "_carry")
     joined = rows.join(carried, ["symbol", "_b"], "left")
-    return joined.withColumn(out, F.col("_s") + F.coalesce(F.col("_carry"), F.lit(0.0)) * F.pow(F.lit(q), F.col("_k") + 1)).drop("_n", "_b", "_k", "_s", "_carry")
+    return joined.withColumn(out, F.when(F.col("_n") >= 0, F.col("_s") + F.coalesce(F.col("_carry"), F.lit(0.0)) * F.pow(F.lit(q), F.col("_k") + 1))).drop("_n", "_b", "_k", "_s", "_carry")
 
 
 def span(n: int) -> float:
@@ -79,6 +83,17 @@ def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> Data
     return df.withColumn("macd_atr", F.col("macd") / F.nullif("_atr", F.lit(0.0))).withColumn("ppo", F.col("macd") / F.col("_slow")).drop("_fast", "_slow", "_atr")
 
 
+def macdext(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, kinds: tuple[str, str, str] = ("ema", "ema", "ema")) -> DataFrame:
+    """macd with a kind of average (ema or sma) for each of its three lines."""
+
+    def average(df: DataFrame, c: str, n: int, out: str, kind: str) -> DataFrame:
+        return ema(df, c, span(n), out) if kind == "ema" else df.withColumn(out, F.avg(c).over(over(n)))
+
+    df = average(average(df, "close", fast, "_fast", kinds[0]), "close", slow, "_slow", kinds[1]).withColumn("macdext", F.col("_fast") - F.col("_slow"))
+    df = average(df, "macdext", signal, "macdext_signal", kinds[2]).drop("_fast", "_slow")
+    return df.withColumn("macdext_histogram", F.col("macdext") - F.col("macdext_signal"))
+
+
 def rsi(df: DataFrame, n: int = 14) -> DataFrame:
     """100 gain / (gain + loss) over the mean gains and losses of n bars; 50 where nothing moved."""
     d = F.col("close") - lag("close")

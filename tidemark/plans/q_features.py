@@ -61,6 +61,8 @@ feature("W05_sma", lambda b: W.sma(b, 50), {"sma": "s", "sma_position": "(close
 _MACD = [TR, ATR, ema_cte("f", "close", W.span(12), "atr"), ema_cte("s", "close", W.span(26), "f"), "m AS (SELECT *, f_v - s_v AS macd FROM s)", ema_cte("g", "macd", W.span(9), "m")]
 feature("W06_macd", W.macd, {"macd": "macd", "macd_signal": "g_v", "macd_histogram": "macd - g_v", "macd_atr": "macd / nullif(atr_v, 0)"}, _MACD, "g")
 feature("W50_ppo", W.macd, {"ppo": "macd / s_v", "macd_signal": "g_v"}, _MACD, "g")
+_EXT = [f"e AS (SELECT *, avg(close) OVER {w(12)} - avg(close) OVER {w(26)} AS x FROM bars)", f"x AS (SELECT *, avg(x) OVER {w(9)} AS sg FROM e)"]
+feature("W50_macdext", lambda b: W.macdext(b, kinds=("sma", "sma", "sma")), {"macdext": "x", "macdext_signal": "sg", "macdext_histogram": "x - sg"}, _EXT, "x")
 _RSI = [MOVE, f"x AS (SELECT *, avg(CASE WHEN d IS NOT NULL THEN greatest(d, 0) END) OVER {w(14)} AS g, avg(CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END) OVER {w(14)} AS l FROM mv)"]
 feature("W07_rsi", W.rsi, {"rsi": "CASE WHEN g + l > 0 THEN 100 * g / (g + l) WHEN g IS NOT NULL THEN 50 END"}, _RSI, "x")
 _ADX = [

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import rules as R
 from tidemark.operators import windows as W
+from tidemark.operators.statistics import exact_quantiles
 from tidemark.plans.catalog import query
 from tidemark.plans.q_features import ATR, MOVE, TR, cte, ema_cte, w
 from tidemark.plans.views import BARS, LABELED, bars, labeled
@@ -126,7 +127,14 @@ def map_values(spark, sf_dir):
     return R.post_filters(rows(spark, sf_dir).select("symbol", "ts", F.signum("roc").cast("int").alias("label")), "label", {-1: 0, 0: 1, 1: 2})
 
 
-on_rows("P24_ensure_column", {"position_set": "position IS NOT NULL", "extra": "0.5::DOUBLE"})(lambda df: {"position_set": R.ensure_column(df, "position", 0.0)["position"].isNotNull(), "extra": F.lit(0.5)})
+
+
+@query("P24_ensure_column", f"WITH RECURSIVE {ROWS} SELECT symbol, ts, round(position, 6) AS position, 0.5::DOUBLE AS extra FROM f")
+def ensure_column(spark, sf_dir):
+    df = R.ensure_column(R.ensure_column(rows(spark, sf_dir), "position", 0.0), "extra", 0.5)
+    return df.select("symbol", "ts", F.round("position", 6).alias("position"), "extra")
+
+
 _CATALOGUE = [("macd_f", ["macd", "macd_signal", "macd_histogram"]), ("box_f", ["box_pos", "box_width"])]
 
 
@@ -159,16 +167,24 @@ def allow_globs(spark, sf_dir):
 
 
 on_rows("P27_near_sr", {"near": "coalesce((close - lo) / close * close / nullif(atr, 0) <= 1.0, false)"})(lambda df: {"near": R.near_sr((F.col("close") - F.min("low").over(W.over(20))) / F.col("close"), F.col("close"), F.col("atr"), 1.0)})
-on_rows("P28_symbol_filter", {"chosen": "symbol IN ('click', 'view')", "every": "true"})(lambda df: {"chosen": F.col("symbol").isin("click", "view") & R.symbol_filter("ALL"), "every": R.symbol_filter("*")})
-on_rows("P29_chop_column", {"chop": "round(box_pos, 6)", "mode": "'raw'"})(lambda df: {"chop": F.round("box_pos", 6), "mode": F.lit("raw")})
+on_rows("P28_symbol_filter", {"chosen": "symbol IN ('click', 'view')", "left_over": "symbol NOT IN ('click')", "every": "true"})(
+    lambda df: {"chosen": R.symbol_filter(" click, VIEW"), "left_over": R.symbol_filter(["*"], ["Click"]), "every": R.symbol_filter("")}
+)
+
+
+@query("P29_chop_column", f"WITH RECURSIVE {ROWS} SELECT symbol, ts, round(box_pos, 6) AS chop, round(volume_ratio, 6) AS chop_q FROM f")
+def chop_column(spark, sf_dir):
+    df = rows(spark, sf_dir).withColumn("semantic_chop", F.col("box_pos")).withColumn("semantic_chop_ts_q", F.col("volume_ratio"))
+    return df.select("symbol", "ts", F.round(R.chop_column("raw"), 6).alias("chop"), F.round(R.chop_column("ts_quantile"), 6).alias("chop_q"))
+
+
 _Q = ["q AS (SELECT quantile_cont(volume_ratio, 0.9) AS hi, quantile_cont(roc, 0.1) AS lo FROM f)", "fq AS (SELECT f.*, q.hi AS vq, q.lo AS rq FROM f CROSS JOIN q)"]
 
 
 @query("P30_evidence_quantile", f"WITH RECURSIVE {', '.join([ROWS, *_Q])} SELECT symbol, ts, coalesce(volume_ratio > vq, false) AS volume_high, coalesce(roc < rq, false) AS roc_low FROM fq")
 def evidence_quantile(spark, sf_dir):
     df = rows(spark, sf_dir)
-    edges = df.agg(F.percentile("volume_ratio", F.lit(0.9)), F.percentile("roc", F.lit(0.1))).first()
-    known = {("volume_ratio", 0.9): edges[0], ("roc", 0.1): edges[1]}
+    known = {(c, q): exact_quantiles(df, c, [q])[0] for c, q in (("volume_ratio", 0.9), ("roc", 0.1))}
     return df.select("symbol", "ts", R.evidence(known, "volume_ratio", "quantile_gt", 0.9).alias("volume_high"), R.evidence(known, "roc", "quantile_lt", 0.1).alias("roc_low"))
 
 
@@ -227,6 +243,14 @@ def eligibility(spark, sf_dir):
     return R.eligibility(features, o.where("o_totalprice > 499000").select("symbol", F.col("o_orderstatus").alias("status")))
 
 
-on_rows("P40_attach_subject", {"subject": _c("position >= 0.1 AND volume_ratio > 1")})(lambda df: {"subject": R.clause("position >= 0.1 AND volume_ratio > 1")})
+
+
+@query("P40_attach_subject", f"WITH RECURSIVE {ROWS} SELECT symbol, ts, {_c('position >= 0.1 AND volume_ratio > 1')} AS by_expression, round(roc, 6) AS by_feature, {_c('position >= 0.1')} AND {_c('volume_ratio > 1')} AS by_rules FROM f")
+def attach_subject(spark, sf_dir):
+    df = R.attach_subject(rows(spark, sf_dir), {"name": "by_expression", "expression": "position >= 0.1 AND volume_ratio > 1"})
+    df = R.attach_subject(R.attach_subject(df, {"name": "by_feature", "feature": "roc"}), {"name": "by_rules", "rules": [UP, LOUD]})
+    return df.select("symbol", "ts", "by_expression", F.round("by_feature", 6).alias("by_feature"), "by_rules")
+
+
 on_rows("P41_size_bucket", {"size": "CASE regime WHEN 'up' THEN 1.0 WHEN 'down' THEN 0.5 ELSE 0.25 END::DOUBLE"})(lambda df: {"size": R.size_bucket(F.col("regime"), {"up": 1.0, "down": 0.5, "default": 0.25})})
 on_rows("P42_block_on_exit", {"entry": f"{_c('position >= 0.1')} AND NOT {_c('roc < 0')}"})(lambda df: {"entry": R.block_on_exit(F.col("position") >= 0.1, F.col("roc") < 0)})

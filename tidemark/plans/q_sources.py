@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.bars import bars_bounds
 from tidemark.plans.catalog import query
 from tidemark.plans.views import AUX, BARS, LABELED, TICKS, aux, bars, labeled, ticks
-from tidemark.session import shared_dir, table
+from tidemark.session import cut, shared_dir, table
 from tidemark.sources import store as S
 
 
@@ -29,21 +29,22 @@ def scan_range(spark, sf_dir):
     return S.scan_range(bars(spark, sf_dir), max_days=7).select("symbol", "ts")
 
 
-@query("S03_scan_feature_dir", f"WITH {BARS} SELECT upper(symbol) AS symbol, count(*) AS n FROM bars WHERE symbol IN ('click', 'view') GROUP BY 1")
+@query("S03_scan_feature_dir", f"WITH {BARS} SELECT upper(symbol) AS symbol, count(*) AS n FROM bars GROUP BY 1")
 def scan_feature_dir(spark, sf_dir):
     home = _home(spark)
-    for symbol in ("click", "view"):
-        bars(spark, sf_dir).where(F.col("symbol") == symbol).drop("symbol").coalesce(1).write.parquet(f"{home}/features_{symbol.upper()}.parquet")
-    df = spark.read.option("recursiveFileLookup", "true").parquet(home)
-    return df.withColumn("symbol", F.regexp_extract(F.col("_metadata.file_path"), r"features_([^/.]+)\.parquet", 1)).groupBy("symbol").agg(F.count("*").alias("n"))
+    b = cut(bars(spark, sf_dir))
+    for r in b.select("symbol").distinct().collect():  # a folder per symbol, as feature builds write them
+        b.where(F.col("symbol") == r.symbol).drop("symbol").write.parquet(f"{home}/features_{r.symbol.upper()}.parquet")
+    return S.scan_feature_dir(spark, home).groupBy("symbol").agg(F.count("*").alias("n"))
 
 
-@query("S04_store_write_month", f"WITH {BARS} SELECT symbol, ts, open, CASE WHEN n % 2 = 0 THEN close END AS close FROM bars WHERE symbol = 'view'")
+@query("S04_store_write_month", f"WITH {BARS} SELECT symbol, ts, open, CASE WHEN n % 2 = 0 THEN close END AS close, CASE WHEN n % 3 = 0 THEN high END AS high FROM bars")
 def store_write(spark, sf_dir):
-    home, b = _home(spark), bars(spark, sf_dir).where("symbol = 'view'")
+    home, b = _home(spark), cut(bars(spark, sf_dir))
     S.store_write(b.select("symbol", "ts", "open"), home, "core", "120T")
     S.store_write(b.where("n % 2 = 0").select("symbol", "ts", "close"), home, "core", "120T")
-    return spark.read.option("mergeSchema", "true").parquet(f"{home}/layer=core/timeframe=120T").select("symbol", "ts", "open", "close")
+    S.store_write(b.where("n % 3 = 0").select("symbol", "ts", "high"), home, "core", "120T")
+    return spark.read.option("mergeSchema", "true").parquet(f"{home}/layer=core/timeframe=120T").select("symbol", "ts", "open", "close", "high")
 
 
 @query("S05_store_read_month", f"WITH {BARS} SELECT symbol, ts, open FROM bars WHERE symbol = 'click' AND strftime(ts, '%Y-%m') = '2024-01'")
@@ -58,9 +59,9 @@ def layer_id(spark, sf_dir):
     return S.layer_id(table(spark, sf_dir, "events").select(F.col("event_type").alias("feature")), "core", "120T")
 
 
-@query("S07_scan_klines", "SELECT date_trunc('millisecond', ts) AS ts, value AS open, value AS close FROM events WHERE event_type = 'view'")
+@query("S07_scan_klines", "SELECT date_trunc('millisecond', ts) AS ts, value AS open, value AS close FROM events")
 def scan_klines(spark, sf_dir):
-    home, e = _home(spark), table(spark, sf_dir, "events").where("event_type = 'view'")
+    home, e = _home(spark), table(spark, sf_dir, "events")
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     unit = F.when(F.col("event_id") % 2 == 0, ms).otherwise(ms * 1000)
     e.select(unit.alias("open_time"), *(F.col("value").alias(c) for c in ("open", "high", "low", "close")), F.lit(1.0).alias("volume"), ms.alias("close_time"), *(F.lit(0).alias(c) for c in S.KLINE[7:])).write.csv(home)
@@ -97,9 +98,7 @@ def export_window(spark, sf_dir):
 @query("S12_scan_stage_logs", "SELECT event_type AS stage, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def stage_logs(spark, sf_dir):
     home = _home(spark)
-    e = table(spark, sf_dir, "events")
-    for r in e.select("event_type").distinct().collect():  # a folder per stage, as the stages write them
-        e.where(F.col("event_type") == r[0]).select("event_id", "value").write.json(f"{home}/{r[0]}")
+    table(spark, sf_dir, "events").select("event_id", "value", F.col("event_type").alias("stage")).write.partitionBy("stage").json(home)
     return S.scan_stage_logs(spark, home).groupBy("stage").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
@@ -116,17 +115,25 @@ def scan_aux(spark, sf_dir):
     return bars_bounds(spark.read.parquet(home))
 
 
-@query("S15_summarize_results", "SELECT p_brand AS strategy, round(avg(p_retailprice), 4) AS cv, round(max(p_retailprice), 4) AS sharpe, count(*) AS trades FROM part GROUP BY 1")
+@query("S15_summarize_results", "SELECT p_brand AS strategy, round(avg(p_retailprice), 4) AS cv_score, round(max(p_retailprice), 4) AS sharpe, round(min(p_retailprice), 4) AS max_drawdown_pct, count(*) AS total_trades, CAST(count(*) FILTER (p_size > 25) AS VARCHAR) AS entries, CAST(count(DISTINCT p_type) AS VARCHAR) AS label_kinds FROM part GROUP BY 1")
 def summarize(spark, sf_dir):
     home = _home(spark)
-    g = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("strategy")).agg(F.struct(F.round(F.avg("p_retailprice"), 4).alias("cv"), F.round(F.max("p_retailprice"), 4).alias("sharpe"), F.count("*").alias("trades")).alias("metrics"))
+    price, named = F.col("p_retailprice"), lambda **c: F.struct(*(v.alias(k) for k, v in c.items()))
+    entries = named(entries_exits=named(total_entries=F.count(F.when(F.col("p_size") > 25, 1))))
+    g = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("strategy")).agg(
+        named(Sharpe_mean=F.round(F.avg(price), 4)).alias("cv"),
+        named(sharpe=F.round(F.max(price), 4), max_drawdown_pct=F.round(F.min(price), 4), total_trades=F.count("*"), diagnostics=entries).alias("backtest"),
+        named(labels=named(kinds=F.countDistinct("p_type"))).alias("diagnostics"),
+    )
     g.write.json(home)
-    return spark.read.json(home).select("strategy", F.col("metrics.cv").alias("cv"), F.col("metrics.sharpe").alias("sharpe"), F.col("metrics.trades").alias("trades"))
+    got = S.summarize_results(spark, home)
+    return got.select("strategy", "cv_score", "sharpe", "max_drawdown_pct", "total_trades", F.col("entries_exits.total_entries").alias("entries"), F.col("label_summary.kinds").alias("label_kinds"))
 
 
-@query("S16_parse_summary", "SELECT coalesce(sum(l_linenumber), 0)::BIGINT AS trades, coalesce(avg(l_discount), 0) AS sharpe FROM lineitem WHERE l_quantity > 1000")
+@query("S16_parse_summary", "SELECT coalesce(sum(l_linenumber), 0)::BIGINT AS trades, round(coalesce(avg(l_discount), 0), 6) AS sharpe FROM lineitem")
 def parse_summary(spark, sf_dir):
-    return S.parse_summary(table(spark, sf_dir, "lineitem").where("l_quantity > 1000").select(F.col("l_linenumber").alias("trades"), F.col("l_discount").alias("sharpe")))
+    got = S.parse_summary(table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("trades"), F.col("l_discount").cast("double").alias("sharpe")))
+    return got.withColumn("sharpe", F.round("sharpe", 6))
 
 
 @query("S17_validate_window", f"WITH {LABELED} SELECT 'feature' AS feature, count(feature) AS n FROM labeled UNION ALL SELECT 'label', count(label) FROM labeled")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +27,16 @@ def build_session(master: str = "local[8]", partitions: int = 8, app: str = "tid
     )
 
 
+def is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Python workers import this package from where the driver has it, as --py-files would do."""
+    """Python workers import this package: on one machine from where the driver has it, on a cluster from a copy that Spark sends, once a session."""
+    if not is_local(spark) and not getattr(spark.sparkContext, "_has_tidemark", False):
+        own = tempfile.mkdtemp(prefix="tidemark-")  # the driver serves the copy from here to all executors
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{own}/tidemark", "zip", ROOT, "tidemark"))
+        spark.sparkContext._has_tidemark = True
     environment = spark.sparkContext.environment
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
@@ -35,9 +44,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; only where it is unset, a folder of our own."""
+    """The folder that all executors share: spark.checkpoint.dir; only where it is unset and the master is local, a folder of our own."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
+    if not named and not is_local(spark) and context._jsc.sc().getCheckpointDir().isEmpty():
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return named or context._jsc.sc().getCheckpointDir().get()

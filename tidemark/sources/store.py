@@ -39,9 +39,9 @@ def scan_range(df: DataFrame, start: str | None = None, end: str | None = None,
 
 
 def scan_feature_dir(spark: SparkSession, directory: str) -> DataFrame:
-    """Files features_<SYMBOL>.parquet of a directory, the symbol taken from the name."""
-    df = spark.read.parquet(f"{directory}/features_*.parquet")
-    return df.withColumn("symbol", F.regexp_extract(F.col("_metadata.file_name"), r"features_(.+?)(?:\.|%2E)parquet$", 1))
+    """Files (or folders of part files) features_<SYMBOL>.parquet of a directory, the symbol taken from the name."""
+    df = spark.read.option("recursiveFileLookup", "true").parquet(f"{directory}/features_*.parquet")
+    return df.withColumn("symbol", F.regexp_extract(F.col("_metadata.file_path"), r"features_([^/]+?)(?:\.|%2E)parquet", 1))
 
 
 def store_write(df: DataFrame, root: str, layer: str, timeframe: str, merge_existing: bool = True) -> None:
@@ -51,7 +51,7 @@ def store_write(df: DataFrame, root: str, layer: str, timeframe: str, merge_exis
     new = df.withColumn("month", F.date_format("ts", "yyyy-MM"))
     if merge_existing:
         try:
-            old = spark.read.parquet(path)
+            old = spark.read.option("mergeSchema", "true").parquet(path)
         except Exception as error:  # the first write has nothing to merge with
             if "PATH_NOT_FOUND" not in str(error):
                 raise
@@ -120,8 +120,8 @@ def export_window(df: DataFrame, days: int) -> DataFrame:
 
 
 def scan_stage_logs(spark: SparkSession, base: str) -> DataFrame:
-    """JSON lines of <base>/<stage>/*, with the stage from the path."""
-    return spark.read.json(f"{base}/*/*").withColumn("stage", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+    """JSON lines of <base>/<stage>/* or <base>/stage=<stage>/*, with the stage from the path."""
+    return spark.read.json(f"{base}/*/*").withColumn("stage", F.regexp_extract(F.col("_metadata.file_path"), r"(?:stage=)?([^/=]+)/[^/]+$", 1))
 
 
 def missing_months(spark: SparkSession, start: str, end: str, files: DataFrame, force: bool = False) -> DataFrame:
@@ -130,10 +130,19 @@ def missing_months(spark: SparkSession, start: str, end: str, files: DataFrame,
     return every if force else every.join(files.select("month").distinct(), "month", "left_anti")
 
 
-def summarize_results(spark: SparkSession, path: str) -> DataFrame:
-    """One row per strategy of nested result documents."""
-    df = spark.read.option("multiLine", True).json(path)
-    return df.select("strategy", F.col("metrics.cv").alias("cv"), F.col("metrics.sharpe").alias("sharpe"), F.col("metrics.trades").alias("trades"))
+def summarize_results(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """One row per result document {strategy, cv, backtest, diagnostics}: scores, and the diagnostics as JSON; what is absent is null.
+
+    Documents are JSON lines, or with whole_files a file each; a document without `strategy` takes its folder's name.
+    """
+    schema = "strategy string, cv struct<Sharpe_mean: double>, backtest struct<sharpe: double, total_return_pct: double, max_drawdown_pct: double, total_trades: long, diagnostics: struct<entries_exits: map<string, string>>>, diagnostics struct<labels: map<string, string>, predictions: map<string, string>>"
+    text = spark.read.text(path, wholetext=whole_files).select("value", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("folder"))
+    r = text.select("folder", F.from_json("value", schema).alias("r")).where(F.col("r").isNotNull())
+    return r.select(
+        F.coalesce("r.strategy", "folder").alias("strategy"), F.col("r.cv.Sharpe_mean").alias("cv_score"), F.col("r.backtest.sharpe").alias("sharpe"),
+        F.col("r.backtest.total_return_pct").alias("total_return_pct"), F.col("r.backtest.max_drawdown_pct").alias("max_drawdown_pct"), F.col("r.backtest.total_trades").alias("total_trades"),
+        F.col("r.backtest.diagnostics.entries_exits").alias("entries_exits"), F.col("r.diagnostics.labels").alias("label_summary"), F.col("r.diagnostics.predictions").alias("pred_summary"),
+    )
 
 
 def parse_summary(df: DataFrame) -> DataFrame:

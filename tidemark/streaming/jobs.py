@@ -21,9 +21,9 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks from event files; each goes through its message form, JSON with the fields at the root or under `data`."""
-    events = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+def tick_stream(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
+    """Ticks from the files of the events table, a file or a folder of them; each goes through its message form, JSON with the fields at the root or under `data`."""
+    events = spark.readStream.schema(EVENTS).options(**({"maxFilesPerTrigger": files} if files else {})).parquet(f"{sf_dir}/event[s].parquet")  # a pattern: a stream's path may not be a file
     fields = F.struct(F.col("event_type").alias("s"), F.col("value").alias("p"), F.get_json_object("props", "$.k").cast("double").alias("q"))
     message = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(fields.alias("data")))).otherwise(F.to_json(fields))
     parsed = F.from_json(message, "s string, p double, q double, data struct<s: string, p: double, q: double>")
