@@ -6,6 +6,7 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, ngram_join, packing, quality_rules
 from tidemark.llm.components import components
@@ -74,6 +75,23 @@ def test_ngram_join_on_planted_groups(spark, frequent):
     assert found(ngram_join.ngram_components(df, frequent=frequent)) == brute_components(rows, 3, 90)
 
 
+@pytest.mark.parametrize("pairs", [0, 1 << 40])
+def test_ngram_join_on_one_template(spark, pairs, monkeypatch):
+    """Documents of one template with few and many words of their own: some link by chance, most don't."""
+    monkeypatch.setattr(ngram_join, "PAIRS", pairs)  # 0: leads are drawn again and again; else all pairs with room at once
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    template = [word() for _ in range(160)]
+    rows = []
+    for k in range(150):
+        text = template[:]
+        for at in rng.sample(range(160), rng.choice([1, 2, 3, 5])):
+            text[at] = word()
+        rows.append((k, " ".join(text[: rng.choice([150, 155, 160])])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert found(ngram_join.ngram_components(df, frequent=16)) == brute_components(rows, 3, 90)
+
+
 def test_keep_one(spark, docs):
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
@@ -128,6 +146,18 @@ def test_hamming_search_is_complete():
     assert set(zip(at.tolist(), mark.tolist())) == want and (distance <= decontamination.RADIUS).all()
 
 
+def test_pipeline_stages_on_odd_rows(spark, odd, sf_dir):
+    plain = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    extra = plain.withColumn("length", F.lit("x")).withColumn("component", F.lit(1)).withColumn("centre", F.lit(2.0))
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (extra, extra.limit(0), extra.withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.lit(None).cast("long"))):
+            got = stage(spark, docs, sf_dir)
+            if name == "best_fit_packing":
+                assert got.select("doc_id", "piece").count() >= docs.count()
+            else:
+                assert got.columns == docs.columns and got.exceptAll(docs).count() == 0
+
+
 def test_pipeline_equals_its_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     left = [tuple(r) for r in docs.collect()]

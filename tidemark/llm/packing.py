@@ -192,7 +192,8 @@ def program(demand: np.ndarray, capacity: int, rounds: int = 120, step: float =
     length is covered or no configuration is used any more.
     """
     sizes, there = (np.arange(capacity + 1) / capacity) ** LARGE_FIRST, demand > 0
-    cover, used, bound = np.zeros(capacity + 1), defaultdict(float), 0.0
+    cover, used = np.zeros(capacity + 1), defaultdict(float)
+    bound = float((demand * np.arange(capacity + 1)).sum() / capacity)  # sizes are a dual solution, too
     for k in range(rounds):
         open_ = there & (cover < 1 - 1e-9)
         if not open_.any():
