@@ -285,7 +285,7 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, frequent: i
     base = cut(texts.mapInArrow(_describe(n, percent), "doc_id long, n long, one long, two long, parity array<long>, first array<long>"))
     filled = base.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     repeats = bool(base.groupBy("doc_id").count().where("count > 1").limit(1).count())
-    classes = filled.groupBy("n", "one", "two").agg(F.min("doc_id").alias("id"))
+    classes = cut(filled.groupBy("n", "one", "two").agg(F.min("doc_id").alias("id")))  # cut: so the join's partitions of a crowd of copies can be split
     members = filled.select("doc_id", "n", "one", "two").join(classes, ["n", "one", "two"]).select("doc_id", "one", "id")
     members = cut(members.distinct() if repeats else members)
     copies = members.where("doc_id <> id").select("doc_id", "one")
