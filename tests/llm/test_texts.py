@@ -315,28 +315,96 @@ def test_gated_model_sums_to_one_and_gradients_help():
     assert np.allclose(gated_model.score(model, long, most=2), alone, atol=1e-3)  # state is carried, and starts anew with each text
 
 
+def plain_kneser_ney(rows, own, most):
+    """Log loss of every row's words by a plain interpolated modified Kneser-Ney model of pairs; its own counts left out of a trusted row's."""
+    seen = Counter(w for i, t in rows if i in own and t for w in t.encode().split())
+    top = [w for n, w in sorted((-n, w) for w, n in seen.items() if n > 1)][:most]
+
+    def tokens(text):
+        for w in (text or "").encode().split():
+            yield from [w] if w in top else [*w, "stop"]
+        yield "end"
+
+    def pairs(text):
+        return list(zip(["end", *tokens(text)], tokens(text)))
+
+    def taken(values):
+        n = [max(sum(v == k for v in values), 1) for k in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1])
+        found = [0] + [k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)]
+        return [0, *(min(max(d, 0.1 * k), 0.9 * k) for k, d in enumerate(found[1:], 1))]
+
+    count = Counter(p for i, t in rows if i in own and t for p in pairs(t))
+    first, ends = Counter(), Counter(w for _, w in count)
+    left, gone = Counter(), taken(count.values())
+    for (v, _), n in count.items():
+        first[v] += n
+        left[v] += gone[min(n, 3)]
+    alone = taken(ends.values())
+    spare = sum(alone[min(k, 3)] for k in ends.values()) / max(len(count), 1) if count else 1.0
+
+    def single(w):
+        return (ends[w] - alone[min(ends[w], 3)]) / max(len(count), 1) + spare / (256 + len(top))
+
+    for i, t in rows:
+        mine, loss = Counter(pairs(t)), 0.0
+        for (v, w), n in mine.items():
+            c = max(count[v, w] - (n if i in own else 0), 0)
+            p = (c - gone[min(c, 3)]) / first[v] + left[v] / first[v] * single(w) if first[v] else single(w)
+            loss -= n * math.log(p)
+        yield i, loss, len((t or "").split())
+
+
 def test_perplexity_filter(docs, labels, rows):
     trusted = labels.where("quality = 1")
     got = perplexity.perplexity_filter(docs, trusted)
     one = by_id(got)
     assert got.count() == docs.count()
-    assert one[9001]["perplexity"] is None and not one[9001]["keep"] and not one[9002]["keep"]
+    for i in (9001, 9002, 9003):  # null, empty, white space
+        assert one[i]["perplexity"] is None and not one[i]["keep"] and one[i]["n_words"] == 0
     judged = got.join(labels, "doc_id")
     assert judged.where("quality = 1 and keep").count() >= 0.95 * judged.where("quality = 1").count()
     assert judged.where("quality = 0 and not keep").count() >= 0.8 * judged.where("quality = 0").count()
-    assert perplexity.perplexity_filter(docs, trusted.limit(0)).where("not keep and n_chars > 0").count() == 0
+    assert perplexity.perplexity_filter(docs, trusted.limit(0)).where("not keep and n_words > 0").count() == 0
     assert perplexity.perplexity_filter(docs.limit(0), trusted).count() == 0
 
 
-def test_kneser_ney_is_a_distribution():
-    table = np.zeros(perplexity.SYMBOLS**perplexity.ORDER, np.int64)
-    code, _ = perplexity.grams(["The cat sat on the mat.", "A dog!\nAnd more: 12 é"])
-    np.add.at(table, code, 1)
-    p = np.exp(perplexity.kneser_ney(table)).reshape(-1, perplexity.SYMBOLS)
-    assert np.allclose(p.sum(1), 1, atol=1e-9) and (p > 0).all()
-    flat = [29, 29, 29, *perplexity.symbols("ab").tolist()]
-    want = [((flat[i] * 41 + flat[i + 1]) * 41 + flat[i + 2]) * 41 + flat[i + 3] for i in range(2)]
-    assert perplexity.grams(["ab"])[0].tolist() == want
+@pytest.mark.parametrize("most", [perplexity.WORDS, 3])
+def test_perplexity_is_that_of_a_plain_kneser_ney_model(spark, odd, most):
+    texts = ["the cat sat on the mat", "the cat ate the rat\nthe end", "ein Hund, ein Haus é", "the cat sat on the mat", "a b a b a b a c", "x" * 300, "漢字 漢字"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(r["doc_id"], r["text"]) for r in odd.collect()]
+    own = {0, 1, 2, 4, 6, 9001, 9003, 9008, 9010}
+    docs = spark.createDataFrame([(i, t, "en", 0) for i, t in rows], "doc_id long, text string, lang string, loss int").repartition(3)
+    trusted = spark.createDataFrame([(i,) for i in own] * 2, "doc_id long")
+    got = [(r["doc_id"], r["n_words"], r["perplexity"]) for r in perplexity.perplexity_filter(docs, trusted, words=most).collect()]
+    want = [(i, n, loss) for i, loss, n in plain_kneser_ney(rows, own, most)]
+    assert len(got) == len(want)
+    for (i, n, p), (k, m, loss) in zip(sorted(got, key=str), sorted(want, key=str)):
+        assert (i, n) == (k, m) and (p is None) == (m == 0)
+        assert p is None or (loss / m > 709 if math.isinf(p) else math.log(p) == pytest.approx(loss / m, rel=1e-9))  # past a double's range
+
+
+def test_kneser_ney_is_a_distribution_and_blocks_are_whole():
+    get = {b"\n": perplexity.END, b"cat": 256, b"the": 257}.get
+    mixed, place = perplexity.pairs(["the cat saw the cat", "", "the é"], get)
+    v, w = perplexity.unmixed(mixed)
+    stop, end = perplexity.STOP, perplexity.END
+    assert w.tolist() == [257, 256, *b"saw", stop, 257, 256, end, end, 257, 0xC3, 0xA9, stop, end]
+    assert v.tolist() == [end, *w.tolist()[:-1]] and place.tolist() == [0] * 9 + [1] + [2] * 5
+    facts = np.zeros((258, 7), np.int64)
+    count = Counter(zip(v.tolist(), w.tolist()))
+    for (a, b), n in count.items():
+        facts[a, 0] += n
+        facts[a, min(n, 5)] += 1
+        facts[b, 6] += 1
+    total, left, single, taken = perplexity.kneser_ney(facts)
+    assert single.sum() == pytest.approx(1) and (single > 0).all()
+    for a in range(258):
+        seen = sum((n - taken[min(n, 3)]) / total[a] for (x, _), n in count.items() if x == a)
+        assert seen + left[a] == pytest.approx(1)
+    numbers = np.array([0, 1, 255, 256, 1 << 35, (1 << 64) - 1], np.uint64)
+    assert (perplexity.unpacked(perplexity.packed(numbers), 6) == numbers).all()
+    assert [s for s, _ in perplexity._parts(np.array([0, 1, 1 << 35, (1 << 36) - 1], np.uint64), 16)] == [0, 8, 15]
 
 
 def test_license_scan_and_inheritance(spark):

@@ -1,130 +1,316 @@
 """Operator 7: quality by the perplexity of an interpolated modified Kneser-Ney model trained on trusted text.
 
-The model is one of characters folded to an alphabet of SYMBOLS classes, of order 4. Spark counts n-grams over all
-trusted text: each task counts its own, and counts are summed in shards by n-gram. A word model's n-grams would
-have to be joined to every document's (more shuffled bytes than texts have); over a fixed alphabet the table of all
-n-grams has SYMBOLS^4 places at most, whatever the corpus, so the summed shards are laid out as one array of
-probabilities (11 MB) that goes to the documents instead.
-
-A document's mean negative log probability is drawn towards its language's median with the weight of `prior`
-characters, so that short texts don't fail by chance, and must not exceed the `quantile` of the trusted documents of
-its language (of all trusted documents, for a language without any; all documents of any language, without any
-trusted ones). Defined cases: null or empty text has null perplexity and is not kept; null lang is a language of
-its own; every row gives a row; extra columns are not read.
+The model is one of pairs of tokens. Tokens are the words that trusted text holds twice or more, at most `words` of
+them (the most frequent ones; a parameter of the model, as a subword vocabulary is), and the bytes of all other words,
+each with a mark after its last one, so that no word of any alphabet is unknown; every text ends with a mark.
+
+Counts and documents meet in shards by pair of tokens. Each task counts the pairs of its trusted texts and sends one
+block to each shard, where counts are summed; statistics of single tokens (bounded by the vocabulary) are summed over
+the shards and sent to all tasks. Then each task sends the pairs of its documents in blocks to the same shards, which
+look them up and return a partial sum for each document. A block holds sorted differences of mixed pair numbers by
+byte planes, compressed, so a pair takes three to four bytes of shuffle; mixing spreads frequent pairs evenly, and
+each task sends a pair once a document.
+
+A trusted document is scored without its own counts of pairs, so that thresholds hold for text that the model hasn't
+seen. A document's mean negative log probability of a word is drawn towards its language's median with the weight of
+`prior` words, so that short texts don't fail by chance, and must not exceed the `quantile` of the trusted documents
+of its language (of all trusted documents, for a language without any; all documents of any language, without any
+trusted ones). Defined cases: text that is null or has no word has null perplexity and is not kept; a very long text is
+one block to each shard; of equal counts the words first in byte order enter the vocabulary; null lang is a language
+of its own; every row gives a row, equal rows equal ones; perplexity is Infinity past the range of a double; extra
+columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import MOST_IDS, byte_batches, small_batches
+from tidemark.llm.common import MOST_IDS, byte_batches, claim, gathered, memory, small_batches
 from tidemark.session import cut, sized_broadcast
 
-SYMBOLS = 41
-ORDER = 4
-_MARKS = "#*$%&|<>"
+#: Tokens 0 to 253 are bytes (UTF-8 has no higher one), then the end of a text, the end of a spelled word, and words.
+END, STOP, FIRST = 254, 255, 256
+TOKEN_BITS, ROW_BITS = 18, 28
+WORDS = (1 << TOKEN_BITS) - FIRST
+_PAIR = np.uint64((1 << 2 * TOKEN_BITS) - 1)
+_MIX = 0x9E3779B97
+_UNMIX = np.uint64(pow(_MIX, -1, 1 << 2 * TOKEN_BITS))
+#: Bytes of text whose pairs are put into blocks at once; different words that a task counts before it sends them on.
+CHUNK, HELD_WORDS = 16 << 20, 300_000
+#: Of each token: its count as the first of a pair, how many pairs it begins that occur 1, 2, 3, 4 and more times, how many it ends.
+_FACTS, _SLICE = 7, 1024
+_held = memory()
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned numbers by byte planes, compressed."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(block: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(block, decompressed_size=8 * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel()
+
+
+def lookup(sent: tuple[str, bytes]) -> Callable[..., int]:
+    """The numbers of words, built once in a worker; the mark between words is the end of a text."""
+    claim(_held)
+    mark, joined = sent
+    if _held.get("of") != mark:
+        _held.clear()
+        _held.update(of=mark, ids=dict(zip(joined.split(b"\n"), range(FIRST, FIRST + WORDS))) if joined else {})
+        _held["ids"][b"\n"] = END
+    return _held["ids"].get
+
+
+def pairs(texts: list[str], get: Callable[..., int]) -> tuple[np.ndarray, np.ndarray]:
+    """Mixed numbers of (token before, token) of every token of the texts, and the places of their texts."""
+    ws: list[bytes] = []
+    sizes = np.empty(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        start = len(ws)
+        ws += text.encode().split()
+        ws.append(b"\n")
+        sizes[i] = len(ws) - start
+    ids = np.array(list(map(get, ws, repeat(-1))), np.int64)
+    spell = ids < 0
+    spelled = [ws[i] for i in np.flatnonzero(spell)]
+    room = np.ones(len(ws), np.int64)
+    room[spell] = [len(w) + 1 for w in spelled]
+    inside = np.repeat(spell, room)
+    token = np.empty(len(inside), np.uint64)
+    token[inside] = np.frombuffer(b"\xff".join([*spelled, b""]), np.uint8)
+    token[~inside] = ids[~spell]
+    before = np.concatenate((np.array([END], np.uint64), token[:-1]))
+    mixed = ((before << np.uint64(TOKEN_BITS) | token) * np.uint64(_MIX)) & _PAIR
+    return mixed, np.repeat(np.repeat(np.arange(len(texts)), sizes), room)
 
 
-def _symbol(c: int) -> int:
-    """a-z; A-Z; digits; space; newline; full stop; comma; !?;: ; marks; other ASCII; five classes of other letters; the rest."""
-    s = chr(c)
-    if c < 128:
-        if "a" <= s <= "z":
-            return c - 97
-        return 26 if "A" <= s <= "Z" else 27 if s.isdigit() else 29 if s == "\n" else 28 if s.isspace() else 30 if s == "." else 31 if s == "," else 32 if s in "!?;:" else 33 if s in _MARKS else 34
-    return 35 + ord(s.lower()[0]) % 5 if s.isalpha() else 40
+def unmixed(mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    pair = (mixed * _UNMIX) & _PAIR
+    return (pair >> np.uint64(TOKEN_BITS)).astype(np.int64), (pair & np.uint64((1 << TOKEN_BITS) - 1)).astype(np.int64)
 
 
-_TABLE = np.array([_symbol(c) for c in range(0x2000)], np.uint8)
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal numbers begin, and their lengths."""
+    begin = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
+    return begin, np.diff(np.append(begin, len(ordered)))
 
 
-def symbols(text: str) -> np.ndarray:
-    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    return np.where(code < len(_TABLE), _TABLE[np.minimum(code, len(_TABLE) - 1)], (35 + code % 5).astype(np.uint8))
+def _parts(mixed: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
+    """Shards that ascending mixed numbers fall into, with their places."""
+    shift = np.uint64(2 * TOKEN_BITS) - np.uint64(shards.bit_length() - 1)
+    begin, size = _runs(mixed >> shift)
+    for b, n in zip(begin.tolist(), size.tolist()):
+        yield int(mixed[b] >> shift), slice(b, b + n)
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of each character with the three before it (newlines before the start), and the numbers of their texts."""
-    start = np.full(ORDER - 1, 29, np.uint8)
-    flat = np.concatenate([x for t in texts for x in (start, symbols(t))] or [start]).astype(np.int32)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    code = flat[: len(flat) - ORDER + 1]
-    for i in range(1, ORDER):
-        code = code * SYMBOLS + flat[i : len(flat) - ORDER + 1 + i]
-    begin = np.cumsum(sizes + ORDER - 1) - sizes - (ORDER - 1)
-    keep = np.repeat(begin, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return code[keep], np.repeat(np.arange(len(texts)), sizes)
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(schema.names), schema.types)], schema=schema)
 
 
-def counts(texts: DataFrame) -> DataFrame:
-    """code, n over all texts: each task's own counts, summed by n-gram."""
+_BLOCK = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("size", pa.int64()), ("keys", pa.binary()), ("ns", pa.binary()), ("places", pa.binary()), ("names", pa.binary()), ("own", pa.binary())])
+_BLOCK_SQL = "shard int, kind int, size long, keys binary, ns binary, places binary, names binary, own binary"
+
+
+def _block(shard: int, kind: int, mixed: np.ndarray, n: np.ndarray, *more: bytes) -> tuple:
+    steps = np.diff(mixed, prepend=np.uint64(0))
+    return (shard, kind, len(mixed), packed(steps), packed(n), *(more or (None, None, None)))
+
+
+def vocabulary(texts: DataFrame, words: int) -> tuple[list[bytes], int]:
+    """The most frequent words that texts hold twice or more, and the number of all words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[bytes] = Counter()
+        for batch in byte_batches(batches):
+            for text in batch.column("text").to_pylist():
+                held.update(text.encode().split())
+            if len(held) > HELD_WORDS:
+                yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
+                held.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
+
+    counted = cut(texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"))
+    top = counted.where("n > 1").orderBy(F.desc("n"), "word").limit(words).select("word").toArrow()
+    return top.column("word").to_pylist(), counted.agg(F.sum("n")).first()[0] or 0
+
+
+def counts(texts: DataFrame, sent, shards: int) -> DataFrame:
+    """The summed counts of all pairs of the texts: blocks of kind 0, one or more a shard, no pair in two of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS**ORDER, np.int64)
-        for batch in byte_batches(batches, most=1 << 20):
-            code, _ = grams([t for t in batch.column("text").to_pylist() if t])
-            np.add.at(total, *np.unique(code, return_counts=True)) if len(code) else None
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["code", "n"])
-
-    return texts.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def kneser_ney(table: np.ndarray) -> np.ndarray:
-    """Natural log probability of every n-gram's last symbol, from counts of the highest order."""
-    levels = [table]
-    while len(levels[-1]) > SYMBOLS:  # lower orders count the different symbols that come before
-        levels.append((levels[-1].reshape(SYMBOLS, -1) > 0).sum(0))
-    p = np.full(1, 1 / SYMBOLS)
-    for c in reversed(levels):
-        n1, n2, n3, n4 = (max(int((c == k).sum()), 1) for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2)
-        discount = np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0.1, 0.2, 0.3], [0, 0.9, 1.8, 2.7])
-        rows = c.reshape(-1, SYMBOLS).astype(float)
-        taken = discount[np.minimum(rows, 3).astype(int)]
-        total = rows.sum(1, keepdims=True)
-        lower = np.tile(p.reshape(-1, SYMBOLS), (max(1, len(rows) * SYMBOLS // len(p)), 1))[: len(rows)] if len(p) > 1 else np.full_like(rows, p[0])
-        with np.errstate(invalid="ignore", divide="ignore"):
-            mixed = (rows - taken) / total + taken.sum(1, keepdims=True) / total * lower
-        p = np.where(total > 0, mixed, lower).ravel()
-    return np.log(p)
-
-
-def perplexity_filter(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, prior: float = 300.0) -> DataFrame:
-    """doc_id, n_chars, perplexity, threshold, keep for every row of docs; trusted: the doc_ids of trusted documents."""
+        get = lookup(sent.value)
+        for batch in gathered(batches, CHUNK):
+            mixed = np.sort(pairs(batch.column("text").to_pylist(), get)[0])
+            begin, n = _runs(mixed)
+            mixed = mixed[begin]
+            yield _table([_block(s, 0, mixed[at], n[at]) for s, at in _parts(mixed, shards)], _BLOCK)
+
+    def add(held: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        mixed, n = (np.concatenate(c) for c in zip(*held))
+        order = np.argsort(mixed, kind="stable")
+        begin, _ = _runs(mixed[order])
+        return [(mixed[order][begin], np.add.reduceat(n[order], begin))]
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        shard, fresh = None, 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and row["shard"] != shard:
+                    yield _table([_block(shard, 0, *add(held)[0])], _BLOCK)
+                    held, fresh = [], 0
+                shard = row["shard"]
+                held.append((np.cumsum(unpacked(row["keys"], row["size"]), dtype=np.uint64), unpacked(row["ns"], row["size"])))
+                fresh += row["size"]
+                if fresh > max(1 << 22, len(held[0][0])):
+                    held, fresh = add(held), 0
+        if held:
+            yield _table([_block(shard, 0, *add(held)[0])], _BLOCK)
+
+    blocks = texts.select("text").mapInArrow(count, _BLOCK_SQL)
+    return cut(blocks.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(merge, _BLOCK_SQL))
+
+
+def facts(model: DataFrame, tokens: int) -> np.ndarray:
+    """_FACTS of every token, summed over all shards by slices of tokens; bounded by the vocabulary."""
+    schema = pa.schema([("slice", pa.int32()), ("facts", pa.binary())])
+    slices = -(-tokens // _SLICE)
+
+    def rows(total: np.ndarray) -> pa.RecordBatch:
+        flat = total.reshape(slices, -1)
+        return _table([(i, packed(flat[i])) for i in np.flatnonzero(flat.any(1)).tolist()], schema)
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((slices * _SLICE, _FACTS), np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                n = unpacked(row["ns"], row["size"]).astype(np.int64)
+                v, w = unmixed(np.cumsum(unpacked(row["keys"], row["size"]), dtype=np.uint64))
+                np.add.at(total, (v, 0), n)
+                np.add.at(total, (v, np.minimum(n, 5)), 1)
+                np.add.at(total, (w, 6), 1)
+        yield rows(total)
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((slices, _SLICE * _FACTS), np.int64)
+        for batch in batches:
+            for i, block in zip(batch.column("slice").to_pylist(), batch.column("facts").to_pylist()):
+                total[i] += unpacked(block, total.shape[1]).astype(np.int64)
+        yield rows(total)
+
+    summed = model.mapInArrow(one, "slice int, facts binary").repartition("slice").mapInArrow(together, "slice int, facts binary").toArrow()
+    total = np.zeros((slices, _SLICE * _FACTS), np.int64)
+    for i, block in zip(summed.column("slice").to_pylist(), summed.column("facts").to_pylist()):
+        total[i] = unpacked(block, total.shape[1])
+    return total.reshape(-1, _FACTS)[:tokens]
+
+
+def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
+    """What is taken from counts of 0, 1, 2, 3 and more, held within bounds where few counts of counts are known."""
+    n1, n2, n3, n4 = (max(int(n), 1) for n in (n1, n2, n3, n4))
+    y = n1 / (n1 + 2 * n2)
+    return np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], [0, 0.1, 0.2, 0.3], [0, 0.9, 1.8, 2.7])
+
+
+def kneser_ney(facts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every token its count before others, the weight it leaves to single tokens, its probability alone; the discounts of pairs."""
+    total, ends = facts[:, 0], facts[:, 6]
+    alone = discounts(*((ends == k).sum() for k in (1, 2, 3, 4)))
+    taken = alone[np.minimum(ends, 3)]
+    every = max(int(ends.sum()), 1)
+    single = (ends - taken) / every + (taken.sum() / every if ends.any() else 1.0) / len(facts)
+    of_pairs = discounts(*(facts[:, k].sum() for k in (1, 2, 3, 4)))
+    left = of_pairs[1] * facts[:, 1] + of_pairs[2] * facts[:, 2] + of_pairs[3] * facts[:, 3:6].sum(1)
+    return total, np.where(total > 0, left / np.maximum(total, 1), 1.0), single, of_pairs
+
+
+def losses(docs: DataFrame, model: DataFrame, words, known, shards: int) -> DataFrame:
+    """name, loss, n_words, n_rows: negative log probability and words of all rows of a name (columns name, text, own)."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = lookup(words.value)
+        for batch in gathered(batches, CHUNK):
+            mixed, place = pairs(batch.column("text").to_pylist(), get)
+            both = np.sort(mixed << np.uint64(ROW_BITS) | place.astype(np.uint64))
+            begin, n = _runs(both)
+            both = both[begin]
+            mixed, place = both >> np.uint64(ROW_BITS), (both & np.uint64((1 << ROW_BITS) - 1)).astype(np.int64)
+            names = batch.column("name").to_numpy(zero_copy_only=False)
+            own = batch.column("own").to_numpy(zero_copy_only=False).astype(np.uint8)
+            for s, at in _parts(mixed, shards):  # only the names that a block speaks of go with it
+                here, places = np.unique(place[at], return_inverse=True)
+                yield _table([_block(s, 1, mixed[at], n[at], packed(places), names[here].tobytes(), own[here].tobytes())], _BLOCK)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, left, single, taken = known.value
+        shard, keys, seen = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["shard"] != shard:
+                    shard, keys, seen = row["shard"], np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                mixed, n = np.cumsum(unpacked(row["keys"], row["size"]), dtype=np.uint64), unpacked(row["ns"], row["size"]).astype(np.int64)
+                if row["kind"] == 0:  # the shard's one block of counts comes first
+                    keys, seen = mixed, n
+                    continue
+                place, names = unpacked(row["places"], row["size"]).astype(np.int64), np.frombuffer(row["names"], np.int64)
+                count = np.zeros(len(mixed), np.int64)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, mixed), len(keys) - 1)
+                    count = np.where(keys[at] == mixed, seen[at], 0)
+                count = np.maximum(count - n * np.frombuffer(row["own"], np.uint8)[place], 0)
+                v, w = unmixed(mixed)
+                p = (count - taken[np.minimum(count, 3)]) / np.maximum(total[v], 1) + left[v] * single[w]
+                loss = np.bincount(place, -n * np.log(p), len(names))
+                spoken = np.bincount(place, n * ((w >= FIRST) | (w == STOP)), len(names)).astype(np.int64)
+                ends = np.bincount(place, n * (w == END), len(names)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(loss), pa.array(spoken), pa.array(ends)], names=["name", "loss", "n_words", "n_rows"])
+
+    asked = docs.select("name", "text", "own").mapInArrow(ask, _BLOCK_SQL)
+    met = model.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    partial = met.mapInArrow(answer, "name long, loss double, n_words long, n_rows long")
+    return partial.groupBy("name").agg(F.sum("loss").alias("loss"), F.sum("n_words").alias("n_words"), F.sum("n_rows").alias("n_rows"))
+
+
+def perplexity_filter(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, prior: float = 50.0, words: int = WORDS) -> DataFrame:
+    """doc_id, n_words, perplexity (of a word), threshold, keep for every row of docs; trusted: the doc_ids of trusted documents."""
     small_batches(docs)
-    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    ids = cut(trusted.select("doc_id").where("doc_id is not null").distinct())
-    summed = counts(narrow.join(sized_broadcast(ids, MOST_IDS), "doc_id", "left_semi").where("text is not null")).toPandas()
-    table = np.zeros(SYMBOLS**ORDER, np.int64)
-    table[summed["code"].to_numpy(np.int64)] = summed["n"]
-    sent = docs.sparkSession.sparkContext.broadcast(kneser_ney(table).astype(np.float32))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_batches(batches, most=1 << 20):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            code, at = grams(texts)
-            loss = np.bincount(at, -sent.value[code].astype(float), len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(map(len, texts), pa.int64()), pa.array(loss, pa.float64())], names=["doc_id", "lang", "n_chars", "loss"])
-
-    kind = narrow.schema["doc_id"].dataType.simpleString()
-    scored = cut(narrow.mapInArrow(score, f"doc_id {kind}, lang string, n_chars long, loss double"))
-    flagged = scored.where("n_chars > 0").join(ids.withColumn("_t", F.lit(True)), "doc_id", "left")
-    rate = F.col("loss") / F.col("n_chars")
-    middle = sized_broadcast(cut(flagged.groupBy("lang").agg(F.percentile_approx(rate, 0.5, 10_000).alias("m"))))
-    drawn = (F.col("loss") + prior * F.col("m")) / (F.col("n_chars") + F.lit(prior))
-
-    def with_middle(rows: DataFrame) -> DataFrame:
-        return rows.alias("r").join(middle.alias("m"), F.col("r.lang").eqNullSafe(F.col("m.lang")), "left").select("r.*", "m.m").withColumn("drawn", drawn)
-
-    known = with_middle(flagged).where("_t")
-    limit = known.groupBy("lang").agg(F.percentile_approx("drawn", quantile, 10_000).alias("limit"))
-    every = known.agg(F.percentile_approx("drawn", quantile, 10_000)).first()[0]
-    judged = with_middle(scored).alias("r").join(sized_broadcast(limit).alias("t"), F.col("r.lang").eqNullSafe(F.col("t.lang")), "left")
+    context = docs.sparkSession.sparkContext
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    ids = cut(trusted.select("doc_id").where("doc_id is not null").distinct()).withColumn("_t", F.lit(True))
+    narrow = docs.select("doc_id", text.alias("text"), F.col("lang").cast("string").alias("lang")).join(sized_broadcast(ids, MOST_IDS), "doc_id", "left")
+    narrow = narrow.select("doc_id", "lang", "text", F.coalesce("_t", F.lit(False)).alias("own"), F.xxhash64("doc_id", "text").alias("name"))
+    good = narrow.where("own and text <> ''")
+    top, n = vocabulary(good, min(words, WORDS))
+    shards = 1 << min(max(n >> 24, 16) - 1, 4095).bit_length()  # about 16 million pairs of trusted text to a shard
+    sent = context.broadcast((uuid.uuid4().hex, b"\n".join(top)))
+    model = counts(good, sent, shards)
+    known = context.broadcast(kneser_ney(facts(model, FIRST + len(top))))
+    lost = losses(narrow, model, sent, known, shards)
+    about = narrow.select("doc_id", "lang", "own", "name")
+    each = lost.select("name", (F.col("loss") / F.col("n_rows")).alias("loss"), F.expr("n_words div n_rows").alias("n_words"))
+    scored = cut(about.join(each, "name"))
+    rate = F.col("loss") / F.col("n_words")
+    middle = sized_broadcast(cut(scored.where("n_words > 0").groupBy("lang").agg(F.percentile_approx(rate, 0.5, 10_000).alias("m"))))
+    drawn = (F.col("loss") + prior * F.col("m")) / (F.col("n_words") + F.lit(prior))
+    placed = scored.alias("r").join(middle.alias("m"), F.col("r.lang").eqNullSafe(F.col("m.lang")), "left").select("r.*", drawn.alias("drawn"))
+    trusted_rows = placed.where("own and n_words > 0")
+    limit = sized_broadcast(cut(trusted_rows.groupBy("lang").agg(F.percentile_approx("drawn", quantile, 10_000).alias("limit"))))
+    every = trusted_rows.agg(F.percentile_approx("drawn", quantile, 10_000)).first()[0]
+    judged = placed.alias("r").join(limit.alias("t"), F.col("r.lang").eqNullSafe(F.col("t.lang")), "left")
     threshold = F.coalesce(F.col("t.limit"), F.lit(every).cast("double"), F.lit(float("inf")))
-    return judged.select("r.doc_id", "r.n_chars", F.when(F.col("r.n_chars") > 0, F.exp(F.col("r.loss") / F.col("r.n_chars"))).alias("perplexity"), F.exp(threshold).alias("threshold"), F.coalesce((F.col("r.n_chars") > 0) & (F.col("r.drawn") <= threshold), F.lit(False)).alias("keep"))
+    spoken = F.col("r.n_words") > 0
+    return judged.select(
+        "r.doc_id", "r.n_words", F.when(spoken, F.exp(F.col("r.loss") / F.col("r.n_words"))).alias("perplexity"), F.exp(threshold).alias("threshold"),
+        F.coalesce(spoken & (F.col("r.drawn") <= threshold), F.lit(False)).alias("keep"),
+    )
