@@ -6,24 +6,27 @@ each with a mark after its last one, so that no word of any alphabet is unknown;
 
 Counts and documents meet in shards by pair of tokens. Each task counts the pairs of its trusted texts and sends one
 block to each shard, where counts are summed; statistics of single tokens (bounded by the vocabulary) are summed over
-the shards and sent to all tasks. Then each task sends the pairs of its documents in blocks to the same shards, which
-look them up and return a partial sum for each document. A block holds sorted differences of mixed pair numbers by
-byte planes, compressed, so a pair takes three to four bytes of shuffle; mixing spreads frequent pairs evenly, and
-each task sends a pair once a document.
+the shards and sent to all tasks. Then each task sends the pairs of its documents, a chunk of them at a time, in
+blocks to the same shards, which look them up and send each chunk one block of partial sums, to be added where the
+chunk's documents are named. A block holds sorted differences of mixed pair numbers by byte planes, compressed, so a
+pair takes three to four bytes of shuffle; mixing spreads frequent pairs evenly, and each task sends a pair once a
+document.
 
 A trusted document is scored without its own counts of pairs, so that thresholds hold for text that the model hasn't
 seen. A document's mean negative log probability of a word is drawn towards its language's median with the weight of
 `prior` words, so that short texts don't fail by chance, and must not exceed the `quantile` of the trusted documents
 of its language (of all trusted documents, for a language without any; all documents of any language, without any
 trusted ones). Defined cases: text that is null or has no word has null perplexity and is not kept; a very long text is
-one block to each shard; of equal counts the words first in byte order enter the vocabulary; null lang is a language
+one chunk of its own; of equal counts the words first in byte order enter the vocabulary; null lang is a language
 of its own; every row gives a row, equal rows equal ones; perplexity is Infinity past the range of a double; extra
 columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import repeat
@@ -44,7 +47,7 @@ _PAIR = np.uint64((1 << 2 * TOKEN_BITS) - 1)
 _MIX = 0x9E3779B97
 _UNMIX = np.uint64(pow(_MIX, -1, 1 << 2 * TOKEN_BITS))
 #: Bytes of text whose pairs are put into blocks at once; different words that a task counts before it sends them on.
-CHUNK, HELD_WORDS = 16 << 20, 300_000
+CHUNK, HELD_WORDS = 4 << 20, 300_000
 #: Of each token: its count as the first of a pair, how many pairs it begins that occur 1, 2, 3, 4 and more times, how many it ends.
 _FACTS, _SLICE = 7, 1024
 _held = memory()
@@ -118,31 +121,63 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(schema.names), schema.types)], schema=schema)
 
 
-_BLOCK = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("size", pa.int64()), ("keys", pa.binary()), ("ns", pa.binary()), ("places", pa.binary()), ("names", pa.binary()), ("own", pa.binary())])
-_BLOCK_SQL = "shard int, kind int, size long, keys binary, ns binary, places binary, names binary, own binary"
+#: kind 0: counts of pairs. 1: pairs asked for (places: twice the document's place in its chunk, and 1 for a trusted one).
+#: 2: on the way to the chunk's sums, keys: names, ns: words of its documents. places of a sum: partial losses.
+_BLOCK = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("size", pa.int64()), ("keys", pa.binary()), ("ns", pa.binary()), ("chunk", pa.int64()), ("docs", pa.int64()), ("places", pa.binary())])
+_BLOCK_SQL = "shard int, kind int, size long, keys binary, ns binary, chunk long, docs long, places binary"
+_SUM = pa.schema([("chunk", pa.int64()), ("docs", pa.int64()), ("names", pa.binary()), ("words", pa.binary()), ("losses", pa.binary())])
+_SUM_SQL = "chunk long, docs long, names binary, words binary, losses binary"
 
 
-def _block(shard: int, kind: int, mixed: np.ndarray, n: np.ndarray, *more: bytes) -> tuple:
+def _block(shard: int, kind: int, mixed: np.ndarray, n: np.ndarray, chunk: int | None = None, docs: int | None = None, places: np.ndarray | None = None) -> tuple:
     steps = np.diff(mixed, prepend=np.uint64(0))
-    return (shard, kind, len(mixed), packed(steps), packed(n), *(more or (None, None, None)))
+    return shard, kind, len(mixed), packed(steps), packed(n), chunk, docs, None if places is None else packed(places)
 
 
-def vocabulary(texts: DataFrame, words: int) -> tuple[list[bytes], int]:
-    """The most frequent words that texts hold twice or more, and the number of all words."""
+def vocabulary(texts: DataFrame, words: int, slices: int) -> list[bytes]:
+    """The most frequent words that texts hold twice or more; counts meet in slices of the words, as sorted blocks."""
+    schema = pa.schema([("slice", pa.int32()), ("words", pa.binary()), ("size", pa.int64()), ("ns", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
+
+        def blocks() -> pa.RecordBatch:
+            parts: list[list[bytes]] = [[] for _ in range(slices)]
+            for word in sorted(held):
+                parts[zlib.crc32(word) % slices].append(word)
+            rows = [(i, zlib.compress(b"\n".join(ws), 6), len(ws), packed(np.array([held[w] for w in ws]))) for i, ws in enumerate(parts) if ws]
+            held.clear()
+            return _table(rows, schema)
+
+        claim({})
         for batch in byte_batches(batches):
             for text in batch.column("text").to_pylist():
                 held.update(text.encode().split())
             if len(held) > HELD_WORDS:
-                yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
-                held.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
+                yield blocks()
+        yield blocks()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[bytes] = Counter()
+        at = None
+
+        def out() -> pa.RecordBatch:
+            often = [(w, n) for w, n in held.items() if n > 1]
+            held.clear()
+            return _table(often, pa.schema([("word", pa.binary()), ("n", pa.int64())]))
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["slice"] != at:
+                    yield out()
+                    at = row["slice"]
+                for word, n in zip(zlib.decompress(row["words"]).split(b"\n"), unpacked(row["ns"], row["size"]).tolist()):
+                    held[word] += n
+        yield out()
 
-    counted = cut(texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"))
-    top = counted.where("n > 1").orderBy(F.desc("n"), "word").limit(words).select("word").toArrow()
-    return top.column("word").to_pylist(), counted.agg(F.sum("n")).first()[0] or 0
+    sent = texts.select("text").mapInArrow(count, "slice int, words binary, size long, ns binary")
+    counted = sent.repartition(slices, "slice").sortWithinPartitions("slice").mapInArrow(merge, "word binary, n long")
+    return counted.orderBy(F.desc("n"), "word").limit(words).select("word").toArrow().column("word").to_pylist()
 
 
 def counts(texts: DataFrame, sent, shards: int) -> DataFrame:
@@ -236,50 +271,77 @@ def kneser_ney(facts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def losses(docs: DataFrame, model: DataFrame, words, known, shards: int) -> DataFrame:
-    """name, loss, n_words, n_rows: negative log probability and words of all rows of a name (columns name, text, own)."""
+    """name, loss, n_words of every different name: negative log probability and words (docs: name, text, own)."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = lookup(words.value)
         for batch in gathered(batches, CHUNK):
-            mixed, place = pairs(batch.column("text").to_pylist(), get)
+            texts = batch.column("text").to_pylist()
+            names = batch.column("name").to_numpy(zero_copy_only=False)
+            chunk = int.from_bytes(hashlib.blake2b(names.tobytes(), digest_size=8).digest(), "little", signed=True)
+            own = batch.column("own").to_numpy(zero_copy_only=False).astype(np.uint64)
+            mixed, place = pairs(texts, get)
             both = np.sort(mixed << np.uint64(ROW_BITS) | place.astype(np.uint64))
             begin, n = _runs(both)
             both = both[begin]
-            mixed, place = both >> np.uint64(ROW_BITS), (both & np.uint64((1 << ROW_BITS) - 1)).astype(np.int64)
-            names = batch.column("name").to_numpy(zero_copy_only=False)
-            own = batch.column("own").to_numpy(zero_copy_only=False).astype(np.uint8)
-            for s, at in _parts(mixed, shards):  # only the names that a block speaks of go with it
-                here, places = np.unique(place[at], return_inverse=True)
-                yield _table([_block(s, 1, mixed[at], n[at], packed(places), names[here].tobytes(), own[here].tobytes())], _BLOCK)
+            mixed, place = both >> np.uint64(ROW_BITS), both & np.uint64((1 << ROW_BITS) - 1)
+            _, w = unmixed(mixed)
+            spoken = np.bincount(place.astype(np.int64), n * ((w >= FIRST) | (w == STOP)), len(names)).astype(np.int64)
+            yield _table([(-1 - chunk % shards, 2, len(names), names.tobytes(), packed(spoken), chunk, len(names), None)], _BLOCK)
+            place = place * np.uint64(2) + own[place.astype(np.int64)]
+            for s, at in _parts(mixed, shards):
+                yield _table([_block(s, 1, mixed[at], n[at], chunk, len(names), place[at])], _BLOCK)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, left, single, taken = known.value
-        shard, keys, seen = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        shard, keys, seen = None, np.zeros(0, np.uint64), np.zeros(0, np.uint32)
         for batch in batches:
             for row in batch.to_pylist():
+                if row["kind"] == 2:
+                    yield _table([(row["chunk"], row["docs"], row["keys"], row["ns"], None)], _SUM)
+                    continue
                 if row["shard"] != shard:
-                    shard, keys, seen = row["shard"], np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                    shard, keys, seen = row["shard"], np.zeros(0, np.uint64), np.zeros(0, np.uint32)
                 mixed, n = np.cumsum(unpacked(row["keys"], row["size"]), dtype=np.uint64), unpacked(row["ns"], row["size"]).astype(np.int64)
                 if row["kind"] == 0:  # the shard's one block of counts comes first
                     keys, seen = mixed, n
                     continue
-                place, names = unpacked(row["places"], row["size"]).astype(np.int64), np.frombuffer(row["names"], np.int64)
+                place = unpacked(row["places"], row["size"]).astype(np.int64)
                 count = np.zeros(len(mixed), np.int64)
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, mixed), len(keys) - 1)
                     count = np.where(keys[at] == mixed, seen[at], 0)
-                count = np.maximum(count - n * np.frombuffer(row["own"], np.uint8)[place], 0)
+                count = np.maximum(count - n * (place & 1), 0)
                 v, w = unmixed(mixed)
                 p = (count - taken[np.minimum(count, 3)]) / np.maximum(total[v], 1) + left[v] * single[w]
-                loss = np.bincount(place, -n * np.log(p), len(names))
-                spoken = np.bincount(place, n * ((w >= FIRST) | (w == STOP)), len(names)).astype(np.int64)
-                ends = np.bincount(place, n * (w == END), len(names)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(loss), pa.array(spoken), pa.array(ends)], names=["name", "loss", "n_words", "n_rows"])
+                loss = np.bincount(place >> 1, -n * np.log(p), row["docs"]).astype(np.float32)
+                yield _table([(row["chunk"], row["docs"], None, None, packed(loss.view(np.uint32)))], _SUM)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, total, names, spoken, times = None, None, None, None, 0
+
+        def out() -> pa.RecordBatch:
+            if names is None:  # a task was run again and read its rows in another order
+                raise RuntimeError("sums of a chunk whose documents are not named")
+            return pa.RecordBatch.from_arrays([pa.array(names), pa.array(total / times), pa.array(spoken)], names=["name", "loss", "n_words"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["chunk"] != chunk:
+                    if chunk is not None:
+                        yield out()
+                    chunk, total, names, spoken, times = row["chunk"], np.zeros(row["docs"]), None, None, 0
+                if row["names"] is not None:  # chunks of equal rows share a number
+                    names, spoken, times = np.frombuffer(row["names"], np.int64), unpacked(row["words"], row["docs"]).astype(np.int64), times + 1
+                else:
+                    total += unpacked(row["losses"], row["docs"]).astype(np.uint32).view(np.float32)
+        if chunk is not None:
+            yield out()
 
     asked = docs.select("name", "text", "own").mapInArrow(ask, _BLOCK_SQL)
     met = model.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
-    partial = met.mapInArrow(answer, "name long, loss double, n_words long, n_rows long")
-    return partial.groupBy("name").agg(F.sum("loss").alias("loss"), F.sum("n_words").alias("n_words"), F.sum("n_rows").alias("n_rows"))
+    sums = met.mapInArrow(answer, _SUM_SQL).repartition(shards, "chunk").sortWithinPartitions("chunk")
+    return sums.mapInArrow(add, "name long, loss double, n_words long").groupBy("name").agg(F.max("loss").alias("loss"), F.max("n_words").alias("n_words"))
 
 
 def perplexity_filter(docs: DataFrame, trusted: DataFrame, quantile: float = 0.995, prior: float = 50.0, words: int = WORDS) -> DataFrame:
@@ -291,15 +353,15 @@ def perplexity_filter(docs: DataFrame, trusted: DataFrame, quantile: float = 0.9
     narrow = docs.select("doc_id", text.alias("text"), F.col("lang").cast("string").alias("lang")).join(sized_broadcast(ids, MOST_IDS), "doc_id", "left")
     narrow = narrow.select("doc_id", "lang", "text", F.coalesce("_t", F.lit(False)).alias("own"), F.xxhash64("doc_id", "text").alias("name"))
     good = narrow.where("own and text <> ''")
-    top, n = vocabulary(good, min(words, WORDS))
-    shards = 1 << min(max(n >> 24, 16) - 1, 4095).bit_length()  # about 16 million pairs of trusted text to a shard
+    size = good.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    top = vocabulary(good, min(words, WORDS), max(16, size >> 25))
+    shards = 1 << min(max(size >> 26, 16) - 1, 4095).bit_length()  # some 10 million words of trusted text to a shard
     sent = context.broadcast((uuid.uuid4().hex, b"\n".join(top)))
     model = counts(good, sent, shards)
     known = context.broadcast(kneser_ney(facts(model, FIRST + len(top))))
     lost = losses(narrow, model, sent, known, shards)
     about = narrow.select("doc_id", "lang", "own", "name")
-    each = lost.select("name", (F.col("loss") / F.col("n_rows")).alias("loss"), F.expr("n_words div n_rows").alias("n_words"))
-    scored = cut(about.join(each, "name"))
+    scored = cut(about.join(lost, "name"))
     rate = F.col("loss") / F.col("n_words")
     middle = sized_broadcast(cut(scored.where("n_words > 0").groupBy("lang").agg(F.percentile_approx(rate, 0.5, 10_000).alias("m"))))
     drawn = (F.col("loss") + prior * F.col("m")) / (F.col("n_words") + F.lit(prior))
