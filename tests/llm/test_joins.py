@@ -131,6 +131,32 @@ def test_decontamination_finds_all_and_nothing_else(spark, docs, odd):
     assert {r.doc_id for r in decontamination.keep_unseen(df, bench).collect()} >= {102, 103, 104}
 
 
+def test_decontamination_finds_near_copies(spark):
+    """Copies edited at the edges or in one place, against the similarity of plain shingle multisets, with ids as text."""
+    from collections import Counter
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopq") for _ in range(6))
+    items = [[word() for _ in range(n)] for n in (14, 14, 16, 19, 22, 25, 31, 40, 48, 55, 63, 80, 120, 200, 400) for _ in range(4)]
+    shingled = lambda ws: Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4))
+    docs, want = [], set()
+    for k, ws in enumerate(items):
+        for _ in range(12):
+            near, first, last = ws[:], rng.randrange(0, 4), rng.randrange(0, 4)
+            near[:first], near[len(near) - last :] = [word() for _ in range(first)], [word() for _ in range(last)]
+            if rng.random() < 0.4:
+                near, length, at = ws[:], rng.randrange(1, max(2, len(ws) // 10)), rng.randrange(len(ws))
+                near[at : at + length] = [word() for _ in range(rng.randrange(0, length + 1))]
+            a, b = shingled(ws), shingled(near)
+            if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+                want.add((f"d{len(docs)}", f"i{k}"))
+            docs.append((f"d{len(docs)}", " ".join([word() for _ in range(30)] + near + [word() for _ in range(30)])))
+    got = decontamination.decontamination(spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame([(f"i{k}", " ".join(ws)) for k, ws in enumerate(items)], "item_id string, text string"))
+    found = {(r.doc_id, r.item_id) for r in got.collect()}
+    assert len(want) > 250 and want <= found
+    assert all(int(i[1:]) == int(d[1:]) // 12 for d, i in found)
+
+
 def test_hamming_search_is_complete():
     import numpy as np
 

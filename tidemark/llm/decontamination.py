@@ -1,16 +1,20 @@
 """Operator 5: benchmark decontamination by SimHash of item-sized windows.
 
-A window's fingerprint has in bit k the majority of bit k over the hashes of its words. Each item is fingerprinted
-at a window size just below its own number of words (sizes form a geometric grid, so all items share few of them),
-at its start and at its end; documents at every word, at every size in use. Multi-index search: fingerprints have
-four blocks of 16 bits, and two fingerprints within RADIUS = 7 bits have a block that differs in one bit or none,
-so looking a block up among all items' blocks with up to one bit flipped finds every fingerprint within the radius.
-Candidates are verified exactly: the item and the document's words of the item's length there are multisets of
-word shingles, weighted by their rarity among the items, and the weighted Jaccard similarity must reach `least`.
+A window's fingerprint has in bit k the majority of bit k over the hashes of its words. Each item is fingerprinted at
+its start, middle and end, at a size that leaves one of the three whole wherever a copy of similarity `least` was
+edited at its edges or in one place (`clean_size`; sizes form a geometric grid, so all items share few of them);
+documents at every word, at every size in use. Multi-index search: fingerprints have four blocks of 16 bits, and two
+fingerprints within RADIUS = 7 bits have a block that differs in one bit or none, so looking a block up among all
+items' blocks with up to one bit flipped finds every fingerprint within the radius. Candidates are verified exactly:
+the item and the document's words there (as many as the item's, or those from its first to its last shingle nearby)
+are multisets of word shingles, weighted by their rarity among the items, and the weighted Jaccard similarity must
+reach `least`. Exact copies and such edits always become candidates; edits scattered over a long item may leave no
+window whole, and are found where one of the three stays within the radius.
 
 Words: runs without white space, ASCII punctuation taken out, lower case. Defined cases: items without words match
 nothing; items shorter than a shingle count as one shingle; null or empty texts match nothing; of equal matches of a
-document and an item the first is reported; repeated documents or items report each doc_id and item_id pair once.
+document and an item the first is reported; ids may be of any type; repeated documents or items report each doc_id
+and item_id pair once.
 The index of items is sent to all workers in slices of at most `slice_items` items, a pass over documents for each.
 """
 
@@ -62,6 +66,24 @@ def grid_size(words: int) -> int:
     return size
 
 
+def lost_shingles(words: int, shingle: int, least: float) -> int:
+    """How many of an item's shingles can be missing in a text of that similarity."""
+    return int(max(words - shingle + 1, 1) * (1 - least) + 1e-9)
+
+
+def clean_size(words: int, shingle: int, least: float) -> int:
+    """A window size so that of an item's first, middle and last window one is whole in every near copy edited at its edges or in one place.
+
+    A similarity of `least` bears `lost` edited shingles. Words at the edges lie in one shingle and more each, so at
+    most `lost` of them differ in all; an edit away from the edges costs a shingle's length of them at least, and
+    leaves half of the other words on one side of it.
+    """
+    lost = lost_shingles(words, shingle, least)
+    inner = lost - shingle + 1
+    size = min(words - 2 * lost, (words - inner) // 2) if inner > 0 else words - 2 * lost
+    return grid_size(max(size, 1))
+
+
 def running_ones(h: np.ndarray) -> np.ndarray:
     """For each position, how many words before it have each bit (modulo 2^16)."""
     bits = np.unpackbits(h.view(np.uint8).reshape(len(h), 8), axis=1)
@@ -121,17 +143,17 @@ def shingles(h: np.ndarray, words: int) -> Counter:
 class Items:
     """Fingerprints by window size and shingles of a slice of the benchmark."""
 
-    def __init__(self, rows: list[tuple[int, str | None]], words: int):
+    def __init__(self, rows: list[tuple[str, str | None]], words: int, least: float):
         self.words, self.ids, self.hashes = words, [], []
         marks: dict[int, list[tuple[int, int, int]]] = {}
         for item, text in rows:
             h = hashes(plain_words(text))
             if not len(h):
                 continue
-            size, number = grid_size(len(h)), len(self.ids)
+            size, number = clean_size(len(h), words, least), len(self.ids)
             self.ids.append(item), self.hashes.append(h)
             ones = running_ones(h)
-            for start in sorted({0, len(h) - size}):
+            for start in sorted({0, (len(h) - size) // 2, len(h) - size}):
                 marks.setdefault(size, []).append((int(fingerprints(ones[start : start + size + 1], size)[0]), number, -start))
         self.bags = [shingles(h, words) for h in self.hashes]
         held = Counter(s for b in self.bags for s in b)
@@ -145,6 +167,15 @@ class Items:
         every = sum(n * self.rarity[s] for s, n in a.items()) + sum(n * self.rarity.get(s, self.unseen) for s, n in b.items()) - both
         return both / every if every else 0.0
 
+    def trimmed(self, number: int, h: np.ndarray, low: int, high: int, at: int) -> tuple[int, int]:
+        """What to add to start and length for the words from the item's first shingle in [low, high) to its last, where words were put in or taken out."""
+        bag, near = self.bags[number], h[low:high].tolist()
+        held = [i for i in range(len(near) - self.words + 1) if tuple(near[i : i + self.words]) in bag]
+        if not held:
+            return 0, 0
+        a = low + held[0]
+        return a - at, low + held[-1] + self.words - a - len(self.hashes[number])
+
     def candidates(self, h: np.ndarray, edges: np.ndarray) -> list[tuple[int, int, int]]:
         """(position of the item's start, item, distance) for words laid end to end; edges: where documents begin, and the end."""
         if self.bands is None:
@@ -165,7 +196,7 @@ class Items:
                     found.append((start + int(w) + int(band.shift[m]), int(band.item[m]), int(d)))
         return found
 
-    def matches(self, texts: list[str | None], least: float) -> list[tuple[int, int, int, int, float]]:
+    def matches(self, texts: list[str | None], least: float) -> list[tuple[int, str, int, int, float]]:
         """(text number, item id, first word, words, similarity): the best of each text and item."""
         parts = [hashes(plain_words(t)) for t in texts]
         h = np.concatenate([*parts, np.zeros(0, np.uint64)])
@@ -177,14 +208,16 @@ class Items:
             doc = int(np.searchsorted(edges, min(max(at + size // 2, 0), len(h) - 1), "right")) - 1
             if best.get((doc, number), (0.0,))[0] == 1.0:
                 continue
-            for shift, more in ((0, 0), (0, -1), (0, 1), (1, -1), (-1, 1), (1, 0), (-1, 0), (0, -2), (0, 2)):
+            reach = lost_shingles(size, self.words, least) + 1
+            low, high = max(at - reach, int(edges[doc])), min(at + size + reach, int(edges[doc + 1]))
+            for shift, more in ((0, 0), self.trimmed(number, h, low, high, at), (0, -1), (0, 1), (1, -1), (-1, 1), (1, 0), (-1, 0), (0, -2), (0, 2)):
                 a = max(at + shift, int(edges[doc]))
                 z = min(a + max(1, size + more), int(edges[doc + 1]))
                 if a >= z or (doc, number, a, z) in tried:
                     continue
                 tried.add((doc, number, a, z))
                 value = self.similarity(number, h[a:z])
-                if value >= least and value > best.get((doc, number), (0.0,))[0]:
+                if value >= least - 1e-9 and value > best.get((doc, number), (0.0,))[0]:
                     best[doc, number] = (value, a - int(edges[doc]), z - a)
                 if shift == more == 0 and (value == 1.0 or value < least - 0.3):
                     break
@@ -195,13 +228,13 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, least
     """doc_id, item_id, start, n_words, similarity: every document and item with a window of that similarity."""
     small_batches(docs)
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    bench = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     slices = max(1, -(-bench.count() // slice_items))
-    kind, item_kind = (f.schema[c].dataType.simpleString() for f, c in ((narrow, "doc_id"), (bench, "item_id")))
+    kind, item_kind = (f.schema[c].dataType.simpleString() for f, c in ((narrow, "doc_id"), (benchmark, "item_id")))
     found = []
     for k in range(slices):
         rows = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k).collect()
-        sent = docs.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in rows], words))
+        sent = docs.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in rows], words, least))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             claim(_memo)
@@ -209,11 +242,11 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, least
                 hits = sent.value.matches(batch.column("text").to_pylist(), least)
                 doc, item, start, n, value = zip(*hits) if hits else ((),) * 5
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(item, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(value, pa.float64())],
+                    [batch.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(item, pa.string()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(value, pa.float64())],
                     names=["doc_id", "item_id", "start", "n_words", "similarity"],
                 )
 
-        found.append(narrow.mapInArrow(search, f"doc_id {kind}, item_id long, start long, n_words long, similarity double"))
+        found.append(narrow.mapInArrow(search, f"doc_id {kind}, item_id string, start long, n_words long, similarity double"))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
