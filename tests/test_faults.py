@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import joins as J
 from tidemark.operators import labels as L
 from tidemark.operators import ledgers as G
 from tidemark.operators import rules as R
@@ -114,3 +116,29 @@ def test_summary_of_nothing_is_zero(spark):
 
     empty = spark.createDataFrame([], "trades long, sharpe double")
     assert tuple(parse_summary(empty).first()) == (0, 0.0)
+
+
+def test_asof_carries_over_empty_slots(spark):
+    rng = random.Random(3)
+    at = lambda k: T0 + timedelta(minutes=k)
+    left = [(rng.choice("ab"), at(rng.randrange(20000)), k) for k in range(300)] + [("a", None, 900), (None, at(5000), 901), ("c", at(1), 902)]
+    right = [(rng.choice("ab"), at(rng.randrange(20000)), float(k)) for k in range(40)] + [(None, at(1), -1.0), ("a", None, -2.0)]
+    want = {}
+    for key, t, k in left:
+        known = [(u, v) for other, u, v in right if None not in (key, t, u) and other == key and u <= t]
+        want[k] = max(known)[1] if known else None
+    l, r = spark.createDataFrame(left, "g string, ts timestamp, k int"), spark.createDataFrame(right, "g string, ts timestamp, v double")
+    assert {x.k: x.v for x in J.asof_join(l, r, "g", "ts", ["v"]).collect()} == want
+
+
+def test_equity_over_days_equals_one_pass(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", None]), T0 + timedelta(hours=rng.randrange(200)), k, None if rng.random() < 0.1 else rng.uniform(-1, 1)) for k in range(250)]
+    got = {x.k: (x.equity, x.peak, x.drawdown) for x in G.equity(spark.createDataFrame(rows, "g string, t timestamp, k int, x double"), "x", ["g"], ["t", "k"]).collect()}
+    assert len(got) == 250
+    for group in ("a", None):
+        total, peak = None, 0.0
+        for _, t, k, x in sorted((r for r in rows if r[0] == group), key=lambda r: r[1:3]):
+            total = total if x is None else (total or 0.0) + x
+            peak = max(peak, total or 0.0)
+            assert got[k] == (pytest.approx(total), pytest.approx(peak), None if total is None else pytest.approx(total - peak, abs=1e-9))

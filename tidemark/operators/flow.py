@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import join_same
 from tidemark.operators.windows import lag, order, over, zscore
 
 
@@ -15,9 +16,18 @@ def cvd(bars: DataFrame, n: int = 20) -> DataFrame:
 
 
 def vpin(ticks: DataFrame, bucket_volume: float, n: int = 20) -> DataFrame:
-    """Mean over n equal-volume buckets of |buys - sells| / volume; a tick belongs to the bucket in which it ends."""
-    w = Window.partitionBy("symbol").orderBy("ts", "tick_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = ticks.withColumn("bucket", F.floor((F.sum("qty").over(w) - F.lit(1e-9)) / bucket_volume))
+    """Mean over n equal-volume buckets of |buys - sells| / volume; a tick belongs to the bucket in which it ends.
+
+    Volume runs within an hour of a symbol and is set upon that of the hours before, so only a row an hour is ordered
+    per symbol.
+    """
+    rows = ticks.withColumn("_hour", F.date_trunc("hour", "ts"))
+    hours = rows.groupBy("symbol", "_hour").agg(F.sum("qty").alias("_volume"))
+    before = Window.partitionBy("symbol").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select("symbol", "_hour", F.coalesce(F.sum("_volume").over(before), F.lit(0.0)).alias("_base"))
+    w = Window.partitionBy("symbol", "_hour").orderBy("ts", "tick_id").rowsBetween(Window.unboundedPreceding, 0)
+    volume = F.col("_base") + F.coalesce(F.sum("qty").over(w), F.lit(0.0))
+    rows = join_same(rows, hours, ["symbol", "_hour"]).withColumn("bucket", F.floor((volume - F.lit(1e-9)) / bucket_volume))
     buckets = rows.groupBy("symbol", "bucket").agg(F.max("ts").alias("ts"), F.abs(F.sum(F.col("qty") * F.col("side"))).alias("_gap"), F.sum("qty").alias("_all"))
     run = Window.partitionBy("symbol").orderBy("bucket").rowsBetween(1 - n, 0)
     return buckets.withColumn("vpin", F.when(F.count("*").over(run) == n, F.avg(F.col("_gap") / F.nullif("_all", F.lit(0.0))).over(run))).select("symbol", "bucket", "ts", "vpin")

@@ -10,20 +10,24 @@ from pyspark.sql import functions as F
 from tidemark.session import sized_broadcast
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, on: str, take: list[str], tolerance: str | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: str, on: str, take: list[str], tolerance: str | None = None, slot_seconds: int = 3600) -> DataFrame:
     """For each row of left the columns `take` of the last row of right at or before it, of the same key.
 
-    Both sides are laid into one ordered series per key and the last right row is carried forward: one shuffle and
-    one sort, no range join. `tolerance` is the longest interval to look back. Right rows come before left rows of
-    the same time; of equal right rows one of the largest values is taken.
+    Both sides are laid into one ordered series per key and slot of time, which begins with the last right row of the
+    slots before it; so a hot key spreads over tasks by slots, and only one row a slot is ordered per key. `tolerance`
+    is the longest interval to look back. Right rows come before left rows of the same time; of equal right rows one
+    of the largest values is taken. Rows without key or time match nothing; those of left stay.
     """
     own = F.struct(*left.columns).alias("_left")
     taken = F.struct(F.col(on).alias("_on"), *take).alias("_right")
-    series = left.select(F.col(by).alias("_by"), F.col(on).alias("_at"), F.lit(1).alias("_is_left"), own).unionByName(
-        right.select(F.col(by).alias("_by"), F.col(on).alias("_at"), F.lit(0).alias("_is_left"), taken), allowMissingColumns=True
-    )
-    order = Window.partitionBy("_by").orderBy("_at", "_is_left", "_right").rowsBetween(Window.unboundedPreceding, 0)
-    joined = series.withColumn("_right", F.last("_right", ignorenulls=True).over(order)).where("_is_left = 1")
+    place = lambda side: [F.col(by).alias("_by"), F.col(on).alias("_at"), F.lit(side).alias("_is_left"), F.floor(F.col(on).cast("timestamp").cast("double") / slot_seconds).alias("_slot")]
+    rows = right.where(F.col(by).isNotNull() & F.col(on).isNotNull()).select(*place(0), taken)
+    series = left.select(*place(1), own).unionByName(rows, allowMissingColumns=True)
+    slots = left.select(*place(1)).unionByName(rows, allowMissingColumns=True).groupBy("_by", "_slot").agg(F.max(F.when(F.col("_is_left") == 0, F.struct("_at", "_right")))["_right"].alias("_right"))
+    before = Window.partitionBy("_by").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slots.select("_by", "_slot", F.lit(0).alias("_is_left"), F.last("_right", ignorenulls=True).over(before).alias("_right")).where("_right is not null")
+    order = Window.partitionBy("_by", "_slot").orderBy(F.asc_nulls_first("_at"), "_is_left", "_right").rowsBetween(Window.unboundedPreceding, 0)
+    joined = series.unionByName(carried, allowMissingColumns=True).withColumn("_right", F.last("_right", ignorenulls=True).over(order)).where("_is_left = 1")
     fresh = F.lit(True) if tolerance is None else F.col("_right._on") >= F.col("_at") - F.expr(f"interval {tolerance}")
     return joined.select("_left.*", *(F.when(fresh, F.col(f"_right.{c}")).alias(c) for c in take))
 

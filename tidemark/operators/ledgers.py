@@ -4,15 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.joins import join_same
 
 
 def equity(df: DataFrame, value: str, by: list[str], order: list[str]) -> DataFrame:
-    """Running sum, its highest value so far (0 at the start) and the distance below it."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("equity", F.sum(value).over(w))
-    return df.withColumn("peak", F.greatest(F.max("equity").over(w), F.lit(0.0))).withColumn("drawdown", F.col("equity") - F.col("peak"))
+    """Running sum, its highest value so far (0 at the start) and the distance below it.
+
+    Where the first column of the order is a date or a time, each day of a group is summed by itself and set upon the
+    sum and the highest value of the days before it, so only a row a day is ordered per group; else the whole group is.
+    """
+    timed = isinstance(df.schema[order[0]].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+    df = df.withColumn("_day", F.to_date(order[0]) if timed else F.lit(None).cast("date"))
+    w = Window.partitionBy(*by, "_day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumn("_run", F.sum(value).over(w))
+    days = rows.groupBy(*by, "_day").agg(F.sum(value).alias("_sum"), F.max("_run").alias("_top"))
+    before = Window.partitionBy(*by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_base", F.sum("_sum").over(before))
+    days = days.select(*by, "_day", "_base", F.max(F.coalesce(F.col("_base") + F.col("_top"), "_top")).over(before).alias("_high"))
+    rows = join_same(rows, days, [*by, "_day"]).withColumn("equity", F.coalesce(F.col("_base") + F.col("_run"), "_base", "_run"))
+    rows = rows.withColumn("peak", F.greatest(F.max("equity").over(w), F.col("_high"), F.lit(0.0))).withColumn("drawdown", F.col("equity") - F.col("peak"))
+    return rows.drop("_day", "_run", "_base", "_high")
 
 
 def ledger_metrics(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:

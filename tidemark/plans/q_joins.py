@@ -23,10 +23,8 @@ def segments(spark):
 @query("J01_asof_join", f"WITH {BARS}, r AS (SELECT ts, tick_id, price FROM ticks WHERE symbol = 'view') SELECT b.symbol, b.ts, r.price AS view_price FROM bars b ASOF LEFT JOIN r ON b.ts >= r.ts")
 def asof(spark, sf_dir):
     right = ticks(spark, sf_dir).where("symbol = 'view'").select(F.lit(1).alias("k"), "ts", "price")
-    left = bars(spark, sf_dir).withColumn("k", F.lit(1))
-    keys = left.select("symbol").distinct()
-    per_symbol = right.drop("k").join(F.broadcast(keys))  # one copy for each of the few symbols: every symbol has its own series
-    return J.asof_join(left, per_symbol, "symbol", "ts", ["price"]).select("symbol", "ts", F.col("price").alias("view_price"))
+    left = bars(spark, sf_dir).withColumn("k", F.lit(1))  # all symbols are held against one series
+    return J.asof_join(left, right, "k", "ts", ["price"]).select("symbol", "ts", F.col("price").alias("view_price"))
 
 
 @query("J01_asof_tolerance", f"WITH {BARS}, r AS (SELECT symbol, ts, value AS v FROM (SELECT symbol, ts, price AS value FROM ticks WHERE tick_id % 3 = 0)) SELECT b.symbol, b.ts, CASE WHEN r.ts >= b.ts - INTERVAL 3 HOUR THEN r.v END AS v FROM bars b ASOF LEFT JOIN r ON b.symbol = r.symbol AND b.ts >= r.ts")
