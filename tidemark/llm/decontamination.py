@@ -8,8 +8,9 @@ fingerprints within RADIUS = 7 bits have a block that differs in one bit or none
 items' blocks with up to one bit flipped finds every fingerprint within the radius. Candidates are verified exactly:
 the item and the document's words there (as many as the item's, or those from its first to its last shingle nearby)
 are multisets of word shingles, weighted by their rarity among the items, and the weighted Jaccard similarity must
-reach `least`. Exact copies and such edits always become candidates; edits scattered over a long item may leave no
-window whole, and are found where one of the three stays within the radius.
+reach `least`. Exact copies and such edits always become candidates (sizes are reckoned with shingles of equal weight);
+edits scattered over a long item, or in it and at its edges at once, may leave no window whole, and are found where
+one of the three stays within the radius.
 
 Words: runs without white space, ASCII punctuation taken out, lower case. Defined cases: items without words match
 nothing; items shorter than a shingle count as one shingle; null or empty texts match nothing; of equal matches of a
