@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import queries_join, queries_text
+from tidemark.llm import queries_join, queries_search, queries_text
 
-QUERIES = {**queries_text.QUERIES, **queries_join.QUERIES}
-ORACLES = {**queries_text.ORACLES, **queries_join.ORACLES}
+QUERIES = {**queries_text.QUERIES, **queries_join.QUERIES, **queries_search.QUERIES}
+ORACLES = {**queries_text.ORACLES, **queries_join.ORACLES, **queries_search.ORACLES}
