@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import join_same
+from tidemark.operators.prefix import group_quantiles, lookup, running
 from tidemark.session import cut
 
 
@@ -25,46 +23,10 @@ def lift(good: Column, bad: Column) -> Column:
     return F.when(bad > 0, good / F.nullif(bad, F.lit(0.0)) - 1).when(good > 0, float("inf")).otherwise(0.0)
 
 
-def exact_quantiles(df: DataFrame, value: str, qs: list[float], most: int = 100_000) -> list[float | None]:
-    """Quantiles with linear interpolation, exact at any size; nulls apart, None without rows.
-
-    An approximate percentile brackets each wanted place, rows below the bracket are counted, and of the rows inside
-    the distinct values with their counts are read; brackets with more than `most` of them are bracketed again.
-    """
-    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"))
-    n = rows.count()
-    if not n:
-        return [None] * len(qs)
-    places = [q * (n - 1) for q in qs]
-    ranks = sorted({k for p in places for k in (math.floor(p), math.ceil(p))})
-    at = _at_ranks(rows, n, ranks, most)
-    return [at[math.floor(p)] if p == math.floor(p) else (math.ceil(p) - p) * at[math.floor(p)] + (p - math.floor(p)) * at[math.ceil(p)] for p in places]
-
-
-def _at_ranks(rows: DataFrame, n: int, ranks: list[int], most: int) -> dict[int, float]:
-    """The values (column x) at ranks from 0 in ascending order."""
-    margin = 3 / 10_000 + 1 / n
-    asked = [min(1.0, max(0.0, r / n + side * margin)) for r in ranks for side in (-1, 1)]
-    edges = rows.agg(F.percentile_approx("x", F.array(*map(F.lit, asked)), 10_000).alias("e")).first()["e"]
-    spans = [(edges[2 * i], edges[2 * i + 1]) for i in range(len(ranks))]
-    inside = [F.col("x").between(a, z) for a, z in spans]
-    count = lambda c: F.sum(c.cast("long"))
-    told = rows.agg(*(count(F.col("x") < a) for a, _ in spans), *(count(c) for c in inside)).first()
-    below, held = told[: len(ranks)], told[len(ranks) :]
-    distinct = rows.where(reduce(lambda a, b: a | b, inside)).groupBy("x").agg(F.count("*").alias("k"))
-    read = distinct.limit(most + 1).collect()
-    if len(read) > most:
-        return {r: _at_ranks(rows.where(c), h, [r - b], most)[r - b] for r, c, b, h in zip(ranks, inside, below, held)}
-    read.sort(key=lambda r: r.x)
-    out = {}
-    for r, (a, z), before in zip(ranks, spans, below):
-        for x, k in read:
-            if a <= x <= z:
-                before += k
-                if before > r:
-                    out[r] = x
-                    break
-    return out
+def exact_quantiles(df: DataFrame, value: str, qs: list[float]) -> list[float | None]:
+    """Quantiles with linear interpolation, exact at any size; null and NaN are no values, None without values."""
+    found = group_quantiles(df, [], value, qs).first()
+    return list(found["q"]) if found else [None] * len(qs)
 
 
 def correlation(a: str, b: str) -> Column:
@@ -72,31 +34,19 @@ def correlation(a: str, b: str) -> Column:
     return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
 
 
-def bucketed(df: DataFrame, value: str, by: list[str], out: str, buckets: int = 64) -> DataFrame:
-    """df with the number of a value's bucket in its group; buckets follow the order of values and hold about as many rows.
+def rank_ic(df: DataFrame, feature: str, target: str, *by: str) -> DataFrame:
+    """Spearman correlation of feature and target and the number of pairs, per group `by`; pairs with a null are left out.
 
-    Ranks and running sums then need no window over a whole group: one within each bucket, and a prefix over the few
-    buckets of a group. Equal values share a bucket.
+    Equal pairs are counted first, and values are ranked by their counts, so a value that fills a group costs a row.
     """
-    edges = df.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), 10_000)).alias("_edges"))
-    joined = join_same(df, edges, by)
-    return joined.withColumn(out, F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
-
-
-def with_average_rank(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
-    """Rank of a value in its group, ties sharing the mean of their places."""
-    rows = bucketed(df, value, by, "_b")
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy(*by, "_b").agg(F.count("*").alias("_n")).withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    rank = F.rank().over(Window.partitionBy(*by, "_b").orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, "_b", value)) - 1) / 2
-    return join_same(rows.withColumn("_r", rank), offsets, [*by, "_b"]).withColumn(out, F.col("_r") + F.col("_o")).drop("_r", "_o", "_b")
-
-
-def rank_ic(df: DataFrame, feature: str, target: str, *by: str) -> DataFrame:
-    """Spearman correlation of feature and target and the number of pairs, per group `by`."""
-    rows = cut(df.where(F.col(feature).isNotNull() & F.col(target).isNotNull()).select(*by, feature, target))
-    ranked = with_average_rank(cut(with_average_rank(rows, feature, list(by), "_f")), target, list(by), "_t")
-    return ranked.groupBy(*by).agg(correlation("_f", "_t").alias("ic"), F.count("*").alias("n"))
+    both = df.where(F.col(feature).isNotNull() & F.col(target).isNotNull()).select(*by, F.col(feature).alias("_x"), F.col(target).alias("_y"))
+    pairs = cut(both.groupBy(*by, "_x", "_y").agg(F.count("*").alias("_w")))
+    for value, out in (("_x", "_f"), ("_y", "_t")):
+        counts = running(pairs.groupBy(*by, value).agg(F.sum("_w").alias("_n"), F.count("*").alias("_k")), list(by), [value], ["_n"])
+        centred = F.col("_n_before") + (F.col("_n") - F.col("_n_total")) / 2  # the mean of all ranks is (total + 1) / 2
+        pairs = lookup(pairs, counts.select(*by, value, "_k", centred.alias(out)), [*by, value], "_k")
+    sums = pairs.groupBy(*by).agg(F.sum(F.col("_w") * F.col("_f") * F.col("_t")).alias("_c"), F.sum(F.col("_w") * F.col("_f") * F.col("_f")).alias("_v"), F.sum(F.col("_w") * F.col("_t") * F.col("_t")).alias("_u"), F.sum("_w").alias("n"))
+    return sums.select(*by, (F.col("_c") / F.nullif(F.sqrt("_v") * F.sqrt("_u"), F.lit(0.0))).alias("ic"), "n")
 
 
 def ic_decay(df: DataFrame, features: list[str], horizons: list[int], target: str) -> DataFrame:
@@ -158,8 +108,8 @@ def threshold_means(df: DataFrame, feature: str, value: str, grid: list[float],
 
 def tau_scan(df: DataFrame, score: str, value: str, qs: list[float]) -> DataFrame:
     """For each quantile of the score: the threshold, rows beyond it and their mean value."""
-    edges = df.sparkSession.createDataFrame(list(zip(qs, exact_quantiles(df, score, qs))), "q double, threshold double")
-    return df.select(score, value).join(F.broadcast(edges), F.col(score) >= F.col("threshold")).groupBy("q", "threshold").agg(F.count("*").alias("trades"), F.avg(value).alias("mean_r"))
+    edges = group_quantiles(df, [], score, qs).select(F.explode(F.arrays_zip(F.array(*map(F.lit, qs)).alias("q"), F.col("q").alias("threshold"))).alias("e")).select("e.q", "e.threshold")
+    return df.select(score, value).where(~F.isnan(score)).join(F.broadcast(edges), F.col(score) >= F.col("threshold")).groupBy("q", "threshold").agg(F.count("*").alias("trades"), F.avg(value).alias("mean_r"))
 
 
 def plateau_update(new: Column, last: Column) -> Column:
@@ -189,15 +139,9 @@ def shares(df: DataFrame, column: str) -> DataFrame:
 
 def ks_distance(df: DataFrame, feature: str, label: str) -> DataFrame:
     """Largest distance of the distribution functions of rows with label 1 and 0."""
-    counts = df.where(F.col(feature).isNotNull()).groupBy(feature).agg(F.sum(F.col(label)).alias("_g"), F.sum(1 - F.col(label)).alias("_b"))
-    rows = cut(bucketed(cut(counts), feature, [], "_k"))
-    sums = rows.groupBy("_k").agg(F.sum("_g").alias("_sg"), F.sum("_b").alias("_sb"))
-    before = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_k", F.coalesce(F.sum("_sg").over(before), F.lit(0)).alias("_og"), F.coalesce(F.sum("_sb").over(before), F.lit(0)).alias("_ob"))
-    inside = Window.partitionBy("_k").orderBy(feature).rowsBetween(Window.unboundedPreceding, 0)
-    run = rows.withColumn("_cg", F.sum("_g").over(inside)).withColumn("_cb", F.sum("_b").over(inside)).join(F.broadcast(offsets), "_k")
-    run = run.join(F.broadcast(sums.agg(F.sum("_sg").alias("_tg"), F.sum("_sb").alias("_tb"))))
-    return run.agg(F.max(F.abs((F.col("_cg") + F.col("_og")) / F.col("_tg") - (F.col("_cb") + F.col("_ob")) / F.col("_tb"))).alias("ks"))
+    counts = df.where(F.col(feature).isNotNull()).groupBy(F.col(feature).alias("_x")).agg(F.sum(F.col(label)).alias("_g"), F.sum(1 - F.col(label)).alias("_b"))
+    share = lambda c: (F.col(f"{c}_before") + F.col(c)) / F.col(f"{c}_total")
+    return running(counts, [], ["_x"], ["_g", "_b"]).agg(F.max(F.abs(share("_g") - share("_b"))).alias("ks"))
 
 
 def eval_metrics(df: DataFrame, pred: str, target: str) -> DataFrame:

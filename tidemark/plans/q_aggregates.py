@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from tidemark.operators import bars as B
 from tidemark.operators import ledgers as L
 from tidemark.operators import windows as W
+from tidemark.operators.joins import join_same
+from tidemark.operators.prefix import group_quantiles
 from tidemark.plans.catalog import query
 from tidemark.plans.q_features import ema_cte, rounded
 from tidemark.plans.q_rules import ROWS, rows
 from tidemark.plans.views import BARS, LEDGER, TICKS, bars, bars_sql, ledger, ticks
-from tidemark.session import table
+from tidemark.session import cut, table
 
 _r = lambda s, n: f"round(CAST({s} AS DOUBLE), 6) AS {n}"
 ORDER = ["exit_time", "trade_id", "leg", "part", "notional"]
@@ -43,12 +45,13 @@ def asset_stats(spark, sf_dir):
 
 @query("A21_segment_drawdown", f"WITH {LEDGER}, {_dd('symbol, side')} SELECT symbol, side, {_r('min(dd)', 'max_dd')} FROM d GROUP BY 1, 2")
 def segment_drawdown(spark, sf_dir):
-    return L.equity(ledger(spark, sf_dir), "pnl_r", ["symbol", "side"], ORDER).groupBy("symbol", "side").agg(F.round(F.min("drawdown"), 6).alias("max_dd"))
+    return L.ledger_metrics(ledger(spark, sf_dir), ["symbol", "side"], ORDER).select("symbol", "side", F.round("max_dd", 6).alias("max_dd"))
 
 
 @query("A22_segment_quantiles", f"WITH {LEDGER} SELECT symbol, {_r('avg(pnl_r)', 'mean')}, {_r('quantile_cont(pnl_r, 0.1)', 'q10')}, {_r('quantile_cont(pnl_r, 0.5)', 'q50')}, {_r('quantile_cont(pnl_r, 0.9)', 'q90')} FROM ledger GROUP BY 1")
 def segment_quantiles(spark, sf_dir):
-    g = ledger(spark, sf_dir).groupBy("symbol").agg(F.avg("pnl_r").alias("mean"), F.percentile("pnl_r", F.array(*map(F.lit, (0.1, 0.5, 0.9)))).alias("q"))
+    led = cut(ledger(spark, sf_dir).select("symbol", "pnl_r"))
+    g = join_same(led.groupBy("symbol").agg(F.avg("pnl_r").alias("mean")), group_quantiles(led, ["symbol"], "pnl_r", [0.1, 0.5, 0.9]), ["symbol"])
     return rounded(g.select("symbol", "mean", *(F.col("q")[i].alias(n) for i, n in enumerate(("q10", "q50", "q90")))), "mean", "q10", "q50", "q90", keys=("symbol",))
 
 
@@ -66,7 +69,7 @@ def timeline(spark, sf_dir):
 @query("A24_tail_contribution", f"""WITH {LEDGER}, w AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY pnl_r DESC, trade_id, leg, part, notional) AS k, count(*) OVER (PARTITION BY symbol) AS c FROM ledger WHERE pnl_r > 0)
   SELECT symbol, {_r('sum(pnl_r) FILTER (k <= greatest(1, ceil(c * 0.1))) / sum(pnl_r)', 'tail_share')}, count(*) FILTER (k <= greatest(1, ceil(c * 0.1))) AS n_top, count(*) AS n_winners FROM w GROUP BY 1""")
 def tail_contribution(spark, sf_dir):
-    return L.tail_contribution(ledger(spark, sf_dir), ["symbol"], ["trade_id", "leg", "part", "notional"]).withColumn("tail_share", F.round("tail_share", 6))
+    return L.tail_contribution(ledger(spark, sf_dir), ["symbol"]).withColumn("tail_share", F.round("tail_share", 6))
 
 
 _METRICS = f"count(*) AS trades, {_r('avg(CASE WHEN pnl_r > 0 THEN 1.0 ELSE 0.0 END)', 'win_rate')}, {_r('sum(pnl_r)', 'total_r')}, {_r('avg(pnl_r)', 'mean_r')}, {_r('avg(pnl_r) / nullif(stddev_samp(pnl_r), 0)', 'sharpe')}, {_r('min(dd)', 'max_dd')}"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import rules as R
 from tidemark.operators import windows as W
-from tidemark.operators.statistics import exact_quantiles
+from tidemark.operators.prefix import group_quantiles
 from tidemark.plans.catalog import query
 from tidemark.plans.q_features import ATR, MOVE, TR, cte, ema_cte, w
 from tidemark.plans.views import BARS, LABELED, bars, labeled
@@ -184,7 +184,9 @@ _Q = ["q AS (SELECT quantile_cont(volume_ratio, 0.9) AS hi, quantile_cont(roc, 0
 @query("P30_evidence_quantile", f"WITH RECURSIVE {', '.join([ROWS, *_Q])} SELECT symbol, ts, coalesce(volume_ratio > vq, false) AS volume_high, coalesce(roc < rq, false) AS roc_low FROM fq")
 def evidence_quantile(spark, sf_dir):
     df = rows(spark, sf_dir)
-    known = {(c, q): exact_quantiles(df, c, [q])[0] for c, q in (("volume_ratio", 0.9), ("roc", 0.1))}
+    long = df.select("volume_ratio", "roc").unpivot([], ["volume_ratio", "roc"], "name", "value")
+    told = {r["name"]: r["q"] for r in group_quantiles(long, ["name"], "value", [0.1, 0.9]).collect()}
+    known = {("volume_ratio", 0.9): told["volume_ratio"][1], ("roc", 0.1): told["roc"][0]}
     return df.select("symbol", "ts", R.evidence(known, "volume_ratio", "quantile_gt", 0.9).alias("volume_high"), R.evidence(known, "roc", "quantile_lt", 0.1).alias("roc_low"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as X
 from tidemark.operators.joins import position_key
+from tidemark.operators.prefix import group_quantiles
 from tidemark.plans.catalog import query
 from tidemark.session import table
 
@@ -80,6 +81,6 @@ def pct(spark, sf_dir):
 
 @query("X13_quantile_key", "SELECT event_type, round(quantile_cont(value, 0.9), 6) AS q90 FROM events GROUP BY 1")
 def quantile_key(spark, sf_dir):
-    g = table(spark, sf_dir, "events").groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.1), F.lit(0.9))).alias("q"))
+    g = group_quantiles(table(spark, sf_dir, "events"), ["event_type"], "value", [0.1, 0.9])
     table_ = F.map_from_arrays(F.array(F.lit("0.1"), F.lit("0.9")), F.col("q"))
     return g.select("event_type", F.round(X.quantile_key(table_, "0.9"), 6).alias("q90"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import statistics as S
 from tidemark.operators import windows as W
+from tidemark.operators.prefix import group_quantiles
 from tidemark.plans.catalog import query
 from tidemark.plans.q_features import rounded
 from tidemark.plans.q_rules import ROWS, rows
@@ -113,11 +114,11 @@ def tau_scan(spark, sf_dir):
 @query("A14_plateau_update", f"""WITH {LABELED}, h AS (SELECT source, quantile_cont(feature, 0.25) FILTER (doc_id % 2 = 0) AS nl, quantile_cont(feature, 0.75) FILTER (doc_id % 2 = 0) AS nh, quantile_cont(feature, 0.25) FILTER (doc_id % 2 = 1) AS ll, quantile_cont(feature, 0.75) FILTER (doc_id % 2 = 1) AS lh FROM labeled GROUP BY source)
   SELECT source, CASE WHEN ll IS NULL THEN 'ADOPT' WHEN nl = ll AND nh = lh THEN 'KEEP' WHEN least(nh, lh) - greatest(nl, ll) >= 0.5 * (nh - nl) THEN 'ADOPT' ELSE 'ALERT' END AS verdict FROM h""")
 def plateau_update(spark, sf_dir):
-    even = F.col("doc_id") % 2 == 0
-    band = lambda c: F.percentile(F.when(c, F.col("feature")), F.array(F.lit(0.25), F.lit(0.75)))
-    g = labeled(spark, sf_dir).groupBy("source").agg(band(even).alias("n"), band(~even).alias("l"))
-    pair = lambda c: F.struct(F.col(c)[0].alias("lo"), F.col(c)[1].alias("hi"))
-    return g.select("source", S.plateau_update(pair("n"), F.when(F.col("l").isNotNull(), pair("l"))).alias("verdict"))
+    halves = labeled(spark, sf_dir).withColumn("even", F.col("doc_id") % 2 == 0)
+    bands = group_quantiles(halves, ["source", "even"], "feature", [0.25, 0.75])
+    pair = F.struct(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    g = bands.groupBy("source").agg(F.max(F.when(F.col("even"), pair)).alias("n"), F.max(F.when(~F.col("even"), pair)).alias("l"))
+    return g.select("source", S.plateau_update(F.col("n"), F.col("l")).alias("verdict"))
 
 
 _HALF = "CASE WHEN doc_id % 2 = 0 THEN 'current' ELSE 'reference' END"
@@ -146,7 +147,7 @@ def ic_drift(spark, sf_dir):
 
 @query("A17_mid_in_band", f"WITH {LABELED} SELECT lang, 1500.0 BETWEEN quantile_cont(feature, 0.1) AND quantile_cont(feature, 0.95) AS inside FROM labeled GROUP BY lang")
 def mid_in_band(spark, sf_dir):
-    g = labeled(spark, sf_dir).groupBy("lang").agg(F.percentile("feature", F.array(F.lit(0.1), F.lit(0.95))).alias("q"))
+    g = group_quantiles(labeled(spark, sf_dir), ["lang"], "feature", [0.1, 0.95])
     return g.select("lang", F.lit(1500.0).between(F.col("q")[0], F.col("q")[1]).alias("inside"))
 
 

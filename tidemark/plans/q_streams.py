@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators.prefix import group_quantiles
 from tidemark.plans.catalog import query
 from tidemark.plans.q_features import rounded
 from tidemark.plans.views import BARS, TICKS, ticks
 from tidemark.sources import store as S
+from tidemark.session import cut, sized_broadcast
 from tidemark.streaming import jobs as T
 
 _CLOSED = "closed AS (SELECT * FROM bars WHERE ts + INTERVAL 2 HOUR <= (SELECT max(ts) FROM ticks) - INTERVAL 2 MINUTE)"
@@ -70,8 +72,8 @@ def bus_sink(spark, sf_dir):
 
 @query("T09_stream_static", f"WITH {TICKS}, q AS (SELECT symbol, quantile_cont(price, 0.9) AS edge FROM ticks GROUP BY 1) SELECT t.symbol, tick_id, price > edge AS is_high FROM ticks t JOIN q ON t.symbol = q.symbol")
 def stream_static(spark, sf_dir):
-    edges = ticks(spark, sf_dir).groupBy("symbol").agg(F.percentile("price", F.lit(0.9)).alias("edge"))
-    joined = T.tick_stream(spark, sf_dir).join(F.broadcast(edges), "symbol")
+    edges = cut(group_quantiles(ticks(spark, sf_dir), ["symbol"], "price", [0.9]).select("symbol", F.col("q")[0].alias("edge")))
+    joined = T.tick_stream(spark, sf_dir).join(sized_broadcast(edges), "symbol")
     return T.run_to_table(joined.select("symbol", "tick_id", (F.col("price") > F.col("edge")).alias("is_high")), "highs")
 
 
