@@ -30,11 +30,11 @@ def equity(df: DataFrame, value: str, by: list[str], order: list[str]) -> DataFr
     rows = rows.withColumn("_run", F.sum(value).over(w))
     blocks = rows.groupBy("_group", "_block").agg(F.sum(value).alias("_sum"), F.max("_run").alias("_top"))
     before = Window.partitionBy("_group").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
-    blocks = blocks.select("_group", "_block", "_base", F.max(F.col("_base") + F.col("_top")).over(before).alias("_high"))
+    blocks = blocks.withColumn("_base", F.sum("_sum").over(before))
+    blocks = blocks.select("_group", "_block", "_base", F.max(F.coalesce(F.col("_base") + F.col("_top"), "_top")).over(before).alias("_high"))
     key = F.coalesce(F.col("_block").cast("string"), F.lit("none"))  # rows without a day are a block too
     joined = rows.withColumn("_key", key).join(blocks.withColumn("_key", key).drop("_block"), ["_group", "_key"])
-    joined = joined.withColumn("equity", F.col("_base") + F.coalesce("_run", F.lit(0.0)))
+    joined = joined.withColumn("equity", F.coalesce(F.col("_base") + F.col("_run"), "_base", "_run"))
     joined = joined.withColumn("peak", F.greatest(F.max("equity").over(w), F.col("_high"), F.lit(0.0))).withColumn("drawdown", F.col("equity") - F.col("peak"))
     return joined.select(*df.columns, "equity", "peak", "drawdown")
 

@@ -9,8 +9,8 @@ from tidemark.operators.statistics import exact_quantiles
 
 
 def top_quantile(df: DataFrame, score: str, q: float) -> DataFrame:
-    """Rows at or over the 1 - q quantile of a score."""
-    return df.where(F.col(score) >= F.lit(exact_quantiles(df, score, [1 - q])[0]))
+    """Rows at or over the 1 - q quantile of a score; those without a score (null or NaN) are not."""
+    return df.where((F.col(score) >= F.lit(exact_quantiles(df, score, [1 - q])[0])) & ~F.isnan(score))
 
 
 def top_features(ic: DataFrame, n: int, always: list[str]) -> DataFrame:

@@ -119,12 +119,12 @@ def plateau_update(new: Column, last: Column) -> Column:
 
 
 def psi(current: DataFrame, reference: DataFrame, feature: str, bins: int = 10, floor: float = 1e-6) -> DataFrame:
-    """Population stability index over the reference's quantile bins."""
+    """Population stability index over the reference's quantile bins; null and NaN are in none."""
     edges = exact_quantiles(reference, feature, [i / bins for i in range(1, bins)])
     bin_ = sum((F.when(F.col(feature) > e, 1).otherwise(0) for e in edges if e is not None), F.lit(0))
 
     def shares(df: DataFrame, name: str) -> DataFrame:
-        counted = df.where(F.col(feature).isNotNull()).groupBy(bin_.alias("bin")).agg(F.count("*").alias("_n"))
+        counted = df.where(F.col(feature).isNotNull() & ~F.isnan(feature)).groupBy(bin_.alias("bin")).agg(F.count("*").alias("_n"))
         return counted.join(F.broadcast(counted.agg(F.sum("_n").alias("_t")))).select("bin", (F.col("_n") / F.col("_t")).alias(name))
 
     both = shares(current, "a").join(shares(reference, "e"), "bin", "full")
