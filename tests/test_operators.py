@@ -18,6 +18,7 @@ from tidemark.operators import labels as L
 from tidemark.operators import ledgers as G
 from tidemark.operators import ranking as K
 from tidemark.operators import rules as R
+from tidemark.operators import spacing
 from tidemark.operators import statistics as S
 from tidemark.operators import windows as W
 from tidemark.sources import store
@@ -183,7 +184,7 @@ def test_rr_outcome_equals_a_loop(walk):
 def test_ladder_adds_and_greedy_spacing(spark, walk):
     assert {r[0] for r in L.ladder_adds(W.atr(walk), 20, [2.0, 4.0], [0.5, 0.25]).select("adds").distinct().collect()} <= {0, 1, 2}
     signals = spark.createDataFrame([("A", T0 + timedelta(minutes=m)) for m in (0, 10, 29, 30, 45, 61, 200)], "symbol string, ts timestamp")
-    kept = sorted(int((r.ts - T0).total_seconds() // 60) for r in L.min_interval(signals, 30).collect())
+    kept = sorted(int((r.ts - T0).total_seconds() // 60) for r in spacing.min_interval(signals, 30).collect())
     assert kept == [0, 30, 61, 200]
 
 

@@ -1,7 +1,7 @@
 """Labels: windows ahead of each bar, first-touch outcomes, folds over a signal's path, and splits.
 
-"Ahead" frames never cross symbols. Folds (rr_outcome, min_interval, non_overlap) run over one array per row or per
-(symbol, year), inside the JVM.
+"Ahead" frames never cross symbols. Folds (rr_outcome, ladder_adds) run over one array of a row's next bars, inside the
+JVM.
 """
 
 from __future__ import annotations
@@ -143,25 +143,6 @@ def rr_outcome(df: DataFrame, h: int = 20, stop: float = 1.0, target: float = 2.
     return df.withColumn("exit_reason", reason).withColumn("bars_held", F.when(reason.isNotNull(), F.col("_end.bars"))).withColumn("pnl_r", F.when(reason.isNotNull(), r)).drop("_path", "_entry", "_unit", "_end")
 
 
-def _greedy(df: DataFrame, free_at: Column) -> DataFrame:
-    """Signals kept one after another: each is kept if its time is not before the last kept one's end."""
-    lists = df.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("ts", free_at.alias("free")))).alias("s"))
-    start = F.struct(F.lit(None).cast("timestamp").alias("free"), F.array().cast("array<timestamp>").alias("kept"))
-    fits = lambda a, x: a["free"].isNull() | (x["ts"] >= a["free"])
-    kept = F.aggregate("s", start, lambda a, x: F.when(fits(a, x), F.struct(x["free"].alias("free"), F.array_append(a["kept"], x["ts"]).alias("kept"))).otherwise(a))
-    return lists.select("symbol", F.explode(kept["kept"]).alias("ts"))
-
-
-def min_interval(df: DataFrame, minutes: int) -> DataFrame:
-    """Signals at least so many minutes after the last kept one (greedy, so it is a fold over each symbol's signals)."""
-    return _greedy(df, F.col("ts") + F.expr(f"interval {minutes} minutes"))
-
-
-def non_overlap(df: DataFrame, bars: int, minutes_per_bar: int) -> DataFrame:
-    """Signals after the last kept one has ended, `bars` bars later."""
-    return _greedy(df, F.col("ts") + F.expr(f"interval {bars * minutes_per_bar} minutes"))
-
-
 def ladder_adds(df: DataFrame, h: int, steps: list[float], weights: list[float], stop: float = 1.0) -> DataFrame:
     """How many R steps the next highs reach before a bar touches the stop, and the weights so added."""
     df = df.withColumn("_path", F.collect_list(F.struct("high", "low")).over(ahead(h))).withColumn("_u", F.greatest(F.col("atr"), F.lit(1e-9)))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import labels as L
 from tidemark.operators import rules as R
+from tidemark.operators import spacing
 from tidemark.operators import windows as W
 from tidemark.plans.catalog import query
 from tidemark.plans.q_features import rounded
@@ -80,16 +81,23 @@ label("L15_holding_exit", lambda b: b.withColumn("holding_exit", L.holding_exit(
 label("L16_rr_outcome", lambda b: L.rr_outcome(b).withColumn("code", F.when(F.col("exit_reason") == "stop", 1).when(F.col("exit_reason") == "trail", 2).when(F.col("exit_reason") == "target", 3).when(F.col("exit_reason") == "time", 4)), {"code": "", "bars_held": "", "pnl_r": ""}, sql=False)
 
 
-def _greedy_sql(minutes: int) -> str:
-    return f"""WITH RECURSIVE {ROWS}, s AS (SELECT symbol, ts FROM f WHERE position >= 0.1),
-  k AS (SELECT symbol, min(ts) AS ts FROM s GROUP BY 1 UNION ALL
-    SELECT symbol, ts FROM (SELECT s.symbol, s.ts, row_number() OVER (PARTITION BY s.symbol ORDER BY s.ts) AS n FROM k JOIN s ON s.symbol = k.symbol AND s.ts >= k.ts + INTERVAL '{minutes} minutes') WHERE n = 1)
-  SELECT symbol, ts FROM k"""
+_SPACED = "k AS (SELECT symbol, minutes, min(ts) AS ts FROM s GROUP BY 1, 2 UNION ALL SELECT symbol, minutes, ts FROM (SELECT s.symbol, s.minutes, s.ts, row_number() OVER (PARTITION BY s.symbol, s.minutes ORDER BY s.ts) AS n FROM k JOIN s ON s.symbol = k.symbol AND s.minutes = k.minutes AND s.ts > k.ts AND s.ts >= k.ts + to_minutes(k.minutes)) WHERE n = 1)"
+_GRID = [0, 240, 480, 1200]
 
 
-@query("L17_min_interval", _greedy_sql(480))
+def _signals(grid: list[int]) -> str:
+    return f"WITH RECURSIVE {ROWS}, g AS (SELECT CAST(unnest({grid}) AS BIGINT) AS minutes), s AS (SELECT symbol, ts, minutes FROM f CROSS JOIN g WHERE position >= 0.1), {_SPACED}"
+
+
+@query("L17_min_interval", f"{_signals([480])} SELECT symbol, ts FROM k")
 def min_interval(spark, sf_dir):
-    return L.min_interval(rows(spark, sf_dir).where("position >= 0.1").select("symbol", "ts"), 480)
+    return spacing.min_interval(rows(spark, sf_dir).where("position >= 0.1").select("symbol", "ts"), 480)
+
+
+@query("L17_interval_sweep", f"{_signals(_GRID)}, v AS (SELECT *, lead(close) OVER (PARTITION BY symbol ORDER BY ts) / close - 1 AS ahead FROM f), p AS (SELECT k.minutes, count(*) AS kept, avg(ahead) AS m FROM k JOIN v ON v.symbol = k.symbol AND v.ts = k.ts GROUP BY 1) SELECT CAST(minutes AS INTEGER) AS minutes, kept, {_r('m', 'mean_value')}, minutes = (SELECT arg_min(minutes, (-m, minutes)) FROM p) AS selected FROM p")
+def interval_sweep(spark, sf_dir):
+    b = rows(spark, sf_dir).withColumn("ahead", F.lead("close").over(W.order()) / F.col("close") - 1)
+    return rounded(spacing.interval_sweep(b.where("position >= 0.1"), _GRID, "ahead"), "mean_value", keys=("minutes", "kept", "selected"))
 
 
 label("L18_atr_size", lambda b: b.withColumn("size", L.atr_size(F.lit(10000.0), 0.01, F.col("atr"), 1.5, 5.0)), {"size": "least(5.0, 100.0 / nullif(atr * 1.5, 0))"})
@@ -105,9 +113,9 @@ label("L21_invert_features", lambda b: L.invert_features(b, ["position", "roc"])
 label("L22_ladder_adds", lambda b: L.ladder_adds(b, 20, [2.0, 4.0], [0.5, 0.25]), {"adds": "", "add_weight": ""}, sql=False)
 
 
-@query("L23_non_overlap", _greedy_sql(1200))
+@query("L23_non_overlap", f"{_signals([1200])}, v AS (SELECT *, lead(close, 10) OVER (PARTITION BY symbol ORDER BY ts) / close - 1 AS ahead FROM f) SELECT k.symbol, k.ts, {_r('ahead', 'gross')}, {_r('ahead - 0.0008', 'net')} FROM k JOIN v ON v.symbol = k.symbol AND v.ts = k.ts")
 def non_overlap(spark, sf_dir):
-    return L.non_overlap(rows(spark, sf_dir).where("position >= 0.1").select("symbol", "ts"), 10, 120)
+    return rounded(spacing.non_overlap(rows(spark, sf_dir), F.col("position") >= 0.1, 10, 120, 8.0), "gross", "net")
 
 
 label("L24_structural_exit", lambda b: L.structural_exit(b, F.col("position"), 1, 20), {"bars_to_exit": f"min(CASE WHEN position < 0 THEN i END) OVER {_ahead(20)} - i"}, ["x AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM f)"], "x")
