@@ -21,6 +21,7 @@ from tidemark.operators import rules as R
 from tidemark.operators import spacing
 from tidemark.operators import statistics as S
 from tidemark.operators import windows as W
+from tidemark.operators.expanding import expanding_quantile
 from tidemark.sources import store
 
 T0 = datetime(2024, 1, 1)
@@ -142,7 +143,7 @@ def test_ema_over_many_blocks(walk):
 
 
 def test_features_do_not_look_ahead(walk):
-    build = lambda df: W.swing_levels(W.rsi(W.ema_position(W.expanding_quantile(W.box(df, 20), "close", 0.8), 50)))
+    build = lambda df: W.swing_levels(W.rsi(W.ema_position(expanding_quantile(W.box(df, 20), "close", 0.8), 50)))
     columns = ["rsi", "ema_position", "threshold", "box_pos", "swing_high"]
     whole, cut = build(walk).select("symbol", "ts", *columns), build(walk.where(F.col("ts") < T0 + timedelta(hours=200))).select("symbol", "ts", *(F.col(c).alias(f"_{c}") for c in columns))
     both = cut.join(whole, ["symbol", "ts"])

@@ -148,12 +148,6 @@ def zscore(df: DataFrame, c: str, n: int, out: str) -> DataFrame:
     return df.withColumn("_m", F.avg(c).over(over(n))).withColumn("_s", F.stddev_pop(c).over(over(n))).withColumn(out, F.when(F.col("_s") > 1e-12, (F.col(c) - F.col("_m")) / F.col("_s"))).drop("_m", "_s")
 
 
-def expanding_quantile(df: DataFrame, c: str, q: float, least: int = 50, out: str = "threshold") -> DataFrame:
-    """Interpolated quantile of all values before now, from `least` of them on."""
-    before = order().rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(out, F.when(F.count(c).over(before) >= least, F.percentile(c, F.lit(q)).over(before)))
-
-
 def candle_shape(df: DataFrame) -> DataFrame:
     size = F.nullif(F.col("high") - F.col("low"), F.lit(0.0))
     top, bottom = F.greatest("open", "close"), F.least("open", "close")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import bars as B
 from tidemark.operators import joins as J
 from tidemark.operators import windows as W
+from tidemark.operators.expanding import expanding_quantile
 from tidemark.plans.catalog import query
 from tidemark.plans.views import BARS, bars
 
@@ -80,7 +81,7 @@ feature("W11_trend_r2", W.trend_r2, {"trend_r2": f"regr_r2(close, i) OVER {w(20)
 feature("W12_rolling_rank", lambda b: W.rolling_rank(b, "close", 50, "close_rank"), {"close_rank": "len(list_filter(l, lambda x: x <= close)) / len(l)"}, [f"x AS (SELECT *, list(close) OVER {w(50)} AS l FROM bars)"], "x")
 feature("W13_zscore", lambda b: W.zscore(b, "close", 50, "z"), {"z": f"CASE WHEN stddev_pop(close) OVER {w(50)} > 1e-12 THEN (close - avg(close) OVER {w(50)}) / stddev_pop(close) OVER {w(50)} END"})
 _BEFORE = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-feature("W14_expanding_quantile", lambda b: W.expanding_quantile(b, "close", 0.8), {"threshold": f"CASE WHEN count(close) OVER {_BEFORE} >= 50 THEN quantile_cont(close, 0.8) OVER {_BEFORE} END"})
+feature("W14_expanding_quantile", lambda b: expanding_quantile(b, "close", 0.8), {"threshold": f"CASE WHEN count(close) OVER {_BEFORE} >= 50 THEN quantile_cont(close, 0.8) OVER {_BEFORE} END"})
 _CANDLE = {"upper_wick": "(high - greatest(open, close)) / nullif(high - low, 0)", "lower_wick": "(least(open, close) - low) / nullif(high - low, 0)", "body_ratio": "(greatest(open, close) - least(open, close)) / nullif(high - low, 0)", "range_ratio": f"(high - low) / nullif(avg(high - low) OVER {w(5)}, 0)"}
 feature("W15_candle_shape", W.candle_shape, _CANDLE)
 feature("W16_volume_ratio", W.volume_ratio, {"volume_ratio": f"volume / nullif(avg(volume) OVER {w(20)}, 0)"})
