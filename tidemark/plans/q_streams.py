@@ -35,20 +35,43 @@ def sliding(spark, sf_dir):
     return T.run_to_table(T.sliding_stats(T.tick_stream(spark, sf_dir)), "sliding")
 
 
+_DAY = 86_400
+_shuffled = lambda: F.pmod(F.col("event_id") * 7919, F.lit(_DAY))  # noqa: E731  seconds late, less than a day
+_PASSED = "(SELECT max(ts) FROM ticks) - INTERVAL 1 DAY"
+
+
+def _ticks_in_disorder(spark, sf_dir):
+    """Ticks up to a day late, over six files and as many batches."""
+    return T.tick_stream(spark, T.staged_files(spark, sf_dir, _shuffled()), files=1)
+
+
 @query("T04_regime_sessions", f"""WITH {TICKS}, e AS (SELECT *, CASE WHEN price >= 60 THEN 1 WHEN price < 20 THEN 0 END AS ev FROM ticks),
   s AS (SELECT *, coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, tick_id ROWS UNBOUNDED PRECEDING), 0) AS st FROM e),
   g AS (SELECT *, sum(CASE WHEN st <> p THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts, tick_id ROWS UNBOUNDED PRECEDING) AS seg FROM (SELECT *, coalesce(lag(st) OVER (PARTITION BY symbol ORDER BY ts, tick_id), 0) AS p FROM s)),
   a AS (SELECT symbol, seg, any_value(st) AS st, min(ts) AS ts, count(*) AS n FROM g GROUP BY 1, 2), n AS (SELECT *, lead(ts) OVER (PARTITION BY symbol ORDER BY seg) AS ended FROM a)
-  SELECT symbol, epoch_us(ts) AS start_us, epoch_us(ended) AS end_us, CAST(n AS INTEGER) AS n FROM n WHERE st = 1 AND ended IS NOT NULL""")
+  SELECT symbol, epoch_us(ts) AS start_us, epoch_us(ended) AS end_us, CAST(n AS INTEGER) AS n FROM n WHERE st = 1 AND ended <= {_PASSED}""")
 def sessions(spark, sf_dir):
-    return T.run_to_table(T.with_state(T.tick_stream(spark, sf_dir), T.Sessions(60.0, 20.0), "symbol string, start_us long, end_us long, n int"), "sessions")
+    return T.run_to_table(T.with_state(_ticks_in_disorder(spark, sf_dir), T.Sessions(60.0, 20.0), "symbol string, start_us long, end_us long, n int", "1 day"), "sessions")
 
 
-@query("T05_incremental_features", f"""WITH RECURSIVE {TICKS}, r AS (SELECT symbol, tick_id, price, row_number() OVER (PARTITION BY symbol ORDER BY ts, tick_id) AS k FROM ticks),
-  e AS (SELECT symbol, k, tick_id, price AS y FROM r WHERE k = 1 UNION ALL SELECT r.symbol, r.k, r.tick_id, 0.1 * r.price + 0.9 * e.y FROM e JOIN r ON r.symbol = e.symbol AND r.k = e.k + 1) SELECT symbol, tick_id, round(y, 6) AS ema FROM e""")
+@query("T05_incremental_features", f"""WITH RECURSIVE {TICKS}, r AS (SELECT symbol, tick_id, price, ts, row_number() OVER w AS k, avg(price) OVER (w ROWS 19 PRECEDING) AS mean, stddev_pop(price) OVER (w ROWS 19 PRECEDING) AS deviation FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, tick_id)),
+  e AS (SELECT symbol, k, tick_id, price AS y FROM r WHERE k = 1 UNION ALL SELECT r.symbol, r.k, r.tick_id, 0.1 * r.price + 0.9 * e.y FROM e JOIN r ON r.symbol = e.symbol AND r.k = e.k + 1)
+  SELECT e.symbol, e.tick_id, round(y, 6) AS ema, round(mean, 6) AS mean, round(deviation, 6) AS deviation FROM e JOIN r ON r.symbol = e.symbol AND r.k = e.k WHERE ts <= {_PASSED}""")
 def incremental(spark, sf_dir):
-    got = T.run_to_table(T.with_state(T.tick_stream(spark, sf_dir), T.RunningAverage(0.1), "symbol string, tick_id long, ema double"), "averages")
-    return got.withColumn("ema", F.round("ema", 6))
+    got = T.run_to_table(T.with_state(_ticks_in_disorder(spark, sf_dir), T.RollingFeatures(0.1, 20), "symbol string, tick_id long, ema double, mean double, deviation double", "1 day"), "features")
+    return rounded(got, "ema", "mean", "deviation", keys=("symbol", "tick_id"))
+
+
+_ARRIVED = f"""a AS (SELECT *, epoch_us(ts) + CASE WHEN tick_id % 20 = 0 THEN {3 * _DAY * 1_000_000} ELSE 0 END AS arrived FROM ticks), x AS (SELECT min(epoch_us(ts)) AS lo, (max(epoch_us(ts)) - min(epoch_us(ts))) // 6 + 1 AS span FROM ticks),
+  f AS (SELECT a.*, least(5, (arrived - lo) // span) AS file FROM a CROSS JOIN x), m AS (SELECT DISTINCT file, (SELECT max(g.ts) FROM f g WHERE g.file < f.file) - INTERVAL 2 MINUTE AS mark FROM f)"""
+
+
+@query("T06_late_rows", f"WITH {TICKS}, {_ARRIVED} SELECT symbol, tick_id, coalesce(time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 2 HOUR <= mark, false) AS late FROM f JOIN m ON f.file = m.file")
+def late_rows(spark, sf_dir):
+    """Every twentieth tick comes three days late; each tick is in one of the two tables."""
+    delay = F.when(F.col("event_id") % 20 == 0, 3 * _DAY).otherwise(0)
+    in_time, late = T.split_late(T.tick_stream(spark, T.staged_files(spark, sf_dir, delay), files=1), "late")
+    return in_time.select("symbol", "tick_id", F.lit(False).alias("late")).unionByName(late.select("symbol", "tick_id", F.lit(True).alias("late")))
 
 
 @query("T06_late_and_gap", f"""WITH {BARS}, {_CLOSED}, d AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 2 HOUR)) AS ts FROM closed GROUP BY 1),

@@ -10,11 +10,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.operators.joins import asof_join
 from tidemark.session import shared_dir
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -70,63 +72,147 @@ def sliding_stats(ticks: DataFrame, width: str = "24 hours", step: str = "1 hour
     return got.select("symbol", F.col("w.start").alias("start"), "n", "volume", "high")
 
 
-class Sessions(StatefulProcessor):
-    """On from a price of `on` until one below `off`: emits each session when it ends, with its ticks."""
+class InOrder(StatefulProcessor):
+    """Holds a key's rows until the watermark has passed them, then hands them on in the order of time and tick.
 
-    def __init__(self, on: float, off: float):
-        self.on, self.off = on, off
+    Rows may come in any order and over any number of batches, as long as none is later than the watermark (those are
+    dropped). A timer at the first held row's time wakes a key that gets no more rows. What a batch hands on is one
+    sorted frame; `step` keeps what it needs for the next one in state.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "start long, n int")
+        self.handle = handle
+        self.held = handle.getListState("held", "us long, tick_id long, price double")
+        self.opened(handle)
+
+    def opened(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def step(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        start, n = self.open.get() if self.open.exists() else (-1, 0)
-        out = []
-        frame = pd.concat(list(rows)).sort_values(["us", "tick_id"])
-        for us, price in zip(frame["us"], frame["price"]):
-            if start < 0 and price >= self.on:
-                start, n = int(us), 0
-            if start >= 0:
-                if price < self.off:
-                    out.append((key[0], start, int(us), n))
-                    start = -1
-                else:
-                    n += 1
-        self.open.update((start, n))
-        yield pd.DataFrame(out, columns=["symbol", "start_us", "end_us", "n"])
+        yield from self._pass_on(key, [frame[["us", "tick_id", "price"]] for frame in rows], timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._pass_on(key, [], timerValues)
+
+    def _pass_on(self, key: tuple, fresh: list[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        if self.held.exists():
+            fresh = [pd.DataFrame(list(self.held.get()), columns=["us", "tick_id", "price"]), *fresh]
+        if not fresh:
+            return
+        frame = pd.concat([f.astype({"us": "int64", "tick_id": "int64", "price": "float64"}) for f in fresh]).sort_values(["us", "tick_id"], kind="stable")
+        done = (frame["us"] <= timers.getCurrentWatermarkInMs() * 1000).to_numpy()
+        ready, rest = frame[done], frame[~done]
+        if len(rest):
+            self.held.put([(int(u), int(i), float(p)) for u, i, p in rest.itertuples(index=False)])
+        else:
+            self.held.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if len(rest):
+            self.handle.registerTimer(int(rest["us"].iloc[0]) // 1000)
+        if len(ready):
+            yield self.step(key, ready.reset_index(drop=True))
 
     def close(self) -> None:
         pass
 
 
-class RunningAverage(StatefulProcessor):
-    """Exponential average of a symbol's prices, carried as one number."""
-
-    def __init__(self, alpha: float):
-        self.alpha = alpha
+class Sessions(InOrder):
+    """On from a price of `on` until one below `off`: emits each session when it ends, with its ticks."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "value double")
+    def __init__(self, on: float, off: float):
+        self.on, self.off = on, off
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        value = self.last.get()[0] if self.last.exists() else None
-        frame = pd.concat(list(rows)).sort_values(["us", "tick_id"])
-        out = []
-        for tick, price in zip(frame["tick_id"], frame["price"]):
-            value = float(price) if value is None else self.alpha * float(price) + (1 - self.alpha) * value
-            out.append((key[0], int(tick), value))
-        self.last.update((value,))
-        yield pd.DataFrame(out, columns=["symbol", "tick_id", "ema"])
+    def opened(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getValueState("open", "start long, n int")
 
-    def close(self) -> None:
-        pass
+    def step(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        start, n = self.open.get() if self.open.exists() else (-1, 0)
+        us, price = rows["us"].to_numpy(), rows["price"].to_numpy()
+        event = np.where(price >= self.on, 1, np.where(price < self.off, 0, -1))
+        last = np.maximum.accumulate(np.where(event >= 0, np.arange(len(event)), -1))
+        state = np.where(last >= 0, event[np.maximum(last, 0)], int(start >= 0))
+        before = np.concatenate(([int(start >= 0)], state[:-1]))
+        begins, ends = np.flatnonzero(state > before), np.flatnonzero(state < before)
+        if start >= 0:
+            begins = np.concatenate(([-1], begins))
+        closed = begins[: len(ends)]
+        out = pd.DataFrame({"symbol": key[0], "start_us": [start if b < 0 else int(us[b]) for b in closed], "end_us": us[ends], "n": [int(e - b) if b >= 0 else int(n + e) for b, e in zip(closed, ends)]})
+        if len(begins) > len(ends):
+            b = begins[-1]
+            self.open.update((start, int(n + len(us))) if b < 0 else (int(us[b]), int(len(us) - b)))
+        else:
+            self.open.update((-1, 0))
+        return out.astype({"start_us": "int64", "end_us": "int64", "n": "int32"})
+
+
+class RollingFeatures(InOrder):
+    """Exponential average, carried as one number, and mean and population deviation of the last `size` prices, carried as a ring of that many."""
+
+    def __init__(self, alpha: float, size: int):
+        self.alpha, self.size = alpha, size
+
+    def opened(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "value double")
+        self.ring = handle.getListState("ring", "price double")
+
+    def step(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        price = rows["price"].to_numpy()
+        carried = [self.last.get()[0]] if self.last.exists() else []
+        ema = pd.Series([*carried, *price]).ewm(alpha=self.alpha, adjust=False).mean().to_numpy()[len(carried) :]
+        ring = np.array([r[0] for r in self.ring.get()] if self.ring.exists() else [])
+        series = np.concatenate((ring, price))
+        padded = np.concatenate((np.full(self.size - 1, np.nan), series))
+        windows = np.lib.stride_tricks.sliding_window_view(padded, self.size)[len(ring) :]
+        self.last.update((float(ema[-1]),))
+        self.ring.put([(float(p),) for p in series[-self.size :]])
+        return pd.DataFrame({"symbol": key[0], "tick_id": rows["tick_id"], "ema": ema, "mean": np.nanmean(windows, axis=1), "deviation": np.nanstd(windows, axis=1)})
+
+
+def with_state(ticks: DataFrame, processor: InOrder, schema: str, late: str = "2 minutes") -> DataFrame:
+    """A stateful operator per symbol on event time, on the RocksDB state store; ticks may be so late. Ticks without time or price are left out."""
+    ticks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = ticks.where("price is not null and ts is not null").select("symbol", "tick_id", "price", "ts", F.unix_micros("ts").alias("us")).withWatermark("ts", late)
+    return rows.groupBy("symbol").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+def staged_files(spark: SparkSession, sf_dir: str, delay_seconds: Column, files: int = 6) -> str:
+    """A folder with an events table of so many files, one after another in the order of arrival: an event's time and its delay, in equal spans of time."""
+    where = home(spark, "staged")
+    events = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet").withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
+    first, last = events.agg(F.min("_at"), F.max("_at")).first()
+    span = ((last or 0) - (first or 0)) // files + 1
+    number = F.least(F.lit(files - 1), F.floor((F.col("_at") + delay_seconds.cast("long") * 1_000_000 - (first or 0)) / span))
+    arrived = events.withColumn("_file", number)
+    for k in range(files):  # one write each, so that a stream reads them in this order
+        arrived.where(F.col("_file") == k).drop("_at", "_file").write.mode("append").parquet(f"{where}/events.parquet")
+    return where
+
+
+def split_late(ticks: DataFrame, name: str, late: str = "2 minutes", width: str = "2 hours") -> tuple[DataFrame, DataFrame]:
+    """Runs the stream and gives two tables that share its ticks: those in time for their window, and those whose window the watermark had closed.
+
+    The watermark of a batch is the latest time of all batches before it less `late`; it is kept beside the ticks for
+    each batch, and a batch that is run again writes the same rows over its own folder.
+    """
+    spark = ticks.sparkSession
+    where = home(spark, name)
+    seen = "batch long, latest timestamp"
 
+    def write(rows: DataFrame, batch: int) -> None:
+        marks = spark.createDataFrame([], seen) if batch == 0 else spark.read.schema(seen).parquet(f"{where}/marks/*")
+        mark = marks.where(F.col("batch") < batch).agg((F.max("latest") - F.expr(f"interval {late}")).alias("_mark"))
+        closed = F.window("ts", width)["end"] <= F.col("_mark")
+        rows.join(F.broadcast(mark)).withColumn("late", F.coalesce(closed, F.lit(False))).drop("_mark").write.mode("overwrite").partitionBy("late").parquet(f"{where}/ticks/batch={batch}")
+        mine = spark.read.schema(rows.schema).parquet(f"{where}/ticks/batch={batch}")
+        mine.agg(F.lit(batch).cast("long").alias("batch"), F.max("ts").alias("latest")).write.mode("overwrite").parquet(f"{where}/marks/{batch}")
 
-def with_state(ticks: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
-    """A stateful operator per symbol, on the RocksDB state store."""
-    ticks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    rows = ticks.select("symbol", "tick_id", "price", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("symbol").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+    ticks.writeStream.foreachBatch(write).option("checkpointLocation", f"{where}/progress").trigger(availableNow=True).start().awaitTermination()
+    table = spark.read.schema(f"{ticks._jdf.schema().toDDL()}, batch long, late boolean").parquet(f"{where}/ticks").drop("batch")
+    return table.where("not late").drop("late"), table.where("late").drop("late")
 
 
 def gaps(bars: DataFrame, hours: int = 2) -> DataFrame:
@@ -138,11 +224,9 @@ def gaps(bars: DataFrame, hours: int = 2) -> DataFrame:
 
 def backfill(bars: DataFrame, hours: int = 2) -> DataFrame:
     """Bars and, at the gaps, bars without volume at the close before."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    every = bars.select("symbol", "ts", "close", "volume").unionByName(gaps(bars, hours).withColumn("close", F.lit(None).cast("double")).withColumn("volume", F.lit(0.0)))
-    return every.withColumn("close", F.last("close", ignorenulls=True).over(w))
+    known = bars.select("symbol", "ts", "close", "volume")
+    missing = asof_join(gaps(bars, hours), known.select("symbol", "ts", "close"), "symbol", "ts", ["close"], slot_seconds=86_400)
+    return known.unionByName(missing.withColumn("volume", F.lit(0.0)))
 
 
 def deduplicated(ticks: DataFrame, within: str = "1 hour") -> DataFrame:
