@@ -244,3 +244,23 @@ def test_plugins(walk):
         labels.get("none")
     with pytest.raises(ValueError):
         features.order(["slow"], [c for c in walk.columns if c != "high"])
+
+
+def test_nearest_level_by_halving(spark):
+    from tidemark.operators.flow import nearest_gap
+
+    cases = [([], 5.0), ([3.0], 5.0), ([3.0], 1.0), ([1.0, 4.0, 9.0], 4.0), ([1.0, 4.0, 9.0], 6.6), ([1.0, 4.0, 9.0], 100.0), ([1.0, 4.0, 9.0], -2.0), ([2.0, 2.0, 2.0], 2.5), (None, 1.0), ([1.0], None), ([float(i) for i in range(37)], 17.4)]
+    df = spark.createDataFrame([(i, a, p) for i, (a, p) in enumerate(cases)], "i int, a array<double>, p double")
+    got = [r.g for r in df.orderBy("i").select(nearest_gap(F.col("a"), F.col("p")).alias("g")).collect()]
+    want = [min(abs(x - p) for x in a) if a and p is not None else None for a, p in cases]
+    assert got == [None if w is None else pytest.approx(w) for w in want]
+
+
+def test_nearest_level_looks_at_profiles_that_have_ended(spark):
+    from tidemark.operators.flow import dist_to_nearest_sr
+
+    day = lambda d, h=0: T0 + timedelta(days=d, hours=h)
+    profiles = spark.createDataFrame([("a", day(0), [90.0, 110.0]), ("a", day(2), [100.0])], "symbol string, ts timestamp, levels array<double>")
+    bars = spark.createDataFrame([("a", day(0, 5), 100.0), ("a", day(1), 100.0), ("a", day(2, 23), 95.0), ("a", day(3), 95.0), ("b", day(3), 95.0)], "symbol string, ts timestamp, close double")
+    got = {(r.symbol, r.ts): r.dist_to_nearest_sr for r in dist_to_nearest_sr(bars, profiles).collect()}
+    assert got == {("a", day(0, 5)): None, ("a", day(1)): pytest.approx(0.1), ("a", day(2, 23)): pytest.approx(5 / 95), ("a", day(3)): pytest.approx(5 / 95), ("b", day(3)): None}

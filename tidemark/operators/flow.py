@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.joins import join_same
+from tidemark.operators.joins import asof_join
+from tidemark.operators.prefix import group_key
 from tidemark.operators.windows import lag, order, over, zscore
+from tidemark.session import sized_broadcast
 
 
 def cvd(bars: DataFrame, n: int = 20) -> DataFrame:
@@ -18,19 +20,19 @@ def cvd(bars: DataFrame, n: int = 20) -> DataFrame:
 def vpin(ticks: DataFrame, bucket_volume: float, n: int = 20) -> DataFrame:
     """Mean over n equal-volume buckets of |buys - sells| / volume; a tick belongs to the bucket in which it ends.
 
-    Volume runs within an hour of a symbol and is set upon that of the hours before, so only a row an hour is ordered
-    per symbol.
+    Volume runs within an hour of a symbol and is set upon that of the hours before: hourly sums are a row an hour and
+    task before they are shuffled, and go out by broadcast where they are few, so ticks are shuffled once.
     """
-    rows = ticks.withColumn("_hour", F.date_trunc("hour", "ts"))
-    hours = rows.groupBy("symbol", "_hour").agg(F.sum("qty").alias("_volume"))
-    before = Window.partitionBy("symbol").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
-    hours = hours.select("symbol", "_hour", F.coalesce(F.sum("_volume").over(before), F.lit(0.0)).alias("_base"))
-    w = Window.partitionBy("symbol", "_hour").orderBy("ts", "tick_id").rowsBetween(Window.unboundedPreceding, 0)
-    volume = F.col("_base") + F.coalesce(F.sum("qty").over(w), F.lit(0.0))
-    rows = join_same(rows, hours, ["symbol", "_hour"]).withColumn("bucket", F.floor((volume - F.lit(1e-9)) / bucket_volume))
-    buckets = rows.groupBy("symbol", "bucket").agg(F.max("ts").alias("ts"), F.abs(F.sum(F.col("qty") * F.col("side"))).alias("_gap"), F.sum("qty").alias("_all"))
-    run = Window.partitionBy("symbol").orderBy("bucket").rowsBetween(1 - n, 0)
-    return buckets.withColumn("vpin", F.when(F.count("*").over(run) == n, F.avg(F.col("_gap") / F.nullif("_all", F.lit(0.0))).over(run))).select("symbol", "bucket", "ts", "vpin")
+    rows = ticks.select("ts", "tick_id", "qty", "side", group_key(["symbol"]).alias("_group"), F.date_trunc("hour", "ts").alias("_hour")).where("ts is not null")
+    hours = rows.groupBy("_group", "_hour").agg(F.sum("qty").alias("_volume"))
+    before = Window.partitionBy("_group").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select("_group", "_hour", F.coalesce(F.sum("_volume").over(before), F.lit(0.0)).alias("_base"))
+    w = Window.partitionBy("_group", "_hour").orderBy("ts", "tick_id").rowsBetween(Window.unboundedPreceding, 0)
+    volume = F.col("_base") + F.coalesce(F.col("_run"), F.lit(0.0))
+    rows = rows.withColumn("_run", F.sum("qty").over(w)).join(sized_broadcast(hours), ["_group", "_hour"]).withColumn("bucket", F.floor((volume - F.lit(1e-9)) / bucket_volume))
+    buckets = rows.groupBy("_group", "bucket").agg(F.max("ts").alias("ts"), F.abs(F.sum(F.col("qty") * F.col("side"))).alias("_gap"), F.sum("qty").alias("_all"))
+    run = Window.partitionBy("_group").orderBy("bucket").rowsBetween(1 - n, 0)
+    return buckets.withColumn("vpin", F.when(F.count("*").over(run) == n, F.avg(F.col("_gap") / F.nullif("_all", F.lit(0.0))).over(run))).select("_group.symbol", "bucket", "ts", "vpin")
 
 
 def ofi(bars: DataFrame, n: int = 5) -> DataFrame:
@@ -59,14 +61,40 @@ def footprint(ticks: DataFrame, width: str = "2 hours", price_step: float = 10.0
 
 
 def volume_profile(ticks: DataFrame, width: str = "1 day", price_step: float = 10.0, area: float = 0.7) -> DataFrame:
-    """Level of the most volume (the lowest of equal ones) and edges of the fewest levels, by volume, that hold `area` of it."""
+    """Level of the most volume (the lowest of equal ones), edges of the fewest levels, by volume, that hold `area` of it, and the levels of at least mean volume, in order."""
     levels = ticks.groupBy("symbol", F.window("ts", width)["start"].alias("ts"), F.floor(F.col("price") / price_step).alias("level")).agg(F.sum("qty").alias("v"))
     by = Window.partitionBy("symbol", "ts")
     run = F.sum("v").over(by.orderBy(F.desc("v"), "level").rowsBetween(Window.unboundedPreceding, 0))
     inside = F.col("_run") - F.col("v") < area * F.col("_all")
-    rows = levels.withColumn("_run", run).withColumn("_all", F.sum("v").over(by))
+    rows = levels.withColumn("_run", run).withColumn("_all", F.sum("v").over(by)).withColumn("_mean", F.avg("v").over(by))
     mid = lambda c: (c + 0.5) * price_step
-    return rows.groupBy("symbol", "ts").agg(mid(F.max_by("level", F.struct(F.col("v"), -F.col("level")))).alias("poc"), mid(F.min(F.when(inside, F.col("level")))).alias("value_low"), mid(F.max(F.when(inside, F.col("level")))).alias("value_high"))
+    return rows.groupBy("symbol", "ts").agg(
+        mid(F.max_by("level", F.struct(F.col("v"), -F.col("level")))).alias("poc"), mid(F.min(F.when(inside, F.col("level")))).alias("value_low"), mid(F.max(F.when(inside, F.col("level")))).alias("value_high"),
+        F.array_sort(F.collect_list(F.when(F.col("v") >= F.col("_mean"), mid(F.col("level"))))).alias("levels"),
+    )
+
+
+def nearest_gap(levels: Column, price: Column) -> Column:
+    """Distance of a price to the nearest of an ascending array of levels, by halving the array; null without levels or price."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(levels).alias("hi"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        higher = F.get(levels, middle) < price
+        moved = F.struct(F.when(higher, middle + 1).otherwise(at["lo"]).alias("lo"), F.when(higher, at["hi"]).otherwise(middle).alias("hi"))
+        return F.when(at["lo"] < at["hi"], moved).otherwise(at)
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(levels) + 1)).cast("int"))
+    first = F.aggregate(rounds, start, halve)["lo"]  # place of the first level that is not below the price
+    gap = F.least(F.abs(F.get(levels, first) - price), F.abs(price - F.get(levels, F.when(first > 0, first - 1))))
+    return F.when((F.size(levels) > 0) & price.isNotNull(), gap)
+
+
+def dist_to_nearest_sr(bars: DataFrame, profiles: DataFrame, width: str = "1 day") -> DataFrame:
+    """Distance, as a share of the close, to the nearest level of the symbol's last profile that had ended when the bar began; null before the first."""
+    ended = profiles.select("symbol", (F.col("ts") + F.expr(f"interval {width}")).alias("ts"), "levels")
+    joined = asof_join(bars, ended, "symbol", "ts", ["levels"], slot_seconds=86_400)
+    return joined.withColumn("dist_to_nearest_sr", nearest_gap(F.col("levels"), F.col("close")) / F.nullif("close", F.lit(0.0))).drop("levels")
 
 
 def oi_funding(df: DataFrame, oi: str, funding: str, n: int = 50) -> DataFrame:
@@ -87,10 +115,9 @@ def liquidation_proxy(df: DataFrame, oi: str, n: int = 50) -> DataFrame:
 def wall(bars: DataFrame, depth: DataFrame, times: float = 3.0) -> DataFrame:
     """Distance in ATR from the close to the nearest level (ts, level, size of depth) that holds `times` the mean size of its bar."""
     mean = Window.partitionBy("symbol", "ts")
-    walls = depth.withColumn("_m", F.avg("size").over(mean)).where(F.col("size") >= times * F.col("_m"))
-    joined = bars.join(walls.select("symbol", "ts", "level"), ["symbol", "ts"], "left")
-    gap = F.abs(F.col("level") - F.col("close")) / F.nullif("atr", F.lit(0.0))
-    return joined.groupBy("symbol", "ts").agg(F.min(gap).alias("wall_nearest_dist_atr"))
+    walls = depth.withColumn("_m", F.avg("size").over(mean)).where(F.col("size") >= times * F.col("_m")).groupBy("symbol", "ts").agg(F.array_sort(F.collect_list("level")).alias("_walls"))
+    joined = bars.join(walls, ["symbol", "ts"], "left")
+    return joined.select("symbol", "ts", (nearest_gap(F.col("_walls"), F.col("close")) / F.nullif("atr", F.lit(0.0))).alias("wall_nearest_dist_atr"))
 
 
 def divergence(df: DataFrame, n: int = 50) -> DataFrame:

@@ -291,18 +291,27 @@ def compression_duration(df: DataFrame, n: int = 60, below: float = 0.2) -> Data
 
 
 def spectrum(df: DataFrame, n: int = 64) -> DataFrame:
-    """Power of n returns at the frequencies 1..n/2: flatness, high over low share, entropy, each within 0..1."""
+    """Power of n returns at the frequencies 1..n/2: flatness, high over low share, entropy, each within 0..1.
+
+    Each frequency has a running complex sum along the symbol, one update a bar; a window's part is the sum now less
+    that n bars ago (its phase does not matter for power).
+    """
     half = n // 2
-    df = df.withColumn("_r", F.coalesce(F.log(F.col("close") / lag("close")), F.lit(0.0))).withColumn("_x", F.collect_list("_r").over(over(n)))
-    part = lambda f, i: F.aggregate(F.transform("_x", lambda v, t: v * f(F.lit(2 * math.pi / n) * i * t)), F.lit(0.0), lambda a, v: a + v)
-    power = F.transform(F.sequence(F.lit(1), F.lit(half)), lambda i: F.pow(part(F.cos, i), 2) + F.pow(part(F.sin, i), 2) + F.lit(1e-18))
-    df = df.withColumn("_p", F.when(F.size("_x") == n, power))
+    df = df.withColumn("_r", F.coalesce(F.log(F.col("close") / lag("close")), F.lit(0.0))).withColumn("_j", F.row_number().over(order()))
+    so_far = order().rowsBetween(Window.unboundedPreceding, 0)
+    waves = [(f, i) for i in range(1, half + 1) for f in (F.cos, F.sin)]
+    turn = lambda f, i: F.sum(F.col("_r") * f(F.lit(2 * math.pi / n) * (F.col("_j") * i % n))).over(so_far)
+    names = [f"_s{k}" for k in range(len(waves))]
+    df = df.withColumns({name: turn(f, i) for name, (f, i) in zip(names, waves)})
+    df = df.withColumns({f"_d{name}": F.col(name) - F.coalesce(F.lag(name, n).over(order()), F.lit(0.0)) for name in names})
+    parts = [F.pow(F.col(f"_d{names[2 * k]}"), 2) + F.pow(F.col(f"_d{names[2 * k + 1]}"), 2) + F.lit(1e-18) for k in range(half)]
+    df = df.withColumn("_p", F.when(F.col("_j") >= n, F.array(*parts))).drop(*names, *(f"_d{name}" for name in names))
     total = F.aggregate("_p", F.lit(0.0), lambda a, v: a + v)
     logs = F.aggregate("_p", F.lit(0.0), lambda a, v: a + F.log(v))
     high = F.aggregate(F.slice("_p", half // 2 + 1, half), F.lit(0.0), lambda a, v: a + v)
     df = df.withColumn("_t", total).withColumn("spectrum_flatness", F.exp(logs / half) / (F.col("_t") / half)).withColumn("spectrum_high_share", high / F.col("_t"))
     entropy = -F.aggregate("_p", F.lit(0.0), lambda a, v: a + v / F.col("_t") * F.log(v / F.col("_t"))) / math.log(half)
-    return df.withColumn("spectrum_entropy", entropy).drop("_r", "_x", "_p", "_t")
+    return df.withColumn("spectrum_entropy", entropy).drop("_r", "_j", "_p", "_t")
 
 
 def haar_energy(df: DataFrame, n: int = 100, level: int = 4, every: int = 5) -> DataFrame:

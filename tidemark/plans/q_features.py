@@ -116,8 +116,19 @@ feature("W31_tail_risk", W.tail_risk, {"evt_var_99": "q", "evt_es_99": "list_avg
 _lags = (1, 2, 4, 8)
 _HURST = [cte("d", ", ".join(f"close - lag(close, {t}) OVER w AS d{t}" for t in _lags)), "s AS (SELECT *, " + ", ".join(f"ln(nullif(stddev_pop(d{t}) OVER {w(64)}, 0)) AS s{t}" for t in _lags) + f", count(close) OVER {w(64)} AS k FROM d)"]
 feature("W32_hurst", W.hurst, {"hurst": "CASE WHEN k = 64 THEN (-1.5 * s1 - 0.5 * s2 + 0.5 * s4 + 1.5 * s8) / (5 * ln(2)) END"}, _HURST, "s")
-feature("W33_spectrum", W.spectrum, ["spectrum_flatness", "spectrum_high_share", "spectrum_entropy"])
-feature("W34_wpt_energy", W.haar_energy, ["wpt_low", "wpt_mid", "wpt_high"])
+_POWER = [
+    cte("rt", "coalesce(ln(close / lag(close) OVER w), 0) AS r"), f"wn AS (SELECT *, list(r) OVER {w(64)} AS x FROM rt)",
+    "pw AS (SELECT *, CASE WHEN len(x) = 64 THEN list_transform(range(1, 33), lambda k: list_sum(list_transform(x, lambda v, t: v * cos(2 * pi() / 64 * k * t))) ** 2 + list_sum(list_transform(x, lambda v, t: v * sin(2 * pi() / 64 * k * t))) ** 2 + 1e-18) END AS p FROM wn)",
+]
+feature("W33_spectrum", W.spectrum, {"spectrum_flatness": "exp(list_avg(list_transform(p, lambda v: ln(v)))) / list_avg(p)", "spectrum_high_share": "list_sum(p[17:32]) / list_sum(p)", "spectrum_entropy": "-list_sum(list_transform(p, lambda v: v / list_sum(p) * ln(v / list_sum(p)))) / ln(32)"}, _POWER, "pw")
+_HALVE = "flatten(list_transform({}, lambda b: [list_transform(range(1, len(b) // 2 + 1), lambda k: (b[2 * k - 1] + b[2 * k]) / sqrt(2)), list_transform(range(1, len(b) // 2 + 1), lambda k: (b[2 * k - 1] - b[2 * k]) / sqrt(2))]))"
+_PACKETS = [
+    cte("mo", "row_number() OVER w AS i, coalesce(close - lag(close) OVER w, 0) AS d"), f"wn AS (SELECT *, list(d) OVER {w(96)} AS x FROM mo)", "b0 AS (SELECT *, CASE WHEN len(x) = 96 AND i % 5 = 0 THEN [x] END AS k0 FROM wn)",
+    *(f"b{k + 1} AS (SELECT *, {_HALVE.format(f'k{k}')} AS k{k + 1} FROM b{k})" for k in range(4)),
+    "en AS (SELECT *, list_transform(k4, lambda b: list_sum(list_transform(b, lambda v: v * v))) AS e FROM b4)",
+]
+_band = lambda a, z: f"last_value(list_sum(e[{a}:{z}]) / nullif(list_sum(e), 0) IGNORE NULLS) OVER {SO_FAR}"
+feature("W34_wpt_energy", W.haar_energy, {"wpt_low": _band(1, 4), "wpt_mid": _band(5, 8), "wpt_high": _band(9, 16)}, _PACKETS, "en")
 
 
 def rank_interaction(b: DataFrame) -> DataFrame:

@@ -43,7 +43,15 @@ def footprint(spark, sf_dir):
   r AS (SELECT *, sum(v) OVER (PARTITION BY symbol, ts ORDER BY v DESC, lv ROWS UNBOUNDED PRECEDING) AS run, sum(v) OVER (PARTITION BY symbol, ts) AS a FROM l)
   SELECT symbol, ts, (arg_max(lv, (v, -lv)) + 0.5) * 10 AS poc, (min(lv) FILTER (run - v < 0.7 * a) + 0.5) * 10 AS value_low, (max(lv) FILTER (run - v < 0.7 * a) + 0.5) * 10 AS value_high FROM r GROUP BY 1, 2""")
 def volume_profile(spark, sf_dir):
-    return O.volume_profile(ticks(spark, sf_dir))
+    return O.volume_profile(ticks(spark, sf_dir)).drop("levels")
+
+
+@query("W22_nearest_level", f"""WITH {BARS}, l AS (SELECT symbol, {_BAR.format(24)} AS day, floor(price / 10) AS lv, sum(qty) AS v FROM ticks GROUP BY 1, 2, 3),
+  m AS (SELECT *, avg(v) OVER (PARTITION BY symbol, day) AS m FROM l), p AS (SELECT symbol, day + INTERVAL 1 DAY AS known, list((lv + 0.5) * 10) FILTER (v >= m) AS levels FROM m GROUP BY 1, 2)
+  SELECT b.symbol, b.ts, {_r('list_min(list_transform(levels, lambda x: abs(x - close))) / nullif(close, 0)', 'dist_to_nearest_sr')} FROM bars b ASOF LEFT JOIN p ON b.symbol = p.symbol AND b.ts >= p.known""")
+def nearest_level(spark, sf_dir):
+    t = ticks(spark, sf_dir)
+    return rounded(O.dist_to_nearest_sr(bars(spark, sf_dir), O.volume_profile(t)), "dist_to_nearest_sr")
 
 
 def _with_aux(b):

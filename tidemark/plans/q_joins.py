@@ -20,17 +20,18 @@ def segments(spark):
     return spark.createDataFrame(SEGMENTS, "segment string, a string, z string").select("segment", F.col("a").cast("timestamp").alias("seg_start"), F.col("z").cast("timestamp").alias("seg_end"))
 
 
-@query("J01_asof_join", f"WITH {BARS}, r AS (SELECT ts, tick_id, price FROM ticks WHERE symbol = 'view') SELECT b.symbol, b.ts, r.price AS view_price FROM bars b ASOF LEFT JOIN r ON b.ts >= r.ts")
+_LAST = "r AS (SELECT symbol, ts, max(price) AS price FROM ticks GROUP BY 1, 2)"
+
+
+@query("J01_asof_join", f"WITH {BARS}, {_LAST} SELECT b.symbol, b.ts, r.price AS tick_price FROM bars b ASOF LEFT JOIN r ON b.symbol = r.symbol AND b.ts >= r.ts")
 def asof(spark, sf_dir):
-    right = ticks(spark, sf_dir).where("symbol = 'view'").select(F.lit(1).alias("k"), "ts", "price")
-    left = bars(spark, sf_dir).withColumn("k", F.lit(1))  # all symbols are held against one series
-    return J.asof_join(left, right, "k", "ts", ["price"]).select("symbol", "ts", F.col("price").alias("view_price"))
+    return J.asof_join(bars(spark, sf_dir), ticks(spark, sf_dir), "symbol", "ts", ["price"]).select("symbol", "ts", F.col("price").alias("tick_price"))
 
 
-@query("J01_asof_tolerance", f"WITH {BARS}, r AS (SELECT symbol, ts, value AS v FROM (SELECT symbol, ts, price AS value FROM ticks WHERE tick_id % 3 = 0)) SELECT b.symbol, b.ts, CASE WHEN r.ts >= b.ts - INTERVAL 3 HOUR THEN r.v END AS v FROM bars b ASOF LEFT JOIN r ON b.symbol = r.symbol AND b.ts >= r.ts")
+@query("J01_asof_tolerance", f"WITH {BARS}, {_LAST} SELECT b.symbol, b.ts, CASE WHEN r.ts >= b.ts - INTERVAL 10 MINUTE THEN r.price END AS v FROM bars b ASOF LEFT JOIN r ON b.symbol = r.symbol AND b.ts >= r.ts")
 def asof_tolerance(spark, sf_dir):
-    right = ticks(spark, sf_dir).where("tick_id % 3 = 0").select("symbol", "ts", F.col("price").alias("v"))
-    return J.asof_join(bars(spark, sf_dir), right, "symbol", "ts", ["v"], "3 hours").select("symbol", "ts", "v")
+    right = ticks(spark, sf_dir).select("symbol", "ts", F.col("price").alias("v"))
+    return J.asof_join(bars(spark, sf_dir), right, "symbol", "ts", ["v"], "10 minutes").select("symbol", "ts", "v")
 
 
 @query("J02_align_base", f"WITH {BARS}, c AS (SELECT symbol, ts, close AS cached FROM bars WHERE n > 5) SELECT b.symbol, b.ts, c.cached FROM bars b LEFT JOIN c ON b.symbol = c.symbol AND b.ts = c.ts")

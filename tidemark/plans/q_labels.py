@@ -78,7 +78,18 @@ def _both(b):
 
 label("L14_realized_r_diff", _both, {"r_diff": "xl - y.rr"}, [_touch(1.0, 1.5, 6, 1, "x", "f"), "xx AS (SELECT * EXCLUDE (rr, tu, td, o, held, c6), rr AS xl FROM x)", _touch(1.0, 1.5, 6, -1, "y", "xx")], "y")
 label("L15_holding_exit", lambda b: b.withColumn("holding_exit", L.holding_exit()), {"holding_exit": "CAST(NULL AS DOUBLE)"})
-label("L16_rr_outcome", lambda b: L.rr_outcome(b).withColumn("code", F.when(F.col("exit_reason") == "stop", 1).when(F.col("exit_reason") == "trail", 2).when(F.col("exit_reason") == "target", 3).when(F.col("exit_reason") == "time", 4)), {"code": "", "bars_held": "", "pnl_r": ""}, sql=False)
+_GOAL, _UNIT = "a.entry + 2 * a.unit", "greatest(atr, 1e-9)"
+_STEP = f"""CASE WHEN a.reason <> 0 THEN a ELSE {{'entry': a.entry, 'unit': a.unit,
+    'stop': greatest(a.stop, CASE WHEN greatest(a.best, x.high) - a.entry >= a.unit THEN greatest(a.entry, greatest(a.best, x.high) - a.unit) ELSE a.stop END),
+    'best': greatest(a.best, x.high), 'bars': a.bars + 1,
+    'reason': CASE WHEN x.low <= a.stop THEN CASE WHEN a.stop >= a.entry THEN 2 ELSE 1 END WHEN x.high >= {_GOAL} THEN 3 ELSE 0 END,
+    'price': CASE WHEN x.low <= a.stop THEN a.stop WHEN x.high >= {_GOAL} THEN {_GOAL} ELSE x.close END}} END"""
+_EXITS = [
+    f"l AS (SELECT *, list({{'open': open, 'high': high, 'low': low, 'close': close}}) OVER {_ahead(20)} AS l FROM f)",
+    f"ex AS (SELECT *, CASE WHEN len(l) > 0 THEN list_reduce(l, lambda a, x: {_STEP}, {{'entry': l[1].open, 'unit': {_UNIT}, 'stop': l[1].open - {_UNIT}, 'best': l[1].open, 'bars': 0, 'reason': 0, 'price': l[1].open}}) END AS z FROM l)",
+    "ot AS (SELECT *, CASE WHEN z.reason > 0 THEN z.reason WHEN len(l) = 20 THEN 4 END AS code FROM ex)",
+]
+label("L16_rr_outcome", lambda b: L.rr_outcome(b).withColumn("code", F.when(F.col("exit_reason") == "stop", 1).when(F.col("exit_reason") == "trail", 2).when(F.col("exit_reason") == "target", 3).when(F.col("exit_reason") == "time", 4)), {"code": "code", "bars_held": "CASE WHEN code IS NOT NULL THEN z.bars END", "pnl_r": "CASE WHEN code IS NOT NULL THEN (z.price * (1 - 0.001) - z.entry * (1 + 0.001)) / z.unit END"}, _EXITS, "ot")
 
 
 _SPACED = "k AS (SELECT symbol, minutes, min(ts) AS ts FROM s GROUP BY 1, 2 UNION ALL SELECT symbol, minutes, ts FROM (SELECT s.symbol, s.minutes, s.ts, row_number() OVER (PARTITION BY s.symbol, s.minutes ORDER BY s.ts) AS n FROM k JOIN s ON s.symbol = k.symbol AND s.minutes = k.minutes AND s.ts > k.ts AND s.ts >= k.ts + to_minutes(k.minutes)) WHERE n = 1)"
@@ -110,7 +121,12 @@ def splits(spark, sf_dir):
 
 
 label("L21_invert_features", lambda b: L.invert_features(b, ["position", "roc"]), {"position": "-position", "roc": "-roc"})
-label("L22_ladder_adds", lambda b: L.ladder_adds(b, 20, [2.0, 4.0], [0.5, 0.25]), {"adds": "", "add_weight": ""}, sql=False)
+_LADDER = [
+    f"l AS (SELECT *, {_UNIT} AS u, list({{'high': high, 'low': low}}) OVER {_ahead(20)} AS l FROM f)",
+    "td AS (SELECT *, coalesce(list_position(list_transform(l, lambda x: x.low <= close - u), true), 0) AS stopped FROM l)",
+    "rr AS (SELECT *, (greatest(close, coalesce(list_max(list_transform(CASE WHEN stopped > 0 THEN l[1:stopped - 1] ELSE l END, lambda x: x.high)), close)) - close) / u AS r FROM td)",
+]
+label("L22_ladder_adds", lambda b: L.ladder_adds(b, 20, [2.0, 4.0], [0.5, 0.25]), {"adds": "CASE WHEN r >= 4 THEN 2 WHEN r >= 2 THEN 1 ELSE 0 END", "add_weight": "CASE WHEN r >= 4 THEN 0.75 WHEN r >= 2 THEN 0.5 ELSE 0 END"}, _LADDER, "rr")
 
 
 @query("L23_non_overlap", f"{_signals([1200])}, v AS (SELECT *, lead(close, 10) OVER (PARTITION BY symbol ORDER BY ts) / close - 1 AS ahead FROM f) SELECT k.symbol, k.ts, {_r('ahead', 'gross')}, {_r('ahead - 0.0008', 'net')} FROM k JOIN v ON v.symbol = k.symbol AND v.ts = k.ts")
