@@ -92,19 +92,24 @@ def test_rolling_features_in_pieces_equal_one_series(seed):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_sessions_in_pieces_equal_a_loop(seed):
+@pytest.mark.parametrize("least, most", [(0, None), (3, None), (2, 4), (0, 1)])
+def test_sessions_in_pieces_equal_a_loop(seed, least, most):
     rows, batches = disordered(random.Random(seed))
-    want, start, n = [], None, 0
+    want, start, n, cut = [], None, 0, False
     for us, _, p in rows:
         if start is None and p >= 60:
-            start, n = us, 0
+            start, n, cut = us, 0, False
         if start is not None:
             if p < 20:
-                want.append(("a", start, us, n))
+                if not cut and n >= least:
+                    want.append(("a", start, us, n))
                 start = None
+            elif not cut and n == most:
+                want.append(("a", start, us, n))
+                cut = True
             else:
                 n += 1
-    assert [tuple(r) for r in run(T.Sessions(60.0, 20.0), batches).itertuples(index=False)] == want
+    assert [tuple(r) for r in run(T.Sessions(60.0, 20.0, least, most), batches).itertuples(index=False)] == want
 
 
 def test_nothing_passes_before_the_watermark():

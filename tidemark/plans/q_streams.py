@@ -48,10 +48,11 @@ def _ticks_in_disorder(spark, sf_dir):
 @query("T04_regime_sessions", f"""WITH {TICKS}, e AS (SELECT *, CASE WHEN price >= 60 THEN 1 WHEN price < 20 THEN 0 END AS ev FROM ticks),
   s AS (SELECT *, coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, tick_id ROWS UNBOUNDED PRECEDING), 0) AS st FROM e),
   g AS (SELECT *, sum(CASE WHEN st <> p THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts, tick_id ROWS UNBOUNDED PRECEDING) AS seg FROM (SELECT *, coalesce(lag(st) OVER (PARTITION BY symbol ORDER BY ts, tick_id), 0) AS p FROM s)),
-  a AS (SELECT symbol, seg, any_value(st) AS st, min(ts) AS ts, count(*) AS n FROM g GROUP BY 1, 2), n AS (SELECT *, lead(ts) OVER (PARTITION BY symbol ORDER BY seg) AS ended FROM a)
-  SELECT symbol, epoch_us(ts) AS start_us, epoch_us(ended) AS end_us, CAST(n AS INTEGER) AS n FROM n WHERE st = 1 AND ended <= {_PASSED}""")
+  k AS (SELECT *, row_number() OVER (PARTITION BY symbol, seg ORDER BY ts, tick_id) AS k FROM g),
+  a AS (SELECT symbol, seg, any_value(st) AS st, min(ts) AS ts, count(*) AS n, max(ts) FILTER (k = 11) AS cut FROM k GROUP BY 1, 2), n AS (SELECT *, lead(ts) OVER (PARTITION BY symbol ORDER BY seg) AS off FROM a)
+  SELECT symbol, epoch_us(ts) AS start_us, epoch_us(coalesce(cut, off)) AS end_us, CAST(least(n, 10) AS INTEGER) AS n FROM n WHERE st = 1 AND n >= 2 AND coalesce(cut, off) <= {_PASSED}""")
 def sessions(spark, sf_dir):
-    return T.run_to_table(T.with_state(_ticks_in_disorder(spark, sf_dir), T.Sessions(60.0, 20.0), "symbol string, start_us long, end_us long, n int", "1 day"), "sessions")
+    return T.run_to_table(T.with_state(_ticks_in_disorder(spark, sf_dir), T.Sessions(60.0, 20.0, 2, 10), "symbol string, start_us long, end_us long, n int", "1 day"), "sessions")
 
 
 @query("T05_incremental_features", f"""WITH RECURSIVE {TICKS}, r AS (SELECT symbol, tick_id, price, ts, row_number() OVER w AS k, avg(price) OVER (w ROWS 19 PRECEDING) AS mean, stddev_pop(price) OVER (w ROWS 19 PRECEDING) AS deviation FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, tick_id)),

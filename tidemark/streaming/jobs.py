@@ -121,32 +121,43 @@ class InOrder(StatefulProcessor):
 
 
 class Sessions(InOrder):
-    """On from a price of `on` until one below `off`: emits each session when it ends, with its ticks."""
+    """On from a price of `on` until one below `off`: emits each session when it ends, with its ticks.
 
-    def __init__(self, on: float, off: float):
-        self.on, self.off = on, off
+    A session of fewer than `least` ticks is none; one of more than `most` ends with the first tick beyond them, and
+    the next begins only after the price has been below `off`.
+    """
+
+    def __init__(self, on: float, off: float, least: int = 0, most: int | None = None):
+        self.on, self.off, self.least, self.most = on, off, least, most
 
     def opened(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "start long, n int")
+        self.open = handle.getValueState("open", "start long, n int, ended boolean")
 
     def step(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        start, n = self.open.get() if self.open.exists() else (-1, 0)
+        start, n, ended = self.open.get() if self.open.exists() else (-1, 0, False)
         us, price = rows["us"].to_numpy(), rows["price"].to_numpy()
         event = np.where(price >= self.on, 1, np.where(price < self.off, 0, -1))
         last = np.maximum.accumulate(np.where(event >= 0, np.arange(len(event)), -1))
         state = np.where(last >= 0, event[np.maximum(last, 0)], int(start >= 0))
         before = np.concatenate(([int(start >= 0)], state[:-1]))
-        begins, ends = np.flatnonzero(state > before), np.flatnonzero(state < before)
-        if start >= 0:
-            begins = np.concatenate(([-1], begins))
-        closed = begins[: len(ends)]
-        out = pd.DataFrame({"symbol": key[0], "start_us": [start if b < 0 else int(us[b]) for b in closed], "end_us": us[ends], "n": [int(e - b) if b >= 0 else int(n + e) for b, e in zip(closed, ends)]})
-        if len(begins) > len(ends):
-            b = begins[-1]
-            self.open.update((start, int(n + len(us))) if b < 0 else (int(us[b]), int(len(us) - b)))
-        else:
-            self.open.update((-1, 0))
-        return out.astype({"start_us": "int64", "end_us": "int64", "n": "int32"})
+        begins = [*([-1] if start >= 0 else []), *np.flatnonzero(state > before).tolist()]
+        ends = np.flatnonzero(state < before).tolist()
+        out = []
+        for k, begin in enumerate(begins):
+            if begin >= 0:
+                start, n, ended = int(us[begin]), 0, False
+            first = max(begin, 0)
+            end = ends[k] if k < len(ends) else len(us)
+            if self.most is not None and not ended and n + end - first > self.most:
+                out.append((key[0], start, int(us[first + self.most - n]), self.most))
+                ended = True
+            n += end - first
+            if k < len(ends):
+                if not ended and n >= self.least:
+                    out.append((key[0], start, int(us[end]), n))
+                start = -1
+        self.open.update((start, int(n), ended) if start >= 0 else (-1, 0, False))
+        return pd.DataFrame(out, columns=["symbol", "start_us", "end_us", "n"]).astype({"start_us": "int64", "end_us": "int64", "n": "int32"})
 
 
 class RollingFeatures(InOrder):
