@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,10 +93,16 @@ def gate_score(deny: Column, good: Column) -> Column:
     return F.avg(F.when(~good, d)) - F.avg(F.when(good, d))
 
 
-def gate_plateau(df: DataFrame, feature: str, grid: list[float], good: Column) -> DataFrame:
+def grid(start: float, end: float, step: float) -> Column:
+    """The array start, start + step, ... up to end."""
+    return F.transform(F.sequence(F.lit(0), F.lit(math.floor((end - start) / step + 1e-9))), lambda i: F.lit(start) + i * F.lit(step))
+
+
+def gate_plateau(df: DataFrame, feature: str, grid: list[float] | Column, good: Column) -> DataFrame:
     """Pass rates of good and bad rows, lift and gate score for each threshold (rows below it are denied)."""
     g = good.cast("double")
-    rows = df.where(F.col(feature).isNotNull()).select(F.col(feature).alias("_x"), g.alias("_g"), F.explode(F.array(*map(F.lit, grid))).alias("threshold")).withColumn("_p", (F.col("_x") >= F.col("threshold")).cast("double"))
+    thresholds = grid if isinstance(grid, Column) else F.array(*map(F.lit, grid))
+    rows = df.where(F.col(feature).isNotNull()).select(F.col(feature).alias("_x"), g.alias("_g"), F.explode(thresholds).alias("threshold")).withColumn("_p", (F.col("_x") >= F.col("threshold")).cast("double"))
     is_good = F.col("_g") == 1
     got = rows.groupBy("threshold").agg(F.avg(F.when(is_good, F.col("_p"))).alias("pass_good"), F.avg(F.when(~is_good, F.col("_p"))).alias("pass_bad"))
     return got.withColumn("lift", lift(F.col("pass_good"), F.col("pass_bad"))).withColumn("gate_score", F.col("pass_good") - F.col("pass_bad"))

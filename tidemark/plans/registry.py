@@ -6,7 +6,7 @@ import importlib
 
 from tidemark.plans.catalog import ORACLES, QUERIES
 
-for _section in ("sources", "rules", "joins", "aggregates", "statistics", "features", "flow", "labels", "ranking", "scalars", "streams", "flagship"):
+for _section in ("sources", "rules", "joins", "aggregates", "statistics", "features", "flow", "labels", "ranking", "scalars", "streams", "plugins", "flagship"):
     importlib.import_module(f"tidemark.plans.q_{_section}")
 
 __all__ = ["ORACLES", "QUERIES"]
