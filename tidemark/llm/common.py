@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.session import cut, sized_broadcast
 
@@ -89,10 +90,18 @@ def gathered(batches: Iterable[pa.RecordBatch], most: int, text: str = "text") -
 MOST_IDS = 200_000
 
 
+def id_number(df: DataFrame, column: str = "doc_id"):
+    """An id as a number: itself where ids are integers, else 63 bits of a hash of it as text; null for null."""
+    if isinstance(df.schema[column].dataType, T.IntegralType):
+        return F.col(column).cast("long")
+    text = F.col(column).cast("string")
+    return F.when(text.isNotNull(), F.shiftrightunsigned(F.xxhash64(F.lit("id"), text), 1))
+
+
 def row_id(docs: DataFrame):
-    """doc_id, or for a row without one a negative hash of its text."""
+    """The number of doc_id, or for a row without one a negative hash of its text."""
     own = -1 - F.shiftrightunsigned(F.xxhash64(F.lit("row"), F.col("text").cast("string")), 2)
-    return F.coalesce(F.col("doc_id").cast("long"), own)
+    return F.coalesce(id_number(docs), own)
 
 
 def judged_rows(docs: DataFrame) -> DataFrame:

@@ -40,8 +40,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from tidemark.llm.common import MOST_IDS, byte_batches, claim, lower_words, memory, small_batches, without
+from tidemark.llm.common import MOST_IDS, byte_batches, claim, id_number, judged_rows, lower_words, memory, small_batches, without
 from tidemark.llm.components import components
 from tidemark.session import cut, sized_broadcast
 
@@ -275,11 +276,20 @@ def _often(grams: DataFrame, most: int) -> np.ndarray:
 
 
 def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, frequent: int = 64) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs.
+    """doc_id, n_shingles, component_id (the smallest doc_id of the component) for every row of docs.
 
     n: words of an n-gram; percent: least similarity in hundredths; frequent: n-grams in more prefixes than this
-    come last in the order (raised with the corpus so that there are at most 2^20 of them).
+    come last in the order (raised with the corpus so that there are at most 2^20 of them). Ids that are no integers
+    are joined as numbers and named again at the end.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        numbered = cut(docs.select("doc_id", "text", id_number(docs).alias("_number")))
+        got = cut(ngram_components(numbered.select(F.col("_number").alias("doc_id"), "text"), n, percent, frequent))
+        names = numbered.where("doc_id is not null").select("doc_id", "_number").distinct()
+        placed = names.join(got.select(F.col("doc_id").alias("_number"), "component_id").distinct(), "_number")
+        first = placed.groupBy("component_id").agg(F.min("doc_id").alias("_first"))
+        told = placed.join(first, "component_id").select("_number", "doc_id", "_first")
+        return got.withColumnRenamed("doc_id", "_number").join(told, "_number", "left").select("doc_id", "n_shingles", F.col("_first").alias("component_id"))
     small_batches(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = cut(texts.mapInArrow(_describe(n, percent), "doc_id long, n long, one long, two long, parity array<long>, first array<long>"))
@@ -346,10 +356,11 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, frequent: i
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """Of each component the rows with its smallest doc_id stay, one row of each doc_id; a null doc_id stays."""
-    kept = without(docs, ngram_components(docs, **how).where("doc_id <> component_id"))
+    """Of each component the rows with its smallest doc_id (by number, where ids are no integers) stay, one row of each doc_id; a null doc_id stays."""
+    numbered = docs.withColumn("doc_id", id_number(docs))
+    kept = without(docs, ngram_components(numbered, **how).where("doc_id <> component_id"))
     repeated = cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if not repeated.limit(1).count():
         return kept
     ids = sized_broadcast(repeated, MOST_IDS)
-    return without(kept, repeated).unionByName(kept.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return without(kept, judged_rows(repeated.withColumn("text", F.lit(None).cast("string")))).unionByName(kept.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))

@@ -6,8 +6,10 @@ both alone. It learns from a bounded sample of labelled documents (`most`, in ha
 counts each term with and without the label, and terms whose association passes a chi-square limit (at most
 `features`, the strongest) enter the machine.
 
-Defined cases: null or empty text scores by the bias alone; without labelled rows every score is 0; a document
-labelled twice is two examples; every row of docs gives a row; extra columns are not read.
+Defined cases: null or empty text scores by the bias alone; without labelled rows every score is 0; where all labels
+learned are alike every score is near that label; a document labelled twice is two examples; terms of equal
+association enter by their hash; a very long text is one set of terms, in a batch of its own; every row of docs gives
+a row; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_sample, byte_batches, claim, fold, judged_rows, small_batches, without
+from tidemark.llm.common import bounded_sample, byte_batches, claim, fold, id_number, judged_rows, small_batches, without
 from tidemark.session import cut
 
 _ENDS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -114,8 +116,12 @@ def learn(docs: DataFrame, labels: DataFrame, allowed, label: str = "toxic", mos
     kind = rows.schema["doc_id"].dataType.simpleString()
     rows = cut(rows.mapInArrow(lay, f"doc_id {kind}, y int, terms array<long>"))
     n, toxic = rows.agg(F.count("*"), F.sum("y")).first()
-    if not n or not toxic or toxic == n:
+    if not n:
         return None
+    if toxic in (0, n):  # nothing tells one label from another: the bias is all there is
+        machine = FactorizationMachine(np.zeros(0, np.int64))
+        machine.fit([[]] * min(n, 1), np.array([toxic / n]), epochs=0)
+        return machine
     c, t = F.col("c").cast("double"), F.col("t").cast("double")
     gap = t * F.lit(float(n)) - c * F.lit(float(toxic))
     chi = gap * gap * n / (c * (n - c) * F.lit(float(toxic)) * F.lit(float(n - toxic)))
@@ -152,4 +158,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: in
 
 def keep_civil(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of docs that are not predicted toxic; a doc_id with several rows goes with all of them if one is."""
-    return without(docs, toxicity(judged_rows(docs), labels, **how).where("predicted = 1"))
+    numbered = labels.withColumn("doc_id", id_number(labels))
+    return without(docs, toxicity(judged_rows(docs), numbered, **how).where("predicted = 1"))
