@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, ngram_join, packing, quality_rules
+from tidemark.llm import decontamination, ngram_join, packing, quality_rules, toxicity
 from tidemark.llm.components import components
 
 
@@ -210,3 +211,19 @@ def test_pipeline_equals_its_stages(spark, sf_dir):
     from tidemark.llm.queries_text import tokenizer_path
 
     assert packed.count() == packing.pieces(spark.createDataFrame(left, docs.schema), tokenizer_path("byte_bpe_50k.json")).count()
+
+
+def test_ids_that_are_text(spark, docs, labels, sf_dir):
+    name = F.when(F.col("doc_id").isNotNull(), F.format_string("k%08d", "doc_id"))
+    named, told = docs.withColumn("doc_id", name), labels.withColumn("doc_id", F.format_string("k%08d", "doc_id"))
+    plain = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs).withColumns({c: F.when(F.col(c).isNotNull(), F.format_string("k%08d", c)) for c in ("doc_id", "component_id")}).collect()}
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_components(named).collect()} == plain
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    for kept, same in (
+        (quality_rules.keep_clean(named), quality_rules.keep_clean(docs)), (decontamination.keep_unseen(named, benchmark), decontamination.keep_unseen(docs, benchmark)),
+    ):
+        assert Counter(map(tuple, kept.collect())) == Counter(map(tuple, same.withColumn("doc_id", name).collect()))
+    civil = toxicity.keep_civil(named, told)
+    assert civil.columns == docs.columns and 0.8 * docs.count() < civil.count() < docs.count()
+    one = ngram_join.keep_one(named, n=5, percent=80)
+    assert one.count() == ngram_join.keep_one(docs, n=5, percent=80).count()

@@ -418,7 +418,7 @@ def test_license_scan_and_inheritance(spark):
     assert got == {
         (1, "MIT", "own", "a/LICENSE"), (2, "GPL-3.0", "inherited", "a/b/LICENSE.txt"), (3, "GPL-3.0", "own", "a/b/LICENSE.txt"), (4, "MIT", "inherited", "a/LICENSE"),
         (5, None, "none", None), (6, None, "none", None), (7, "MIT", "own", "a/b/own.py"), (8, "MIT", "own", "q/w.py"), (9, None, "none", None),
-    } or got - {(8, "MIT", "own", "q/w.py")} == got
+    }
     assert license_scan.license_scan(df).count() == len(files)
     assert license_scan.license_scan(df.limit(0)).count() == 0
 
@@ -435,3 +435,89 @@ def test_license_notices_inside_other_words(spark):
     got = {r.file_id: (r.license, r.how) for r in license_scan.license_scan(spark.createDataFrame(files, "file_id long, path string, text string")).collect()}
     assert [got[i] for i in range(1, 8)] == [("MIT", "own"), ("MIT", "own"), ("MIT", "own"), ("Apache-2.0", "own"), (None, "none"), (None, "none"), ("Unlicense", "own")]
     assert {got[100 + i] for i in range(300)} == {(None, "none")}
+
+
+#: The usual openings of licence headers.
+HEADERS = {
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify\n it under the terms of the GNU General Public License as published by\n the Free Software Foundation; either version 2 of the License, or\n (at your option) any later version.",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify\n it under the terms of the GNU General Public License as published by\n the Free Software Foundation, either version 3 of the License, or\n (at your option) any later version.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or\n modify it under the terms of the GNU Lesser General Public\n License as published by the Free Software Foundation; either\n version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, subject to the conditions of the MIT License.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the conditions of the BSD 3-Clause License are met.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+}
+
+
+def test_each_header_is_its_own_licence(spark, docs):
+    """Beside real documents, whose words set the weights; commented, and with words around."""
+    files = [(-1 - k, f"h{k}/x.c", "/*\n * " + text.replace("\n", "\n *") + "\n */\nint main(void) { return 0; }") for k, text in enumerate(HEADERS.values())]
+    more = spark.createDataFrame(files, "file_id long, path string, text string")
+    plain = docs.select(F.col("doc_id").alias("file_id"), F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), "text")
+    got = {r.file_id: (r.license, r.how) for r in license_scan.license_scan(plain.unionByName(more)).where("file_id < 0").collect()}
+    assert [got[-1 - k] for k in range(len(HEADERS))] == [(name, "own") for name in HEADERS]
+
+
+def plain_cosines(text, templates, held, files, least):
+    """The best licence of a text and its cosine, by comparing every run of every template's length."""
+    find = lambda t: re.findall(r"[a-z0-9.+-]*[a-z0-9+]", t.lower())
+    own = Counter(t for texts in templates.values() for x in texts for t in set(find(x)))
+    n = files + sum(map(len, templates.values()))
+    weight = lambda t: math.log((1 + n) / (1 + held.get(t, 0) + own.get(t, 0))) + 1
+    licences = Counter(t for texts in templates.values() for t in {t for x in texts for t in find(x)})
+    vector = lambda ts: {t: k * weight(t) for t, k in Counter(ts).items()}
+    words, best = find(text), (0.0, 0, None)
+    for name, texts in sorted(templates.items()):
+        for x in texts:
+            a = vector(find(x))
+            telling = {t for t in a if licences[t] == 1}
+            for start in range(max(1, len(words) - len(find(x)) + 1)):
+                b = vector(words[start : start + len(find(x))])
+                if not b or (telling and not telling & b.keys()):
+                    continue
+                value = sum(v * b.get(t, 0) for t, v in a.items()) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+                if value >= least and (value, -start) > best[:2]:
+                    best = (value, -start, name)
+    return best[2], best[0]
+
+
+def test_license_scan_equals_plain_cosines(spark):
+    rng = np.random.default_rng(3)
+    common = [f"w{k}" for k in range(40)] + "license the of under terms version software 2 3 public mit".split()
+    texts = []
+    for k in range(60):
+        words = list(rng.choice(common, 30))
+        if k % 2:
+            header = list(HEADERS.values())[k % len(HEADERS)].split()
+            for _ in range(rng.integers(0, 9)):
+                header[rng.integers(len(header))] = rng.choice(common)
+            words[10:10] = header
+        texts.append(" ".join(words))
+    df = spark.createDataFrame([(k, f"d{k}/f.c", t) for k, t in enumerate(texts)], "file_id long, path string, text string")
+    held = Counter(t for x in texts for t in set(license_scan.terms(x)))
+    got = {r.file_id: (r.license, r.similarity) for r in license_scan.license_scan(df).where("how = 'own'").collect()}
+    seen = 0
+    for k, t in enumerate(texts):
+        name, value = plain_cosines(t, license_scan.TEMPLATES, held, len(texts), 0.6)
+        assert got.get(k, (None, 0.0))[1] == pytest.approx(value, abs=1e-9), k
+        if name:
+            seen += 1
+    assert seen >= 20
+
+
+def test_toxicity_of_labels_that_are_all_alike(docs, labels):
+    for label in (1, 0):
+        got = toxicity.toxicity(docs, labels.withColumn("toxic", F.lit(label))).agg(F.min("score"), F.max("score"), F.min("predicted"), F.max("predicted")).first()
+        assert abs(got[0] - label) < 0.01 and abs(got[1] - label) < 0.01 and got[2] == got[3] == label
+    assert toxicity.toxicity(docs, labels.limit(0)).agg(F.max("score")).first()[0] == 0
+
+
+def test_toxicity_scores_equal_a_plain_sum_over_pairs(docs, labels):
+    machine = toxicity.learn(docs, labels, toxicity.fold() != 0)
+    number = {int(h): i for i, h in enumerate(machine.ids)}
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).where("doc_id % 9 = 0").collect()}
+    for r in docs.where("doc_id % 9 = 0").collect():
+        at = [number[t] for t in toxicity.terms(r.text) if t in number]
+        raw = machine.bias + sum(machine.linear[i] for i in at) + sum(float(machine.factors[i] @ machine.factors[j]) for k, i in enumerate(at) for j in at[k + 1 :])
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-min(30, max(-30, raw)))), abs=1e-9)
