@@ -4,14 +4,16 @@ Every document gets counts from its whole text (base rules) and a vector of tran
 language and source, and for all documents together, the minimum-covariance-determinant estimate of centre and scatter
 is found by concentration steps: all vectors get their Mahalanobis distances, the nearest `inner` share of them gives
 the next estimate, until no determinant falls any more. There are two starts, median and MAD, and mean and covariance;
-each group takes the one that ends at the lower determinant. A document whose distance lies beyond `beyond` is rejected.
+each group takes the estimate of the lowest determinant, and borrows from that of all documents as much as `borrow`
+rows weigh against its own, so a small group is judged mostly by what holds everywhere, without a size at which that
+changes. A document whose distance lies beyond `beyond` is rejected.
 
 A step is one aggregation for all groups and both starts: moments are summed by classes of distance (BINS to an
 octave), and a running sum over a group's classes, which are few whatever its rows, tells which are the nearest. So
 the share is `inner` and the rest of one class. Groups are told by a 64-bit hash of language and source.
 
 Defined cases: text null or without words has n_words 0 and fails the base rules; a null lang or source is a group
-of its own; groups of fewer than `least` rows that pass the base rules take the estimate of all documents; without any
+of its own; a group without rows that pass the base rules takes the estimate of all documents; without any
 such row every row fails the base rules; equal distances share a class; repeated rows give a row each; a long text is
 counted whole, alone in its batch; extra columns are not read; an empty table gives an empty result. No spread is taken
 to be under the sampling noise of its statistic, as counts of the documents' sizes have it (NOISE, its mean over all
@@ -23,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -179,10 +182,10 @@ def _d2(centre: str, inverse: str):
     return sum(((1 if i == j else 2) * gap[i] * gap[j] * F.col(inverse)[i * len(STATS) + j] for i, j in _PAIRS), F.lit(0.0))
 
 
-def _medians(both: DataFrame, least: int) -> DataFrame:
+def _medians(both: DataFrame) -> DataFrame:
     """Start 1: a mean that is the median and a diagonal scatter by the median absolute deviation."""
     middle = lambda parts: F.array(*(F.percentile_approx(c, 0.5) for c in parts))
-    m = sized_broadcast(cut(both.groupBy("g").agg(middle(map(F.col, STATS)).alias("m"), F.count("*").alias("n")).where((F.col("n") >= least) | (F.col("g") == ALL)).drop("n")))
+    m = sized_broadcast(cut(both.groupBy("g").agg(middle(map(F.col, STATS)).alias("m"))))
     d = both.join(m, "g").groupBy("g").agg(F.count("*").alias("n"), F.first("m").alias("m"), middle(F.abs(F.col(s) - F.col("m")[i]) for i, s in enumerate(STATS)).alias("d"))
     n, m = F.col("n"), F.col("m")
     products = [n * (m[i] * m[j] + (F.pow(1.4826 * F.col("d")[i], F.lit(2.0)) if i == j else F.lit(0.0))) for i, j in _PAIRS]
@@ -221,29 +224,51 @@ def _statistics(counts: DataFrame, prior: float = 200.0) -> DataFrame:
     )
 
 
-def quality_rules(docs: DataFrame, inner: float = 0.75, steps: int = 12, beyond: float = 0.999, least: int = 100) -> DataFrame:
+def _borrowed(borrow: float, centre: list[float], inverse: list[float]):
+    """Estimates drawn towards that of all documents, by `borrow` rows of it to a group's own."""
+    p = len(STATS)
+    every = np.linalg.inv(np.reshape(inverse, (p, p)))
+
+    def drawn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                own = row.n / (row.n + borrow)
+                scatter = own * np.linalg.inv(np.reshape(row.inverse, (p, p))) + (1 - own) * every
+                out.append((row.g, (own * np.array(row.centre) + (1 - own) * np.array(centre)).tolist(), np.linalg.inv(scatter).ravel().tolist()))
+            yield pd.DataFrame(out, columns=["g", "centre", "inverse"])
+
+    return drawn
+
+
+def quality_rules(docs: DataFrame, inner: float = 0.75, steps: int = 100, beyond: float = 0.999, borrow: float = 5.0 * len(STATS)) -> DataFrame:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance.
 
-    inner: share of rows that an estimate rests on; steps: most concentration steps; beyond: the quantile of chi-square
-    past which a document is rejected; least: rows below which a group takes the estimate of all.
+    inner: share of rows that an estimate rests on; steps: it is an error if determinants still fall after so many;
+    beyond: the quantile of chi-square past which a document is rejected; borrow: rows that the estimate of all
+    documents counts for in each group's.
     """
     rows = cut(_statistics(cut(document_counts(docs))))
     fit = rows.where(~F.col("base_failed"))
     floors = [v or 1e-6 for v in fit.agg(*(F.avg(v) for v in NOISE)).first()]
     both = fit.select(*STATS, F.explode(F.array("g", F.lit(ALL).cast("long"))).alias("g"))
-    plain = both.groupBy("g").agg(*_moments()).where((F.col("n") >= least) | (F.col("g") == ALL))
-    plain = plain.select("g", F.lit(0).alias("start"), "n", F.col("n").alias("inside"), *_arrays())
-    estimates = _estimates(plain.unionByName(_medians(both, least)), floors)
-    for step in range(steps):
-        last, estimates = estimates, _step(both, estimates, floors, inner)
-        if step:  # a start's determinant is none of an inner share
-            fall = last.alias("a").join(estimates.alias("b"), ["g", "start"]).agg(F.max(F.col("a.det") - F.col("b.det"))).first()[0]
-            if (fall or 0.0) < STILL:
-                break
-    best = cut(estimates.groupBy("g").agg(F.min_by(F.struct("centre", "inverse"), F.struct("det", "start")).alias("e")).select("g", "e.*").coalesce(8))
+    plain = both.groupBy("g").agg(*_moments()).select("g", F.lit(0).alias("start"), "n", F.col("n").alias("inside"), *_arrays())
+    estimates = _estimates(plain.unionByName(_medians(both)), floors)
+    found: list[DataFrame] = []  # a start's determinant is none of an inner share, so the starts themselves are not among them
+    for _ in range(steps):
+        estimates = _step(both, estimates, floors, inner)
+        found.append(estimates)
+        lowest = reduce(DataFrame.unionByName, found[:-1], estimates.limit(0)).groupBy("g", "start").agg(F.min("det").alias("low"))
+        fall = estimates.join(lowest, ["g", "start"]).agg(F.max(F.col("low") - F.col("det"))).first()[0]
+        if len(found) > 1 and (fall or 0.0) < STILL:
+            break
+    else:
+        raise RuntimeError(f"determinants still fall after {steps} steps")
+    best = cut(reduce(DataFrame.unionByName, found).groupBy("g").agg(F.min_by(F.struct("n", "centre", "inverse"), F.struct("det", "start")).alias("e")).select("g", "e.*").coalesce(8))
     every = best.where(F.col("g") == ALL).first()
     pooled = lambda c: F.array(*map(F.lit, every[c])) if every else F.lit(None).cast("array<double>")
-    judged = rows.join(sized_broadcast(best), "g", "left").withColumn("centre", F.coalesce("centre", pooled("centre"))).withColumn("inverse", F.coalesce("inverse", pooled("inverse")))
+    own = cut(best.mapInPandas(_borrowed(borrow, every["centre"], every["inverse"]), "g long, centre array<double>, inverse array<double>")) if every else best.select("g", "centre", "inverse")
+    judged = rows.join(sized_broadcast(own), "g", "left").withColumn("centre", F.coalesce("centre", pooled("centre"))).withColumn("inverse", F.coalesce("inverse", pooled("inverse")))
     judged = judged.withColumn("distance", _d2("centre", "inverse"))
     far = F.coalesce(F.col("distance") > chi_square_quantile(len(STATS), beyond), F.lit(False))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "distance")
