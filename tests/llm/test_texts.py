@@ -521,3 +521,21 @@ def test_toxicity_scores_equal_a_plain_sum_over_pairs(docs, labels):
         at = [number[t] for t in toxicity.terms(r.text) if t in number]
         raw = machine.bias + sum(machine.linear[i] for i in at) + sum(float(machine.factors[i] @ machine.factors[j]) for k, i in enumerate(at) for j in at[k + 1 :])
         assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-min(30, max(-30, raw)))), abs=1e-9)
+
+
+def test_small_groups_borrow_without_a_switch(spark):
+    rng = np.random.default_rng(12)
+    stock = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(300)]
+    long = ["".join(rng.choice(list("klmnopqrst"), rng.integers(7, 14))) for _ in range(300)]
+    text = lambda words, n: " ".join(w.capitalize() if rng.random() < 0.05 else w for w in rng.choice(words, n))
+    big = [(i, text(stock, rng.integers(80, 300)), "en", "big") for i in range(400)]
+    own = [(1000 + i, text(long, 200), "xx", "own") for i in range(101)]
+    distances = {}
+    for n in (20, 99, 100, 101):
+        docs = spark.createDataFrame(big + own[:n], "doc_id long, text string, lang string, source string")
+        got = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
+        assert len(got) == 400 + n and sum(got[1000 + i].kept for i in range(n)) >= 0.9 * n
+        distances[n] = np.array([got[1000 + i].distance for i in range(20)])
+    for a, b in ((99, 100), (100, 101)):
+        assert np.allclose(distances[a], distances[b], rtol=0.35, atol=0.7), (a, b)
+    assert np.isfinite(distances[20]).all()
