@@ -1,8 +1,9 @@
 """Operator 7: quality by the perplexity of an interpolated modified Kneser-Ney model trained on trusted text.
 
-The model is one of pairs of tokens. Tokens are the words that trusted text holds twice or more, at most `words` of
-them (the most frequent ones; a parameter of the model, as a subword vocabulary is), and the bytes of all other words,
-each with a mark after its last one, so that no word of any alphabet is unknown; every text ends with a mark.
+The model is one of pairs of tokens. Tokens are the words of at most LONGEST_WORD bytes that trusted text holds twice
+or more, at most `words` of them (the most frequent ones; a parameter of the model, as a subword vocabulary is), and
+the bytes of all other words, each with a mark after its last one, so that no word of any alphabet is unknown; every
+text ends with a mark.
 
 Counts and documents meet in shards by pair of tokens. Each task counts the pairs of its trusted texts and sends one
 block to each shard, where counts are summed; statistics of single tokens (bounded by the vocabulary) are summed over
@@ -46,6 +47,8 @@ WORDS = (1 << TOKEN_BITS) - FIRST
 _PAIR = np.uint64((1 << 2 * TOKEN_BITS) - 1)
 _MIX = 0x9E3779B97
 _UNMIX = np.uint64(pow(_MIX, -1, 1 << 2 * TOKEN_BITS))
+#: Bytes of the longest word that the vocabulary takes: it goes to all tasks, so it is bounded in bytes too.
+LONGEST_WORD = 64
 #: Bytes of text whose pairs are put into blocks at once; different words that a task counts before it sends them on.
 CHUNK, HELD_WORDS = 4 << 20, 300_000
 #: Of each token: its count as the first of a pair, how many pairs it begins that occur 1, 2, 3, 4 and more times, how many it ends.
@@ -153,6 +156,8 @@ def vocabulary(texts: DataFrame, words: int, slices: int) -> list[bytes]:
         for batch in byte_batches(batches):
             for text in batch.column("text").to_pylist():
                 held.update(text.encode().split())
+            for word in [w for w in held if len(w) > LONGEST_WORD]:
+                del held[word]
             if len(held) > HELD_WORDS:
                 yield blocks()
         yield blocks()
@@ -350,8 +355,11 @@ def perplexity_filter(docs: DataFrame, trusted: DataFrame, quantile: float = 0.9
     context = docs.sparkSession.sparkContext
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     ids = cut(trusted.select("doc_id").where("doc_id is not null").distinct()).withColumn("_t", F.lit(True))
-    narrow = docs.select("doc_id", text.alias("text"), F.col("lang").cast("string").alias("lang")).join(sized_broadcast(ids, MOST_IDS), "doc_id", "left")
+    many = ids.limit(MOST_IDS + 1).count() > MOST_IDS
+    narrow = docs.select("doc_id", text.alias("text"), F.col("lang").cast("string").alias("lang")).join(ids if many else F.broadcast(ids), "doc_id", "left")
     narrow = narrow.select("doc_id", "lang", "text", F.coalesce("_t", F.lit(False)).alias("own"), F.xxhash64("doc_id", "text").alias("name"))
+    if many:  # what a shuffle brings comes in any order; a task that runs again must cut the same chunks
+        narrow = narrow.sortWithinPartitions("name")
     good = narrow.where("own and text <> ''")
     size = good.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     top = vocabulary(good, min(words, WORDS), max(16, size >> 25))
