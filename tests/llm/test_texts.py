@@ -539,3 +539,20 @@ def test_small_groups_borrow_without_a_switch(spark):
     for a, b in ((99, 100), (100, 101)):
         assert np.allclose(distances[a], distances[b], rtol=0.35, atol=0.7), (a, b)
     assert np.isfinite(distances[20]).all()
+
+
+def test_perplexity_past_the_ids_that_are_sent(spark, docs, labels, monkeypatch):
+    """Trusted ids that go by shuffle give the same rows, and the same chunks whatever the order in which rows come."""
+    trusted = labels.where("quality = 1")
+    told = lambda df: sorted((str(r.doc_id), r.n_words, r.keep, r.perplexity or 0.0) for r in df.collect())
+    want = told(perplexity.perplexity_filter(docs, trusted))
+    monkeypatch.setattr(perplexity, "MOST_IDS", 3)
+    for turn in (1, 2):
+        got = told(perplexity.perplexity_filter(docs.repartition(5 + turn, F.rand(turn)), trusted))
+        assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want], rtol=1e-4)
+
+
+def test_words_of_many_bytes_go_by_bytes(spark):
+    strings = ["x" * 65, "y" * 64]
+    texts = spark.createDataFrame([(f"{a} {b} {a} {b}",) for a, b in [strings] * 3], "text string")
+    assert perplexity.vocabulary(texts, 10, 16) == [b"y" * 64]
