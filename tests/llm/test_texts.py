@@ -556,3 +556,14 @@ def test_words_of_many_bytes_go_by_bytes(spark):
     strings = ["x" * 65, "y" * 64]
     texts = spark.createDataFrame([(f"{a} {b} {a} {b}",) for a, b in [strings] * 3], "text string")
     assert perplexity.vocabulary(texts, 10, 16) == [b"y" * 64]
+
+
+def test_parameters_averaged_by_a_tree_are_those_of_one_sum(spark, docs, monkeypatch):
+    texts = docs.where("doc_id < 9000").select("doc_id", "text")
+    lex = spark.sparkContext.broadcast(lm_scoring.lexicon(lm_scoring.word_counts(texts).cache(), texts.count(), 50))
+    models = []
+    for sums, branch in ((8, 16), (1, 2)):
+        monkeypatch.setattr(lm_scoring, "SUMS", sums)
+        monkeypatch.setattr(lm_scoring, "BRANCH", branch)
+        models.append(lm_scoring.fit(texts, lex, 9, 1, 1))
+    assert all(np.allclose(models[0][k], models[1][k], rtol=1e-5, atol=1e-6) for k in models[0])
