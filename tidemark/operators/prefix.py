@@ -36,7 +36,7 @@ def running(df: DataFrame, by: list[str], order: list[str], values: list[str], p
     carried = sums.select("_group", "_range", *(F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_{v}_carried") for v in values), *(F.sum(v).over(group).alias(f"{v}_total") for v in values))
     inside = Window.partitionBy("_group", "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = keyed.select("*", *(F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"{v}_before") for v in values))
-    joined = rows.join(sized_broadcast(carried), ["_group", "_range"])
+    joined = rows.join(carried, ["_group", "_range"])  # rows are already dealt and sorted so
     for v in values:
         joined = joined.withColumn(f"{v}_before", F.col(f"{v}_before") + F.col(f"_{v}_carried"))
     return joined.drop("_group", "_range", *(f"_{v}_carried" for v in values))
