@@ -193,10 +193,13 @@ def license_scan(files: DataFrame, templates: dict[str, list[str]] | None = None
     directory = F.regexp_replace("path", "/?[^/]*$", "")
     top = holders.withColumn("dir", directory)
     best = top.groupBy("dir").agg(F.max("similarity").alias("similarity"))
-    first = top.join(best, ["dir", "similarity"]).groupBy("dir").agg(F.min_by("license", F.struct("path", "license")).alias("from_license"), F.max("similarity").alias("from_similarity"), F.min("path").alias("from_path"))
+    first = cut(top.join(best, ["dir", "similarity"]).groupBy("dir").agg(F.min_by("license", F.struct("path", "license")).alias("from_license"), F.max("similarity").alias("from_similarity"), F.min("path").alias("from_path")))
+    left = F.struct("from_license", "from_similarity", "from_path")
     bare = scanned.where(F.col("license").isNull() & F.col("path").isNotNull()).select("_row", F.posexplode(ancestors(F.col("path"))).alias("up", "dir"))
-    heirs = bare.join(first, "dir").groupBy("_row").agg(F.min_by(F.struct("from_license", "from_similarity", "from_path"), "up").alias("from"))
-    out = scanned.join(heirs, "_row", "left")
+    heirs = bare.where("dir <> ''").join(sized_broadcast(first), "dir").groupBy("_row").agg(F.min_by(left, "up").alias("from"))
+    root = first.where("dir = ''").agg(F.first(left).alias("_root"))  # one row, which every path has above it
+    out = scanned.join(heirs, "_row", "left").join(F.broadcast(root))
+    out = out.withColumn("from", F.when(F.col("license").isNull() & F.col("path").isNotNull(), F.coalesce("from", "_root")))
     return out.select(
         "file_id", "path", F.coalesce("license", "from.from_license").alias("license"), F.coalesce("similarity", "from.from_similarity").alias("similarity"),
         F.when(F.col("license").isNotNull(), "own").when(F.col("from").isNotNull(), "inherited").otherwise("none").alias("how"),
