@@ -567,3 +567,13 @@ def test_parameters_averaged_by_a_tree_are_those_of_one_sum(spark, docs, monkeyp
         monkeypatch.setattr(lm_scoring, "BRANCH", branch)
         models.append(lm_scoring.fit(texts, lex, 9, 1, 1))
     assert all(np.allclose(models[0][k], models[1][k], rtol=1e-5, atol=1e-6) for k in models[0])
+
+
+def test_files_without_a_licence_inherit_from_the_root(spark):
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    files = [(1, "LICENSE", mit), (2, "a/b.c", "code"), (3, "top.c", ""), (4, "x/COPYING", apache), (5, "x/y/z.c", None), (6, None, "code"), (7, "/abs/f.c", "code")]
+    got = {r.file_id: (r.license, r.how, r.found_in) for r in license_scan.license_scan(spark.createDataFrame(files, "file_id long, path string, text string")).collect()}
+    assert got == {
+        1: ("MIT", "own", "LICENSE"), 2: ("MIT", "inherited", "LICENSE"), 3: ("MIT", "inherited", "LICENSE"), 4: ("Apache-2.0", "own", "x/COPYING"),
+        5: ("Apache-2.0", "inherited", "x/COPYING"), 6: (None, "none", None), 7: ("MIT", "inherited", "LICENSE"),
+    }
