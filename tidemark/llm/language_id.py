@@ -9,10 +9,11 @@ L' D A does not depend on x, a batch of texts is scored by one product of its pr
 Texts are cut into segments of SEGMENT bytes at most, and a text's decision value is the mean of its segments'
 values weighted by their bytes, so that presence does not saturate in long texts.
 
-Learning uses a bounded sample: at most `per_lang` documents a language (in expectation) and `most` in all, one
-segment of each. Defined cases: null text or text without a letter is `und` with score 0; rows with null lang are
-not learned from; if there is nothing to learn from, all is `und`; every row gives a row; extra columns are not
-read.
+Learning uses a bounded sample: at most `per_lang` documents a language, the first by a hash (fewer where that many of
+each language would be more than `most`) and `most` in all, one segment of each. Defined cases: of equal values the language
+first in order is taken; a very long text is judged by all its segments; null text or text without a letter is `und`
+with score 0; rows with null lang are not learned from; if there is nothing to learn from, all is `und`; every row
+gives a row; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_sample, byte_batches, fold, small_batches
@@ -149,8 +150,11 @@ def training_rows(docs: DataFrame, allowed, per_lang: int, most: int) -> DataFra
     """lang and one segment of text of a bounded sample of documents."""
     keys = docs.where(allowed & F.col("lang").isNotNull()).select("doc_id", "lang")
     sizes = keys.groupBy("lang").count()
+    per_lang = min(per_lang, max(1, most // max(1, sizes.count())))  # so that `most` leaves no language out
     u = (F.xxhash64(F.lit("lang"), "doc_id") / F.lit(2.0**64)) + 0.5
-    chosen = keys.join(sizes, "lang").where(u * F.col("count") < per_lang).select("doc_id", F.col("lang").alias("_lang"))
+    near = keys.join(sizes, "lang").withColumn("_u", u).where(F.col("_u") * F.col("count") < 2 * per_lang + 20)  # some twice as many as wanted
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_u", "doc_id"))
+    chosen = near.withColumn("_k", place).where(F.col("_k") <= per_lang).select("doc_id", F.col("lang").alias("_lang"))
     chosen = bounded_sample(chosen, most, "doc_id", "_lang").dropDuplicates(["doc_id"])
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length("text") - (SEGMENT - 1))) + 1
     return docs.join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull() & (F.col("lang") == F.col("_lang"))).select("doc_id", "lang", F.col("text").substr(start.cast("int"), F.lit(SEGMENT)).alias("text"))
