@@ -577,3 +577,39 @@ def test_files_without_a_licence_inherit_from_the_root(spark):
         1: ("MIT", "own", "LICENSE"), 2: ("MIT", "inherited", "LICENSE"), 3: ("MIT", "inherited", "LICENSE"), 4: ("Apache-2.0", "own", "x/COPYING"),
         5: ("Apache-2.0", "inherited", "x/COPYING"), 6: (None, "none", None), 7: ("MIT", "inherited", "LICENSE"),
     }
+
+
+def plain_grams(raw: bytes) -> set[bytes]:
+    return {raw[i : i + n] for n in (1, 2, 3) for i in range(len(raw) - n + 1)}
+
+
+def test_language_values_equal_a_plain_kernel_ridge(docs):
+    """The n-grams of landmarks as sets, the kernel matrices from their intersections, one solve."""
+    rows = [r for r in docs.where("doc_id < 9000 and lang is not null").orderBy("doc_id").limit(60).collect() if language_id.has_letter(r.text)]
+    learn, ask = rows[:40], rows[40:]
+    model = language_id.fit([r.text for r in learn], [r.lang for r in learn], landmarks=12)
+    names = sorted({r.lang for r in learn})
+    parts = [language_id.segments(language_id.folded(r.text))[0] for r in learn]
+    of = np.array([names.index(r.lang) for r in learn])
+    marks = [parts[i] for k in range(len(names)) for i in np.flatnonzero(of == k)[: 12 // len(names)]]
+    features = set().union(*map(plain_grams, marks))
+    own = lambda raw: plain_grams(raw) & features
+    kernel = lambda a, b: len(own(a) & own(b)) / math.sqrt(max(1, len(own(a))) * max(1, len(own(b))))
+    cross = np.array([[kernel(x, m) for m in marks] for x in parts])
+    gram = np.array([[kernel(a, b) for b in marks] for a in marks])
+    target = np.where(of[:, None] == np.arange(len(names)), 1.0, -1.0)
+    alpha = np.linalg.solve(cross.T @ cross + 1e-3 * len(parts) * gram + 1e-6 * len(parts) * np.eye(len(marks)), cross.T @ target)
+    texts = [p for r in ask for p in language_id.segments(language_id.folded(r.text))]
+    want = np.array([[kernel(x, m) for m in marks] for x in texts]) @ alpha
+    assert np.allclose(model.decide(texts), want, atol=2e-3)
+    first = [language_id.segments(language_id.folded(r.text)) for r in ask]
+    for r, own_parts, lang in zip(ask, first, model.predict([r.text for r in ask])[0]):
+        value = sum(len(p) * (np.array([kernel(p, m) for m in marks]) @ alpha) for p in own_parts) / sum(map(len, own_parts))
+        assert value[names.index(lang)] >= value.max() - 4e-3
+
+
+def test_no_language_is_left_out_of_the_sample(spark):
+    rows = [(i, f"text of number {i}", f"l{i % 40:02}" if i % 90 else f"rare{i // 90}") for i in range(1800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.lang: r["count"] for r in language_id.training_rows(df, F.lit(True), 500, 300).groupBy("lang").count().collect()}
+    assert len(got) == 60 and sum(got.values()) <= 300
