@@ -227,3 +227,53 @@ def test_ids_that_are_text(spark, docs, labels, sf_dir):
     assert civil.columns == docs.columns and 0.8 * docs.count() < civil.count() < docs.count()
     one = ngram_join.keep_one(named, n=5, percent=80)
     assert one.count() == ngram_join.keep_one(docs, n=5, percent=80).count()
+
+
+def test_decontamination_of_scattered_edits(spark):
+    """Copies with words changed all over: of those whose plain similarity is 0.8 or more at least 95 in 100 are found, and nothing below."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopq") for _ in range(6))
+    items = [[word() for _ in range(n)] for n in (40, 60, 90, 140, 220, 400) for _ in range(5)]
+    shingled = lambda ws: Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4))
+    docs, want = [], set()
+    for k, ws in enumerate(items):
+        for _ in range(10):
+            near = ws[:]
+            for at in rng.sample(range(len(ws)), max(1, len(ws) // 60)):
+                near[at] = word()
+            a, b = shingled(ws), shingled(near)
+            if sum((a & b).values()) >= 0.8 * sum((a | b).values()):
+                want.add((len(docs), k))
+            docs.append((len(docs), " ".join([word() for _ in range(20)] + near + [word() for _ in range(20)])))
+    got = decontamination.decontamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(ws)) for k, ws in enumerate(items)], "item_id long, text string"))
+    found = {(r.doc_id, r.item_id) for r in got.collect()}
+    assert len(want) > 200 and len(want & found) >= 0.95 * len(want)
+    assert all(i == d // 10 for d, i in found)
+
+
+def test_decontamination_weighs_shingles_as_a_plain_sum_does(spark):
+    """Similarities of all reported windows against weighted multisets of word shingles; a shingle of many items counts less."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopq") for _ in range(6))
+    common = [word() for _ in range(12)]
+    items = [[word() for _ in range(20)] + common + [word() for _ in range(20)] for _ in range(30)]
+    docs = []
+    for k, ws in enumerate(items):
+        near = ws[:]
+        near[rng.choice((0, 1, 50, 51))] = word()
+        docs.append((k, " ".join([word() for _ in range(9)] + near + [word() for _ in range(9)])))
+    index = decontamination.Items([(str(k), " ".join(ws)) for k, ws in enumerate(items)], 5, 0.8)
+    got = decontamination.decontamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(ws)) for k, ws in enumerate(items)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in range(30)}
+    bags = [Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4)) for ws in items]
+    holders = Counter(s for b in bags for s in b)
+    by_hash = {s: index.rarity[next(iter(decontamination.shingles(decontamination.hashes(list(s)), 5)))] for s in holders}
+    assert len({round(v, 12) for s, v in by_hash.items() if holders[s] == 1}) == 1  # one weight for each number of items
+    assert min(v for s, v in by_hash.items() if holders[s] == 1) > max(v for s, v in by_hash.items() if holders[s] == 30)
+    for r in got:
+        ws = docs[r.doc_id][1].split()[r.start : r.start + r.n_words]
+        a, b = bags[r.item_id], Counter(tuple(ws[i : i + 5]) for i in range(len(ws) - 4))
+        weight = lambda s: by_hash.get(s, index.unseen)
+        both = sum(min(a[s], b[s]) * weight(s) for s in a if s in b)
+        every = sum(n * weight(s) for s, n in a.items()) + sum(n * weight(s) for s, n in b.items()) - both
+        assert r.similarity == pytest.approx(both / every, abs=1e-9) and r.similarity >= 0.8
