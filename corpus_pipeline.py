@@ -4,6 +4,12 @@ Every stage takes (spark, docs, sf_dir) and returns documents with all their col
 returns the pieces of the documents and their places in sequences. Each stage's rows are written as Parquet and read
 again before the next one. Packing has no SQL form (nor have the learned stages), so ORACLE_SQL is None and the tests
 hold the pipeline against a brute-force version.
+
+Odd rows: a null text counts as an empty one, and quality rules let neither through. A row without doc_id is judged by
+its own text, is nobody's duplicate and stays. Repeated rows of one doc_id are judged together (one that is rejected
+takes all along) and leave the third stage as one. Ids may be of any type, in documents and labels alike. Very long
+texts are judged and packed whole. Columns beyond those of documents pass all stages but the last, whatever their
+names; an empty table gives an empty result of the same columns.
 """
 
 from __future__ import annotations
