@@ -42,13 +42,14 @@ def running(df: DataFrame, by: list[str], order: list[str], values: list[str], p
     return joined.drop("_group", "_range", *(f"_{v}_carried" for v in values))
 
 
-def lookup(rows: DataFrame, found: DataFrame, keys: list[str], count: str, most: int = 10_000) -> DataFrame:
+def lookup(rows: DataFrame, found: DataFrame, keys: list[str], count: str, most: int = 10_000, total: int | None = None) -> DataFrame:
     """rows, each with the row of `found` (one for each combination of keys in rows, with its number of rows in `count`).
 
     Combinations with more than 1 / most of the rows are at most `most`: they go out by broadcast, and their rows stay
     where they are; the others meet by shuffle, where each brings few rows. rows are read twice, so cut them before.
     """
-    total = found.agg(F.sum(count)).first()[0] or 0
+    if total is None:
+        total = found.agg(F.sum(count)).first()[0] or 0
     edge = total // most
     frequent = F.broadcast(found.where(F.col(count) > edge).drop(count))
     near = join_same(rows, frequent, keys)

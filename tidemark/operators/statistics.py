@@ -39,14 +39,20 @@ def correlation(a: str, b: str) -> Column:
 def rank_ic(df: DataFrame, feature: str, target: str, *by: str) -> DataFrame:
     """Spearman correlation of feature and target and the number of pairs, per group `by`; pairs with a null are left out.
 
-    Equal pairs are counted first, and values are ranked by their counts, so a value that fills a group costs a row.
+    Equal pairs are counted first, and values (as doubles) are ranked by their counts, so a value that fills a group
+    costs a row; both sides are ranked at once.
     """
-    both = df.where(F.col(feature).isNotNull() & F.col(target).isNotNull()).select(*by, F.col(feature).alias("_x"), F.col(target).alias("_y"))
+    number = lambda c, name: F.col(c).cast("double").alias(name)
+    both = df.where(F.col(feature).isNotNull() & F.col(target).isNotNull()).select(*by, number(feature, "_x"), number(target, "_y"))
     pairs = cut(both.groupBy(*by, "_x", "_y").agg(F.count("*").alias("_w")))
-    for value, out in (("_x", "_f"), ("_y", "_t")):
-        counts = running(pairs.groupBy(*by, value).agg(F.sum("_w").alias("_n"), F.count("*").alias("_k")), list(by), [value], ["_n"])
-        centred = F.col("_n_before") + (F.col("_n") - F.col("_n_total")) / 2  # the mean of all ranks is (total + 1) / 2
-        pairs = lookup(pairs, counts.select(*by, value, "_k", centred.alias(out)), [*by, value], "_k")
+    sides = pairs.select(*by, "_w", F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col(c).alias("v")) for k, c in enumerate(("_x", "_y"))))).alias("_s"))
+    counts = sides.groupBy(*by, F.col("_s.side").alias("_side"), F.col("_s.v").alias("_v")).agg(F.sum("_w").alias("_n"), F.count("*").alias("_k"))
+    centred = F.col("_n_before") + (F.col("_n") - F.col("_n_total")) / 2  # the mean of all ranks is (total + 1) / 2
+    ranks = cut(running(counts, [*by, "_side"], ["_v"], ["_n"]).select(*by, "_side", "_v", "_k", centred.alias("_rank")))
+    total = pairs.count()
+    for side, (value, out) in enumerate((("_x", "_f"), ("_y", "_t"))):
+        mine = ranks.where(F.col("_side") == side).select(*by, F.col("_v").alias(value), "_k", F.col("_rank").alias(out))
+        pairs = lookup(pairs, mine, [*by, value], "_k", total=total)
     sums = pairs.groupBy(*by).agg(F.sum(F.col("_w") * F.col("_f") * F.col("_t")).alias("_c"), F.sum(F.col("_w") * F.col("_f") * F.col("_f")).alias("_v"), F.sum(F.col("_w") * F.col("_t") * F.col("_t")).alias("_u"), F.sum("_w").alias("n"))
     return sums.select(*by, (F.col("_c") / F.nullif(F.sqrt("_v") * F.sqrt("_u"), F.lit(0.0))).alias("ic"), "n")
 
