@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -160,7 +161,7 @@ def test_toxicity_finds_pairs_and_handles_odd_rows(spark, docs, labels):
     y = np.array([1, 1, 0, 0, 0, 0, 0, 0, 0] * 60, float)  # only certain pairs count: no additive rule tells them
     machine.fit(sets, y, epochs=150)
     assert ((machine.score(sets) >= 0.5) == (y == 1)).all()
-    with pytest.raises(Exception):
+    with pytest.raises(AnalysisException, match="toxic"):
         toxicity.toxicity(docs, labels.drop("toxic")).count()
 
 
@@ -212,7 +213,7 @@ def test_program_packs_the_histogram(name):
         demand[a] = k
     _, bound = packing.program(demand, 1024)
     large = sum(k for a, k in histogram.items() if a > 512)
-    assert max(bound, large) - 1e-6 <= total <= max(bound, large) * 1.06 + 2
+    assert max(bound, large) - 1e-6 <= total <= max(bound, large) * 1.012 + 1.5
 
 
 def exact_sequences(lengths: list[int], capacity: int) -> int:
