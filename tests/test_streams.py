@@ -130,3 +130,12 @@ def test_backfill_holds_the_close_over_gaps(spark):
     bars = spark.createDataFrame([("a", 0, 1.0), ("a", 4, 2.0), ("a", 10, 3.0), ("b", 2, 9.0)], "symbol string, h int, close double").selectExpr("symbol", "timestamp_seconds(h * 3600) AS ts", "close", "5.0D AS volume")
     got = sorted((r.symbol, r.ts.hour, r.close, r.volume) for r in T.backfill(bars).collect())
     assert got == [("a", 0, 1.0, 5.0), ("a", 2, 1.0, 0.0), ("a", 4, 2.0, 5.0), ("a", 6, 2.0, 0.0), ("a", 8, 2.0, 0.0), ("a", 10, 3.0, 5.0), ("b", 2, 9.0, 5.0)]
+
+
+def test_late_ticks_mend_their_bars_alone(spark):
+    rows = [("a", 0, 1, 10.0), ("a", 1, 2, 12.0), ("a", 8, 3, 20.0), ("b", 0, 4, 5.0)]
+    late = [("a", 1, 5, 9.0), ("c", 3, 6, 7.0)]
+    frame = lambda r: spark.createDataFrame(r, "symbol string, h int, tick_id long, price double").selectExpr("symbol", "timestamp_seconds(h * 3600 + tick_id) AS ts", "tick_id", "price", "1.0D AS qty")
+    bars = T.tumbling_bars(frame(rows)).withColumn("volume", F.col("volume") + F.when(F.col("symbol") == "b", 100.0).otherwise(0.0))  # b's bar must stay as it is
+    got = sorted((r.symbol, r.ts.hour, r.open, r.low, r.close, r.volume, r.n) for r in T.repaired_bars(bars, frame(rows), frame(late)).collect())
+    assert got == [("a", 0, 10.0, 9.0, 9.0, 3.0, 3), ("a", 8, 20.0, 20.0, 20.0, 1.0, 1), ("b", 0, 5.0, 5.0, 5.0, 101.0, 1), ("c", 2, 7.0, 7.0, 7.0, 1.0, 1)]

@@ -75,6 +75,14 @@ def late_rows(spark, sf_dir):
     return in_time.select("symbol", "tick_id", F.lit(False).alias("late")).unionByName(late.select("symbol", "tick_id", F.lit(True).alias("late")))
 
 
+@query("T06_repaired_bars", f"WITH {BARS} SELECT symbol, ts, open, high, low, close, volume, n FROM bars")
+def repaired(spark, sf_dir):
+    """Bars of the ticks in time, then those with late ticks built again: in the end all ticks are in."""
+    delay = F.when(F.col("event_id") % 20 == 0, 3 * _DAY).otherwise(0)
+    in_time, late = T.split_late(T.tick_stream(spark, T.staged_files(spark, sf_dir, delay), files=1), "repair")
+    return T.repaired_bars(T.tumbling_bars(in_time), in_time, late)
+
+
 @query("T06_late_and_gap", f"""WITH {BARS}, {_CLOSED}, d AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 2 HOUR)) AS ts FROM closed GROUP BY 1),
   j AS (SELECT d.symbol, d.ts, c.close, coalesce(c.volume, 0) AS volume FROM d LEFT JOIN closed c ON d.symbol = c.symbol AND d.ts = c.ts)
   SELECT symbol, ts, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS close, volume FROM j""")

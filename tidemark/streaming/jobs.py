@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.joins import asof_join
-from tidemark.session import shared_dir
+from tidemark.session import shared_dir, sized_broadcast
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -77,7 +77,8 @@ class InOrder(StatefulProcessor):
 
     Rows may come in any order and over any number of batches, as long as none is later than the watermark (those are
     dropped). A timer at the first held row's time wakes a key that gets no more rows. What a batch hands on is one
-    sorted frame; `step` keeps what it needs for the next one in state.
+    sorted frame; `step` keeps what it needs for the next one in state. A key's rows of a batch meet in one task, so what
+    a batch may hold (files or bytes a trigger) bounds its memory, with the rows of the time that ticks may be late.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -226,6 +227,19 @@ def split_late(ticks: DataFrame, name: str, late: str = "2 minutes", width: str
     return table.where("not late").drop("late"), table.where("late").drop("late")
 
 
+def repaired_bars(bars: DataFrame, in_time: DataFrame, late: DataFrame, width: str = "2 hours") -> DataFrame:
+    """Bars of ticks that came in time, those that late ticks belong to being built again from all their ticks.
+
+    Only ticks of such bars are read again: by broadcast of the bars' names where these are few, else by shuffle.
+    """
+    named = lambda df: df.withColumn("_start", F.window("ts", width)["start"])
+    touched = sized_broadcast(named(late).select("symbol", "_start").distinct())
+    kept = bars.join(touched, (bars["symbol"] == touched["symbol"]) & (bars["ts"] == touched["_start"]), "left_anti")
+    ticks = named(in_time.unionByName(late))
+    again = tumbling_bars(ticks.join(touched, ["symbol", "_start"], "left_semi").drop("_start"), width)
+    return kept.unionByName(again.select(*bars.columns))
+
+
 def gaps(bars: DataFrame, hours: int = 2) -> DataFrame:
     """Times between a symbol's first and last bar at which it has none."""
     span = bars.groupBy("symbol").agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
