@@ -121,3 +121,15 @@ def test_equity_over_a_text_order_equals_one_pass(spark):
     got = {r.s: (r.equity, r.peak) for r in G.equity(spark.createDataFrame(rows, "g string, s string, x double").repartition(6), "x", ["g"], ["s"]).collect()}
     run = np.cumsum([r[2] for r in rows])
     assert [got[r[1]] for r in rows] == [(pytest.approx(a), pytest.approx(b)) for a, b in zip(run, np.maximum(np.maximum.accumulate(run), 0))]
+
+
+def test_psi_of_many_features_at_once(spark):
+    rng = np.random.default_rng(3)
+    ref, cur = rng.normal(0, 1, (500, 2)), np.column_stack([rng.normal(0.4, 1, 400), np.full(400, 9.0)])
+    frame = lambda m: spark.createDataFrame([(float(a), float(b), None) for a, b in m] + [(None, math.nan, None)], "a double, b double, none double").repartition(3)
+    got = {r.feature: r.psi for r in S.psi_features(frame(cur), frame(ref), ["a", "b", "none"], bins=5).collect()}
+    assert set(got) == {"a", "b"}
+    for k, name in enumerate("ab"):
+        edges = np.quantile(ref[:, k], [0.2, 0.4, 0.6, 0.8])
+        p, q = (np.maximum(np.bincount((m[:, k][:, None] > edges).sum(1), minlength=5) / len(m), 1e-6) for m in (cur, ref))
+        assert got[name] == pytest.approx(((p - q) * np.log(p / q)).sum())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.joins import join_same
 from tidemark.operators.prefix import group_quantiles, lookup, running
-from tidemark.session import cut
+from tidemark.session import cut, sized_broadcast
 
 
 def two_prop_z(p1: Column, n1: Column, p2: Column, n2: Column, least: int = 5) -> Column:
@@ -132,18 +132,26 @@ def plateau_update(new: Column, last: Column) -> Column:
     return F.when(last.isNull(), "ADOPT").when((new["lo"] == last["lo"]) & (new["hi"] == last["hi"]), "KEEP").when(shared >= 0.5 * (new["hi"] - new["lo"]), "ADOPT").otherwise("ALERT")
 
 
-def psi(current: DataFrame, reference: DataFrame, feature: str, bins: int = 10, floor: float = 1e-6) -> DataFrame:
-    """Population stability index over the reference's quantile bins; null and NaN are in none."""
-    edges = exact_quantiles(reference, feature, [i / bins for i in range(1, bins)])
-    bin_ = sum((F.when(F.col(feature) > e, 1).otherwise(0) for e in edges if e is not None), F.lit(0))
+def psi_features(current: DataFrame, reference: DataFrame, features: list[str], bins: int = 10, floor: float = 1e-6) -> DataFrame:
+    """feature, psi: population stability index of each feature over its reference's quantile bins; null and NaN are in none.
+
+    All features go through together: quantiles of all, then one count by feature and bin. A feature without reference
+    values has one bin.
+    """
+    tall = lambda df, now: df.select(*(F.col(f).cast("double") for f in features)).unpivot([], features, "feature", "_x").where("_x is not null and not isnan(_x)").withColumn("_now", F.lit(now))
+    edges = group_quantiles(tall(reference, 0), ["feature"], "_x", [i / bins for i in range(1, bins)], "_edges")
+    both = tall(current, 1).unionByName(tall(reference, 0)).join(sized_broadcast(edges), "feature", "left")
+    bin_ = F.size(F.filter(F.coalesce("_edges", F.array().cast("array<double>")), lambda e: e < F.col("_x")))
+    counted = both.groupBy("feature", bin_.alias("_bin")).agg(F.sum("_now").alias("_a"), F.sum(1 - F.col("_now")).alias("_e"))
+    every = Window.partitionBy("feature")
+    share = lambda c: F.greatest(F.coalesce(F.col(c) / F.nullif(F.sum(c).over(every), F.lit(0)), F.lit(0.0)), F.lit(floor))
+    placed = counted.withColumn("_p", share("_a")).withColumn("_q", share("_e"))
+    return placed.groupBy("feature").agg(F.sum((F.col("_p") - F.col("_q")) * F.log(F.col("_p") / F.col("_q"))).alias("psi"))
 
-    def shares(df: DataFrame, name: str) -> DataFrame:
-        counted = df.where(F.col(feature).isNotNull() & ~F.isnan(feature)).groupBy(bin_.alias("bin")).agg(F.count("*").alias("_n"))
-        return counted.join(F.broadcast(counted.agg(F.sum("_n").alias("_t")))).select("bin", (F.col("_n") / F.col("_t")).alias(name))
 
-    both = shares(current, "a").join(shares(reference, "e"), "bin", "full")
-    a, e = (F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(floor)) for c in "ae")
-    return both.agg(F.sum((a - e) * F.log(a / e)).alias("psi"))
+def psi(current: DataFrame, reference: DataFrame, feature: str, bins: int = 10, floor: float = 1e-6) -> DataFrame:
+    """The one row of psi_features() for one feature; null without values."""
+    return psi_features(current, reference, [feature], bins, floor).agg(F.max("psi").alias("psi"))
 
 
 def shares(df: DataFrame, column: str) -> DataFrame:

@@ -133,6 +133,19 @@ def psi(spark, sf_dir):
     return S.psi(df.where("doc_id % 2 = 0"), df.where("doc_id % 2 = 1"), "feature").withColumn("psi", F.round("psi", 6))
 
 
+_DRIFTED = ["position", "roc", "box_pos"]
+_LONG = " UNION ALL ".join(f"SELECT '{x}' AS feature, {x} AS x, ts >= TIMESTAMP '2024-01-16' AS now FROM f" for x in _DRIFTED)
+
+
+@query("A15_psi_features", f"""WITH RECURSIVE {ROWS}, lo AS (SELECT * FROM ({_LONG}) WHERE x IS NOT NULL), ed AS (SELECT feature, quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges FROM lo WHERE NOT now GROUP BY 1),
+  bi AS (SELECT lo.feature, now, len(list_filter(edges, lambda y: lo.x > y)) AS bin FROM lo JOIN ed ON lo.feature = ed.feature), co AS (SELECT feature, bin, count(*) FILTER (now) AS a, count(*) FILTER (NOT now) AS e FROM bi GROUP BY 1, 2),
+  sh AS (SELECT feature, greatest(a / sum(a) OVER (PARTITION BY feature), 1e-6) AS p, greatest(e / sum(e) OVER (PARTITION BY feature), 1e-6) AS q FROM co) SELECT feature, {_r('sum((p - q) * ln(p / q))', 'psi')} FROM sh GROUP BY 1""")
+def psi_features(spark, sf_dir):
+    df = rows(spark, sf_dir).select("ts", *_DRIFTED)
+    now = F.col("ts") >= F.lit("2024-01-16").cast("timestamp")
+    return S.psi_features(df.where(now), df.where(~now), _DRIFTED).withColumn("psi", F.round("psi", 6))
+
+
 _IC2 = f"r AS (SELECT lang, doc_id % 2 AS odd, {_AVG.format(by='lang, doc_id % 2', x='feature')} AS a, {_AVG.format(by='lang, doc_id % 2', x='label')} AS b FROM labeled), i AS (SELECT lang, odd, (covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0)) AS ic FROM r GROUP BY 1, 2)"
 
 
