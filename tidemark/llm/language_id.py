@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_sample, byte_batches, fold, small_batches
+from tidemark.session import cut, sized_broadcast
 
 SEGMENT = 2048
 MAX_FEATURES = 16_384
@@ -149,10 +150,10 @@ def fit(texts: list[str], langs: list[str], landmarks: int = 256, ridge: float =
 def training_rows(docs: DataFrame, allowed, per_lang: int, most: int) -> DataFrame:
     """lang and one segment of text of a bounded sample of documents."""
     keys = docs.where(allowed & F.col("lang").isNotNull()).select("doc_id", "lang")
-    sizes = keys.groupBy("lang").count()
+    sizes = cut(keys.groupBy("lang").count())
     per_lang = min(per_lang, max(1, most // max(1, sizes.count())))  # so that `most` leaves no language out
     u = (F.xxhash64(F.lit("lang"), "doc_id") / F.lit(2.0**64)) + 0.5
-    near = keys.join(sizes, "lang").withColumn("_u", u).where(F.col("_u") * F.col("count") < 2 * per_lang + 20)  # some twice as many as wanted
+    near = keys.join(sized_broadcast(sizes), "lang").withColumn("_u", u).where(F.col("_u") * F.col("count") < 2 * per_lang + 20)  # some twice as many as wanted
     place = F.row_number().over(Window.partitionBy("lang").orderBy("_u", "doc_id"))
     chosen = near.withColumn("_k", place).where(F.col("_k") <= per_lang).select("doc_id", F.col("lang").alias("_lang"))
     chosen = bounded_sample(chosen, most, "doc_id", "_lang").dropDuplicates(["doc_id"])
