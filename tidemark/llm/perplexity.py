@@ -365,7 +365,7 @@ def perplexity_filter(docs: DataFrame, trusted: DataFrame, quantile: float = 0.9
     top = vocabulary(good, min(words, WORDS), max(16, size >> 25))
     shards = 1 << min(max(size >> 26, 16) - 1, 4095).bit_length()  # some 10 million words of trusted text to a shard
     sent = context.broadcast((uuid.uuid4().hex, b"\n".join(top)))
-    model = counts(good, sent, shards)
+    model = cut(counts(good, sent, shards))  # read twice: for the facts, and beside the documents' pairs
     known = context.broadcast(kneser_ney(facts(model, FIRST + len(top))))
     lost = losses(narrow, model, sent, known, shards)
     about = narrow.select("doc_id", "lang", "own", "name")
