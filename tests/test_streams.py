@@ -139,3 +139,25 @@ def test_late_ticks_mend_their_bars_alone(spark):
     bars = T.tumbling_bars(frame(rows)).withColumn("volume", F.col("volume") + F.when(F.col("symbol") == "b", 100.0).otherwise(0.0))  # b's bar must stay as it is
     got = sorted((r.symbol, r.ts.hour, r.open, r.low, r.close, r.volume, r.n) for r in T.repaired_bars(bars, frame(rows), frame(late)).collect())
     assert got == [("a", 0, 10.0, 9.0, 9.0, 3.0, 3), ("a", 8, 20.0, 20.0, 20.0, 1.0, 1), ("b", 0, 5.0, 5.0, 5.0, 101.0, 1), ("c", 2, 7.0, 7.0, 7.0, 1.0, 1)]
+
+
+def test_a_span_that_comes_in_many_files_is_one_batch(spark, sf_dir, tmp_path, monkeypatch):
+    events = spark.read.schema(T.EVENTS).parquet(f"{sf_dir}/events.parquet")
+    events.repartition(5, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    delay = F.pmod(F.col("event_id") * 7919, F.lit(86_400))
+    assert len(spark.read.parquet(f"{T.staged_files(spark, str(tmp_path), delay, files=3)}/events.parquet").inputFiles()) == 3
+    monkeypatch.setattr(T, "STAGED", events.count() // 12 + 1)  # four files a span
+    late = "1 day"
+    got = T.run_to_table(T.with_state(T.staged_stream(spark, str(tmp_path), delay, files=3), T.RollingFeatures(0.1, 20), "symbol string, tick_id long, ema double, mean double, deviation double", late), "spans")
+    due = ticks(spark, sf_dir).where(F.col("ts") <= events.agg(F.max("ts")).first()[0] - F.expr(f"interval {late}"))
+    assert sorted(r.tick_id for r in got.collect()) == sorted(r.tick_id for r in due.collect())
+
+
+def test_ticks_are_held_packed():
+    rows = [(1000 * i, i, float(i)) for i in range(5000)]
+    processor = T.RollingFeatures(0.1, 5)
+    got = run(processor, [(0, rows[2500:]), (1, rows[2:2500])])
+    assert got.empty and len(list(processor.held.get())) == 1
+    shifted = [(1, i) for i in range(2)]  # later than the watermark: dropped
+    out = list(processor.handleInputRows(("a",), iter([pd.DataFrame([(us, i, 0.0) for us, i in shifted], columns=["us", "tick_id", "price"])]), Timers(10**6)))
+    assert pd.concat(out)["tick_id"].tolist() == list(range(2, 5000)) and not processor.held.exists()

@@ -42,7 +42,7 @@ _PASSED = "(SELECT max(ts) FROM ticks) - INTERVAL 1 DAY"
 
 def _ticks_in_disorder(spark, sf_dir):
     """Ticks up to a day late, over six files and as many batches."""
-    return T.tick_stream(spark, T.staged_files(spark, sf_dir, _shuffled()), files=1)
+    return T.staged_stream(spark, sf_dir, _shuffled())
 
 
 @query("T04_regime_sessions", f"""WITH {TICKS}, e AS (SELECT *, CASE WHEN price >= 60 THEN 1 WHEN price < 20 THEN 0 END AS ev FROM ticks),
@@ -71,7 +71,7 @@ _ARRIVED = f"""a AS (SELECT *, epoch_us(ts) + CASE WHEN tick_id % 20 = 0 THEN {3
 def late_rows(spark, sf_dir):
     """Every twentieth tick comes three days late; each tick is in one of the two tables."""
     delay = F.when(F.col("event_id") % 20 == 0, 3 * _DAY).otherwise(0)
-    in_time, late = T.split_late(T.tick_stream(spark, T.staged_files(spark, sf_dir, delay), files=1), "late")
+    in_time, late = T.split_late(T.staged_stream(spark, sf_dir, delay), "late")
     return in_time.select("symbol", "tick_id", F.lit(False).alias("late")).unionByName(late.select("symbol", "tick_id", F.lit(True).alias("late")))
 
 
@@ -79,7 +79,7 @@ def late_rows(spark, sf_dir):
 def repaired(spark, sf_dir):
     """Bars of the ticks in time, then those with late ticks built again: in the end all ticks are in."""
     delay = F.when(F.col("event_id") % 20 == 0, 3 * _DAY).otherwise(0)
-    in_time, late = T.split_late(T.tick_stream(spark, T.staged_files(spark, sf_dir, delay), files=1), "repair")
+    in_time, late = T.split_late(T.staged_stream(spark, sf_dir, delay), "repair")
     return T.repaired_bars(T.tumbling_bars(in_time), in_time, late)
 
 

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -21,6 +22,9 @@ from tidemark.session import shared_dir, sized_broadcast
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Ticks that are packed, held and handed on together, at most; a staged file has about so many events at most.
+TICKS, STAGED = 1 << 16, 250_000
+_KINDS = {"us": np.int64, "tick_id": np.int64, "price": np.float64}
 
 
 def tick_stream(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
@@ -72,18 +76,47 @@ def sliding_stats(ticks: DataFrame, width: str = "24 hours", step: str = "1 hour
     return got.select("symbol", F.col("w.start").alias("start"), "n", "volume", "high")
 
 
+def _as_bytes(frame: pd.DataFrame) -> tuple[bytes, ...]:
+    return tuple(frame[c].to_numpy(kind).tobytes() for c, kind in _KINDS.items())
+
+
+def _as_rows(packs: list[tuple[bytes, ...]]) -> pd.DataFrame:
+    return pd.DataFrame({c: np.frombuffer(b"".join(p[i] for p in packs), kind) for i, (c, kind) in enumerate(_KINDS.items())})
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ticks of a task, up to TICKS at once, as a row a symbol: its latest time and the ticks' columns as bytes."""
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        frame = pa.Table.from_batches(held).to_pandas()
+        out = [(None if pd.isna(symbol) else symbol, int(own["us"].max()), *_as_bytes(own)) for symbol, own in frame.groupby("symbol", dropna=False, sort=False)]
+        kinds = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names=["symbol", "latest", *_KINDS])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held += [batch] if batch.num_rows else []
+        if sum(b.num_rows for b in held) >= TICKS:
+            yield pack(held)
+            held = []
+    if held:
+        yield pack(held)
+
+
 class InOrder(StatefulProcessor):
     """Holds a key's rows until the watermark has passed them, then hands them on in the order of time and tick.
 
     Rows may come in any order and over any number of batches, as long as none is later than the watermark (those are
-    dropped). A timer at the first held row's time wakes a key that gets no more rows. What a batch hands on is one
-    sorted frame; `step` keeps what it needs for the next one in state. A key's rows of a batch meet in one task, so what
-    a batch may hold (files or bytes a trigger) bounds its memory, with the rows of the time that ticks may be late.
+    dropped). They come and are held packed: a row of state for TICKS of them, since a row each costs a message each.
+    A timer at the first held row's time wakes a key that gets no more rows. What a batch hands on comes to `step` in
+    sorted frames of at most TICKS rows; it keeps what it needs for the next one in state. A key's rows of a batch meet
+    in one task, as 24 bytes each, so what a batch may hold (files or bytes a trigger) bounds its memory, with the rows
+    of the time that ticks may be late.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "us long, tick_id long, price double")
+        self.held = handle.getListState("held", "us binary, tick_id binary, price binary")
         self.opened(handle)
 
     def opened(self, handle: StatefulProcessorHandle) -> None:
@@ -93,29 +126,31 @@ class InOrder(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        yield from self._pass_on(key, [frame[["us", "tick_id", "price"]] for frame in rows], timerValues)
+        fresh = [_as_rows(list(frame[[*_KINDS]].itertuples(index=False))) if frame["us"].dtype == object else frame[[*_KINDS]].astype(_KINDS) for frame in rows]
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        yield from self._pass_on(key, [frame[frame["us"] > mark] for frame in fresh], timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._pass_on(key, [], timerValues)
 
     def _pass_on(self, key: tuple, fresh: list[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         if self.held.exists():
-            fresh = [pd.DataFrame(list(self.held.get()), columns=["us", "tick_id", "price"]), *fresh]
+            fresh = [_as_rows(list(self.held.get())), *fresh]
         if not fresh:
             return
-        frame = pd.concat([f.astype({"us": "int64", "tick_id": "int64", "price": "float64"}) for f in fresh]).sort_values(["us", "tick_id"], kind="stable")
+        frame = pd.concat(fresh).sort_values([*_KINDS][:2], kind="stable")
         done = (frame["us"] <= timers.getCurrentWatermarkInMs() * 1000).to_numpy()
         ready, rest = frame[done], frame[~done]
         if len(rest):
-            self.held.put([(int(u), int(i), float(p)) for u, i, p in rest.itertuples(index=False)])
+            self.held.put([_as_bytes(rest[k : k + TICKS]) for k in range(0, len(rest), TICKS)])
         else:
             self.held.clear()
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if len(rest):
             self.handle.registerTimer(int(rest["us"].iloc[0]) // 1000)
-        if len(ready):
-            yield self.step(key, ready.reset_index(drop=True))
+        for k in range(0, len(ready), TICKS):
+            yield self.step(key, ready[k : k + TICKS].reset_index(drop=True))
 
     def close(self) -> None:
         pass
@@ -187,23 +222,42 @@ class RollingFeatures(InOrder):
 def with_state(ticks: DataFrame, processor: InOrder, schema: str, late: str = "2 minutes") -> DataFrame:
     """A stateful operator per symbol on event time, on the RocksDB state store; ticks may be so late. Ticks without time or price are left out."""
     ticks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    rows = ticks.where("price is not null and ts is not null").select("symbol", "tick_id", "price", "ts", F.unix_micros("ts").alias("us")).withWatermark("ts", late)
+    rows = ticks.where("price is not null and ts is not null").select("symbol", F.unix_micros("ts").alias("us"), "tick_id", "price")
+    rows = rows.mapInArrow(packed, "symbol string, latest long, us binary, tick_id binary, price binary").withColumn("ts", F.timestamp_micros("latest")).withWatermark("ts", late)
     return rows.groupBy("symbol").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
 def staged_files(spark: SparkSession, sf_dir: str, delay_seconds: Column, files: int = 6) -> str:
-    """A folder with an events table of so many files, one after another in the order of arrival: an event's time and its delay, in equal spans of time."""
+    """A folder with an events table that arrived in so many files, one after another: by an event's time and its delay, in equal spans of time.
+
+    Where spans hold many events, each is as many Parquet files as any other (`staged_stream` reads them together).
+    """
     where = home(spark, "staged")
     events = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet").withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
-    first, last = events.agg(F.min("_at"), F.max("_at")).first()
+    first, last, n = events.agg(F.min("_at"), F.max("_at"), F.count("*")).first()
+    parts = max(1, -(-n // (files * STAGED)))
     span = ((last or 0) - (first or 0)) // files + 1
     number = F.least(F.lit(files - 1), F.floor((F.col("_at") + delay_seconds.cast("long") * 1_000_000 - (first or 0)) / span))
     arrived = events.withColumn("_file", number)
     for k in range(files):  # one write each, so that a stream reads them in this order
-        arrived.where(F.col("_file") == k).drop("_at", "_file").write.mode("append").parquet(f"{where}/events.parquet")
+        own = arrived.where(F.col("_file") == k).drop("_at", "_file")
+        own.repartition(parts, "event_id").write.mode("append").parquet(f"{where}/events.parquet")
+        for _ in range((k + 1) * parts - staged_count(spark, where)):  # an empty task writes no file
+            own.limit(0).coalesce(1).write.mode("append").parquet(f"{where}/events.parquet")
     return where
 
 
+def staged_count(spark: SparkSession, where: str) -> int:
+    """How many Parquet files a staged events table has."""
+    return len(spark.read.schema(EVENTS).parquet(f"{where}/events.parquet").inputFiles())
+
+
+def staged_stream(spark: SparkSession, sf_dir: str, delay_seconds: Column, files: int = 6) -> DataFrame:
+    """Ticks in the order of arrival: each of so many spans of time is a batch, whatever its size."""
+    where = staged_files(spark, sf_dir, delay_seconds, files)
+    return tick_stream(spark, where, files=staged_count(spark, where) // files)
+
+
 def split_late(ticks: DataFrame, name: str, late: str = "2 minutes", width: str = "2 hours") -> tuple[DataFrame, DataFrame]:
     """Runs the stream and gives two tables that share its ticks: those in time for their window, and those whose window the watermark had closed.
 
