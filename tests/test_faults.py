@@ -147,3 +147,23 @@ def test_equity_over_days_equals_one_pass(spark):
             total = total if x is None else (total or 0.0) + x
             peak = max(peak, total or 0.0)
             assert got[k] == (pytest.approx(total), pytest.approx(peak), None if total is None else pytest.approx(total - peak, abs=1e-9))
+
+
+def test_halt_day_keeps_a_row_a_time(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), T0 + timedelta(hours=6 * rng.randrange(60)), k, None if rng.random() < 0.1 else rng.uniform(-1.2, 1)) for k in range(900)]
+    held = []
+    monkeypatch.setattr(G, "cut", lambda df, cut=G.cut: held.append(cut(df)) or held[-1])
+    df = spark.createDataFrame(rows, "g string, exit_time timestamp, k int, pnl_r double")
+    for limit in (3.0, 8.0, 1e9):
+        got = {r.g: (r.halt, r.kept, r.rejected) for r in G.halt_day(df, ["g"], ["exit_time", "k"], limit).collect()}
+        for group in ("a", "b", None):
+            total, peak, halt = 0.0, 0.0, None
+            own = sorted((r for r in rows if r[0] == group), key=lambda r: r[1:3])
+            for _, t, _, x in own:
+                total += x or 0.0
+                peak = max(peak, total)
+                halt = halt or (t if total - peak <= -limit else None)
+            kept = sum(halt is None or t <= halt for _, t, _, _ in own)
+            assert got[group] == (halt, kept, len(own) - kept)
+    assert all(h.count() == len({r[:2] for r in rows}) for h in held) and held

@@ -112,11 +112,25 @@ def cost_stress(df: DataFrame, levels: list[float], by: list[str], order: list[s
 
 
 def halt_day(df: DataFrame, by: list[str], order: list[str], limit: float) -> DataFrame:
-    """The first time at which the drawdown passes a limit, trades until then and after it."""
-    marked = equity(cut(df.select(*dict.fromkeys([*by, *order, "exit_time", "pnl_r"]))), "pnl_r", by, order)
-    first = marked.where(F.col("drawdown") <= -limit).groupBy(*by).agg(F.min("exit_time").alias("halt"))
+    """The first time at which the drawdown passes a limit, trades until then and after it.
+
+    df is read and shuffled once: the trades of a group, block and time become a row with their number and sum, the
+    highest and lowest points of the block's running sum there, and its deepest fall within the block. Blocks are laid
+    upon each other as in path_metrics, and all else is counted from these rows.
+    """
+    rows = _in_blocks(df, order).select(*dict.fromkeys([*by, *order, "exit_time", "pnl_r", "_block"]))
+    w = Window.partitionBy(*by, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_run", F.sum("pnl_r").over(w)).withColumn("_fall", F.col("_run") - F.max("_run").over(w))
+    times = cut(rows.groupBy(*by, "_block", "exit_time").agg(F.count("*").alias("_n"), F.sum("pnl_r").alias("_sum"), F.max("_run").alias("_top"), F.min("_run").alias("_low"), F.min("_fall").alias("_fall")))
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = times.groupBy(*by, "_block").agg(F.sum("_sum").alias("_sum"), F.max("_top").alias("_top")).withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
+    blocks = blocks.select(*by, "_block", "_base", F.greatest(F.max(F.col("_base") + F.col("_top")).over(before), F.lit(0.0)).alias("_high"))
+    laid = join_same(times, sized_broadcast(blocks), [*by, "_block"])
+    passed = F.least(F.col("_base") + F.col("_low") - F.col("_high"), "_fall") <= -limit
+    first = laid.where(passed).groupBy(*by).agg(F.min("exit_time").alias("halt"))
     kept = F.col("halt").isNull() | (F.col("exit_time") <= F.col("halt"))
-    return join_same(marked.select(*by, "exit_time"), sized_broadcast(first), by, "left").groupBy(*by).agg(F.max("halt").alias("halt"), F.count(F.when(kept, 1)).alias("kept"), F.count(F.when(~kept, 1)).alias("rejected"))
+    count = lambda which: F.coalesce(F.sum(F.when(which, F.col("_n"))), F.lit(0))
+    return join_same(times.select(*by, "exit_time", "_n"), sized_broadcast(first), by, "left").groupBy(*by).agg(F.max("halt").alias("halt"), count(kept).alias("kept"), count(~kept).alias("rejected"))
 
 
 def entropy(df: DataFrame, column: str) -> DataFrame:
