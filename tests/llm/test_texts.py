@@ -553,6 +553,18 @@ def test_perplexity_past_the_ids_that_are_sent(spark, docs, labels, monkeypatch)
         assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want], rtol=1e-4)
 
 
+def test_lm_learns_from_every_training_document(docs, rows, monkeypatch):
+    seen = []
+
+    def fit(sample, lex, shards, rounds, passes):
+        seen.append((sample.count(), passes))
+        return gated_model.new_model(lex.value.counts)
+
+    monkeypatch.setattr(lm_scoring, "fit", fit)
+    lm_scoring.lm_scoring(docs, least_tokens=1).count()
+    assert seen == [(sum(r[0] is None or not held(r[0], 1) for r in rows), 1)]
+
+
 def test_words_of_many_bytes_go_by_bytes(spark):
     strings = ["x" * 65, "y" * 64]
     texts = spark.createDataFrame([(f"{a} {b} {a} {b}",) for a, b in [strings] * 3], "text string")

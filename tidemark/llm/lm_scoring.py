@@ -6,9 +6,9 @@ counts are summed by word). The words counted most, KNOWN at most, are sent to a
 probability of a word given `unknown` is (c + 0.5) over the sum of that for all words outside the vocabulary and one
 unseen word. Rare words, which are not sent, meet their counts by a join on the word.
 
-Model part: a gated recurrent model (gated_model) is trained on training documents in hash order: on `share` of their
-tokens or `least_tokens`, whichever is more, so what it learns from grows with the corpus (a corpus with fewer tokens
-is passed over up to four times). These documents are dealt to shards, and each pass to `rounds` rounds: in a round
+Model part: a gated recurrent model (gated_model) is trained on all training documents, every token once (a corpus of
+fewer than `least_tokens` is passed over up to four times). They are dealt to shards as ranks of their words, and each
+pass to `rounds` rounds: in a round
 every shard trains on its part of about `shard_tokens` tokens from the same parameters, and a tree of tasks averages
 them (SUMS of its means come to the driver). In training, texts of over 2,048 tokens are cut; in scoring the state is carried through
 whole texts.
@@ -158,13 +158,20 @@ def fit(sample: DataFrame, lex, shards: int, rounds: int, passes: int) -> dict[s
     model = gated_model.new_model(lex.value.counts)
     names = [k for k in model if k != "edges"]
     lot = F.xxhash64("text", "doc_id")
-    dealt = sample.select("text", F.pmod(lot, F.lit(shards)).alias("shard"), F.pmod(F.shiftrightunsigned(lot, 20), F.lit(rounds)).alias("round"))
-    dealt = cut(dealt.repartitionByRange(shards, "shard"))
+    kind = np.dtype("<u2" if len(lex.value.counts) <= 1 << 16 else "<u4")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_batches(batches):
+            ranks = [r.astype(kind).tobytes() for r, _, _ in lex.value.read(batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(ranks, pa.binary()), batch.column("shard"), batch.column("round")], names=["ranks", "shard", "round"])
+
+    dealt = sample.select("text", F.pmod(lot, F.lit(shards)).cast("int").alias("shard"), F.pmod(F.shiftrightunsigned(lot, 20), F.lit(rounds)).cast("int").alias("round"))
+    dealt = cut(dealt.mapInArrow(encode, "ranks binary, shard int, round int").repartitionById(shards, F.col("shard")))
     for turn in range(passes * rounds):
         sent = context.broadcast(model)
 
         def pass_over(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            texts = gated_model.segments([r for b in batches for r, _, _ in lex.value.read(b.column("text").to_pylist())])
+            texts = gated_model.segments([np.frombuffer(r, kind).astype(np.int32) for b in batches for r in b.column("ranks").to_pylist()])
             if texts:
                 got = gated_model.train(sent.value, texts)
                 n = sum(map(len, texts))
@@ -182,7 +189,7 @@ def fit(sample: DataFrame, lex, shards: int, rounds: int, passes: int) -> dict[s
                 yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["key", "n", "flat"])
 
         shape = "key long, n long, flat binary"
-        sums, width = dealt.where(F.col("round") == turn % rounds).select("text").mapInArrow(pass_over, shape), shards
+        sums, width = dealt.where(F.col("round") == turn % rounds).select("ranks").mapInArrow(pass_over, shape), shards
         while True:  # a tree: each level's tasks take some BRANCH means each, however many shards there are
             width = max(SUMS, -(-width // BRANCH))
             sums = sums.repartition(width, "key").mapInArrow(add_up, shape)
@@ -201,7 +208,7 @@ def fit(sample: DataFrame, lex, shards: int, rounds: int, passes: int) -> dict[s
     return model
 
 
-def lm_scoring(docs: DataFrame, folds: int = 5, held: int = 1, vocabulary: int = 4_096, share: float = 0.05, least_tokens: int = 6_000_000, shard_tokens: int = 250_000, rounds: int = 4) -> DataFrame:
+def lm_scoring(docs: DataFrame, folds: int = 5, held: int = 1, vocabulary: int = 4_096, least_tokens: int = 6_000_000, shard_tokens: int = 250_000, rounds: int = 4) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     small_batches(docs)
     context = docs.sparkSession.sparkContext
@@ -211,13 +218,10 @@ def lm_scoring(docs: DataFrame, folds: int = 5, held: int = 1, vocabulary: int =
     counts = cut(word_counts(training))
     found = lexicon(counts, documents, vocabulary)
     lex = context.broadcast(found)
-    wanted = max(share * found.tokens, least_tokens)
-    sampled = training.where((F.xxhash64(F.lit("lm"), "doc_id") / F.lit(2.0**64)) + 0.5 < wanted / max(found.tokens, 1))
-    sample = min(wanted, found.tokens)
-    rounds = max(1, min(rounds, math.ceil(sample / shard_tokens)))
-    shards = max(1, math.ceil(sample / rounds / shard_tokens))
-    passes = min(4, math.ceil(wanted / max(found.tokens, 1)))
-    model = context.broadcast(fit(sampled, lex, shards, rounds, passes))
+    rounds = max(1, min(rounds, math.ceil(found.tokens / shard_tokens)))
+    shards = max(1, math.ceil(found.tokens / rounds / shard_tokens))
+    passes = max(1, min(4, math.ceil(least_tokens / max(found.tokens, 1))))
+    model = context.broadcast(fit(training, lex, shards, rounds, passes))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches, LAY_BYTES):
