@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,3 +278,12 @@ def test_decontamination_weighs_shingles_as_a_plain_sum_does(spark):
         both = sum(min(a[s], b[s]) * weight(s) for s in a if s in b)
         every = sum(n * weight(s) for s, n in a.items()) + sum(n * weight(s) for s, n in b.items()) - both
         assert r.similarity == pytest.approx(both / every, abs=1e-9) and r.similarity >= 0.8
+
+
+def test_windows_counted_in_bytes_have_the_same_fingerprints():
+    h = np.random.default_rng(7).integers(0, 1 << 64, 900, np.uint64)
+    h[300:620] = h[300]  # every count of these windows is 0 or the window's size
+    for size in (1, 2, 10, 254, 255):
+        assert decontamination._kind(size) == np.uint8
+        assert np.array_equal(decontamination.fingerprints(decontamination.running_ones(h, np.uint8), size), decontamination.fingerprints(decontamination.running_ones(h), size))
+    assert decontamination._kind(256) == np.uint16

@@ -36,7 +36,7 @@ from tidemark.llm.common import byte_batches, claim, judged_rows, memory, small_
 RADIUS = 7
 BLOCKS = 4
 #: Words of text that are fingerprinted at once.
-CHUNK = 16_384
+CHUNK = 8_192
 #: Longest window in words.
 LONGEST = 8_192
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -85,14 +85,19 @@ def clean_size(words: int, shingle: int, least: float) -> int:
     return grid_size(max(size, 1))
 
 
-def running_ones(h: np.ndarray) -> np.ndarray:
-    """For each position, how many words before it have each bit (modulo 2^16)."""
+def running_ones(h: np.ndarray, kind: type = np.uint16) -> np.ndarray:
+    """For each position, how many words before it have each bit (modulo 2^16, or what `kind` holds)."""
     bits = np.unpackbits(h.view(np.uint8).reshape(len(h), 8), axis=1)
-    out = np.zeros((len(h) + 1, 64), np.uint16)
-    np.cumsum(bits, axis=0, dtype=np.uint16, out=out[1:])
+    out = np.zeros((len(h) + 1, 64), kind)
+    np.cumsum(bits, axis=0, dtype=kind, out=out[1:])
     return out
 
 
+def _kind(size: int) -> type:
+    """Counts of a window are differences of running ones; a byte holds those of windows of up to 255 words."""
+    return np.uint8 if size < 256 else np.uint16
+
+
 def fingerprints(ones: np.ndarray, size: int) -> np.ndarray:
     """Of all windows of `size` words."""
     return np.packbits(ones[size:] - ones[:-size] > size // 2, axis=1).view(np.uint64).ravel()
@@ -160,12 +165,15 @@ class Items:
         held = Counter(s for b in self.bags for s in b)
         self.rarity = {s: math.log(1 + len(self.ids) / n) for s, n in held.items()}
         self.unseen = math.log(1 + len(self.ids)) if self.ids else 1.0
+        self.weights = [sum(n * self.rarity[s] for s, n in b.items()) for b in self.bags]
         self.marks, self.bands = marks, None
 
     def similarity(self, number: int, h: np.ndarray) -> float:
         a, b = self.bags[number], shingles(h, self.words)
         both = sum(min(n, b[s]) * self.rarity[s] for s, n in a.items() if s in b)
-        every = sum(n * self.rarity[s] for s, n in a.items()) + sum(n * self.rarity.get(s, self.unseen) for s, n in b.items()) - both
+        if not both:  # no shingle is common
+            return 0.0
+        every = self.weights[number] + sum(n * self.rarity.get(s, self.unseen) for s, n in b.items()) - both
         return both / every if every else 0.0
 
     def trimmed(self, number: int, h: np.ndarray, low: int, high: int, at: int) -> tuple[int, int]:
@@ -186,11 +194,12 @@ class Items:
         longest = max(self.bands, default=0)
         step = max(CHUNK, 4 * longest)
         for start in range(0, len(h), step):
-            ones = running_ones(h[start : start + step + longest - 1])
+            part = h[start : start + step + longest - 1]
+            ones = {kind: running_ones(part, kind) for kind in {_kind(size) for size in self.bands}}
             for size, band in self.bands.items():
-                if len(ones) <= size:
+                if len(part) < size:
                     continue
-                windows = fingerprints(ones, size)[:step]
+                windows = fingerprints(ones[_kind(size)], size)[:step]
                 at, mark, distance = band.search(windows)
                 inside = start + at + size <= owner_end[start + at]
                 for w, m, d in zip(at[inside], mark[inside], distance[inside]):
@@ -211,7 +220,8 @@ class Items:
                 continue
             reach = lost_shingles(size, self.words, least) + 1
             low, high = max(at - reach, int(edges[doc])), min(at + size + reach, int(edges[doc + 1]))
-            for shift, more in ((0, 0), self.trimmed(number, h, low, high, at), (0, -1), (0, 1), (1, -1), (-1, 1), (1, 0), (-1, 0), (0, -2), (0, 2)):
+            for other in ((0, 0), None, (0, -1), (0, 1), (1, -1), (-1, 1), (1, 0), (-1, 0), (0, -2), (0, 2)):
+                shift, more = other or self.trimmed(number, h, low, high, at)
                 a = max(at + shift, int(edges[doc]))
                 z = min(a + max(1, size + more), int(edges[doc + 1]))
                 if a >= z or (doc, number, a, z) in tried:
