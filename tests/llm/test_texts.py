@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.conftest import held
 from tidemark.llm import gated_model, language_id, license_scan, lm_scoring, packing, perplexity, quality_rules, token_counts, toxicity
+from tidemark.llm.common import lower_words, numbered_words
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 COUNT_PATH, PACK_PATH = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -626,3 +628,42 @@ def test_no_language_is_left_out_of_the_sample(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r.lang: r["count"] for r in language_id.training_rows(df, F.lit(True), 500, 300).groupBy("lang").count().collect()}
     assert len(got) == 60 and sum(got.values()) <= 300
+
+
+def test_numbered_words_are_lower_words():
+    texts = [" a  B\x1c c\x85D 　 É\x0b\x0cf\r\n\x00 g ", "", None, "\t", " \xa0x", "ÀB a a", "one"]
+    for part in (texts, texts[2:4], [None], []):
+        words, sizes = numbered_words(pa.array(part, pa.string()))
+        assert words.to_pylist() == [w for t in part for w in lower_words(t)] and sizes.tolist() == [len(lower_words(t)) for t in part]
+    assert numbered_words(pa.array(texts, pa.string()).slice(5))[1].tolist() == [3, 1]
+
+
+def test_large_corpora_train_more_slots_at_once_on_longer_shards(docs, monkeypatch):
+    """A shard of a large corpus called numpy for 512 tokens at a time, however many there were."""
+    asked = []
+    monkeypatch.setattr(lm_scoring, "SLOT_TOKENS", 200)
+    monkeypatch.setattr(lm_scoring, "fit", lambda sample, lex, shards, rounds, passes: asked.append((lex.value.tokens, shards, rounds)) or gated_model.new_model(lex.value.counts))
+    lm_scoring.lm_scoring(docs, shard_tokens=100).count()
+    (tokens, shards, rounds), slots = asked[0], lm_scoring.slots_of(asked[0][0])
+    assert slots > 16 and shards == max(1, math.ceil(tokens / rounds / (100 * slots // 16)))
+
+
+def test_steps_of_many_slots_are_gradients_of_the_mean_loss():
+    """The first AdaGrad step of every parameter is along the mean loss's gradient, whatever the number of slots."""
+    rng = np.random.default_rng(5)
+    counts = np.sort(rng.integers(1, 100, 12))[::-1].astype(float)
+    model = {k: v if k == "edges" else v * 8 for k, v in gated_model.new_model(counts, hidden=4, classes=3).items()}
+    texts = [rng.integers(0, 12, n).astype(np.int32) for n in (9, 4, 1, 7, 3)]
+    loss = lambda m: -gated_model.score(m, texts).sum() / sum(map(len, texts))
+    for most in (2, 5):
+        rate = 1e-6
+        moved = gated_model.train({k: v.astype(np.float64) if k != "edges" else v for k, v in model.items()}, texts, most, rate)
+        for name in ("gates", "state", "input", "class_w", "class_b", "word_w", "word_b"):
+            at = np.unravel_index(np.argmax(np.abs(moved[name] - model[name])), model[name].shape)
+            wide = {k: v.astype(np.float64) if k != "edges" else v for k, v in model.items()}
+            high, low = ({**wide, name: wide[name].copy()} for _ in range(2))
+            high[name][at] += 1e-2
+            low[name][at] -= 1e-2
+            grad = (loss(high) - loss(low)) / 2e-2
+            want = -rate * grad / np.sqrt(1e-2 + grad * grad)
+            assert moved[name][at] - model[name][at] == pytest.approx(want, rel=0.05)

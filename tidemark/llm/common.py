@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -57,6 +58,18 @@ def lower_words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def numbered_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """lower_words() of all texts end to end, as numbers of their distinct words, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    found = lists.flatten()
+    some = pc.not_equal(pc.binary_length(found), 0)
+    if not pc.all(some).as_py():  # Arrow gives an empty word before and after white space at the ends
+        sizes -= np.bincount(np.repeat(np.arange(len(sizes)), sizes)[~some.to_numpy(zero_copy_only=False)], minlength=len(sizes))
+        found = found.filter(some)
+    return found.cast(pa.binary()).dictionary_encode(), sizes
+
+
 def byte_batches(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts record batches where the texts so far reach `most` bytes."""
     for batch in batches:

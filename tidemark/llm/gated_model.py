@@ -70,66 +70,89 @@ class Layout:
             yield n, np.where(live, self.first[:n] + steps, 0), live
 
 
-def _forward(m: dict, source: np.ndarray, state: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """States after each step of a window; source: steps by slots."""
-    hidden = state.shape[1]
-    out = np.empty((len(source), *state.shape), np.float32)
-    rows = m["input"][source]
-    fresh = source < 0
-    some = fresh.any(1)
-    for t in range(len(source)):
+def _forward(m: dict, source: np.ndarray, state: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    """States after each step of a window; source: steps by slots. `keep` gets what backpropagation needs of all steps."""
+    steps, (n, hidden) = len(source), state.shape
+    out = np.empty((steps, n, hidden), np.float32)
+    rows = m["input"].take(source, 0, mode="wrap")  # -1 is the last row
+    some = (source < 0).any(1)
+    gates, inner = m["gates"], m["state"]
+    held = {k: np.empty((steps, n, w), np.float32) for k, w in (("before", hidden), ("gate", 2 * hidden), ("reset", hidden), ("new", hidden))} if keep is not None else None
+    gate, reset, new = np.empty((n, 2 * hidden), np.float32), np.empty((n, hidden), np.float32), np.empty((n, hidden), np.float32)
+    for t in range(steps):
         if some[t]:
-            state = np.where(fresh[t][:, None], np.float32(0), state)
+            state = np.where(source[t][:, None] < 0, np.float32(0), state)
+        if held is not None:
+            gate, reset, new = held["gate"][t], held["reset"][t], held["new"][t]
+            held["before"][t] = state
         x = rows[t]
-        gate = state @ m["gates"]
+        np.matmul(state, gates, out=gate)
         gate += x[:, : 2 * hidden]
         np.negative(gate, out=gate)
         np.exp(gate, out=gate)
         gate += 1
         np.reciprocal(gate, out=gate)
-        z, r = gate[:, :hidden], gate[:, hidden:]
-        new = (r * state) @ m["state"]
+        np.multiply(gate[:, hidden:], state, out=reset)
+        np.matmul(reset, inner, out=new)
         new += x[:, 2 * hidden :]
         np.tanh(new, out=new)
-        if keep is not None:
-            keep.append((state, z, r, new))
-        state = np.add(state, z * (new - state), out=out[t])
+        ahead = np.subtract(new, state, out=out[t])
+        ahead *= gate[:, :hidden]
+        ahead += state
+        state = ahead
+    if keep is not None:
+        keep.update(held)
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+_HIGH, _ONES = np.float32(80), np.ones(512, np.float32)
 
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    """Log of the summed exponentials of each row; x is overwritten. Logits of a trained model are far from overflow, and clipped before it."""
-    np.minimum(x, 80, out=x)
+def _shares(x: np.ndarray) -> np.ndarray:
+    """Each row's sum of exponentials; x becomes the exponentials. Logits of a trained model are far from the clipped ends."""
+    np.minimum(x, _HIGH, out=x)
     np.exp(x, out=x)
-    return np.log(x.sum(1))
+    return x @ _ONES[: x.shape[1]] if x.shape[1] <= len(_ONES) else x.sum(1)
+
+
+def _with_one(h: np.ndarray) -> np.ndarray:
+    """The states with a 1 behind each, which meets the biases."""
+    out = np.empty((len(h), h.shape[1] + 1), np.float32)
+    out[:, :-1], out[:, -1] = h, 1
+    return out
 
 
 def _by_class(m: dict, target: np.ndarray):
-    """For each class its number, its ranks and where its tokens are."""
-    of = np.repeat(np.arange(len(m["edges"]) - 1), np.diff(m["edges"]))[target]
+    """The tokens' classes, their order by class, and for each class of two ranks or more its ranks and its stretch of that order."""
+    of = np.repeat(np.arange(len(m["edges"]) - 1, dtype=np.uint16), np.diff(m["edges"]))[target]
     order = np.argsort(of, kind="stable")
-    first = np.searchsorted(of[order], np.arange(len(m["edges"])))
-    return of, [(k, slice(m["edges"][k], m["edges"][k + 1]), order[first[k] : first[k + 1]]) for k in range(len(m["edges"]) - 1) if first[k] < first[k + 1]]
+    first = np.searchsorted(of[order], np.arange(len(m["edges"]))).tolist()
+    edges = m["edges"].tolist()
+    return of, order, [(slice(edges[k], edges[k + 1]), slice(first[k], first[k + 1])) for k in range(len(edges) - 1) if first[k] < first[k + 1] and edges[k + 1] - edges[k] > 1]
 
 
 def log_probabilities(m: dict, states: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural logs of the targets' probabilities."""
-    of, groups = _by_class(m, target)
-    logits = states @ m["class_w"].T + m["class_b"]
-    got = logits[np.arange(len(target)), of] - _log_sum(logits)
-    for _, ranks, at in groups:
-        if ranks.stop - ranks.start > 1:
-            inside = states[at] @ m["word_w"][ranks].T + m["word_b"][ranks]
-            got[at] += inside[np.arange(len(at)), target[at] - ranks.start] - _log_sum(inside)
-    return got
+    of, order, groups = _by_class(m, target)
+    states, mine, rank = states.take(order, 0), of[order], target[order]
+    got, total = np.empty(len(rank), np.float32), np.empty(len(rank), np.float32)
+    for start in range(0, len(rank), 2_048):
+        at = slice(start, start + 2_048)
+        x = states[at] @ m["class_w"].T
+        x += m["class_b"]
+        got[at] = x[np.arange(len(x)), mine[at]]
+        total[at] = _shares(x)
+    for ranks, at in groups:
+        x = states[at] @ m["word_w"][ranks].T
+        x += m["word_b"][ranks]
+        got[at] += x[np.arange(len(x)), rank[at] - ranks.start]
+        total[at] *= _shares(x)
+    out = np.empty(len(got), np.float32)
+    out[order] = got - np.log(total)
+    return out
 
 
-def score(m: dict, texts: list[np.ndarray], most: int = 512) -> np.ndarray:
+def score(m: dict, texts: list[np.ndarray], most: int = 256) -> np.ndarray:
     """The sum of natural log probabilities of each text's tokens."""
     total = np.zeros(len(texts))
     laid = Layout(texts, most)
@@ -138,7 +161,8 @@ def score(m: dict, texts: list[np.ndarray], most: int = 512) -> np.ndarray:
         states = _forward(m, np.where(live, laid.source[at], 0), state[:n])
         state = states[-1]
         tokens = at[live]
-        total += np.bincount(laid.owner[tokens], log_probabilities(m, states[live], laid.target[tokens]), len(texts))
+        states = states.reshape(-1, states.shape[2]) if live.all() else states[live]
+        total += np.bincount(laid.owner[tokens], log_probabilities(m, states, laid.target[tokens]), len(texts))
     return total
 
 
@@ -147,63 +171,109 @@ def segments(texts: list[np.ndarray], most: int = 2048) -> list[np.ndarray]:
     return [t[i : i + most] for t in texts for i in range(0, len(t), most)]
 
 
-def train(m: dict, texts: list[np.ndarray], most: int = 16, rate: float = 0.15) -> dict[str, np.ndarray]:
+def _row_sums(names: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct names and the sums of their rows: names met often one by one, the others by their first rows, second rows, and so on."""
+    order = np.argsort(names, kind="stable")
+    named = names[order]
+    first = np.flatnonzero(np.concatenate(([True], named[1:] != named[:-1])))
+    count = np.diff(np.append(first, len(named)))
+    down = np.argsort(-count, kind="stable")
+    first, count = first[down], count[down]
+    often = int((count > 12).sum())
+    out = rows.take(order[first], 0)
+    for k in range(often):
+        out[k] = rows.take(order[first[k] : first[k] + count[k]], 0).sum(0)
+    for j in range(1, int(count[often]) if often < len(count) else 0):
+        more = often + int((count[often:] > j).sum())
+        out[often:more] += rows.take(order[first[often:more] + j], 0)
+    return named[first], out
+
+
+def train(m: dict, texts: list[np.ndarray], most: int = 16, rate: float = 0.3) -> dict[str, np.ndarray]:
     """One pass over the texts: backpropagation through each window, AdaGrad steps."""
-    m = {k: v.copy() for k, v in m.items()}
-    seen = {k: np.full(v.shape, 1e-2, np.float32) for k, v in m.items() if k != "edges"}
-    hidden = m["state"].shape[0]
     if not texts:
-        return m
-
-    def step(name: str, where, grad: np.ndarray) -> None:
-        seen[name][where] += grad * grad
-        m[name][where] -= rate * grad / np.sqrt(seen[name][where])
+        return {k: v.copy() for k, v in m.items()}
+    hidden = m["state"].shape[0]
+    # a bias is the last column of its weights here, and meets the 1 behind each state
+    w = {k: m[k].copy() for k in ("edges", "input", "gates", "state")}
+    w["class"], w["word"] = (np.concatenate((m[k + "_w"], m[k + "_b"][:, None]), 1) for k in ("class", "word"))
+    seen = {k: np.full(v.shape, 1e-2, np.float32) for k, v in w.items() if k != "edges"}
+    word_grad = np.zeros_like(w["word"])
+
+    def step(name: str, grad: np.ndarray, where=None) -> None:
+        old = seen[name] if where is None else seen[name].take(where, 0, mode="wrap")
+        old += grad * grad
+        grad *= rate
+        grad /= np.sqrt(old)
+        if where is None:
+            w[name] -= grad
+        else:
+            seen[name][where] = old
+            w[name][where] -= grad
 
     laid = Layout(texts, most)
     state = np.zeros((len(laid.length), hidden), np.float32)
     for n, at, live in laid.windows():
-        keep: list = []
+        keep: dict[str, np.ndarray] = {}
         source = np.where(live, laid.source[at], 0)
-        states = _forward(m, source, state[:n], keep)
+        states = _forward(w, source, state[:n], keep)
         state = states[-1]
         steps = len(states)
-        h, y = states[live], laid.target[at[live]]
+        y = laid.target[at[live]]
         scale = np.float32(1 / len(y))
-        of, groups = _by_class(m, y)
-        gap = np.exp(_log_softmax(h @ m["class_w"].T + m["class_b"]))
-        gap[np.arange(len(y)), of] -= 1
-        gap *= scale
-        back = gap @ m["class_w"]
-        updates = [("class_w", slice(None), gap.T @ h), ("class_b", slice(None), gap.sum(0))]
-        for _, ranks, at in groups:
-            if ranks.stop - ranks.start > 1:
-                inside = np.exp(_log_softmax(h[at] @ m["word_w"][ranks].T + m["word_b"][ranks]))
-                inside[np.arange(len(at)), y[at] - ranks.start] -= 1
-                inside *= scale
-                back[at] += inside @ m["word_w"][ranks]
-                updates += [("word_w", ranks, inside.T @ h[at]), ("word_b", ranks, inside.sum(0))]
+        of, order, groups = _by_class(w, y)
+        h, mine, rank = _with_one(states.reshape(-1, hidden).take(np.flatnonzero(live)[order], 0)), of[order], y[order]
+        back, class_grad = np.empty((len(y), hidden), np.float32), np.zeros_like(w["class"])
+        for start in range(0, len(y), 2_048):
+            part = slice(start, start + 2_048)
+            x = h[part] @ w["class"].T
+            x *= (scale / _shares(x))[:, None]
+            x[np.arange(len(x)), mine[part]] -= scale
+            np.matmul(x, w["class"][:, :-1], out=back[part])
+            class_grad += x.T @ h[part]
+        word_grad[:] = 0
+        for ranks, of_class in groups:
+            own, weights = h[of_class], w["word"][ranks]
+            x = own @ weights.T
+            x *= (scale / _shares(x))[:, None]
+            x[np.arange(len(x)), rank[of_class] - ranks.start] -= scale
+            back[of_class] += x @ weights[:, :-1]
+            np.matmul(x.T, own, out=word_grad[ranks])
         pull = np.zeros_like(states)
-        pull[live] = back
-        d_gates, d_state, d_rows = np.zeros_like(m["gates"]), np.zeros_like(m["state"]), np.zeros((steps, n, 3 * hidden), np.float32)
+        pull.reshape(-1, hidden)[np.flatnonzero(live)[order]] = back
+        before, reset, new = keep["before"], keep["reset"], keep["new"]
+        z, r = keep["gate"][:, :, :hidden], keep["gate"][:, :, hidden:]
+        rest = 1 - z
+        by_new = (1 - new * new) * z
+        by_z = (new - before) * z * rest
+        by_r = reset * (1 - r)
+        d_rows = np.empty((steps, n, 3 * hidden), np.float32)
         carried = np.zeros((n, hidden), np.float32)
+        state_t, gates_t = np.ascontiguousarray(w["state"].T), np.ascontiguousarray(w["gates"].T)
         fresh = source < 0
+        some = fresh.any(1)
+        d_reset = np.empty_like(carried)
         for t in range(steps - 1, -1, -1):
-            before, z, r, new = keep[t]
-            g = pull[t] + carried
-            d_new = g * z * (1 - new * new)
-            d_z = g * (new - before) * z * (1 - z)
-            d_rs = d_new @ m["state"].T
-            d_r = d_rs * before * r * (1 - r)
-            d_zr = np.concatenate((d_z, d_r), 1)
-            d_gates += before.T @ d_zr
-            d_state += (r * before).T @ d_new
-            d_rows[t, :, : 2 * hidden], d_rows[t, :, 2 * hidden :] = d_zr, d_new
-            carried = g * (1 - z) + d_rs * r + d_zr @ m["gates"].T
-            carried[fresh[t]] = 0
-        flat = source.ravel()
-        order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) > 0)))
-        words, d_input = flat[order][first], np.add.reduceat(d_rows.reshape(-1, 3 * hidden)[order], first)
-        for update in (*updates, ("gates", slice(None), d_gates), ("state", slice(None), d_state), ("input", words, d_input)):
-            step(*update)
-    return m
+            g, d = pull[t], d_rows[t]
+            g += carried
+            d_new, d_zr = d[:, 2 * hidden :], d[:, : 2 * hidden]
+            np.multiply(g, by_new[t], out=d_new)
+            np.matmul(d_new, state_t, out=d_reset)
+            np.multiply(g, by_z[t], out=d[:, :hidden])
+            np.multiply(d_reset, by_r[t], out=d[:, hidden : 2 * hidden])
+            np.matmul(d_zr, gates_t, out=carried)
+            g *= rest[t]
+            carried += g
+            d_reset *= r[t]
+            carried += d_reset
+            if some[t]:
+                carried[fresh[t]] = 0
+        d_rows = d_rows.reshape(-1, 3 * hidden)
+        step("gates", before.reshape(-1, hidden).T @ d_rows[:, : 2 * hidden])
+        step("state", reset.reshape(-1, hidden).T @ d_rows[:, 2 * hidden :])
+        step("class", class_grad)
+        step("word", word_grad)
+        words, d_input = _row_sums(source.ravel(), d_rows)
+        step("input", d_input, words)
+    cuts = {f"{k}_{part}": np.ascontiguousarray(w[k][:, at]) for k in ("class", "word") for part, at in (("w", slice(0, hidden)), ("b", hidden))}
+    return {k: cuts[k] if k in cuts else w[k] for k in m}

@@ -8,9 +8,10 @@ unseen word. Rare words, which are not sent, meet their counts by a join on the
 
 Model part: a gated recurrent model (gated_model) is trained on all training documents, every token once (a corpus of
 fewer than `least_tokens` is passed over up to four times). They are dealt to shards as ranks of their words, and each
-pass to `rounds` rounds: in a round
-every shard trains on its part of about `shard_tokens` tokens from the same parameters, and a tree of tasks averages
-them (SUMS of its means come to the driver). In training, texts of over 2,048 tokens are cut; in scoring the state is carried through
+pass to `rounds` rounds: in a round every shard trains on its part from the same parameters, and a tree of tasks
+averages them (SUMS of its means come to the driver). A shard has about `shard_tokens` tokens on SLOTS slots; larger
+corpora have up to SLOTS_MOST slots and shards as many times longer, so a shard's number of steps stays and numpy is
+called less often a token. In training, texts of over 2,048 tokens are cut; in scoring the state is carried through
 whole texts.
 
 Defined cases: null text is empty and has the end token alone; without training documents every count is 0 and the
@@ -23,7 +24,6 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import gated_model
-from tidemark.llm.common import byte_batches, claim, fold, gathered, lower_words, memory, small_batches
+from tidemark.llm.common import byte_batches, claim, fold, gathered, memory, numbered_words, small_batches
 from tidemark.session import cut
 
 #: Words whose counts are sent to all workers, at most.
@@ -44,6 +44,8 @@ LAY_BYTES = 20 << 20
 #: Sums of shards' parameters that the driver gets, and that a task of the tree of sums takes.
 SUMS, BRANCH = 8, 16
 MEMO_WORDS = 400_000
+#: Slots that a shard trains together in small and in large corpora; one more for each so many tokens.
+SLOTS, SLOTS_MOST, SLOT_TOKENS = 16, 192, 500_000
 #: What a worker remembers of words, for one lexicon.
 _held: dict = memory()
 
@@ -57,7 +59,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """word (its hash) and n over all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held: dict[bytes, int] = {}
         claim({})
 
         def out() -> pa.RecordBatch:
@@ -66,8 +68,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
             return batch
 
         for batch in byte_batches(batches):
-            for text in batch.column("text").to_pylist():
-                held.update(lower_words(text))
+            own, _ = numbered_words(batch.column("text"))
+            for word, n in zip(own.dictionary.to_pylist(), np.bincount(own.indices, minlength=len(own.dictionary)).tolist()):
+                held[word] = held.get(word, 0) + n
             if len(held) > MEMO_WORDS:
                 yield out()
         yield out()
@@ -111,7 +114,7 @@ class Lexicon:
         log[here] = np.log10(self.n[at] + 0.5)
         return [h, rank, log]
 
-    def read(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def read(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Of each text the ranks (with the end), log10(c + 0.5) of the words, hashes.
 
         Words are numbered as they come; the numbers of the first MEMO_WORDS are remembered with what they mean.
@@ -120,22 +123,26 @@ class Lexicon:
         if _held.get("of") != self.mark:
             _held.clear()
             _held.update(of=self.mark, memo={}, table=self.look_up([]))
-        memo, old = _held["memo"], _held["table"]
+        memo, table = _held["memo"], _held["table"]
         held = len(memo)
-        found = [(ws := lower_words(t), list(map(memo.get, ws))) for t in texts]
+        words, sizes = numbered_words(texts)
+        own = words.dictionary.to_pylist()
+        ids = list(map(memo.get, own))
         fresh: dict[bytes, int] = {}
-        for ws, ids in found:
-            if None in ids:
-                for i, k in enumerate(ids):
-                    if k is None:
-                        ids[i] = fresh.setdefault(ws[i], held + len(fresh))
-        table = [np.concatenate(p) for p in zip(old, self.look_up(list(fresh)))] if fresh else old
+        if None in ids:
+            for i, k in enumerate(ids):
+                if k is None:
+                    ids[i] = fresh.setdefault(own[i], held + len(fresh))
+        if fresh:
+            table = [np.concatenate(p) for p in zip(table, self.look_up(list(fresh)))]
         if held + len(fresh) <= MEMO_WORDS:
             _held["table"] = table
             memo.update(fresh)
-        h, rank, log = table
-        numbers = [np.array(ids, np.int64) for _, ids in found]
-        return [(np.append(rank[k], np.int32(self.end)), log[k], h[k]) for k in numbers]
+        at, numbers = words.indices.to_numpy(), np.array(ids, np.int64)
+        h, rank, log = (t[numbers][at] for t in table)
+        ends = np.cumsum(sizes).tolist()
+        cuts = [slice(z - n, z) for z, n in zip(ends, sizes.tolist())]
+        return [(np.append(rank[k], np.int32(self.end)), log[k], h[k]) for k in cuts]
 
 
 def lexicon(counts: DataFrame, documents: int, vocabulary: int) -> Lexicon:
@@ -152,17 +159,23 @@ def lexicon(counts: DataFrame, documents: int, vocabulary: int) -> Lexicon:
     return Lexicon(known, documents, (totals[0] or 0) + documents, totals[1] + (documents > 0), vocabulary)
 
 
+def slots_of(tokens: int) -> int:
+    """How many slots a shard of a corpus of so many tokens trains together."""
+    return max(SLOTS, min(SLOTS_MOST, tokens // SLOT_TOKENS))
+
+
 def fit(sample: DataFrame, lex, shards: int, rounds: int, passes: int) -> dict[str, np.ndarray]:
     """Passes over the sample in rounds, each followed by averaging over shards, weighted by tokens."""
     context = sample.sparkSession.sparkContext
     model = gated_model.new_model(lex.value.counts)
     names = [k for k in model if k != "edges"]
+    most = slots_of(lex.value.tokens)
     lot = F.xxhash64("text", "doc_id")
     kind = np.dtype("<u2" if len(lex.value.counts) <= 1 << 16 else "<u4")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_batches(batches):
-            ranks = [r.astype(kind).tobytes() for r, _, _ in lex.value.read(batch.column("text").to_pylist())]
+            ranks = [r.astype(kind).tobytes() for r, _, _ in lex.value.read(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(ranks, pa.binary()), batch.column("shard"), batch.column("round")], names=["ranks", "shard", "round"])
 
     dealt = sample.select("text", F.pmod(lot, F.lit(shards)).cast("int").alias("shard"), F.pmod(F.shiftrightunsigned(lot, 20), F.lit(rounds)).cast("int").alias("round"))
@@ -173,7 +186,7 @@ def fit(sample: DataFrame, lex, shards: int, rounds: int, passes: int) -> dict[s
         def pass_over(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             texts = gated_model.segments([np.frombuffer(r, kind).astype(np.int32) for b in batches for r in b.column("ranks").to_pylist()])
             if texts:
-                got = gated_model.train(sent.value, texts)
+                got = gated_model.train(sent.value, texts, most)
                 n = sum(map(len, texts))
                 flat = np.concatenate([got[k].ravel() for k in names]).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array([int(texts[0][0]) * 31 + n], pa.int64()), pa.array([n], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["key", "n", "flat"])
@@ -218,6 +231,7 @@ def lm_scoring(docs: DataFrame, folds: int = 5, held: int = 1, vocabulary: int =
     counts = cut(word_counts(training))
     found = lexicon(counts, documents, vocabulary)
     lex = context.broadcast(found)
+    shard_tokens = shard_tokens * slots_of(found.tokens) // SLOTS
     rounds = max(1, min(rounds, math.ceil(found.tokens / shard_tokens)))
     shards = max(1, math.ceil(found.tokens / rounds / shard_tokens))
     passes = max(1, min(4, math.ceil(least_tokens / max(found.tokens, 1))))
@@ -225,7 +239,7 @@ def lm_scoring(docs: DataFrame, folds: int = 5, held: int = 1, vocabulary: int =
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches, LAY_BYTES):
-            read = [r for part in byte_batches([batch]) for r in lex.value.read(part.column("text").to_pylist())]
+            read = [r for part in byte_batches([batch]) for r in lex.value.read(part.column("text"))]
             got = gated_model.score(model.value, [r for r, _, _ in read]) / math.log(10)
             rows = []
             for ranks, log, h in read:
