@@ -70,6 +70,11 @@ def numbered_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     return found.cast(pa.binary()).dictionary_encode(), sizes
 
 
+def distinct_words(words: pa.DictionaryArray) -> list[bytes]:
+    """The distinct words of numbered_words(); to_pylist() would make an Arrow scalar of each first."""
+    return words.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
 def byte_batches(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts record batches where the texts so far reach `most` bytes."""
     for batch in batches:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import gated_model
-from tidemark.llm.common import byte_batches, claim, fold, gathered, memory, numbered_words, small_batches
+from tidemark.llm.common import byte_batches, claim, distinct_words, fold, gathered, memory, numbered_words, small_batches
 from tidemark.session import cut
 
 #: Words whose counts are sent to all workers, at most.
@@ -69,7 +69,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
         for batch in byte_batches(batches):
             own, _ = numbered_words(batch.column("text"))
-            for word, n in zip(own.dictionary.to_pylist(), np.bincount(own.indices, minlength=len(own.dictionary)).tolist()):
+            for word, n in zip(distinct_words(own), np.bincount(own.indices, minlength=len(own.dictionary)).tolist()):
                 held[word] = held.get(word, 0) + n
             if len(held) > MEMO_WORDS:
                 yield out()
@@ -126,7 +126,7 @@ class Lexicon:
         memo, table = _held["memo"], _held["table"]
         held = len(memo)
         words, sizes = numbered_words(texts)
-        own = words.dictionary.to_pylist()
+        own = distinct_words(words)
         ids = list(map(memo.get, own))
         fresh: dict[bytes, int] = {}
         if None in ids:
