@@ -287,3 +287,28 @@ def test_windows_counted_in_bytes_have_the_same_fingerprints():
         assert decontamination._kind(size) == np.uint8
         assert np.array_equal(decontamination.fingerprints(decontamination.running_ones(h, np.uint8), size), decontamination.fingerprints(decontamination.running_ones(h), size))
     assert decontamination._kind(256) == np.uint16
+
+
+def test_words_of_a_batch_are_hashed_as_those_of_each_text():
+    texts = ["A, b--C! ... 'x' ΑΣ. ΑΣ'Β İx", None, "", " -- ", "E.g. a b\tc\n", "...a"]
+    index = decontamination.Items([("i", "one two three")], 5, 0.8)
+    seen = []
+    index.candidates = lambda h, edges: seen.append((h.tolist(), edges.tolist())) or []
+    index.matches(texts, 0.8)
+    words = [decontamination.plain_words(t) for t in texts]
+    assert seen == [(decontamination.hashes([w for ws in words for w in ws]).tolist(), [0, *np.cumsum([len(ws) for ws in words]).tolist()])]
+
+
+def test_ones_and_searches_equal_plain_loops():
+    rng = np.random.default_rng(3)
+    for n in (1, 31, 32, 33, 300):
+        h = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        bits = np.unpackbits(h.view(np.uint8).reshape(n, 8), axis=1).astype(np.uint16)
+        assert np.array_equal(decontamination.running_ones(h), np.concatenate((np.zeros((1, 64), np.uint16), np.cumsum(bits, 0, dtype=np.uint16))))
+    marks = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    flipped = [int(m) ^ sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for k, m in zip(list(range(10)) * 6, marks)]
+    windows = np.array([*flipped, *rng.integers(0, 1 << 63, 2000).tolist()], np.uint64)
+    band = decontamination.Band([(int(m), i, -i) for i, m in enumerate(marks)])
+    want = [(w, m, d) for w, x in enumerate(windows.tolist()) for m, y in enumerate(marks.tolist()) if (d := (x ^ y).bit_count()) <= decontamination.RADIUS]
+    assert list(zip(*(p.tolist() for p in band.search(windows)))) == want and len(want) >= 40
+    assert [len(p) for p in band.search(windows[:0])] == [0, 0, 0]

@@ -31,12 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_batches, claim, judged_rows, memory, small_batches, without
+from tidemark.llm.common import byte_batches, claim, distinct_words, judged_rows, memory, numbered_words, small_batches, without
 
 RADIUS = 7
 BLOCKS = 4
 #: Words of text that are fingerprinted at once.
 CHUNK = 8_192
+#: Words whose bits are counted one after another; many such runs are counted side by side.
+RUN = 32
 #: Longest window in words.
 LONGEST = 8_192
 _PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -59,6 +61,19 @@ def hashes(ws: list[bytes]) -> np.ndarray:
     return np.array(found, np.uint64)
 
 
+def raw_hashes(ws: list[bytes]) -> np.ndarray:
+    """hashes() of the plain forms of words that still have their punctuation; 0 for those without any other character."""
+    found = list(map(_memo.get, ws))
+    if None in found:
+        for i, h in enumerate(found):
+            if h is None:
+                own = plain_words(ws[i].decode())
+                found[i] = h = xxhash.xxh64_intdigest(own[0], 11) if own else 0
+                if len(_memo) < MEMO_WORDS:
+                    _memo[ws[i]] = h
+    return np.array(found, np.uint64)
+
+
 def grid_size(words: int) -> int:
     """The largest window size of the grid that is no more than `words`."""
     size = 1
@@ -87,10 +102,16 @@ def clean_size(words: int, shingle: int, least: float) -> int:
 
 def running_ones(h: np.ndarray, kind: type = np.uint16) -> np.ndarray:
     """For each position, how many words before it have each bit (modulo 2^16, or what `kind` holds)."""
-    bits = np.unpackbits(h.view(np.uint8).reshape(len(h), 8), axis=1)
-    out = np.zeros((len(h) + 1, 64), kind)
-    np.cumsum(bits, axis=0, dtype=kind, out=out[1:])
-    return out
+    runs = -(-len(h) // RUN)
+    bits = np.zeros((runs, RUN, 64), kind)
+    bits.reshape(-1, 64)[: len(h)] = np.unpackbits(h.view(np.uint8)).reshape(-1, 64)
+    for k in range(1, RUN):  # all runs of RUN words at once
+        bits[:, k] += bits[:, k - 1]
+    out = np.zeros((runs * RUN + 1, 64), kind)
+    before = np.zeros((runs, 1, 64), kind)
+    np.cumsum(bits[:-1, -1], axis=0, dtype=kind, out=before[1:, 0])
+    np.add(bits, before, out=out[1:].reshape(runs, RUN, 64))
+    return out[: len(h) + 1]
 
 
 def _kind(size: int) -> type:
@@ -100,7 +121,7 @@ def _kind(size: int) -> type:
 
 def fingerprints(ones: np.ndarray, size: int) -> np.ndarray:
     """Of all windows of `size` words."""
-    return np.packbits(ones[size:] - ones[:-size] > size // 2, axis=1).view(np.uint64).ravel()
+    return np.packbits((ones[size:] - ones[:-size] > size // 2).ravel()).view(np.uint64)
 
 
 class Band:
@@ -111,34 +132,24 @@ class Band:
         self.item = np.array([i for _, i, _ in marks], np.int64)
         self.shift = np.array([s for _, _, s in marks], np.int64)
         flips = np.array([0, *(1 << b for b in range(16))], np.uint64)
-        self.first, self.list, self.there = [], [], []
-        for block in range(BLOCKS):
-            value = ((self.marks >> np.uint64(16 * block)) & np.uint64(0xFFFF))[:, None] ^ flips
-            order = np.argsort(value.ravel(), kind="stable")
-            self.list.append((np.arange(value.size) // len(flips))[order])
-            first = np.searchsorted(value.ravel()[order], np.arange((1 << 16) + 1, dtype=np.uint64))
-            self.first.append(first)
-            self.there.append(np.diff(first) > 0)
+        value = np.concatenate([(((self.marks >> np.uint64(16 * block)) & np.uint64(0xFFFF))[:, None] ^ flips).ravel() + np.uint64(block << 16) for block in range(BLOCKS)])
+        order = np.argsort(value, kind="stable")
+        self.list = (order // len(flips)) % len(self.marks)
+        self.first = np.searchsorted(value[order], np.arange((BLOCKS << 16) + 1, dtype=np.uint64))
+        self.there = np.diff(self.first) > 0
 
     def search(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Window numbers, fingerprint numbers and distances of all pairs within the radius."""
-        out_w, out_m = [], []
-        blocks = windows.astype("<u8").view("<u2").reshape(-1, BLOCKS)
-        for block in range(BLOCKS):
-            hit = np.flatnonzero(self.there[block].take(blocks[:, block]))
-            if not len(hit):
-                continue
-            value, first = blocks[hit, block].astype(np.int64), self.first[block]
-            n = first[value + 1] - first[value]
-            at = np.repeat(hit, n)
-            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            mark = self.list[block][np.repeat(first[value], n) + inside]
-            near = np.bitwise_count(windows[at] ^ self.marks[mark]) <= RADIUS
-            out_w.append(at[near]), out_m.append(mark[near])
-        if not out_w:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pairs = np.unique(np.stack([np.concatenate(out_w), np.concatenate(out_m)], 1), axis=0)
-        return pairs[:, 0], pairs[:, 1], np.bitwise_count(windows[pairs[:, 0]] ^ self.marks[pairs[:, 1]]).astype(np.int64)
+        keys = (windows.astype("<u8", copy=False).view("<u2").reshape(-1, BLOCKS) + (np.arange(BLOCKS) << 16)).ravel()
+        hit = np.flatnonzero(self.there.take(keys))
+        key = keys.take(hit)
+        first = self.first.take(key)
+        n = self.first.take(key + 1) - first
+        at = np.repeat(hit // BLOCKS, n)
+        mark = self.list.take(np.repeat(first - np.cumsum(n) + n, n) + np.arange(len(at)))
+        near = np.flatnonzero(np.bitwise_count(windows.take(at) ^ self.marks.take(mark)) <= RADIUS)
+        window, mark = np.divmod(np.unique(at[near] * len(self.marks) + mark[near]), len(self.marks))
+        return window, mark, np.bitwise_count(windows[window] ^ self.marks[mark]).astype(np.int64)
 
 
 def shingles(h: np.ndarray, words: int) -> Counter:
@@ -169,6 +180,9 @@ class Items:
         self.marks, self.bands = marks, None
 
     def similarity(self, number: int, h: np.ndarray) -> float:
+        ws = h.tolist()
+        if len(ws) >= self.words and self.bags[number].keys().isdisjoint(zip(*(ws[k:] for k in range(self.words)))):
+            return 0.0
         a, b = self.bags[number], shingles(h, self.words)
         both = sum(min(n, b[s]) * self.rarity[s] for s, n in a.items() if s in b)
         if not both:  # no shingle is common
@@ -206,11 +220,12 @@ class Items:
                     found.append((start + int(w) + int(band.shift[m]), int(band.item[m]), int(d)))
         return found
 
-    def matches(self, texts: list[str | None], least: float) -> list[tuple[int, str, int, int, float]]:
+    def matches(self, texts: pa.Array | list[str | None], least: float) -> list[tuple[int, str, int, int, float]]:
         """(text number, item id, first word, words, similarity): the best of each text and item."""
-        parts = [hashes(plain_words(t)) for t in texts]
-        h = np.concatenate([*parts, np.zeros(0, np.uint64)])
-        edges = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        words, sizes = numbered_words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        h = raw_hashes(distinct_words(words))[words.indices.to_numpy()]
+        before = np.concatenate(([0], np.cumsum(h != 0)))  # how many words, punctuation alone is none
+        h, edges = h[h != 0], before[np.concatenate(([0], np.cumsum(sizes)))]
         tried: set[tuple[int, int, int, int]] = set()
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         for at, number, _ in sorted(self.candidates(h, edges), key=lambda c: (c[2], c[0])):
@@ -250,7 +265,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, words: int = 5, least
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             claim(_memo)
             for batch in byte_batches(batches):
-                hits = sent.value.matches(batch.column("text").to_pylist(), least)
+                hits = sent.value.matches(batch.column("text"), least)
                 doc, item, start, n, value = zip(*hits) if hits else ((),) * 5
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(item, pa.string()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(value, pa.float64())],
